@@ -7,10 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import merkle, split, tokenise, unify
+from quern.llm import leak, licence, merkle, split, tokenise, unify
 from quern.sources import table
 
 
+def _licences(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    repos = licence.repo_licences(table(spark, sf_dir, "roster_repos"), table(spark, sf_dir, "repo_files"))
+    return repos, licence.file_licences(table(spark, sf_dir, "source_files"), repos)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    repos, files = _licences(spark, sf_dir)
+    of_repos = repos.select(F.lit("repo").alias("record_kind"), F.col("repo").alias("record_id"), "license")
+    return of_repos.unionByName(files.select(F.lit("file").alias("record_kind"), F.col("file_id").cast("string").alias("record_id"), "license"))
+
+
+def p2_directories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences, conflicts and unknowns of every directory of every repository."""
+    return licence.directories(_licences(spark, sf_dir)[1])
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.copies(table(spark, sf_dir, "doc_chunks")).select("first_id", "copy_id")
 
@@ -45,8 +61,17 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenise.token_ids(table(spark, sf_dir, "documents"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leak.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id").distinct()
+
+
+def p8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stretches to remove from each document."""
+    return leak.scrub_spans(leak.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p4_found, p4_counts, p5_found, p5_forms, p6_found, p6_balanced, p7_ids)}
+    return {f.__name__: f for f in (p2_found, p2_directories, p4_found, p4_counts, p5_found, p5_forms, p6_found, p6_balanced, p7_ids, p8_found, p8_spans)}
 
 
 def oracle_sql() -> dict[str, str]:
