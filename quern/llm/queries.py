@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import leak, licence, merkle, split, tokenise, unify
+from quern.llm import leak, licence, mainbody, merkle, split, tokenise, unify
 from quern.sources import table
 
 
@@ -27,6 +27,10 @@ def p2_directories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licence.directories(_licences(spark, sf_dir)[1])
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mainbody.body_lines(table(spark, sf_dir, "document_pages"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.copies(table(spark, sf_dir, "doc_chunks")).select("first_id", "copy_id")
 
@@ -71,7 +75,7 @@ def p8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_directories, p4_found, p4_counts, p5_found, p5_forms, p6_found, p6_balanced, p7_ids, p8_found, p8_spans)}
+    return {f.__name__: f for f in (p2_found, p2_directories, p3_found, p4_found, p4_counts, p5_found, p5_forms, p6_found, p6_balanced, p7_ids, p8_found, p8_spans)}
 
 
 def oracle_sql() -> dict[str, str]:
