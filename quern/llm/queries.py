@@ -7,10 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import leak, licence, mainbody, merkle, split, tokenise, unify
+from quern.llm import apidoc, leak, licence, mainbody, merkle, split, tokenise, unify
 from quern.sources import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return apidoc.documented(table(spark, sf_dir, "source_files"), table(spark, sf_dir, "api_members"), full=False)
+
+
+def p1_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs themselves: name, signature and description."""
+    return apidoc.documented(table(spark, sf_dir, "source_files"), table(spark, sf_dir, "api_members"))
+
+
 def _licences(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     repos = licence.repo_licences(table(spark, sf_dir, "roster_repos"), table(spark, sf_dir, "repo_files"))
     return repos, licence.file_licences(table(spark, sf_dir, "source_files"), repos)
@@ -75,7 +84,7 @@ def p8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_directories, p3_found, p4_found, p4_counts, p5_found, p5_forms, p6_found, p6_balanced, p7_ids, p8_found, p8_spans)}
+    return {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_directories, p3_found, p4_found, p4_counts, p5_found, p5_forms, p6_found, p6_balanced, p7_ids, p8_found, p8_spans)}
 
 
 def oracle_sql() -> dict[str, str]:
