@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import apidoc, leak, licence, mainbody, merkle, split, tokenise, unify
+from quern.llm import apidoc, leak, licence, mainbody, merkle, pii, split, tokenise, unify
 from quern.sources import table
 
 
@@ -83,8 +83,17 @@ def p8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak.scrub_spans(leak.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.found(table(spark, sf_dir, "documents")).select("doc_id", "kind", "start_pos").distinct()
+
+
+def p9_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with placeholders."""
+    return pii.masked(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_directories, p3_found, p4_found, p4_counts, p5_found, p5_forms, p6_found, p6_balanced, p7_ids, p8_found, p8_spans)}
+    return {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_directories, p3_found, p4_found, p4_counts, p5_found, p5_forms, p6_found, p6_balanced, p7_ids, p8_found, p8_spans, p9_found, p9_masked)}
 
 
 def oracle_sql() -> dict[str, str]:
