@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.plans import retrieval  # noqa: F401
+from quern.plans import checks, names, relational, retrieval  # noqa: F401
 from quern.plans.registry import QUERIES
 
 FLAGSHIP = "hybrid_search"

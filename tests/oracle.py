@@ -22,7 +22,7 @@ def _plain(v):
         return tuple(_plain(x) for x in v)
     if isinstance(v, dict):
         return tuple((k, _plain(x)) for k, x in sorted(v.items()))
-    if v is None or v is pd.NaT or isinstance(v, float) and math.isnan(v):
+    if v is None or v is pd.NaT or v is pd.NA or isinstance(v, float) and math.isnan(v):
         return None
     if isinstance(v, (bool, np.bool_)):
         return bool(v)
