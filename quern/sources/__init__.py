@@ -1,4 +1,4 @@
-"""Readers of tables and files."""
+"""Readers and writers of tables and files."""
 
 from quern.sources.tables import spread, table
 

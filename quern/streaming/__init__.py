@@ -1,0 +1 @@
+"""Incremental and streaming operators."""
