@@ -113,8 +113,7 @@ def copies(chunks: DataFrame, id_col: str = "id", group_col: str = "document_id"
     Sizes and first ids are made by partial aggregation, so a group with a third of all rows never meets
     in one task; its members are joined back to the first over ``salts`` parts.
     """
-    rows = spread(chunks)
-    rows = digests(rows, id_col, group_col, text_col, least).withColumn("group", F.struct("group"))  # a struct: null equals null
+    rows = digests(spread(chunks.select(id_col, group_col, text_col)), id_col, group_col, text_col, least).withColumn("group", F.struct("group"))  # a struct: null equals null
     twins = rows.where("root is not null").groupBy("group", "plain").agg(F.min("root").alias("twin"))
     keyed = rows.join(twins, ["group", "plain"], "left").select("group", "id", "text", F.coalesce("root", "twin", F.col("plain").cast("string")).alias("key"))
     parts = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))

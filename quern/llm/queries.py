@@ -97,4 +97,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    words = lambda t, k: f"(SELECT {k}, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM {t} WHERE text IS NOT NULL)"
+    grams = lambda t, k: f"(SELECT DISTINCT {k}, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT {k}, w, unnest(range(1, len(w) - 10)) AS i FROM {words(t, k)} WHERE len(w) >= 12))"
+    return {"p8_found": f"SELECT DISTINCT doc_id, item_id FROM {grams('documents', 'doc_id')} JOIN {grams('eval_items', 'item_id')} USING (g)"}

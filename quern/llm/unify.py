@@ -53,6 +53,7 @@ class _Tables:
         self.script = np.zeros(_TOP, np.uint8)
         self.mark = np.zeros(_TOP, np.uint8)  # canonical combining class, 255 for marks of class 0
         self.pictograph = np.zeros(_TOP, bool)
+        self.composite = np.zeros(_TOP, bool)  # has a canonical decomposition
         self.length = np.ones(_TOP, np.uint8)
         self.place = np.zeros(_TOP, np.int32)  # where the expansion of a code point begins in self.pool
         self.to = {LATIN: np.arange(_TOP, dtype=np.uint32), CYRILLIC: np.arange(_TOP, dtype=np.uint32), GREEK: np.arange(_TOP, dtype=np.uint32)}
@@ -67,6 +68,7 @@ class _Tables:
             if category == "Cn":
                 continue
             decomposition = unicodedata.decomposition(ch)
+            self.composite[cp] = bool(decomposition) and decomposition[0] != "<"
             form = decomposition.split(" ", 1)[0] if decomposition.startswith("<") else ""
             if _invisible(cp, category):
                 self.flag[cp], self.length[cp] = INVISIBLE, 0
@@ -187,32 +189,40 @@ def unify(texts: pa.Array, forms: bool = True) -> tuple[np.ndarray, pa.Array | N
             out[where] = t.pool[shift + where]
             points, starts = out, begin[starts]
 
-        # composition of letters with the marks behind them, one mark of every run at a time
-        marked = np.flatnonzero(t.mark[np.minimum(points, _TOP - 1)] > 0)
+        # composition of letters with the marks behind them
+        marked = np.flatnonzero(t.mark[points] > 0)
         if marked.size:
             points = points.copy()
             first = np.concatenate([[True], np.diff(marked) != 1]) | np.isin(marked, starts)
-            run = np.cumsum(first) - 1
-            nth = marked - marked[first][run]
-            head = marked[first] - 1  # the base of each run
-            usable = (head >= 0) & ~np.isin(marked[first], starts)
-            base = np.where(usable, points[np.maximum(head, 0)], 0)
-            last = np.zeros(len(head), np.int64)  # class of the last mark that stayed
+            begin = marked[first]  # where each run of marks begins; its base stands before
+            size = np.diff(np.append(np.flatnonzero(first), len(marked)))
+            head = begin - 1
+            based = (head >= 0) & ~np.isin(begin, starts)
+            head = np.maximum(head, 0)
+            letters = t.script[points[head]] > 0
             gone = np.zeros(len(points), bool)
-            for k in range(int(nth.max()) + 1):
-                now = np.flatnonzero(nth == k)
-                at, r = marked[now], run[now]
-                mark, cls = points[at], t.mark[points[at]].astype(np.int64)
-                single = t.compose(base[r], mark)
-                ok = (single != 0) & usable[r] & ((last[r] == 0) | ((last[r] < cls) & (last[r] != 255)))
-                base[r[ok]] = single[ok]
-                gone[at[ok]] = True
-                last[r[~ok]] = cls[~ok]
-            letters = t.script[np.minimum(np.where(usable, points[np.maximum(head, 0)], 0), _TOP - 1)] > 0
-            changed = np.unique(run[gone[marked]])
-            counted = changed[letters[changed]]
-            _by_text(np.full(len(counted), MARK, np.uint8), head[counted], starts, found)
-            points[head[usable]] = base[usable]
+            simple = based & (size == 1) & ~t.composite[points[head]]
+            single = np.where(simple, t.compose(points[head], points[begin]), 0)
+            k = np.flatnonzero(single)
+            points[head[k]] = single[k]
+            gone[begin[k]] = True
+            counted = [head[k[letters[k]]]]
+            # several marks may have to change places first; there are few such runs, and fewer different ones
+            forms_of: dict[bytes, np.ndarray] = {}
+            for r in np.flatnonzero(~simple & (based | (size > 1))).tolist():
+                a, z = (head[r] if based[r] else begin[r]), begin[r] + size[r]
+                raw = points[a:z].tobytes()
+                if raw not in forms_of:
+                    forms_of[raw] = np.frombuffer(unicodedata.normalize("NFC", raw.decode("utf-32-le")).encode("utf-32-le"), np.uint32)
+                new = forms_of[raw]
+                if len(new) > z - a:
+                    continue
+                points[a : a + len(new)] = new
+                gone[a + len(new) : z] = True
+                if len(new) < z - a and letters[r] and based[r]:
+                    counted.append(np.array([a]))
+            at = np.concatenate(counted)
+            _by_text(np.full(len(at), MARK, np.uint8), at, starts, found)
             points, starts = _drop(points, starts, ~gone)
 
         # look-alike letters in words of several scripts
