@@ -53,7 +53,7 @@ def tsrg(spark: SparkSession, path: str) -> DataFrame:
     """``class_from, class_to, what, name_from, name_to, descriptor`` of an indented mapping, version 1 or 2."""
     rows = _numbered(spark, path).where("line not like 'tsrg2%' and line not like '#%'")
     depth = F.length(F.regexp_extract("line", "^\t*", 0))
-    parts = F.split(F.trim("line"), " ")
+    parts = F.split(F.regexp_replace("line", "^\t+", ""), " ")
     w = Window.partitionBy("file").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     carried = lambda i: F.last(F.when(depth == 0, F.get(parts, F.lit(i))), ignorenulls=True).over(w)
     out = rows.select("file", "n", depth.alias("d"), parts.alias("p"), carried(0).alias("class_from"), carried(1).alias("class_to"))

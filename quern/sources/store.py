@@ -38,7 +38,7 @@ class Store:
     def manifest(self) -> dict:
         """The manifest; an empty one where there is none or it can't be read."""
         try:
-            at = self._path(f"{self.path}/_manifest.json")
+            at = self._path(f"{self.path}/manifest.json")
             if not self._fs.exists(at):
                 return {"schema_version": VERSION, "tables": {}}
             text = "".join(r[0] for r in self.spark.read.text(at.toString(), wholetext=True).collect())
@@ -71,7 +71,7 @@ class Store:
                 self._fs.delete(self._path(f"{self.path}/{w['folder']}"), True)
             raise
         m = {"schema_version": VERSION, "tables": m["tables"] | written, "written": time.time(), "facts": m.get("facts", {}) | facts}
-        draft, final = self._path(f"{self.path}/_manifest.{uuid.uuid4().hex[:8]}"), self._path(f"{self.path}/_manifest.json")
+        draft, final = self._path(f"{self.path}/manifest.{uuid.uuid4().hex[:8]}"), self._path(f"{self.path}/manifest.json")
         out = self._fs.create(draft, True)
         out.write(bytearray(json.dumps(m, sort_keys=True).encode()))
         out.close()
