@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import tokens
+from quern.sources.tables import spread
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 
@@ -95,7 +96,7 @@ def bm25(corpus: DataFrame, text: Column, expression: Expression, where: Column
     match nothing.
     """
     terms = terms_of(expression)
-    rows = corpus.withColumn("_words", tokens(text)).withColumn("_length", F.size("_words"))
+    rows = spread(corpus).withColumn("_words", tokens(text)).withColumn("_length", F.size("_words"))
     figures = rows.agg(
         F.count("*").alias("_documents"), F.avg("_length").alias("_mean"), *(F.count_if(count_of(t, F.col("_words")) > 0).alias(f"_df{i}") for i, t in enumerate(terms))
     )
@@ -110,11 +111,17 @@ def bm25(corpus: DataFrame, text: Column, expression: Expression, where: Column
     return joined.withColumn("score", score).select(*corpus.columns, "score")
 
 
-def postings(corpus: DataFrame, id_col: str, text: Column) -> DataFrame:
-    """``term, id, tf, positions, length`` of every term of every document."""
-    words = corpus.select(F.col(id_col).alias("id"), tokens(text).alias("words"))
+def postings(corpus: DataFrame, id_col: str, text: Column, positions: bool = True, only: DataFrame | None = None) -> DataFrame:
+    """``term, id, length, tf`` and, if asked for, ``positions`` of every term of every document.
+
+    ``only`` is a table of terms; others are left out before anything is grouped.
+    """
+    words = spread(corpus.select(F.col(id_col).alias("id"), text.alias("_text"))).select("id", tokens(F.col("_text")).alias("words"))
     exploded = words.select("id", F.size("words").alias("length"), F.posexplode("words").alias("position", "term"))
-    return exploded.groupBy("term", "id", "length").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("position")).alias("positions"))
+    if only is not None:
+        exploded = exploded.join(only.select("term").distinct(), "term", "left_semi")
+    figures = [F.count("*").alias("tf"), *([F.array_sort(F.collect_list("position")).alias("positions")] if positions else [])]
+    return exploded.groupBy("term", "id", "length").agg(*figures)
 
 
 def term_stats(index: DataFrame) -> DataFrame:

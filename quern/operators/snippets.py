@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.urls import glob
-from quern.sources.tables import spread
 
 _MASK = re.compile(r"/\*.*?(?:\*/|$)|//[^\n]*|\"(?:[^\"\\\n]|\\.)*\"?|'(?:[^'\\\n]|\\.)*'?", re.S)
 
@@ -70,7 +69,7 @@ def extract(files: DataFrame, include: list[str], exclude: list[str], most_bytes
             found = [(r, p, *x) for r, p, c in batch.itertuples(index=False) for x in regions(c, most_lines)]
             yield pd.DataFrame(found, columns=["repo", "path", "start_line", "end_line", "signature", "code"])
 
-    return spread(rows).mapInPandas(run, "repo string, path string, start_line int, end_line int, signature string, code string")
+    return rows.mapInPandas(run, "repo string, path string, start_line int, end_line int, signature string, code string")
 
 
 def markers(code: Column, needles: list[tuple[str, str]]) -> Column:

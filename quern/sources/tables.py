@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -10,12 +12,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_MOVES = re.compile(r"\b(?:Aggregate|Join|Repartition|RepartitionByExpression|RebalancePartitions|Sort|Window|Deduplicate|Distinct|GlobalLimit)\b")
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` on at least as many partitions as there are cores.
+    """A scan on at least as many partitions as there are cores.
 
-    A table of one small file is one scan task; a CPU-bound Python stage over it would leave all other
-    cores idle. Only then the rows are redistributed: a scan that already has a task per core, as any
-    table of more than a few files has, keeps its partitions and isn't shuffled.
+    A table of one small file is one scan task; a CPU-bound stage over it would leave all other cores
+    idle. Only then the rows are redistributed: a scan that already has a task per core, as any table of
+    more than a few files has, keeps its partitions and isn't shuffled. What has been shuffled before is
+    left alone, as counting its partitions would run it.
     """
+    if df.isStreaming or _MOVES.search(df._jdf.queryExecution().optimizedPlan().toString()):
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
