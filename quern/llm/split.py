@@ -17,8 +17,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.sources import spread
-
 LIMIT, OVERLAP, LEAST = 1000, 100, 200
 WHITE = " \t\r\n"
 _SENTENCE = re.compile(r"[.!?](?=[ \t\r\n])|\n(?=\n)")
@@ -133,4 +131,4 @@ def split(chunks: DataFrame, sections: DataFrame, limit: int = LIMIT, even: bool
     texts and empty tables give no rows; equal rows count once.
     """
     way = (lambda text, room, code: balanced(text, room)) if even else pieces
-    return spread(items(chunks, sections, limit)).mapInArrow(_run(way), SCHEMA)
+    return items(chunks, sections, limit).mapInArrow(_run(way), SCHEMA)
