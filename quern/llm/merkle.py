@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.session import checkpoint
 from quern.sources import spread
 
 FIELDS_AT_LEAST = 3
@@ -82,25 +83,24 @@ def record(text: str, least: int = FIELDS_AT_LEAST) -> tuple[str, str] | None:
     return _node(tree), _form(tree)
 
 
-def digests(chunks: DataFrame, id_col: str, group_col: str, text_col: str, least: int = FIELDS_AT_LEAST) -> DataFrame:
-    """``group, id, text, plain, root``: digest of the letters and digits in order, and of the record (null for plain text)."""
+def digests(rows: DataFrame, least: int = FIELDS_AT_LEAST) -> DataFrame:
+    """``group, id, plain, root`` of rows of ``group, id, text``.
+
+    ``plain`` is the digest of the letters and digits in order, ``root`` that of the record, null for plain
+    text. Rows without letters and digits are left out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             roots = [r[0] if (r := record(t, least)) else None for t in batch.column(2).to_pylist()]
-            yield pa.record_batch([*batch.columns[:4], pa.array(roots, pa.string())], names=["group", "id", "text", "plain", "root"])
+            yield pa.record_batch([batch.column(0), batch.column(1), batch.column(3), pa.array(roots, pa.string())], names=["group", "id", "plain", "root"])
 
     letters = F.regexp_replace(F.upper("text"), _NOT_ALNUM, "")
-    rows = (
-        chunks.select(F.col(group_col).alias("group"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-        .where(F.col("text").isNotNull())
-        .select("group", "id", "text", F.when(letters != "", F.xxhash64(letters)).alias("plain"))
-        .where("plain is not null")
-    )
+    hashed = rows.where("text is not null").select("group", "id", "text", F.when(letters != "", F.xxhash64(letters)).alias("plain")).where("plain is not null")
     separators = F.length("text") - F.length(F.translate("text", ":=", ""))
-    kind = dict(rows.dtypes)
-    parsed = rows.where(separators >= least).mapInArrow(run, f"group {kind['group']}, id {kind['id']}, text string, plain bigint, root string")
-    return parsed.unionByName(rows.where(separators < least).withColumn("root", F.lit(None).cast("string")))
+    kind = dict(hashed.dtypes)
+    parsed = hashed.where(separators >= least).mapInArrow(run, f"group {kind['group']}, id {kind['id']}, plain bigint, root string")
+    return parsed.unionByName(hashed.where(separators < least).select("group", "id", "plain", F.lit(None).cast("string").alias("root")))
 
 
 def copies(chunks: DataFrame, id_col: str = "id", group_col: str = "document_id", text_col: str = "content", least: int = FIELDS_AT_LEAST, salts: int = 16) -> DataFrame:
@@ -110,15 +110,18 @@ def copies(chunks: DataFrame, id_col: str = "id", group_col: str = "document_id"
     have no letters and digits never count, nor does a row repeated under the same id. A plain text whose
     letters and digits are those of a record, in its order, is a copy of that record.
 
-    Sizes and first ids are made by partial aggregation, so a group with a third of all rows never meets
-    in one task; its members are joined back to the first over ``salts`` parts.
+    Digests are made once and written; sizes and first ids come from them by partial aggregation, so a
+    group with a third of all rows never meets in one task, and members are joined to their group over
+    ``salts`` parts. Texts are read again for members alone.
     """
-    rows = digests(spread(chunks.select(id_col, group_col, text_col)), id_col, group_col, text_col, least).withColumn("group", F.struct("group"))  # a struct: null equals null
-    twins = rows.where("root is not null").groupBy("group", "plain").agg(F.min("root").alias("twin"))
-    keyed = rows.join(twins, ["group", "plain"], "left").select("group", "id", "text", F.coalesce("root", "twin", F.col("plain").cast("string")).alias("key"))
+    rows = spread(chunks.select(F.struct(F.col(group_col).alias("g")).alias("group"), F.col(id_col).alias("id"), F.col(text_col).alias("text")))  # in a struct null equals null
+    slim = checkpoint(digests(rows, least))
+    twins = slim.where("root is not null").groupBy("group", "plain").agg(F.min("root").alias("twin"))
+    keyed = slim.join(twins, ["group", "plain"], "left").select("group", "id", F.coalesce("root", "twin", F.col("plain").cast("string")).alias("key")).distinct()
     parts = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    groups = keyed.groupBy("group", "key", "id").agg(F.lit(1).alias("one")).groupBy("group", "key").agg(F.min("id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1")
-    members = keyed.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).join(groups.withColumn("salt", parts), ["group", "key", "salt"])
+    salt = F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")
+    groups = keyed.groupBy("group", "key").agg(F.min("id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1")
+    members = keyed.withColumn("salt", salt).join(groups.withColumn("salt", parts), ["group", "key", "salt"])
 
     def normal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,9 +129,9 @@ def copies(chunks: DataFrame, id_col: str = "id", group_col: str = "document_id"
             out = [r[1] if (r := record(t, least)) else None for t in texts], [_norm(t) for t in texts]
             yield pa.record_batch([*batch.columns[:6], *(pa.array(x, pa.string()) for x in out)], names=["group", "key", "salt", "first_id", "copies", "id", "form", "letters"])
 
-    members = members.select("group", "key", "salt", "first_id", "copies", "id", "text")
-    kind = dict(members.dtypes)
-    full = members.mapInArrow(normal, f"group {kind['group']}, key string, salt int, first_id {kind['id']}, copies bigint, id {kind['id']}, form string, letters string")
+    texts = members.join(rows.where("text is not null"), ["group", "id"]).select("group", "key", "salt", "first_id", "copies", "id", "text")
+    kind = dict(texts.dtypes)
+    full = checkpoint(texts.mapInArrow(normal, f"group {kind['group']}, key string, salt int, first_id {kind['id']}, copies bigint, id {kind['id']}, form string, letters string"))
     firsts = full.where("id = first_id").dropDuplicates(["group", "key"]).select("group", "key", parts.alias("salt"), F.col("form").alias("first_form"), F.col("letters").alias("first_letters"))
     # compared in full; a plain text beside a record was linked through equal letters
     same = F.coalesce(F.col("form") == F.col("first_form"), F.lit(True)) | (F.col("letters") == F.col("first_letters"))
