@@ -10,23 +10,23 @@ from quern.session import checkpoint
 DEPTH = 30
 
 
-def closure(edges: DataFrame, depth: int = DEPTH, every: int = 4) -> DataFrame:
+def closure(edges: DataFrame, depth: int = DEPTH) -> DataFrame:
     """``node, ancestor, distance`` along edges of ``node, parent``, the shortest way each, up to ``depth``.
 
-    Pairs are doubled in every round, so a chain of length n takes log n joins; a pair already known is
-    never produced again, which ends cycles. Lineage is cut every ``every`` rounds.
+    Known pairs of the longest distance are joined with all pairs in every round, so distances double, a
+    chain of length n takes log n joins, and a join gives little but new pairs. A pair already known is
+    never produced again, which ends cycles. Lineage is cut in every round.
     """
-    pairs = edges.where("node is not null and parent is not null").select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("distance")).distinct()
-    pairs = checkpoint(pairs)
-    before, reach, k = pairs.count(), 1, 0
+    pairs = checkpoint(edges.where("node is not null and parent is not null").select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("distance")).distinct())
+    reach = 1
     while reach < depth:
-        further = pairs.alias("a").join(pairs.alias("b"), F.col("a.ancestor") == F.col("b.node")).select(F.col("a.node").alias("node"), F.col("b.ancestor").alias("ancestor"), (F.col("a.distance") + F.col("b.distance")).alias("distance"))
-        pairs = pairs.unionByName(further.where(F.col("distance") <= depth)).groupBy("node", "ancestor").agg(F.min("distance").alias("distance"))
-        pairs = checkpoint(pairs)
-        now, reach, k = pairs.count(), reach * 2, k + 1
-        if now == before:
+        ends = pairs.where(F.col("distance") == reach).select("node", F.col("ancestor").alias("middle"))
+        onward = pairs.select(F.col("node").alias("middle"), "ancestor", F.col("distance").alias("d"))
+        further = ends.join(onward, "middle").select("node", "ancestor", (F.col("d") + reach).alias("distance")).where(F.col("distance") <= depth)
+        new = checkpoint(further.groupBy("node", "ancestor").agg(F.min("distance").alias("distance")).join(pairs.select("node", "ancestor"), ["node", "ancestor"], "left_anti"))
+        if new.isEmpty():
             break
-        before = now
+        pairs, reach = pairs.unionByName(new), reach * 2
     return pairs
 
 

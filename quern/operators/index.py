@@ -7,8 +7,13 @@ a single row. An index of postings serves standing corpora and batches of querie
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,7 +105,11 @@ def bm25(corpus: DataFrame, text: Column, expression: Expression, where: Column
     figures = rows.agg(
         F.count("*").alias("_documents"), F.avg("_length").alias("_mean"), *(F.count_if(count_of(t, F.col("_words")) > 0).alias(f"_df{i}") for i, t in enumerate(terms))
     )
-    hits = rows.where(matches(expression, F.col("_words")))
+    # a word of the text is a part of it: plain containment spares most rows the cut into words
+    some = F.lit(False)
+    for t in terms:
+        some = some | F.contains(F.lower(text), F.lit(t.text))
+    hits = rows.where(F.coalesce(some, F.lit(False)) & matches(expression, F.col("_words")))
     if where is not None:
         hits = hits.where(where)
     score = F.lit(0.0)
@@ -129,16 +138,68 @@ def term_stats(index: DataFrame) -> DataFrame:
     return index.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-def batch(index: DataFrame, lengths: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def batch(corpus: DataFrame, id_col: str, text: Column, queries: DataFrame, k: int, block_terms: int = 4096, rows: int = 1024) -> DataFrame:
     """``query_id, id, score, rank``: the best ``k`` documents of every query, ties by id.
 
-    ``queries`` has query_id and text. Terms that half of all documents hold have no weight and are left
-    out; what remains is joined by term, so a query meets only documents that hold one of its rare terms.
+    ``queries`` has query_id and text; it is read to the driver in blocks of at most ``block_terms`` terms
+    (or one query), each block two passes over the corpus: one for the figures of its terms, one in which
+    blocks of documents are multiplied with the weights of all queries. A task gives its own best ``k`` of
+    each query, so what is shuffled doesn't grow with the documents. Terms that half of all documents hold
+    have no weight.
     """
-    figures = lengths.agg(F.count("*").alias("documents"), F.avg("length").alias("mean"))
-    wanted = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    stats = term_stats(index).join(F.broadcast(figures)).where(F.col("df") * 2 <= F.col("documents"))
-    weighted = wanted.join(stats, "term").select("query_id", "term", "mean", idf(F.col("documents"), F.col("df")).alias("idf"))
-    scored = index.join(weighted, "term").groupBy("query_id", "id").agg(F.sum(F.col("idf") * saturation(F.col("tf"), F.col("length"), F.col("mean"))).alias("score"))
+    docs = spread(corpus.select(F.col(id_col).cast("bigint").alias("id"), text.alias("_text"))).select("id", tokens(F.col("_text")).alias("words"))
+    asked = queries.select("query_id", F.array_sort(F.array_distinct(tokens(F.col("text")))).alias("terms"))
+    blocks: list[tuple[list, dict[str, int]]] = [([], {})]
+    for q, terms in sorted((r[0], r[1]) for r in asked.toLocalIterator()):
+        new = [t for t in terms if t not in blocks[-1][1]]
+        if blocks[-1][0] and len(blocks[-1][1]) + len(new) > block_terms:
+            blocks.append(([], {}))
+            new = terms
+        blocks[-1][0].append((q, terms))
+        for t in new:
+            blocks[-1][1].setdefault(t, len(blocks[-1][1]))
+    found = None
+    for block, places in blocks:
+        part = _scan(docs, block, places, k, rows)
+        found = part if found is None else found.unionByName(part)
     order = Window.partitionBy("query_id").orderBy(F.round("score", 6).desc(), "id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _scan(docs: DataFrame, block: list, places: dict[str, int], k: int, rows: int) -> DataFrame:
+    spark = docs.sparkSession
+    kept = docs.select("id", F.size("words").alias("length"), F.filter("words", lambda x: x.isin(*places) if places else F.lit(False)).alias("words"))
+    total, mean = docs.agg(F.count("*"), F.coalesce(F.avg(F.size("words")), F.lit(1.0))).first()
+    held = dict(kept.select(F.explode(F.array_distinct("words")).alias("t")).groupBy("t").agg(F.count("*")).collect())
+    weights = np.zeros((len(places), len(block)))
+    for j, (_, terms) in enumerate(block):
+        for t in terms:
+            df = held.get(t, 0)
+            if df and df * 2 <= total:
+                weights[places[t], j] = max(math.log((total - df + 0.5) / (df + 0.5)), IDF_FLOOR)
+    shared = spark.sparkContext.broadcast(([q for q, _ in block], places, weights, float(mean)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, place, w, average = shared.value
+        names = pa.array(list(place), pa.string())
+        best_s, best_i = np.zeros((len(keys), 0)), np.zeros((len(keys), 0), np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                lists = part.column(2)
+                sizes = np.asarray(pa.compute.list_value_length(lists))
+                term = np.asarray(pa.compute.index_in(lists.flatten(), value_set=names))
+                counts = np.zeros((part.num_rows, len(names)))
+                np.add.at(counts, (np.repeat(np.arange(part.num_rows), sizes), term), 1)
+                norm = K1 * (1 - B + B * np.asarray(part.column(1), float) / average)
+                score = np.where(counts > 0, counts * (K1 + 1) / (counts + norm[:, None]), 0.0) @ w
+                ids = np.asarray(part.column(0))
+                best_s = np.concatenate([best_s, score.T], axis=1)
+                best_i = np.concatenate([best_i, np.broadcast_to(ids, score.T.shape)], axis=1)
+                order = np.lexsort((best_i, -np.round(best_s, 6)), axis=1)[:, :k]
+                best_s, best_i = np.take_along_axis(best_s, order, 1), np.take_along_axis(best_i, order, 1)
+        seen = best_s > 0
+        who = np.repeat(np.arange(len(keys)), best_s.shape[1]).reshape(best_s.shape)[seen]
+        yield pa.record_batch([pa.array([keys[i] for i in who], pa.int64()), pa.array(best_i[seen]), pa.array(best_s[seen])], names=["query_id", "id", "score"])
+
+    return kept.mapInArrow(run, "query_id bigint, id bigint, score double")

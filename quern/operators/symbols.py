@@ -15,7 +15,9 @@ def search(types: DataFrame, members: DataFrame, query: str, expansions: tuple[s
     """
     named = types.select(F.lit("type").alias("kind"), F.col("type_id").alias("id"), F.col("simple_name").alias("name")).unionByName(members.select("kind", F.col("member_id").alias("id"), "name"))
     named = named.where("name is not null").distinct()
-    scored = named.select("name").distinct().withColumn("score", fuzzy_score(F.col("name"), query, expansions)).where(F.col("score") > floor)
+    # a fixed number of parts: few names are much work, and would be drawn together into one task
+    parts = int(named.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    scored = named.select("name").distinct().repartition(parts).withColumn("score", fuzzy_score(F.col("name"), query, expansions)).where(F.col("score") > floor)
     return named.join(scored, "name").orderBy(F.desc("score"), "kind", "id").limit(limit).select("kind", "id", "name", "score")
 
 

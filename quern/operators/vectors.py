@@ -14,6 +14,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.sources.tables import spread
+
 
 def cosine(a: Column, b: Column) -> Column:
     """Cosine in double precision; null for null or different lengths, 0 for a zero vector."""
@@ -29,7 +31,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, id_col: str, vector: str, k: i
     ``queries`` has query_id and a vector; it is sent to every task in blocks of ``block`` queries, each a
     pass over the vectors. Null vectors, and those of another length than the query, are left out.
     """
-    rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector).alias("v")).where("v is not null")
+    rows = spread(vectors.select(id_col, vector)).select(F.col(id_col).cast("bigint").alias("id"), F.col(vector).alias("v")).where("v is not null")
     asked = queries.select(F.col("query_id").cast("bigint"), F.col(vector).alias("v")).where("v is not null")
     found = None
     pending: list[tuple[int, list[float]]] = []

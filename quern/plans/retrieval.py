@@ -11,7 +11,6 @@ from quern.operators import index as I
 from quern.operators import rank as R
 from quern.operators import vectors as X
 from quern.plans.registry import query
-from quern.session import checkpoint
 from quern.sources import table
 
 WORDS = r"list_filter(regexp_split_to_array(lower(coalesce({0}, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
@@ -89,12 +88,8 @@ SELECT query_id, doc_id, round(score, 3) AS score, rank FROM r WHERE rank <= 3""
 
 @query("R02 R09 J01", _BATCH)
 def bm25_batch(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
     asked = table(spark, d, "eval_items").selectExpr("item_id as query_id", "text")
-    terms = asked.select(F.explode(T.tokens(F.col("text"))).alias("term"))
-    index = checkpoint(I.postings(docs, "doc_id", F.col("text"), positions=False, only=terms))
-    lengths = docs.select(F.size(T.tokens(F.col("text"))).alias("length"))
-    out = I.batch(index, lengths, asked, 3)
+    out = I.batch(table(spark, d, "documents"), "doc_id", F.col("text"), asked, 3)
     return out.select("query_id", F.col("id").alias("doc_id"), F.round("score", 3).alias("score"), F.col("rank").cast("bigint"))
 
 
