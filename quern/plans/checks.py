@@ -84,7 +84,7 @@ def array_invariants(spark: SparkSession, d: str) -> DataFrame:
 _TREE = "(SELECT p_partkey AS node, p_partkey // 2 AS parent FROM part WHERE p_partkey > 1)"
 
 
-@query("J14 R48", "WITH RECURSIVE c(node, depth) AS (SELECT 1500::BIGINT, 0 UNION ALL SELECT node // 2, depth + 1 FROM c WHERE node > 1) SELECT node, depth::BIGINT AS depth FROM c")
+@query("J14 R48", f"WITH RECURSIVE e AS {_TREE}, c(node, depth) AS (SELECT 1500::BIGINT, 0 UNION ALL SELECT e.parent, depth + 1 FROM c JOIN e ON e.node = c.node) SELECT node, depth::BIGINT AS depth FROM c")
 def recursive_chain(spark: SparkSession, d: str) -> DataFrame:
     edges = table(spark, d, "part").where("p_partkey > 1").selectExpr("p_partkey as node", "p_partkey div 2 as parent")
     return G.ancestors_recursive(edges, "1500").selectExpr("cast(node as bigint) as node", "cast(depth as bigint) as depth")
