@@ -49,7 +49,7 @@ _ADDRESS = re.compile(
     rf"|(?:Calle|Avenida|Plaza) (?:{_CAP} ?){{1,3}},? \d{{1,4}}(?:, \d{{4,5}} {_TOWN})?)"
 )
 _PART = rf"(?:[A-ZÀ-ÖØ-Þ]\.|{_CAP})"
-_NAMES = re.compile(rf"(?<![\w.#/@$-]){_PART}(?:(?:, | ){_PART})*")
+_NAMES = re.compile(rf"(?<![\w.#/@$-]){_PART}(?:(?:, | ){_PART})+")
 #: Names that chat writes in lower case, where a greeting opens and something closes them.
 _GREETED = re.compile(r"(?<![^\W_])(?:hi|hello|hey|hallo|bonjour|salut|hola|ciao|my name is|i am|i'm|ich bin|je suis|soy),? ([^\W\d_]+(?:-[^\W\d_]+)?(?: [^\W\d_]\.?)? [^\W\d_]+(?:-[^\W\d_]+)?)(?=,? (?:here|speaking|again)\b)", re.I)
 _TOKENS = re.compile(r"[^\W_]+|[^\w\s]")
@@ -58,6 +58,22 @@ _WORDS = re.compile(r"[^\W\d_]+")
 _STARTS = frozenset("a an and the in on of for to by if it its is my our we you your they this that these those what which who when where why how not no yes keep set call mark do does please since older unlike both every think run players asks send der die das ein eine für wer nach im le la les un une el los las de des du".split())
 
 
+# What a text must hold for a pattern above to match anywhere; cheap tests that spare most texts the patterns.
+_NUMBER_HINT = re.compile(r"\d[\d ()/.-]{5}")
+_STREET_HINT = re.compile(r"\d[A-Za-z]? [A-ZÀ-ÖØ-Þ]")
+_RING_HINT = re.compile(r"ring \d")
+_ADDRESS_WORDS = ("Box", "Postfach ", "Apartado ", "BP ", "rue ", "avenue ", "boulevard ", "chemin ", "impasse ", "allée ", "quai ", "place ", "Calle ", "Avenida ", "Plaza ", "weg ", "straße ", "strasse ", "gasse ", "allee ", "platz ", "damm ", "ufer ", "str. ")
+_AT_WORDS = tuple(f"at{gap}{sign}" for gap in ("", " ", "\t", "\n") for sign in ")]}>")
+
+
+def _may_hold_email(text: str, low: str) -> bool:
+    return "@" in text or "＠" in text or any(w in low for w in _AT_WORDS) or "dot" in low and re.search(r"\sat\s[\w-]+\sdot\s", low) is not None
+
+
+def _may_hold_address(text: str) -> bool:
+    return any(w in text for w in _ADDRESS_WORDS) or _STREET_HINT.search(text) is not None or "ring " in text and _RING_HINT.search(text) is not None
+
+
 class Span:
     """A stretch that may be personal information."""
 
@@ -78,18 +94,22 @@ def candidates(text: str) -> list[Span]:
             taken.append((start, end))
             out.append(Span(start, end, kind, text[start:end]))
 
-    if "@" in text or "＠" in text or "at" in text or "AT" in text:
+    low = text.lower()
+    if _may_hold_email(text, low):
         for m in _EMAIL.finditer(text):
             add(m.start(), m.end(), "email")
-    for m in _ADDRESS.finditer(text):
-        add(m.start(), m.end(), "address")
-    for m in _NUMBER.finditer(text):
-        if sum(c.isdigit() for c in m[0]) >= 7:
-            add(m.start(), m.end(), "number")
-    for m in _GREETED.finditer(text):
-        add(m.start(1), m.end(1), "name")
+    if _may_hold_address(text):
+        for m in _ADDRESS.finditer(text):
+            add(m.start(), m.end(), "address")
+    if _NUMBER_HINT.search(text):
+        for m in _NUMBER.finditer(text):
+            if sum(c.isdigit() for c in m[0]) >= 7:
+                add(m.start(), m.end(), "number")
+    if " here" in low or " speaking" in low or " again" in low:
+        for m in _GREETED.finditer(text):
+            add(m.start(1), m.end(1), "name")
     for m in _NAMES.finditer(text):
-        if m.end() - m.start() < 4 or (" " not in m[0]):
+        if m.end() - m.start() < 4:
             continue
         parts = [(x.start() + m.start(), x[0]) for x in re.finditer(r"[^\s,]+", m[0])]
         run: list[tuple[int, str, bool]] = []
@@ -200,6 +220,8 @@ class Model:
 
     def __init__(self, names: dict[str, int], unary: np.ndarray, pair: np.ndarray):
         self.names, self.unary, self.pair = names, unary, pair
+        # how far one message over an edge can move one label against another
+        self.reach = np.array([max((m.max(axis=1) - m.min(axis=1)).max(), (m.max(axis=0) - m.min(axis=0)).max()) for m in pair])
 
     @classmethod
     def load(cls, path: str) -> Model:
@@ -260,8 +282,17 @@ class Model:
         if not spans:
             return []
         graph = Graph(spans, text)
-        belief, _ = self.beliefs(self.scores([features(text, s) for s in spans], graph), graph)
-        best = belief.argmax(axis=1)
+        scores = self.scores([features(text, s) for s in spans], graph)
+        # where every stretch's own margin exceeds all that messages can add, they decide nothing
+        reach = np.zeros(len(spans))
+        for t, r in enumerate(self.reach):
+            ends = graph.edges[graph.edges[:, 2] == t, :2].ravel()
+            reach += r * np.bincount(ends, minlength=len(spans))
+        ranked = np.sort(scores, axis=1)
+        if ((ranked[:, -1] - ranked[:, -2]) > reach).all():
+            best = scores.argmax(axis=1)
+        else:
+            best = self.beliefs(scores, graph)[0].argmax(axis=1)
         return [(LABELS[b], s.start, s.end) for s, b in zip(spans, best.tolist(), strict=True) if b]
 
 
