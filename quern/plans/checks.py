@@ -103,10 +103,10 @@ def flag_propagation(spark: SparkSession, d: str) -> DataFrame:
     return G.inherited(G.closure(edges), part.selectExpr("p_partkey as node", "p_size = 7 as flag"))
 
 
-@query("R51 J23", f"WITH RECURSIVE e AS {_TREE}, s AS (SELECT p_partkey AS scope, p_brand AS name, p_partkey AS target FROM part WHERE p_partkey < 200), c(ref, place, depth) AS (SELECT p_partkey, p_partkey, 0 FROM part UNION ALL SELECT ref, parent, depth + 1 FROM c JOIN e ON node = place), h AS (SELECT ref, depth, target FROM c JOIN part p ON p.p_partkey = ref JOIN s ON s.scope = c.place AND s.name = p.p_brand), m AS (SELECT ref, arg_min(target, depth) AS target FROM h GROUP BY ref) SELECT p_partkey AS ref_id, coalesce(target, 0) AS target FROM part LEFT JOIN m ON ref = p_partkey")
+@query("R51 J23", f"WITH RECURSIVE e AS {_TREE}, s AS (SELECT p_partkey AS scope, p_brand AS name, p_partkey AS target FROM part WHERE p_size <= 10), c(ref, place, depth) AS (SELECT p_partkey, p_partkey, 0 FROM part UNION ALL SELECT ref, parent, depth + 1 FROM c JOIN e ON node = place), h AS (SELECT ref, depth, target FROM c JOIN part p ON p.p_partkey = ref JOIN s ON s.scope = c.place AND s.name = p.p_brand), m AS (SELECT ref, arg_min(target, depth) AS target FROM h GROUP BY ref) SELECT p_partkey AS ref_id, coalesce(target, 0) AS target FROM part LEFT JOIN m ON ref = p_partkey")
 def fixpoint_names(spark: SparkSession, d: str) -> DataFrame:
     part = table(spark, d, "part")
     references = part.selectExpr("p_partkey as ref_id", "p_partkey as scope", "p_brand as name")
-    scopes = part.where("p_partkey < 200").selectExpr("p_partkey as scope", "p_brand as name", "p_partkey as target")
+    scopes = part.where("p_size <= 10").selectExpr("p_partkey as scope", "p_brand as name", "p_partkey as target")
     edges = part.where("p_partkey > 1").selectExpr("p_partkey as node", "p_partkey div 2 as parent")
     return G.resolve_names(references, scopes, edges).select("ref_id", F.coalesce("target", F.lit(0).cast("bigint")).alias("target"))

@@ -60,13 +60,13 @@ def prefix_lookup(spark: SparkSession, d: str) -> DataFrame:
 _LOOK = "api_types"
 
 
-@query("R43 R44 R47 F20", """WITH s(symbol) AS (SELECT simple_name FROM api_types UNION SELECT lower(simple_name) FROM api_types UNION SELECT fqn FROM api_types WHERE type_id % 3 = 0 UNION SELECT 'NoSuchType'),
+@query("R43 R44 R47 F20", """WITH s(symbol) AS (SELECT simple_name FROM api_types UNION SELECT lower(simple_name) FROM api_types UNION SELECT fqn FROM api_types UNION SELECT 'NoSuchType'),
 c AS (SELECT symbol, fqn, 1 AS tier FROM s JOIN api_types ON fqn = symbol UNION ALL SELECT symbol, fqn, 2 FROM s JOIN api_types ON lower(simple_name) = lower(symbol) UNION ALL SELECT symbol, fqn, 3 FROM s JOIN api_types ON ends_with(lower(fqn), '.' || lower(symbol)) AND contains(symbol, '.')),
 n AS (SELECT symbol, tier, count(*) AS k, min(fqn) AS fqn FROM c WHERE symbol IS NOT NULL GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY tier) AS i FROM n)
 SELECT s.symbol, CASE WHEN k = 1 THEN r.fqn END AS fqn, coalesce(tier, 0)::BIGINT AS tier, coalesce(k, 0) AS candidates FROM s LEFT JOIN r ON r.symbol = s.symbol AND i = 1 WHERE s.symbol IS NOT NULL""")
 def resolve_cascade(spark: SparkSession, d: str) -> DataFrame:
     types = table(spark, d, "api_types")
-    symbols = types.selectExpr("simple_name as symbol").union(types.selectExpr("lower(simple_name)")).union(types.where("type_id % 3 = 0").select("fqn")).union(spark.sql("select 'NoSuchType'")).distinct()
+    symbols = types.selectExpr("simple_name as symbol").union(types.selectExpr("lower(simple_name)")).union(types.select("fqn")).union(spark.sql("select 'NoSuchType'")).distinct()
     return S.resolve(symbols, types)
 
 

@@ -69,11 +69,11 @@ def lateral_expand(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "roster_repos").select("repo", F.explode("minecraft_versions").alias("version"))
 
 
-@query("J13 W02 R55 P09", """WITH i AS (SELECT p_partkey AS id, p_brand AS owner, p_size AS place, p_type AS pattern, p_retailprice AS quality, p_partkey % 97 AS line FROM part WHERE p_size <= 8),
+@query("J13 W02 R55 P09", """WITH i AS (SELECT p_partkey AS id, p_brand AS owner, p_size AS place, p_type AS pattern, p_retailprice AS quality, p_partkey % 97 AS line FROM part),
 p AS (SELECT a.id AS source, b.id AS target, CASE WHEN a.owner = b.owner AND a.place = b.place THEN 3 WHEN a.pattern = b.pattern THEN 2 ELSE 1 END AS priority, b.quality, abs(a.line - b.line) AS far FROM i a JOIN i b ON a.id <> b.id AND (a.owner = b.owner OR a.pattern = b.pattern)),
 r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY priority DESC, quality DESC, far, target) AS n FROM p) SELECT source, target, priority::BIGINT AS priority, n AS place FROM r WHERE n <= 6""")
 def self_join_relations(spark: SparkSession, d: str) -> DataFrame:
-    items = table(spark, d, "part").where("p_size <= 8").selectExpr("p_partkey as id", "p_brand as owner", "p_size as place", "p_type as pattern", "p_retailprice as quality", "p_partkey % 97 as line")
+    items = table(spark, d, "part").selectExpr("p_partkey as id", "p_brand as owner", "p_size as place", "p_type as pattern", "p_retailprice as quality", "p_partkey % 97 as line")
     return G.relations(items).select("source", "target", F.col("priority").cast("bigint"), F.col("place").cast("bigint"))
 
 
@@ -186,9 +186,9 @@ def set_difference(spark: SparkSession, d: str) -> DataFrame:
     return Q.set_difference(nations.where("n_nationkey < 15").select("name"), nations.where("n_nationkey > 5").select("name"))
 
 
-@query("F05 F06 F07 F12 F13 F21", "SELECT id FROM doc_chunks WHERE has_code AND lower(code_language) = 'java' AND contains(content, 'world.notify') AND document_id <= 500")
+@query("F05 F06 F07 F12 F13 F21", "SELECT id FROM doc_chunks WHERE has_code AND lower(code_language) = 'java' AND contains(content, 'world.notify') AND document_id = 1")
 def code_filter(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "doc_chunks").where(F.col("has_code") & (F.lower("code_language") == "java") & F.contains("content", F.lit("world.notify")) & (F.col("document_id") <= 500))
+    rows = table(spark, d, "doc_chunks").where(F.col("has_code") & (F.lower("code_language") == "java") & F.contains("content", F.lit("world.notify")) & (F.col("document_id") == 1))
     return rows.select("id")
 
 

@@ -69,9 +69,9 @@ def term_stats(spark: SparkSession, d: str) -> DataFrame:
     return I.term_stats(I.postings(table(spark, d, "documents"), "doc_id", F.col("text"), positions=False))
 
 
-@query("R01", _POSTINGS + " SELECT term, doc_id, tf, length::BIGINT AS length FROM i WHERE tf >= 4")
-def postings_frequent(spark: SparkSession, d: str) -> DataFrame:
-    out = I.postings(table(spark, d, "documents"), "doc_id", F.col("text")).where("tf >= 4")
+@query("R01", _POSTINGS + " SELECT term, doc_id, tf, length::BIGINT AS length FROM i")
+def postings_df(spark: SparkSession, d: str) -> DataFrame:
+    out = I.postings(table(spark, d, "documents"), "doc_id", F.col("text"))
     return out.select("term", F.col("id").alias("doc_id"), "tf", F.col("length").cast("bigint"))
 
 

@@ -36,22 +36,26 @@ def names(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.where(F.length(F.trim(key)) > 0).withColumn("_n", n).where("_n = 1").drop("_n")
 
 
-def sidecar(spark: SparkSession, path: str, fields: list[str]) -> DataFrame:
-    """Fields of white-space separated lines; blank lines and comments after # are left out."""
-    lines = spark.read.text(path).select(F.trim(F.regexp_replace("value", "#.*$", "")).alias("v")).where("v <> ''")
+def texts(spark: SparkSession, path: str) -> DataFrame:
+    """``file, value``: whole files, one row each."""
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
+
+
+def sidecar(lines: DataFrame, fields: list[str]) -> DataFrame:
+    """Fields of white-space separated lines in ``value``; blank lines and comments after # are left out."""
+    lines = lines.select(F.trim(F.regexp_replace("value", "#.*$", "")).alias("v")).where("v <> ''")
     parts = F.split("v", r"\s+")
     return lines.select(*(F.get(parts, F.lit(i)).alias(n) for i, n in enumerate(fields)))
 
 
-def _numbered(spark: SparkSession, path: str) -> DataFrame:
+def _numbered(files: DataFrame) -> DataFrame:
     """Lines of whole files with their numbers; each file is one row until it is split."""
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
     return files.select("file", F.posexplode(F.split("value", "\r?\n")).alias("n", "line")).where("line <> ''")
 
 
-def tsrg(spark: SparkSession, path: str) -> DataFrame:
-    """``class_from, class_to, what, name_from, name_to, descriptor`` of an indented mapping, version 1 or 2."""
-    rows = _numbered(spark, path).where("line not like 'tsrg2%' and line not like '#%'")
+def tsrg(files: DataFrame) -> DataFrame:
+    """``class_from, class_to, what, name_from, name_to, descriptor`` of indented mappings, version 1 or 2, in ``file, value``."""
+    rows = _numbered(files).where("line not like 'tsrg2%' and line not like '#%'")
     depth = F.length(F.regexp_extract("line", "^\t*", 0))
     parts = F.split(F.regexp_replace("line", "^\t+", ""), " ")
     w = Window.partitionBy("file").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
@@ -65,9 +69,9 @@ def tsrg(spark: SparkSession, path: str) -> DataFrame:
     ).where("what is not null")
 
 
-def proguard(spark: SparkSession, path: str) -> DataFrame:
-    """``class_from, class_to, what, type, name_from, arguments, name_to`` of a shrinker's mapping."""
-    rows = _numbered(spark, path).where("line not like '#%'")
+def proguard(files: DataFrame) -> DataFrame:
+    """``class_from, class_to, what, type, name_from, arguments, name_to`` of a shrinker's mappings in ``file, value``."""
+    rows = _numbered(files).where("line not like '#%'")
     w = Window.partitionBy("file").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     is_class = F.col("line").rlike(r"^\S.* -> .*:$")
     part = lambda i: F.last(F.when(is_class, F.regexp_extract("line", r"^(\S+) -> (\S+):$", i)), ignorenulls=True).over(w)
@@ -138,5 +142,4 @@ def topics(spark: SparkSession, path: str) -> DataFrame:
                     rows.append((name, None, None, str(error)[:200]))
             yield pd.DataFrame(rows, columns=["file", "topic", "entry", "error"])
 
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    return files.mapInPandas(run, "file string, topic string, entry string, error string")
+    return texts(spark, path).mapInPandas(run, "file string, topic string, entry string, error string")

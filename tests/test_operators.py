@@ -235,17 +235,17 @@ def test_upsert_number_cache(spark):
 
 def test_formats(spark, tmp_path):
     (tmp_path / "m.tsrg").write_text("tsrg2 a b\na/A x/X\n\tf g\n\tm (I)V n\nb/B y/Y\n\th i\n")
-    got = [tuple(r) for r in formats.tsrg(spark, str(tmp_path / "m.tsrg")).collect()]
+    got = [tuple(r) for r in formats.tsrg(formats.texts(spark, str(tmp_path / "m.tsrg"))).collect()]
     assert ("a/A", "x/X", "method", "m", "n", "(I)V") in got and ("b/B", "y/Y", "field", "h", "i", None) in got
     (tmp_path / "p.txt").write_text("# c\nnet.A -> a:\n    int x -> b\n    1:2:void go(int,float) -> c\n")
-    got = [tuple(r) for r in formats.proguard(spark, str(tmp_path / "p.txt")).collect()]
+    got = [tuple(r) for r in formats.proguard(formats.texts(spark, str(tmp_path / "p.txt"))).collect()]
     assert ("net.A", "a", "method", "void", "go", "(int,float)", "c") in got and ("net.A", "a", "field", "int", "x", "", "b") in got
     (tmp_path / "n.csv").write_bytes(b'searge,name,side,desc\r\nf1,a,0,"x, ""y"""\r\nf1,b,0,z\r\n,c,0,z\r\n')
     rows = formats.csv(spark, str(tmp_path / "n.csv"), "searge string, name string, side int, desc string")
     assert rows.first()["desc"] == 'x, "y"'
     assert [r["name"] for r in formats.names(rows, "searge", "name").collect()] == ["b"]
     (tmp_path / "c.txt").write_text("# head\n\n12 own (I)V # tail\n13 other ()V\n")
-    assert [tuple(r) for r in formats.sidecar(spark, str(tmp_path / "c.txt"), ["id", "owner", "desc"]).collect()] == [("12", "own", "(I)V"), ("13", "other", "()V")]
+    assert [tuple(r) for r in formats.sidecar(spark.read.text(str(tmp_path / "c.txt")), ["id", "owner", "desc"]).collect()] == [("12", "own", "(I)V"), ("13", "other", "()V")]
     (tmp_path / "s.xml").write_text("<urlset><url><loc>u1</loc><priority>0.5</priority></url><url><loc>u2</loc></url></urlset>")
     assert {r["loc"] for r in formats.sitemap(spark, str(tmp_path / "s.xml")).collect()} == {"u1", "u2"}
     line = spark.createDataFrame([("https://a/b2024-01-02T03:04:05Zhttps://c/d2024-01-03T00:00:00Z",)], "value string")
