@@ -407,7 +407,7 @@ def content_lines(content: str, title: str | None, entries: list[list] | None, k
             for i, v in enumerate(verdict):
                 if v is None:
                     # signs only: as the line before; else of the body if between two lines of it that say so
-                    v = bool(before and (after[i] or not keys[i])) and not phrases.any.fullmatch(lines[i].strip())
+                    v = bool(before and (after[i] or not keys[i])) and not phrases.any.fullmatch(plain(lines[i]).strip())
                 else:
                     before = v
                 if v and text[i]:

@@ -31,6 +31,8 @@ LATIN, CYRILLIC, GREEK, OTHER = 1, 2, 4, 8
 
 # Letters that look like a Latin one, by script.
 _CYRILLIC = dict(zip("АВЕКМНОРСТУХЅІЈаеорсухѕіјһԁԛԝ", "ABEKMHOPCTYXSIJaeopcyxsijhdqw", strict=True))
+#: Of these, letters so rare that their Latin twins speak for a Latin word.
+_RARE = frozenset("ЅІЈѕіјһԁԛԝ")
 _GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονρ", "ABEZHIKMNOPTYXovp", strict=True))
 _FORMS = {"<wide>", "<narrow>", "<font>", "<initial>", "<medial>", "<final>", "<isolated>"}
 _LINE_ENDS = {0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x85, 0x2028, 0x2029}
@@ -58,6 +60,7 @@ class _Tables:
         self.place = np.zeros(_TOP, np.int32)  # where the expansion of a code point begins in self.pool
         self.to = {LATIN: np.arange(_TOP, dtype=np.uint32), CYRILLIC: np.arange(_TOP, dtype=np.uint32), GREEK: np.arange(_TOP, dtype=np.uint32)}
         self.resembles = np.zeros(_TOP, np.uint8)
+        self.unsure = np.zeros(_TOP, bool)  # letters that tell nothing of a word's script
         pool: list[int] = []
         pairs: dict[int, int] = {}
         for cp in range(0x80, _TOP):
@@ -103,6 +106,8 @@ class _Tables:
                 self.resembles[ord(latin)] |= script
                 self.to[LATIN][ord(own)] = ord(latin)
                 self.to[script][ord(latin)] = ord(own)
+                if own not in _RARE:
+                    self.unsure[ord(own)] = self.unsure[ord(latin)] = True
         self.pool = np.array([*pool, 0], np.uint32)
         self.pairs = np.array(sorted(pairs), np.int64)
         self.composed = np.array([pairs[k] for k in sorted(pairs)], np.uint32)
@@ -239,7 +244,7 @@ def unify(texts: pa.Array, forms: bool = True) -> tuple[np.ndarray, pa.Array | N
             kind = script[inside]
             count = {s: np.bincount(number[kind == s], minlength=len(mine)) for s in (LATIN, CYRILLIC, GREEK)}
             like = t.resembles[points[inside]]
-            sure = {s: np.bincount(number[(kind == s) & (like == 0)], minlength=len(mine)) for s in (LATIN, CYRILLIC, GREEK)}
+            sure = {s: np.bincount(number[(kind == s) & ~t.unsure[points[inside]]], minlength=len(mine)) for s in (LATIN, CYRILLIC, GREEK)}
             stack = np.stack([sure[s] * 10_000 + count[s] for s in (LATIN, CYRILLIC, GREEK)])
             own = np.array([LATIN, CYRILLIC, GREEK], np.uint8)[np.argmax(stack, axis=0)]
             target = own[number]
