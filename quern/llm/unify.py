@@ -267,11 +267,12 @@ def unify(texts: pa.Array, forms: bool = True) -> tuple[np.ndarray, pa.Array | N
     return found, form
 
 
-def consistent(rows: DataFrame, id_col: str, fields: list[str], forms: bool = True) -> DataFrame:
+def consistent(rows: DataFrame, id_col: str, fields: list[str], forms: bool = True, rows_at_once: int = 512) -> DataFrame:
     """``record_id``, ``field_name``, ``findings`` and, if ``forms``, ``form`` of each value that holds anything.
 
     One row per value with findings; values without any are in form already. Null values, empty ones
-    and those of an empty table give no row; repeated rows give repeated ones.
+    and those of an empty table give no row; repeated rows give repeated ones. Arrays are made of
+    ``rows_at_once`` values, which bounds their memory by the texts and not by the batch.
     """
     import pyarrow.compute  # noqa: F401
 
@@ -280,14 +281,16 @@ def consistent(rows: DataFrame, id_col: str, fields: list[str], forms: bool = Tr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute  # noqa: F401
 
-        for batch in batches:
-            for k, field in enumerate(fields, 1):
-                found, form = unify(batch.column(k), forms)
-                hit = np.flatnonzero(found)
-                if len(hit):
-                    at = pa.array(hit)
-                    columns = [batch.column(0).take(at), pa.array([field] * len(hit)), pa.array(found[hit].astype(np.int32))]
-                    yield pa.record_batch([*columns, *([form.take(at).cast(pa.string())] if forms else [])], names=names)
+        for whole in batches:
+            for start in range(0, whole.num_rows, rows_at_once):
+                batch = whole.slice(start, rows_at_once)
+                for k, field in enumerate(fields, 1):
+                    found, form = unify(batch.column(k), forms)
+                    hit = np.flatnonzero(found)
+                    if len(hit):
+                        at = pa.array(hit)
+                        columns = [batch.column(0).take(at), pa.array([field] * len(hit)), pa.array(found[hit].astype(np.int32))]
+                        yield pa.record_batch([*columns, *([form.take(at).cast(pa.string())] if forms else [])], names=names)
 
     chosen = rows.select(F.col(id_col).cast("string"), *(F.col(f) for f in fields))
     return spread(chosen).mapInArrow(run, "record_id string, field_name string, findings int" + ", form string" * forms)
