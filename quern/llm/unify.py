@@ -106,8 +106,9 @@ class _Tables:
                 self.resembles[ord(latin)] |= script
                 self.to[LATIN][ord(own)] = ord(latin)
                 self.to[script][ord(latin)] = ord(own)
+                self.unsure[ord(own)] = True
                 if own not in _RARE:
-                    self.unsure[ord(own)] = self.unsure[ord(latin)] = True
+                    self.unsure[ord(latin)] = True
         self.pool = np.array([*pool, 0], np.uint32)
         self.pairs = np.array(sorted(pairs), np.int64)
         self.composed = np.array([pairs[k] for k in sorted(pairs)], np.uint32)
@@ -247,10 +248,20 @@ def unify(texts: pa.Array, forms: bool = True) -> tuple[np.ndarray, pa.Array | N
             sure = {s: np.bincount(number[(kind == s) & ~t.unsure[points[inside]]], minlength=len(mine)) for s in (LATIN, CYRILLIC, GREEK)}
             stack = np.stack([sure[s] * 10_000 + count[s] for s in (LATIN, CYRILLIC, GREEK)])
             own = np.array([LATIN, CYRILLIC, GREEK], np.uint8)[np.argmax(stack, axis=0)]
+
+            def swaps(own: np.ndarray) -> np.ndarray:
+                target = own[number]
+                out = (kind != target) & (kind != 0) & (kind != OTHER) & ((like & target) != 0)
+                # a sign such as Delta before a single Latin letter is no word of that script
+                return out & ~((kind == LATIN) & (target == GREEK) & (count[GREEK][number] < 2))
+
+            swap = swaps(own)
+            # a word that keeps its mixture in the script chosen may be one of Latin look-alikes
+            left = (np.bincount(number[swap], minlength=len(mine)) == 0) & (count[LATIN] > 0)
+            if left.any():
+                own = np.where(left, LATIN, own).astype(np.uint8)
+                swap = swaps(own)
             target = own[number]
-            swap = (kind != target) & (kind != 0) & (kind != OTHER) & ((like & target) != 0)
-            # a sign such as Delta before a single Latin letter is no word of that script
-            swap &= ~((kind == LATIN) & (target == GREEK) & (count[GREEK][number] < 2))
             if swap.any():
                 _by_text(np.full(int(swap.sum()), LOOKALIKE, np.uint8), inside[swap], starts, found)
                 points = points.copy()
