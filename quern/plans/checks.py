@@ -68,7 +68,7 @@ def thin_audit(spark: SparkSession, d: str) -> DataFrame:
     return Q.counts_with_zeros(names, "n_name", rows, "n_name", 50)
 
 
-@query("Q-11", "SELECT member_id, list_filter([CASE WHEN name IS NULL OR name = '' THEN 'name' END, CASE WHEN signature IS NULL OR signature = '' THEN 'signature' END, CASE WHEN kind IS NULL OR kind NOT IN ('method', 'constructor', 'field', 'enum_constant', 'annotation_element') THEN 'kind' END], lambda x: x IS NOT NULL) AS errors FROM (SELECT DISTINCT member_id, name, signature, kind FROM api_members) WHERE name IS NULL OR name = '' OR signature IS NULL OR signature = '' OR kind IS NULL OR kind NOT IN ('method', 'constructor', 'field', 'enum_constant', 'annotation_element')")
+@query("Q-11", "SELECT member_id, list_filter([CASE WHEN name IS NULL OR name = '' THEN 'name' END, CASE WHEN signature IS NULL OR signature = '' THEN 'signature' END, CASE WHEN kind IS NULL OR kind NOT IN ('method', 'constructor', 'field', 'enum_constant', 'annotation_element') THEN 'kind' END], lambda x: x IS NOT NULL) AS errors FROM (SELECT DISTINCT member_id, name, signature, kind FROM api_members) WHERE name IS NULL OR name = '' OR signature IS NULL OR signature = '' OR kind IS NULL OR kind NOT IN ('method', 'constructor', 'field', 'enum_constant', 'annotation_element')", lists=('errors',))
 def row_errors(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "api_members").select("member_id", "name", "signature", "kind").distinct()
     kinds = ["method", "constructor", "field", "enum_constant", "annotation_element"]

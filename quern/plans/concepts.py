@@ -69,7 +69,7 @@ def javadoc_parts(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("member_id", javadoc.parsed(F.col("javadoc")).alias("p")).select("member_id", "p.*")
 
 
-@query("R03 R05", f"WITH q AS (SELECT item_id, list_filter({WORDS.format('text')}, lambda x: length(x) > 1 AND x NOT IN ('the', 'and', 'of', 'to', 'in', 'by', 'if', 'as', 'for')) AS words FROM eval_items) SELECT item_id, words FROM q")
+@query("R03 R05", f"WITH q AS (SELECT item_id, list_filter({WORDS.format('text')}, lambda x: length(x) > 1 AND x NOT IN ('the', 'and', 'of', 'to', 'in', 'by', 'if', 'as', 'for')) AS words FROM eval_items) SELECT item_id, words FROM q", lists=('words',))
 def query_tokens(spark: SparkSession, d: str) -> DataFrame:
     from quern.functions.text import tokens
 

@@ -17,7 +17,7 @@ from quern.sources import table
 _CAMEL = "list_filter(string_split(lower(regexp_replace(regexp_replace(regexp_replace({0}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '[_\\-\\s]+', ' ', 'g')), ' '), lambda x: x <> '')"
 
 
-@query("R36 T13 R37", f"SELECT DISTINCT name, {_CAMEL.format('name')} AS words FROM api_members WHERE name IS NOT NULL")
+@query("R36 T13 R37", f"SELECT DISTINCT name, {_CAMEL.format('name')} AS words FROM api_members WHERE name IS NOT NULL", lists=('words',))
 def name_tokens(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "api_members").where("name is not null").select("name", N.words_of(F.col("name")).alias("words")).distinct()
 
@@ -180,7 +180,7 @@ def glob_filter(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "source_files").where(F.col("path").rlike(U.glob("src/main/**/*Gui.java")) & (F.col("bytes") <= 4000)).select("file_id")
 
 
-@query("T22 T23", "SELECT 1::BIGINT AS id, ['I', 'J', '[Ljava/lang/String;', 'D', 'Z'] AS params, [1, 2, 4, 5, 7]::BIGINT[] AS slots, 'a.b' AS package, 'C' AS simple")
+@query("T22 T23", "SELECT 1::BIGINT AS id, ['I', 'J', '[Ljava/lang/String;', 'D', 'Z'] AS params, [1, 2, 4, 5, 7]::BIGINT[] AS slots, 'a.b' AS package, 'C' AS simple", lists=('params', 'slots'))
 def descriptor_slots(spark: SparkSession, d: str) -> DataFrame:
     rows = spark.createDataFrame([(1, "(IJ[Ljava/lang/String;DZ)V", "a/b/C")], "id bigint, descriptor string, name string")
     package, simple = D.split_internal(F.col("name"))

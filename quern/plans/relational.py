@@ -144,7 +144,7 @@ def coverage_cells(spark: SparkSession, d: str) -> DataFrame:
 @query("A04 R61", """WITH dim AS (SELECT DISTINCT category FROM document_pages WHERE category IS NOT NULL UNION SELECT 'never used'), c AS (SELECT loader, category, minecraft_version v, count(*) n FROM document_pages GROUP BY ALL),
 x AS (SELECT *, coalesce(regexp_matches(v, '^[0-9]+\\.[0-9]+(\\.[0-9]+)*$'), false) AS shaped, coalesce(loader = 'forge', false) AS s, coalesce(v = '1.12.2' OR starts_with(v, '1.12.'), false) AS f FROM c)
 SELECT dim.category, coalesce(sum(n) FILTER (WHERE s), 0)::BIGINT AS in_scope, coalesce(sum(n) FILTER (WHERE s AND f), 0)::BIGINT AS in_filter, coalesce(sum(n) FILTER (WHERE NOT s), 0)::BIGINT AS out_of_scope, coalesce(sum(n) FILTER (WHERE NOT shaped), 0)::BIGINT AS unversioned, coalesce(list_sort(list_distinct(list(v) FILTER (WHERE shaped))), []) AS versions
-FROM dim LEFT JOIN x ON x.category = dim.category GROUP BY dim.category""")
+FROM dim LEFT JOIN x ON x.category = dim.category GROUP BY dim.category""", lists=('versions',))
 def coverage_fold(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "document_pages")
     dimension = pages.select("category").where("category is not null").distinct().union(spark.sql("select 'never used'"))
@@ -211,7 +211,7 @@ def provenance(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("file_id", F.concat(F.coalesce("repo", F.lit("unknown")), F.lit("/"), F.col("path"), F.lit("#L1-L"), lines.cast("string")).alias("anchor"))
 
 
-@query("P10 J12", "SELECT document_id, list(section_id ORDER BY order_num NULLS FIRST, section_id) AS sections FROM (SELECT DISTINCT document_id, section_id, order_num FROM doc_sections) GROUP BY document_id")
+@query("P10 J12", "SELECT document_id, list(section_id ORDER BY order_num NULLS FIRST, section_id) AS sections FROM (SELECT DISTINCT document_id, section_id, order_num FROM doc_sections) GROUP BY document_id", lists=('sections',))
 def nested_children(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "doc_sections").select("document_id", "section_id", "order_num").distinct()
     return rows.groupBy("document_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("order_num", F.lit(-(2**31))), "section_id"))), lambda s: s["section_id"]).alias("sections"))

@@ -43,7 +43,7 @@ def raw_types(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "api_members").where("return_type is not null").select("member_id", T.without_type_arguments(F.col("return_type"), 2).alias("raw")).distinct()
 
 
-@query("T19", "SELECT DISTINCT file_id, list_distinct_ordered AS imports FROM (SELECT file_id, list_filter(regexp_extract_all(content, '(?m)^\\s*import\\s+(static\\s+)?([A-Za-z_][A-Za-z0-9_.]*(\\.\\*)?)', 2), lambda x, i: list_position(regexp_extract_all(content, '(?m)^\\s*import\\s+(static\\s+)?([A-Za-z_][A-Za-z0-9_.]*(\\.\\*)?)', 2), x) = i) AS list_distinct_ordered FROM source_files WHERE content IS NOT NULL)")
+@query("T19", "SELECT DISTINCT file_id, list_distinct_ordered AS imports FROM (SELECT file_id, list_filter(regexp_extract_all(content, '(?m)^\\s*import\\s+(static\\s+)?([A-Za-z_][A-Za-z0-9_.]*(\\.\\*)?)', 2), lambda x, i: list_position(regexp_extract_all(content, '(?m)^\\s*import\\s+(static\\s+)?([A-Za-z_][A-Za-z0-9_.]*(\\.\\*)?)', 2), x) = i) AS list_distinct_ordered FROM source_files WHERE content IS NOT NULL)", lists=('imports',))
 def import_lists(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "source_files").where("content is not null").select("file_id", T.imports(F.col("content")).alias("imports")).distinct()
 
@@ -54,7 +54,7 @@ def code_tokens(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("file_id", F.size(T.symbol_tokens(F.col("content"), r"\b[a-z]+\.put\b")).cast("bigint").alias("calls")).distinct()
 
 
-@query("T21", "SELECT DISTINCT file_id, list_filter([CASE WHEN contains(content, 'LOG.debug') OR contains(content, 'world.notify') THEN 'effects' END, CASE WHEN contains(content, '@Override') THEN 'override' END], lambda x: x IS NOT NULL) AS markers FROM source_files WHERE content IS NOT NULL")
+@query("T21", "SELECT DISTINCT file_id, list_filter([CASE WHEN contains(content, 'LOG.debug') OR contains(content, 'world.notify') THEN 'effects' END, CASE WHEN contains(content, '@Override') THEN 'override' END], lambda x: x IS NOT NULL) AS markers FROM source_files WHERE content IS NOT NULL", lists=('markers',))
 def marker_groups(spark: SparkSession, d: str) -> DataFrame:
     needles = [("effects", "LOG.debug"), ("effects", "world.notify"), ("override", "@Override")]
     return table(spark, d, "source_files").where("content is not null").select("file_id", S.markers(F.col("content"), needles).alias("markers")).distinct()
@@ -193,14 +193,14 @@ def lag_lead(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.lag("value").over(w).alias("last_value"), F.lead("event_type").over(w).alias("next_type"))
 
 
-@query("J09", "SELECT e.event_id, p.event_id AS purchase FROM (SELECT * FROM events WHERE event_type <> 'purchase') e ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM events WHERE event_type = 'purchase' GROUP BY ALL) p ON e.user_id = p.user_id AND e.ts >= p.ts")
+@query("J09", "SELECT e.event_id, coalesce(p.event_id, -1) AS purchase FROM (SELECT * FROM events WHERE event_type <> 'purchase') e ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM events WHERE event_type = 'purchase' GROUP BY ALL) p ON e.user_id = p.user_id AND e.ts >= p.ts")
 def asof(spark: SparkSession, d: str) -> DataFrame:
     """The last purchase of the same user up to each event: one union and one window, no range join."""
     rows = table(spark, d, "events").select("event_id", "user_id", "ts", (F.col("event_type") == "purchase").alias("p"))
     bought = rows.where("p").groupBy("user_id", "ts").agg(F.max("event_id").alias("purchase")).withColumn("event_id", F.lit(None).cast("bigint"))
     both = bought.unionByName(rows.where("not p").select("user_id", "ts", F.lit(None).cast("bigint").alias("purchase"), "event_id"))
     w = Window.partitionBy("user_id").orderBy("ts", F.col("event_id").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("purchase", F.last("purchase", ignorenulls=True).over(w)).where("event_id is not null").select("event_id", "purchase")
+    return both.withColumn("purchase", F.last("purchase", ignorenulls=True).over(w)).where("event_id is not null").select("event_id", F.coalesce("purchase", F.lit(-1).cast("bigint")).alias("purchase"))
 
 
 @query("A24", "SELECT coalesce(l_returnflag, '(all)') AS flag, coalesce(l_linestatus, '(all)') AS status, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
@@ -220,7 +220,7 @@ def approx_distinct(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey").alias("parts"), F.percentile_approx("l_quantity", 0.5).alias("median"))
 
 
-@query("G04", "SELECT event_type, json_extract_string(props, '$.k')::BIGINT % 5 AS bucket, count(*) AS n FROM events GROUP BY ALL")
+@query("G04", "SELECT event_type, coalesce(json_extract_string(props, '$.k')::BIGINT % 5, -1) AS bucket, count(*) AS n FROM events GROUP BY ALL")
 def json_props(spark: SparkSession, d: str) -> DataFrame:
-    k = F.get_json_object("props", "$.k").cast("bigint") % 5
+    k = F.coalesce(F.get_json_object("props", "$.k").cast("bigint") % 5, F.lit(-1).cast("bigint"))
     return table(spark, d, "events").groupBy("event_type", k.alias("bucket")).agg(F.count("*").alias("n"))
