@@ -104,21 +104,24 @@ def unique_bodies(sections: DataFrame) -> DataFrame:
     The rule is sequential within a page, whose sections are few and bounded by the page.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        seen: set[str] = set()
-        keep = []
-        for i, row in enumerate(pdf.sort_values(["order_num", "section_id"], kind="stable").itertuples(index=False)):
-            codes = "\n".join(b["code"] or "" for b in row.code_blocks) if row.code_blocks is not None else ""
-            body = (row.content or "").strip() or codes
-            for option in (body, f"{body}\n\n{codes}".strip(), f"{row.heading or ''}\n\n{body}".strip()):
-                if option and option not in seen:
-                    seen.add(option)
-                    keep.append((row.document_id, row.section_id, i, option))
-                    break
-        return pd.DataFrame(keep, columns=["document_id", "section_id", "place", "body"])
-
-    rows = sections.select("document_id", "section_id", "heading", "content", "code_blocks", F.coalesce("order_num", F.lit(0)).alias("order_num")).where("document_id is not null").distinct()
-    return rows.groupBy("document_id").applyInPandas(run, "document_id bigint, section_id bigint, place int, body string")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keep = []
+            for key, parts in zip(batch["document_id"], batch["parts"], strict=True):
+                seen: set[str] = set()
+                for i, part in enumerate(parts):
+                    codes = "\n".join(b["code"] or "" for b in part["code_blocks"]) if part["code_blocks"] is not None else ""
+                    body = (part["content"] or "").strip() or codes
+                    for option in (body, f"{body}\n\n{codes}".strip(), f"{part['heading'] or ''}\n\n{body}".strip()):
+                        if option and option not in seen:
+                            seen.add(option)
+                            keep.append((key, part["section_id"], i, option))
+                            break
+            yield pd.DataFrame(keep, columns=["document_id", "section_id", "place", "body"])
+
+    rows = sections.select("document_id", F.struct(F.coalesce("order_num", F.lit(0)).alias("order_num"), "section_id", "heading", "content", "code_blocks").alias("part")).where("document_id is not null").distinct()
+    grouped = rows.groupBy("document_id").agg(F.array_sort(F.collect_list("part")).alias("parts"))
+    return grouped.mapInPandas(run, "document_id bigint, section_id bigint, place int, body string")
 
 
 def meaningful(content: Column, heading: Column) -> Column:
@@ -133,21 +136,26 @@ def canonical_sections(sections: DataFrame, most: int = 20) -> DataFrame:
     A section counts as seen only if it was kept, so the rule is sequential within a page; pages are small.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        heads: set[str] = set()
-        bodies: set[str] = set()
-        keep = []
-        for row in pdf.sort_values(["order_num", "section_id"], kind="stable").itertuples(index=False):
-            if len(keep) < most and row.h not in heads and row.b not in bodies:
-                heads.add(row.h)
-                bodies.add(row.b)
-                keep.append((row.document_id, row.section_id, len(keep) + 1))
-        return pd.DataFrame(keep, columns=["document_id", "section_id", "place"])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keep = []
+            for key, parts in zip(batch["document_id"], batch["parts"], strict=True):
+                heads: set[str] = set()
+                bodies: set[str] = set()
+                place = 0
+                for part in parts:
+                    if place < most and part["h"] not in heads and part["b"] not in bodies:
+                        heads.add(part["h"])
+                        bodies.add(part["b"])
+                        place += 1
+                        keep.append((key, part["section_id"], place))
+            yield pd.DataFrame(keep, columns=["document_id", "section_id", "place"])
 
     key = lambda c: F.sha2(F.lower(F.trim(F.coalesce(c, F.lit("")))), 256)
     rows = sections.where(meaningful(F.col("content"), F.col("heading"))).where("document_id is not null")
-    slim = rows.select("document_id", "section_id", key("heading").alias("h"), key("content").alias("b"), F.coalesce("order_num", F.lit(0)).alias("order_num"))
-    return slim.groupBy("document_id").applyInPandas(run, "document_id bigint, section_id bigint, place int")
+    slim = rows.select("document_id", F.struct(F.coalesce("order_num", F.lit(0)).alias("order_num"), "section_id", key("heading").alias("h"), key("content").alias("b")).alias("part"))
+    grouped = slim.groupBy("document_id").agg(F.array_sort(F.collect_list("part")).alias("parts"))
+    return grouped.mapInPandas(run, "document_id bigint, section_id bigint, place int")
 
 
 def sentences(text: Column, least: int = 20) -> Column:
