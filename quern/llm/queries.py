@@ -57,8 +57,10 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The consistent form of every chunk field that isn't in form already."""
-    return unify.consistent(table(spark, sf_dir, "doc_chunks"), "id", ["content", "section_heading"]).distinct()
+    """The consistent form of every page and chunk field that isn't in form already."""
+    pages = unify.consistent(table(spark, sf_dir, "document_pages"), "document_id", ["content"]).withColumn("source_table", F.lit("document_pages"))
+    chunks = unify.consistent(table(spark, sf_dir, "doc_chunks"), "id", ["content", "section_heading"]).withColumn("source_table", F.lit("doc_chunks"))
+    return pages.unionByName(chunks).select("source_table", "record_id", "field_name", "findings", "form").distinct()
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

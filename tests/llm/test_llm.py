@@ -304,6 +304,18 @@ def test_consistent(spark):
     assert unify.consistent(df.limit(0), "id", ["content"]).count() == 0
 
 
+def test_forms_of_all_fields(spark, data):
+    forms = queries.p5_forms(spark, data).toPandas()
+    found = queries.p5_found(spark, data).toPandas()
+    keys = ["source_table", "record_id", "field_name"]
+    have = set(forms[keys].itertuples(index=False, name=None))
+    assert set(found[keys].itertuples(index=False, name=None)) <= have
+    assert ("document_pages", "content") in {(s, f) for s, _, f in have}
+    pages = dict(spark.read.parquet(f"{data}/document_pages.parquet").selectExpr("cast(document_id as string)", "content").collect())
+    for r in forms[forms.source_table == "document_pages"].itertuples():
+        assert r.form == unify.unify(pa.array([pages[r.record_id]]))[1].to_pylist()[0] != pages[r.record_id]
+
+
 # ---- 6 ------------------------------------------------------------------------------------------
 
 
