@@ -81,9 +81,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, id_col: str, vector: str, k: i
 
 def hashed(words: Column, size: int = 64) -> Column:
     """A deterministic embedding: signed counts of hashed words, of length 1; zeros for no words."""
-    place = lambda w: F.pmod(F.xxhash64(w), F.lit(size)).cast("int")
-    sign = lambda w: F.when(F.pmod(F.xxhash64(w, F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0)
+    once = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))  # noqa: E731, binds a value that a lambda would compute for each item
+    minus = lambda w: F.pmod(F.xxhash64(w, F.lit(1)), F.lit(2)).cast("int")
+    codes = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(size)).cast("int") + minus(w) * size)
     zero = F.array_repeat(F.lit(0.0), size)
-    counts = F.aggregate(words, zero, lambda acc, w: F.transform(acc, lambda v, i: v + F.when(i == place(w), sign(w)).otherwise(0.0)))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, v: s + v * v))
-    return F.when(norm > 0, F.transform(counts, lambda v: v / norm)).otherwise(counts)
+    counts = F.aggregate(codes, zero, lambda acc, c: F.transform(acc, lambda v, i: v + F.when(c == i, 1.0).when(c == i + size, -1.0).otherwise(0.0)))
+    norm = lambda x: F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v))
+    return once(counts, lambda x: once(norm(x), lambda n: F.when(n > 0, F.transform(x, lambda v: v / n)).otherwise(x)))

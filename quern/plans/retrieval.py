@@ -210,7 +210,7 @@ def cosine_threshold_maxlabel(spark: SparkSession, d: str) -> DataFrame:
 
 @query("R23")
 def hashed_embedding(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "doc_sections").select("section_id", X.hashed(T.tokens(F.col("heading")), 32).alias("embedding"))
+    return table(spark, d, "doc_chunks").select("id", X.hashed(T.tokens(F.col("content")), 32).alias("embedding"))
 
 
 # ---- fusion and hybrid search -------------------------------------------------------------------

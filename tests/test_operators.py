@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import descriptors, identifiers, javadoc, text, tolerant, urls, versions
 from quern.operators import chunks, graph, index, quality, rank, snippets, vectors
+from quern.plans import retrieval
 from quern.sources import formats, java, markup, store
 from quern.streaming import incremental, windows
 
@@ -136,6 +137,19 @@ def test_vectors_against_brute_force(spark):
     assert vectors.top_k(df, asked.limit(0), "id", "v", 5).count() == 0
 
 
+def test_hashed_embedding_takes_whole_content(spark, data):
+    got = dict(retrieval.hashed_embedding(spark, data).select("id", "embedding").collect())
+    chunks = spark.read.parquet(f"{data}/doc_chunks.parquet").select("id", "content", text.tokens(F.col("content")).alias("words")).collect()
+    assert set(got) == {r["id"] for r in chunks}
+    places = {w: (p, s) for w, p, s in spark.createDataFrame([(w,) for w in {w for r in chunks for w in r["words"]}], "w string").select("w", F.expr("pmod(xxhash64(w), 32)"), F.expr("if(pmod(xxhash64(w, 1), 2) = 0, 1, -1)")).collect()}
+    for r in chunks:
+        want = [0.0] * 32
+        for w in r["words"]:
+            want[places[w][0]] += places[w][1]
+        norm = sum(v * v for v in want) ** 0.5
+        assert got[r["id"]] == pytest.approx([v / norm for v in want] if norm else want)
+
+
 def test_closure_ends_on_cycles(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 1), (5, None)], "node int, parent int")
     got = {(r["node"], r["ancestor"]) for r in graph.closure(edges).collect()}
