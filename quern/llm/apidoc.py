@@ -43,7 +43,7 @@ _MODIFIERS = frozenset(
     "suspend external internal actual expect lateinit const data inner".split()
 )
 
-# a token is (kind, text, start, line, first on its line)
+# a token is (kind, text, start, line, first on its line), that of a matched opening bracket also has the place behind its closing one
 
 
 def _word(*texts: str):
@@ -67,8 +67,9 @@ def _any_word(t: list, i: int) -> int:
     return i + 1 if i < len(t) and t[i][0] == "i" else -1
 
 
-def _other(t: list, i: int) -> int:
-    return i + 1 if i < len(t) and (t[i][0] != "p" or t[i][1] not in "()[]{}") else -1
+def _round(t: list, i: int) -> int:
+    """A whole list in round brackets, whatever stands in it; one step, however long it is."""
+    return t[i][5] if i < len(t) and t[i][0] == "p" and t[i][1] == "(" and len(t[i]) > 5 else -1
 
 
 def _in_angles(t: list, i: int) -> int:
@@ -84,7 +85,7 @@ GRAMMAR: Grammar = {
     "Notes": [(), ("Note", "Notes")],
     "Note": [(_sign("@"), "Path", "Arguments")],
     "Path": [(_any_word,), (_any_word, _sign("."), "Path"), (_any_word, _sign(":"), "Path")],
-    "Arguments": [(), (_sign("("), "Balanced", _sign(")"))],
+    "Arguments": [(), (_round,)],
     "Mods": [(), (_word(*_MODIFIERS), "Mods"), ("Note", "Mods")],
     "Function": [
         ("TypeParameters", "Type", _identifier, "Tail"),
@@ -94,15 +95,14 @@ GRAMMAR: Grammar = {
         (_word("fun"), "TypeParameters", "Type", _sign("."), _identifier, "KotlinTail"),
     ],
     "TypeParameters": [(), (_sign("<"), "Angles", _sign(">"))],
-    "Angles": [(), (_in_angles, "Angles"), (_sign("<"), "Angles", _sign(">"), "Angles")],
+    "Angles": [(), ("Angles", _in_angles), ("Angles", _sign("<"), "Angles", _sign(">"))],
     "Type": [("TypePath", "TypeParameters", "Dims")],
     "TypePath": [(_type_word,), (_type_word, "TypeParameters", _sign("."), "TypePath")],
     "Dims": [(), (_sign("["), _sign("]"), "Dims"), (_sign("?"), "Dims")],
     "Tail": [("Parameters", "Dims", "Throws", "End")],
     "Body": [("Parameters", "Throws", _sign("{"))],
     "KotlinTail": [("Parameters",)],
-    "Parameters": [(_sign("("), "Balanced", _sign(")"))],
-    "Balanced": [(), (_other, "Balanced"), (_sign("("), "Balanced", _sign(")"), "Balanced"), (_sign("["), "Balanced", _sign("]"), "Balanced"), (_sign("{"), "Balanced", _sign("}"), "Balanced")],
+    "Parameters": [(_round,)],
     "Throws": [(), (_word("throws"), "ThrowList")],
     "ThrowList": [("TypePath", "TypeParameters"), ("TypePath", "TypeParameters", _sign(","), "ThrowList")],
     "End": [(_sign("{"),), (_sign(";"),), (_word("default"),), (_line_end,)],
@@ -130,6 +130,15 @@ def tokens(source: str) -> tuple[list[tuple], list[tuple[int, str, int]]]:
         fresh = False
         if kind == "s":
             line += text.count("\n")
+    opened: list[int] = []
+    for i, token in enumerate(code):
+        if token[0] == "p" and token[1] in "([{":
+            opened.append(i)
+        elif token[0] == "p" and token[1] in ")]}":
+            if opened and code[opened[-1]][1] + token[1] in ("()", "[]", "{}"):
+                code[opened.pop()] += (i + 1,)
+            else:  # it breaks all that are open
+                opened.clear()
     return code, comments
 
 

@@ -20,12 +20,8 @@ class Parser:
     def __init__(self, grammar: Grammar, watch: tuple[str, ...] = ()):
         self.grammar, self.watch = grammar, frozenset(watch)
 
-    def parse(self, tokens: list, start: str, at: int, limit: int = 20_000) -> tuple[set[int], list[tuple[str, int, int]]]:
-        """Where ``start`` may end if it begins at ``at``, and the watched nonterminals completed on the way.
-
-        ``limit`` bounds the descriptors of one parse, a guard against pathological input; beyond it what
-        was found so far is returned.
-        """
+    def parse(self, tokens: list, start: str, at: int) -> tuple[set[int], list[tuple[str, int, int]]]:
+        """Where ``start`` may end if it begins at ``at``, and the watched nonterminals completed on the way."""
         grammar, watch = self.grammar, self.watch
         root = (start, at)
         edges: dict[tuple, list[tuple]] = {root: []}  # stack node -> (alternative, dot, parent node)
@@ -33,15 +29,11 @@ class Parser:
         seen: set[tuple] = set()
         work: list[tuple] = [(alt, 0, root, at) for alt in reversed(grammar[start])]
         spans: list[tuple[str, int, int]] = []
-        n = 0
         while work:
             item = work.pop()
             if item in seen:
                 continue
             seen.add(item)
-            n += 1
-            if n > limit:
-                break
             alt, dot, node, pos = item
             size = len(alt)
             while dot < size:

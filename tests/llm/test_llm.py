@@ -77,6 +77,15 @@ def test_functions_of_broken_source():
     assert [n for n, *_ in apidoc.pairs("/** Doc of a groovy thing. */\r\n\r\n@A\r\ndef go(x) {\r\n}")] == ["go"]
 
 
+@pytest.mark.parametrize("n", [10, 300, 3000])
+def test_long_bracket_lists(n):
+    doc = "/** Fills the vessel slowly until nothing more fits inside. */\n"
+    sources = [f"void fill({', '.join(f'int a{i}' for i in range(n))}) {{\n", f"@Note({{{', '.join(map(str, range(n)))}}}) void fill(int a) {{\n", f"Map<{', '.join('A' * n)}> fill(int a) {{\n"]
+    for source in sources:
+        assert [p[:2] for p in apidoc.pairs(doc + source)] == [("fill", 2)]
+    assert apidoc.pairs(doc + "void fill(int a, [int b)] {\n") == []
+
+
 def test_trivial():
     t = lambda d, n: apidoc.trivial(apidoc.description(d), n)
     assert t("Updates the packet cache.", "updatePacketCache") and t("{@inheritDoc}", "x") and t("/** - */", "x")
