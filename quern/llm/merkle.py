@@ -25,7 +25,9 @@ from quern.sources import spread
 
 FIELDS_AT_LEAST = 3
 _NOT_ALNUM = r"[^\p{L}\p{N}]+"
-_FIELD = re.compile(r"""[\s>*+|-]*["'`*_]*([^\W_][\w .\-/]{0,60}?)["'`*_]*\s*(?::|=>|->|=)\s*(.*?)\s*[,;]?\s*$""", re.S)
+_LEAD = re.compile(r"""[\s>*+|-]*["'`*_]*""")
+_SEPARATOR = re.compile(":|=>|->|=")
+_NAME = re.compile(r"[^\W_][\w .\-/]*")
 
 
 def _norm(text: str) -> str:
@@ -40,6 +42,16 @@ class _Pairs(list):
     """The members of an object, repeated names included."""
 
 
+def _field(part: str) -> tuple[str, str] | None:
+    """Name and value around the first separator behind bullets and quotes; the name may have any length."""
+    part = part[_LEAD.match(part).end() :]
+    if not (m := _SEPARATOR.search(part)):
+        return None
+    name = part[: m.start()].rstrip().rstrip("\"'`*_")
+    value = part[m.end() :].strip()
+    return (name, value[:-1].rstrip() if value[-1:] in (",", ";") else value) if _NAME.fullmatch(name) and _norm(value) else None
+
+
 def fields(text: str) -> list[tuple[str, object]] | None:
     """Names and values if the text consists of named fields only: an object, lines, or a list split by semicolons."""
     body = text.strip()
@@ -52,8 +64,8 @@ def fields(text: str) -> list[tuple[str, object]] | None:
             return list(tree) if isinstance(tree, _Pairs) else None
     for parts in (body.split(";"), re.split("[;\n]", body), body.split("\n"), body.split(",")):
         parts = [p for p in parts if _norm(p)]
-        if len(parts) > 1 and all(found := [m if (m := _FIELD.match(p)) and _norm(m[2]) else None for p in parts]):
-            return [(m[1], m[2]) for m in found]
+        if len(parts) > 1 and all(found := [_field(p) for p in parts]):
+            return found
     return None
 
 
@@ -97,7 +109,8 @@ def digests(rows: DataFrame, least: int = FIELDS_AT_LEAST) -> DataFrame:
 
     letters = F.regexp_replace(F.upper("text"), _NOT_ALNUM, "")
     hashed = rows.where("text is not null").select("group", "id", "text", F.when(letters != "", F.xxhash64(letters)).alias("plain")).where("plain is not null")
-    separators = F.length("text") - F.length(F.translate("text", ":=", ""))
+    marked = F.replace(F.col("text"), F.lit("->"), F.lit("="))
+    separators = F.length(marked) - F.length(F.translate(marked, ":=", ""))
     kind = dict(hashed.dtypes)
     parsed = hashed.where(separators >= least).mapInArrow(run, f"group {kind['group']}, id {kind['id']}, plain bigint, root string")
     return parsed.unionByName(hashed.where(separators < least).select("group", "id", "plain", F.lit(None).cast("string").alias("root")))

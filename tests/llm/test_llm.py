@@ -253,6 +253,13 @@ def test_records():
     assert merkle.record(nested[0])[0] == merkle.record(nested[1])[0] != merkle.record(nested[2])[0]
 
 
+def test_arrow_fields_and_long_names(spark):
+    long = "name of a field " * 6
+    texts = ["a -> 1; b -> 2; c -> 3", "c -> 3; a -> 1; b -> 2", f"{long}: 1\nb: 2\nc: 3", f"c: 3\n{long}: 1\nb: 2"]
+    df = spark.createDataFrame([(f"{i}", 1, t) for i, t in enumerate(texts)], "id string, document_id bigint, content string")
+    assert {(r[0], r[1]) for r in merkle.copies(df).collect()} == {("0", "1"), ("2", "3")}
+
+
 # ---- 5 ------------------------------------------------------------------------------------------
 
 
