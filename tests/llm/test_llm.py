@@ -1,5 +1,6 @@
 """The problems' operators against brute force, round trips, and edges: nulls, empty and long texts, ties, repeats, empty tables, clashing columns."""
 
+import json
 import random
 import re
 import unicodedata
@@ -448,8 +449,8 @@ def test_leaks_against_brute_force(spark):
 
 
 def test_personal_information():
-    model = pii._model(pii.WEIGHTS)
-    text = "I asked Anna Hasselwick about it and got no answer.\nWrite to anna.h+x@mail.example or anna [at] mail [dot] test, Tel. +49 30 23125 734.\nMy SSN 985-46-9061 ended up in the crash report.\nParcels: Flat 3, 12 Tanner Road, Northolm\nSaffron Machines is twice as fast as Nimbus Engines.\nClone it with git@code.example:anvil/sapling.git first.\nReleased on 2024-01-07, build 18-85-602. Slots 219-677-8135 stay locked."
+    model = pii._model()
+    text = "I asked Anna Hasselwick about it and got no answer.\nWrite to anna.h+x@mail.example or anna [at] mail [dot] test, Tel. +49 30 23125 734.\nMy SSN 985-46-9061 ended up in the crash report.\nParcels: Flat 3, 12 Tanner Road, Northolm\nSaffron Machines is twice as fast as Nimbus Engines.\nClone it with git@code.example:anvil/sapling.git first.\nReleased on 2024-01-07, build 18-85-602. Slots 219-677-8135 stay locked.\nPay to DE89 3704 0044 0532 0130 00."
     got = {(k, text[a:b]) for k, a, b in model.label(text)}
     assert got == {("NAME", "Anna Hasselwick"), ("EMAIL", "anna.h+x@mail.example"), ("EMAIL", "anna [at] mail [dot] test"), ("PHONE", "+49 30 23125 734"), ("ID", "985-46-9061"), ("ADDRESS", "Flat 3, 12 Tanner Road, Northolm")}
     masked = pii.mask(text, model.label(text))
@@ -457,42 +458,81 @@ def test_personal_information():
     assert model.label("") == [] and model.label(" \n") == []
 
 
-def test_held_out_accuracy():
+def _texts():
     import duckdb
 
-    texts = [r[0] for r in duckdb.sql("SELECT text FROM '/root/testdata/sf0.1/documents.parquet' WHERE text IS NOT NULL ORDER BY doc_id").fetchall()]
-    training, other = texts[:2500], texts[-2500:]
-    weights = pii.train(training, epochs=3)
-    names = {n: i for i, n in enumerate(weights["unary"])}
-    fresh = pii.Model(names, np.array(list(weights["unary"].values())).reshape(-1, len(pii.LABELS)), np.array(weights["pair"]))
-    right = total = 0
-    for text in other:
-        spans = pii.candidates(text)
-        hits = {(a, b): k for k, a, b in fresh.label(text)}
-        for s, y in zip(spans, pii.silver(text, spans), strict=True):
+    return [r[0] for r in duckdb.sql("SELECT text FROM '/root/testdata/sf0.1/documents.parquet' WHERE text IS NOT NULL ORDER BY doc_id").fetchall()]
+
+
+def _recall(model, texts, known):
+    docs = [d for d in map(pii.Doc, texts) if d.segments]
+    right, total = defaultdict(int), defaultdict(int)
+    for doc, got in zip(docs, model.labels(docs), strict=True):
+        for y, x in zip(pii.silver(doc, known), got.tolist(), strict=True):
             if y:
-                total += 1
-                right += hits.get((s.start, s.end)) == pii.LABELS[y]
-    assert total > 50 and right / total > 0.97
+                total[pii.LABELS[y][2:]] += 1
+                right[pii.LABELS[y][2:]] += x == y
+    return {k: right[k] / n for k, n in total.items()}, total
+
+
+def test_held_out_accuracy():
+    texts = _texts()
+    fresh = pii.Model.load(json.dumps(pii.train(texts[:2500], epochs=4)).encode())
+    other = texts[-2500:]
+    recall, total = _recall(fresh, other, pii.surnames([pii.Doc(t) for t in other]))
+    assert len(recall) == 5 and min(total.values()) > 20 and min(recall.values()) > 0.97
+
+
+def test_unknown_names():
+    """Names of held-out documents give way to names no training text holds; no word of a name is a feature."""
+    texts = _texts()[-2500:]
+    known = sorted(pii.surnames([pii.Doc(t) for t in texts]))
+    assert not {f.split("=", 1)[1] for f in pii._model().names if "=" in f} & set(known)
+    invented = {w: f"Zq{chr(97 + i % 26)}m{'aeiou'[i % 5]}th{'aeiou'[i // 5 % 5]}nd" for i, w in enumerate(known)}
+    pattern = re.compile("|".join(known), re.I)
+    changed = [pattern.sub(lambda m: invented.get(m[0].lower(), m[0]), t) for t in texts]
+    recall, total = _recall(pii._model(), changed, {w.lower() for w in invented.values()})
+    assert total["NAME"] > 100 and min(recall.values()) > 0.9
+
+
+def test_messages_decide_further_mentions():
+    """Where a name is mentioned again in a place that says nothing, the skip edges tell what it is."""
+    texts, model = _texts()[-2500:], pii._model()
+    changed = [b for a, b in zip(texts, pii.mentions(texts, 1.0, np.random.default_rng(1)), strict=True) if a != b]
+    docs = [pii.Doc(t) for t in changed]
+    known = pii.surnames([pii.Doc(t) for t in texts])
+    gold = [np.array(pii.silver(d, known)) for d in docs]
+    share = lambda got: np.mean(np.concatenate([x == y for x, y in zip(got, gold, strict=True)]))
+    full, without = model.labels(docs), model.labels(docs, skips=False)
+    assert len(docs) > 50 and sum((x != y).any() for x, y in zip(full, without, strict=True)) > len(docs) / 10
+    assert share(full) > 0.98 and share(full) > share(without)
+
+
+def test_labels_travel_any_distance():
+    text = "Reviewed by Zanele Mthembu on the same day.\n" + "\n".join(f"xyz{i}\nMthembu\n" for i in range(300))
+    assert len(pii._model().label(text)) == 301
 
 
 def test_message_passing_is_exact_on_a_chain():
     rng = np.random.default_rng(6)
-    spans = [pii.Span(i, i + 1, "number", "x") for i in range(4)]
-    graph = pii.Graph(spans, "")
-    model = pii.Model({}, np.zeros((0, 6)), rng.normal(size=(2, 6, 6)))
+    doc = pii.Doc("+12 34 56 789")
+    graph = pii.Graph([doc])
+    size = len(pii.LABELS)
+    model = pii.Model({"bias": 0}, np.zeros((1, size)), rng.normal(size=(size, size)), np.zeros((2, size)), np.zeros((6, 6)))
     scores = graph.mask + rng.normal(size=graph.mask.shape)
-    belief, _ = model.beliefs(scores, graph, rounds=20)
-    labels = [0, 2, 3]
+    labels = [i for i, x in enumerate(pii.LABELS) if x == "O" or x[2:] in ("PHONE", "ID")]
+    pair = pii._CHAIN + model.chain
     weight = defaultdict(float)
-    for y in np.ndindex(3, 3, 3, 3):
+    for y in np.ndindex(*[len(labels)] * graph.size):
         y = [labels[i] for i in y]
-        w = np.exp(sum(scores[i, k] for i, k in enumerate(y)) + sum(model.pair[0, a, b] for a, b in zip(y, y[1:])))
+        w = np.exp(sum(scores[i, k] for i, k in enumerate(y)) + sum(pair[a, b] for a, b in zip(y, y[1:], strict=False)))
         for i, k in enumerate(y):
             weight[i, k] += w
-    for i in range(4):
-        total = sum(weight[i, k] for k in labels)
-        assert all(abs(belief[i, k] - weight[i, k] / total) < 1e-3 for k in labels)
+    for rounds in (20, 0):  # all at once, and swept
+        belief, _ = model.beliefs(scores, graph, tolerance=1e-6, rounds=rounds)
+        for i in range(graph.size):
+            total = sum(weight[i, k] for k in labels)
+            assert all(abs(belief[i, k] - weight[i, k] / total) < 1e-3 for k in labels)
 
 
 def test_found_edges(spark):
