@@ -261,6 +261,43 @@ def test_arrow_fields_and_long_names(spark):
     assert {(r[0], r[1]) for r in merkle.copies(df).collect()} == {("0", "1"), ("2", "3")}
 
 
+def test_deep_json(spark):
+    deep = lambda a, b: '{"k": ' * 5000 + "{" + f'"x": 1.50, {a}, {b}' + "}" + "}" * 5000
+    first, second = '{"a": %s, "b": 1, "c": null}', '{"c": null, "a": %s, "b": 1}'
+    texts = [first % deep('"y": 1', '"z": 2'), second % deep('"z": 2', '"y": 1'), first % deep('"y": 2', '"z": 2'), "[" * 9000, '{"a": 1, "b": 2, "c": 3,}']
+    df = spark.createDataFrame([(f"{i}", 1, t) for i, t in enumerate(texts)], "id string, document_id bigint, content string")
+    assert {(r[0], r[1]) for r in merkle.copies(df).collect()} == {("0", "1")}
+
+
+@pytest.mark.parametrize("bad", ["", "{", "}", "[1 2]", '{"a" 1}', '{"a": 1,}', "[1,]", '{1: 2}', '"a" "b"', '{"a": }', "[}"])
+def test_json_that_is_none(bad):
+    with pytest.raises(ValueError):
+        merkle.read_json(bad)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.recursive(st.none() | st.booleans() | st.integers() | st.text(max_size=6), lambda x: st.lists(x, max_size=3) | st.dictionaries(st.text(max_size=4), x, max_size=3), max_leaves=12))
+def test_json_is_read_whole(value):
+    def plain(x):
+        if isinstance(x, merkle._Pairs):
+            return {k: plain(v) for k, v in x}
+        return [plain(v) for v in x] if isinstance(x, list) else x
+
+    def written(x):
+        if isinstance(x, dict):
+            return {k: written(v) for k, v in x.items()}
+        return [written(v) for v in x] if isinstance(x, list) else x if isinstance(x, str) else json.dumps(x)
+
+    assert plain(merkle.read_json(json.dumps(value))) == written(value)
+
+
+def test_letters_link_records(spark):
+    """Records that part differently but have the same letters in order, and copies of each in other order."""
+    texts = ["a: bc\nd: 1\ne: 2", "e: 2\nd: 1\na: bc", "ab: c\nd: 1\ne: 2", "d: 1\nab: c\ne: 2", "abc d1, e2", "d: 1\nab: c\ne: 3"]
+    df = spark.createDataFrame([(f"{i}", 1, t) for i, t in enumerate(texts)], "id string, document_id bigint, content string")
+    assert {(r[0], r[1], r[2]) for r in merkle.copies(df).collect()} == {("0", str(i), 5) for i in range(1, 5)}
+
+
 # ---- 5 ------------------------------------------------------------------------------------------
 
 
