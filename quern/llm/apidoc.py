@@ -5,8 +5,8 @@ start of a generalised LL parse of the declaration behind it (gll.py). What surr
 never needed, so functions are found in files that don't parse as a whole; where the parse fails, the
 next comment is tried. Java, Groovy and Kotlin share one ambiguous grammar.
 
-A description that many members of other names share word for word is a template; templates are found
-by counts of hashes over the whole corpus and dropped like other trivial documentation.
+A description that many members of other names share word for word is a template or a placeholder; both
+are found by counts of hashes over all descriptions of the corpus, with no list of them, and dropped.
 """
 
 from __future__ import annotations
@@ -25,7 +25,6 @@ from quern.sources import spread
 
 WORDS, SHARED_BY = 4, 5
 COMMON = frozenset(("the", "and", "for", "this", "that", "with", "from"))
-_PLACEHOLDER = re.compile(r"(?:todo|fixme|tbd|xxx|n a|none|constructor|non javadoc|inheritdoc|fixme document me|(?:todo )?auto generated (?:method|constructor|catch) (?:stub|block)|(?:javadoc )?placeholder(?: generated by the ide)?|(?:write|put|add|insert) (?:something|documentation|docs?|description|text) here(?: later)?|document me|missing documentation|to be documented|lorem ipsum.*)")
 
 _LEX = re.compile(
     r"(?P<c>/\*(?:.*?\*/|[^\n]*)|//[^\n]*)"
@@ -193,9 +192,7 @@ def normal(text: str) -> str:
 
 
 def trivial(text: str, name: str, words: int = WORDS) -> bool:
-    """Whether a description is only a placeholder or says too little beyond the name."""
-    if _PLACEHOLDER.fullmatch(normal(text)):
-        return True
+    """Whether a description says too little beyond the name; placeholders that say more are found by counts."""
     own = {p.lower() for p in _PARTS.findall(name)}
     own |= {name.lower()} | COMMON
     own |= {p + "s" for p in own - COMMON}
@@ -207,10 +204,7 @@ def _of_sources(full: bool, words: int):
         for batch in batches:
             rows = []
             for key, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for name, line, signature, raw in pairs(content):
-                    text = description(raw)
-                    if not trivial(text, name, words):
-                        rows.append(_row(key, line, name, signature, raw, full))
+                rows.extend(_row(key, line, name, signature, raw, full, words) for name, line, signature, raw in pairs(content))
             yield _batch(rows)
 
     return run
@@ -219,24 +213,20 @@ def _of_sources(full: bool, words: int):
 def _of_members(full: bool, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for key, name, signature, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                text = description(raw)
-                if not trivial(text, name or "", words):
-                    rows.append(_row(key, 0, name or "", signature, raw, full))
-            yield _batch(rows)
+            yield _batch([_row(key, 0, name or "", signature, raw, full, words) for key, name, signature, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True)])
 
     return run
 
 
-_FIELDS = [("record_id", pa.int64()), ("line_no", pa.int64()), ("name", pa.string()), ("signature", pa.string()), ("description", pa.string()), ("digest", pa.int64())]
-_SCHEMA = "record_id bigint, line_no bigint, name string, signature string, description string, digest bigint"
+_FIELDS = [("record_id", pa.int64()), ("line_no", pa.int64()), ("name", pa.string()), ("signature", pa.string()), ("description", pa.string()), ("digest", pa.int64()), ("trivial", pa.bool_())]
+_SCHEMA = "record_id bigint, line_no bigint, name string, signature string, description string, digest bigint, trivial boolean"
 
 
-def _row(key: int, line: int, name: str, signature: str, raw: str, full: bool) -> tuple:
+def _row(key: int, line: int, name: str, signature: str, raw: str, full: bool, words: int) -> tuple:
     text = description(raw, inline=True)
     digest = int.from_bytes(hashlib.blake2b(normal(text).encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
-    return key, line, name, signature if full else None, text if full else None, digest
+    dull = trivial(description(raw), name, words)
+    return key, line, name, signature if full and not dull else None, text if full and not dull else None, digest, dull
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -248,9 +238,9 @@ def documented(sources: DataFrame, members: DataFrame, full: bool = True, words:
     """``source_table, record_id, line_no`` and, if ``full``, ``name, signature, description`` of each pair kept.
 
     Null contents, members without a signature, and functions without documentation give no row; so do
-    trivial descriptions and those that members of ``shared_by`` different names share word for word. A
-    record delivered several times counts once. Counts are partial sums by (description, name), so a
-    template that a third of all rows carry is no hot key.
+    trivial descriptions and those that members of ``shared_by`` different names share word for word, which
+    counts over all descriptions, trivial ones too. A record delivered several times counts once. Counts are
+    partial sums by (description, name), so a template that a third of all rows carry is no hot key.
     """
     doc = F.when(F.length("javadoc") > 0, F.col("javadoc")).otherwise(F.col("javadoc_summary"))
     of_members = (
@@ -265,5 +255,5 @@ def documented(sources: DataFrame, members: DataFrame, full: bool = True, words:
     )
     found = checkpoint(found)
     templates = found.groupBy("digest", "name").agg(F.lit(1).alias("one")).groupBy("digest").agg(F.count("*").alias("names")).where(F.col("names") >= shared_by)
-    kept = found.join(templates, "digest", "left_anti")
+    kept = found.where("not trivial").join(templates, "digest", "left_anti")
     return kept.select("source_table", "record_id", "line_no", *(["name", "signature", "description"] if full else [])).distinct()

@@ -4,7 +4,8 @@ A text is cut into sentences. Stretches of words are turned into TF-IDF vectors
 multiplied, sparsely, against vectors of the licences' names; a stretch is accepted as a name if its
 cosine is high enough and beats every other licence by a margin. The sentence around the names, with the
 names blanked, is compared in the same way with frames of statements on the work itself and on other
-works (bundled copies, helpers, older versions); only the former count.
+works (bundled copies, helpers, older versions); only the former count. Paragraphs of some length are also
+compared with the licences' own wording (grants and notices), so a licence text is known without its name.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from quern.sources import spread
 
 CONFLICT, UNKNOWN = "CONFLICT", "UNKNOWN"
 COSINE, MARGIN, FRAME_MARGIN, LONGEST = 0.8, 0.1, 0.05, 8
+#: Paragraphs of so many words or more are compared with licence wording; cosine and margin to be accepted.
+BODY_WORDS, BODY_COSINE, BODY_MARGIN = 20, 0.7, 0.02
 
 #: Names of the licences, as words() leaves them.
 NAMES = {
@@ -52,7 +55,34 @@ FOREIGN = [
     "the abandoned line was NAME not relevant for this pin", "older versions were under NAME", "previous versions were NAME", "the build script uses a plugin under NAME",
     "parsing loop inspired by a helper that is itself under NAME nothing was copied from it", "inspired by code under NAME", "NAME applies to the bundled copy only",
     "claims NAME could not be verified", "might be NAME to be confirmed", "third party code under NAME", "uses a library that is licensed under NAME",
+    "parts of the code come from licensed under the NAME", "portions of this software are copyright of and licensed under NAME", "contains code from which is licensed under NAME", "includes files from distributed under the NAME",
+    "ships with a library under NAME", "the vendored library is under NAME", "its dependencies are under NAME", "based on older code that was released under NAME", "adapted from a project licensed under the NAME",
+    "formerly licensed under NAME", "was NAME until version", "the fonts and images are under NAME", "not NAME", "the original author used NAME",
 ]
+#: Fixed wording of the licences' grants and of the notices that apply them, one paragraph each.
+BODIES = {
+    "MIT": [
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+    ],
+    "BSD-3-Clause": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ],
+    "Apache-2.0": [
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    ],
+    "GPL-2.0": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."],
+    "GPL-3.0": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "LGPL-2.1": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."],
+    "LGPL-3.0": ["This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"],
+    "Unlicense": [
+        "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ],
+    "CC0-1.0": ["To the extent possible under law, the person who associated this work has waived all copyright and related or neighboring rights to this work and dedicated it to the public domain worldwide."],
+}
 #: A lower-case name that is also a common word needs one of these near it.
 _CUE = re.compile(r"licen[cs]e|lizenz|\bunder\b|\bterms\b|spdx|keep to|confirmed|sources|all code|re-read|\bitself\b|\bline was\b|claims|might be", re.I)
 _TOKEN = re.compile(r"[^\W\d_]+|\d+(?:\.\d+)*|[+/]")
@@ -64,7 +94,7 @@ _SAME = {"licence": "license", "three": "3", "clauses": "clause", "licences": "l
 def words(text: str) -> list[tuple[str, int, int]]:
     """Normal words of a text, with where each stands: one spelling of licence, versions without v and .0."""
     out = []
-    for m in _TOKEN.finditer(re.sub(r"(?<=[A-Za-z])v(?=\.? ?\d)", " ", text)):
+    for m in _TOKEN.finditer(re.sub(r"(?<=[A-Za-z])[vV](?=\.? ?\d)", " ", text)):
         word = m[0].lower()
         if word in _SKIP:
             continue
@@ -118,6 +148,21 @@ def _models() -> tuple[Vectors, set[str], Vectors]:
     return names, vocabulary, frames
 
 
+@functools.lru_cache(maxsize=1)
+def _bodies() -> Vectors:
+    return Vectors([(key, " ".join(w for w, _, _ in words(text))) for key, texts in BODIES.items() for text in texts])
+
+
+def body(paragraph: str) -> str | None:
+    """The licence whose wording a paragraph is, if any."""
+    if len(tokens := [w for w, _, _ in words(paragraph)]) < BODY_WORDS and "unencumbered" not in tokens:
+        return None
+    ranked = sorted(_bodies().best(tokens).items(), key=lambda x: -x[1])
+    if ranked and ranked[0][1] >= BODY_COSINE and (len(ranked) == 1 or ranked[0][1] - ranked[1][1] >= BODY_MARGIN):
+        return ranked[0][0]
+    return None
+
+
 @functools.lru_cache(maxsize=65536)
 def _name(tokens: tuple[str, ...]) -> tuple[str, float] | None:
     ranked = sorted(_models()[0].best(list(tokens)).items(), key=lambda x: -x[1])
@@ -185,6 +230,9 @@ def statements(text: str | None) -> set[str]:
     """Licences a text states for the work itself; a free choice is its ids sorted and joined by OR."""
     out: set[str] = set()
     for paragraph in re.split(r"\n\s*\n", text or ""):
+        if whole := body(paragraph):
+            out.add(whole)
+            continue
         for sentence in _SENTENCE.split("\n".join(line.strip() for line in paragraph.split("\n"))):
             out |= _of_sentence(sentence)
     return out
@@ -268,11 +316,17 @@ def file_licences(sources: DataFrame, repos: DataFrame) -> DataFrame:
 
 
 def directories(files: DataFrame) -> DataFrame:
-    """``repo, directory, files, conflicts, unknowns, licenses`` of every directory, its subdirectories included."""
+    """``repo, directory, files, conflicts, unknowns, licenses, verdict`` of every directory, its subdirectories included.
+
+    The verdict is the one licence of all files that have any, CONFLICT if they have several or a file has one
+    of its own, UNKNOWN if none has any.
+    """
     parts = F.split(F.coalesce("path", F.lit("")), "/")
     above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
     rows = files.select("repo", "license", F.explode(above).alias("directory"))
-    return rows.groupBy("repo", "directory").agg(
+    out = rows.groupBy("repo", "directory").agg(
         F.count("*").alias("files"), F.count_if(F.col("license") == CONFLICT).alias("conflicts"), F.count_if(F.col("license") == UNKNOWN).alias("unknowns"),
         F.array_sort(F.collect_set(F.when(~F.col("license").isin(CONFLICT, UNKNOWN), F.col("license")))).alias("licenses"),
     )
+    verdict = F.when((F.col("conflicts") > 0) | (F.size("licenses") > 1), CONFLICT).when(F.size("licenses") == 1, F.col("licenses")[0]).otherwise(UNKNOWN)
+    return out.withColumn("verdict", verdict)

@@ -90,7 +90,7 @@ def test_long_bracket_lists(n):
 def test_trivial():
     t = lambda d, n: apidoc.trivial(apidoc.description(d), n)
     assert t("Updates the packet cache.", "updatePacketCache") and t("{@inheritDoc}", "x") and t("/** - */", "x")
-    assert t("Write something here later", "x") and t("\n@param a the long explanation of this parameter", "x")
+    assert t("Write here later", "x") and t("\n@param a the long explanation of this parameter", "x")
     assert not t("Registering twice breaks saved worlds", "x")
     assert t("registering registering registering saved worlds", "x")
 
@@ -102,6 +102,16 @@ def test_gll_handles_left_recursion_and_ambiguity():
     assert p.parse([], "S", 0)[0] == {0}
 
 
+def test_placeholders_are_found_by_counts(spark):
+    """A placeholder long enough to pass as a description, under many names, and once where it is rare."""
+    text = "Todo auto generated method stub"
+    rows = [(i, "method", f"name{i}", "void x()", text if i < 5 else "Rare words nobody else ever wrote", None) for i in range(6)]
+    table = spark.createDataFrame(rows, "member_id bigint, kind string, name string, signature string, javadoc string, javadoc_summary string")
+    files = spark.createDataFrame([], "file_id bigint, content string")
+    assert [r["record_id"] for r in apidoc.documented(files, table).collect()] == [5]
+    assert apidoc.documented(files, table.limit(4)).count() == 4
+
+
 def test_templates_are_dropped(spark):
     members = [(i, "method", f"name{i}", "void x()", "Shared boilerplate sentence about nothing useful", None) for i in range(6)]
     members += [(10, "method", "own", "void own()", "Unique explanation containing several different terms", None), (10, "method", "own", "void own()", "Unique explanation containing several different terms", None)]
@@ -117,7 +127,7 @@ def test_templates_are_dropped(spark):
 
 
 @pytest.mark.parametrize("text, want", [
-    (" lgplv3 or mit ", {"LGPL-3.0 OR MIT"}), ("GNU Lesser General Public License, version 2.1", {"LGPL-2.1"}), ("GPL-2.0-or-later", {"GPL-2.0"}),
+    (" lgplv3 or mit ", {"LGPL-3.0 OR MIT"}), ("GPLV2 OR MPL-2.0", {"GPL-2.0 OR MPL-2.0"}), ("GNU Lesser General Public License, version 2.1", {"LGPL-2.1"}), ("GPL-2.0-or-later", {"GPL-2.0"}),
     ("SPDX-License-Identifier: MIT\nThis file is part of X, under the Apache License 2.0.", {"MIT", "Apache-2.0"}), ("see LICENSE", set()), (None, set()), ("", set()),
     ("Sources are under MIT. Bundles a copy of an event bus under GPL-3.0, which we do not index.", {"MIT"}), ("All rights reserved; no licence is granted", {"ARR"}),
     ("The build script uses a plugin under BSD 3-Clause License.", set()), ("either MPL-2.0 or, at your choice, GPL-2.0", {"GPL-2.0 OR MPL-2.0"}),
@@ -127,6 +137,18 @@ def test_statements(text, want):
     assert licence.statements(text) == want
 
 
+def test_licence_wording_without_a_name():
+    """Grants and notices are known by their own words, wrapped as comments wrap them and with a few words changed."""
+    for key, texts in licence.BODIES.items():
+        for text in texts:
+            wrapped = "\n".join(text.replace("This program", "This mod")[i : i + 60] for i in range(0, len(text), 60))
+            assert licence.statements(f"Copyright (c) 2020 Somebody\n\n{text}\n\nMore.") == {key}
+            assert licence.body(text.replace("This program", "This mod").replace("software", "Software")) == key and len(wrapped) > 0
+    assert licence.body("Permission is hereby granted to nobody at all, since this long paragraph only resembles a licence in its first few words and then goes on about tanks.") is None
+    for foreign in ("Parts of the renderer come from Foo, licensed under the GPL-3.0.", "Ships with a math library under MIT.", "Contains code from Bar which is licensed under MPL-2.0."):
+        assert licence.statements(foreign) == set()
+
+
 def test_header():
     assert licence.header("// a\n// b\n\npackage x;\n// c").split() == ["a", "b"]
     assert licence.header("class A { String s = \"// MIT\"; }") == "" and licence.header(None) == ""
