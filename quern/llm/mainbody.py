@@ -207,7 +207,7 @@ def body(source: str, title: str | None = None, phrases: Phrases = _DEFAULT) ->
         node, text, links, _ = entry
         entry[1] = text = " ".join((html.unescape(text) if "&" in text else text).split())
         n = nodes[node]
-        hit = n.tag not in _HEADINGS and n.tag != "pre" and len(text) < 400 and bool(phrases.any.fullmatch(text) or (len(text) < 200 and (" > " in text or " » " in text or " › " in text) and _PATH.search(text) and (title is None or text.endswith(title[-20:]))))
+        hit = n.tag not in _HEADINGS and n.tag != "pre" and bool(phrases.any.fullmatch(text) or ((" > " in text or " » " in text or " › " in text) and _PATH.search(text) and (title is None or text.endswith(title))))
         cue.append(hit)
         length = len(text)
         n.lines += 1

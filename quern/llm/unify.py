@@ -5,8 +5,8 @@ table look-ups over the array (gathers), expansions by offsets, and comparisons
 string method is called per row. The tables are made from the Unicode data of the running Python.
 
 Steps: presentation forms (full-width, half-width, mathematical, positional, ligatures) are expanded,
-odd spaces become U+0020, invisible characters are dropped, base letters are composed with the marks
-that follow them, and inside words of mixed scripts look-alike letters take the script of the word.
+odd spaces become U+0020, invisible characters are dropped, twins of other characters (Angstrom, Ohm) become
+those, base letters are composed with the marks that follow them and Hangul letters to syllables, and inside words of mixed scripts look-alike letters take the script of the word.
 """
 
 from __future__ import annotations
@@ -82,6 +82,9 @@ class _Tables:
                 plain = unicodedata.normalize("NFKD", ch) if form in ("<wide>", "<narrow>") else unicodedata.normalize("NFKC", ch)
                 self.flag[cp] = PRESENTATION if any(unicodedata.category(x)[0] in "LN" for x in plain) else SIGN
                 self._expand(cp, plain, pool)
+            elif decomposition and (not form and unicodedata.normalize("NFC", ch) != ch or form == "<compat>" and category == "Nl"):
+                self.flag[cp] = SIGN  # twins of other characters (Angstrom, Ohm, compatibility ideographs), letters as numerals
+                self._expand(cp, unicodedata.normalize("NFKC", ch), pool)
             if category[0] == "M":
                 self.mark[cp] = unicodedata.combining(ch) or 255
             elif category[0] == "L":
@@ -159,6 +162,29 @@ def _drop(points: np.ndarray, starts: np.ndarray, keep: np.ndarray) -> tuple[np.
     return points[keep], np.concatenate([[0], np.cumsum(keep)])[starts]
 
 
+def _hangul(points: np.ndarray, starts: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Syllables for the letters they are made of: a leading consonant and a vowel first, then the final one."""
+    if not ((points >= 0x1100) & (points < 0x1200)).any():
+        return points, starts
+    for final in (False, True):
+        syllable = (points >= 0xAC00) & (points < 0xD7A4) & ((points - np.uint32(0xAC00)) % 28 == 0)
+        left = syllable if final else (points >= 0x1100) & (points <= 0x1112)
+        right = (points >= 0x11A8) & (points <= 0x11C2) if final else (points >= 0x1161) & (points <= 0x1175)
+        right[starts[:-1][starts[:-1] < len(points)]] = False
+        at = np.flatnonzero(left[:-1] & right[1:])
+        if at.size:
+            points = points.copy()
+            if final:
+                points[at] += points[at + 1] - np.uint32(0x11A7)
+            else:
+                points[at] = 0xAC00 + ((points[at] - np.uint32(0x1100)) * 21 + points[at + 1] - np.uint32(0x1161)) * 28
+            _by_text(np.full(len(at), SIGN, np.uint8), at, starts, found)
+            keep = np.ones(len(points), bool)
+            keep[at + 1] = False
+            points, starts = _drop(points, starts, keep)
+    return points, starts
+
+
 def unify(texts: pa.Array, forms: bool = True) -> tuple[np.ndarray, pa.Array | None]:
     """Findings of each text (bits) and, if ``forms``, its consistent form; nulls have no findings and stay null."""
     t = _tables()
@@ -213,24 +239,29 @@ def unify(texts: pa.Array, forms: bool = True) -> tuple[np.ndarray, pa.Array | N
             points[head[k]] = single[k]
             gone[begin[k]] = True
             counted = [head[k[letters[k]]]]
-            # several marks may have to change places first; there are few such runs, and fewer different ones
-            forms_of: dict[bytes, np.ndarray] = {}
-            for r in np.flatnonzero(~simple & (based | (size > 1))).tolist():
-                a, z = (head[r] if based[r] else begin[r]), begin[r] + size[r]
-                raw = points[a:z].tobytes()
-                if raw not in forms_of:
-                    forms_of[raw] = np.frombuffer(unicodedata.normalize("NFC", raw.decode("utf-32-le")).encode("utf-32-le"), np.uint32)
-                new = forms_of[raw]
-                if len(new) > z - a:
-                    continue
-                points[a : a + len(new)] = new
-                gone[a + len(new) : z] = True
-                if len(new) < z - a and letters[r] and based[r]:
-                    counted.append(np.array([a]))
+            # several marks may have to change places first: runs of one length are rows, every different row is normalised once
+            runs = np.flatnonzero(~simple & (based | (size > 1)))
+            left = np.where(based[runs], head[runs], begin[runs])
+            width = begin[runs] + size[runs] - left
+            for w in np.unique(width).tolist():
+                mine = np.flatnonzero(width == w)
+                where = left[mine][:, None] + np.arange(w)
+                kinds, which = np.unique(points[where], axis=0, return_inverse=True)
+                new, long = kinds.copy(), np.full(len(kinds), w)
+                for k, row in enumerate(kinds):
+                    form = np.frombuffer(unicodedata.normalize("NFC", row.tobytes().decode("utf-32-le")).encode("utf-32-le"), np.uint32)
+                    if len(form) <= w:
+                        new[k, : len(form)], long[k] = form, len(form)
+                which = which.reshape(-1)
+                points[where] = new[which]
+                gone[where] = np.arange(w) >= long[which][:, None]
+                counted.append(left[mine][(long[which] < w) & letters[runs[mine]] & based[runs[mine]]])
             at = np.concatenate(counted)
             _by_text(np.full(len(at), MARK, np.uint8), at, starts, found)
             points, starts = _drop(points, starts, ~gone)
 
+        points, starts = _hangul(points, starts, found)
+
         # look-alike letters in words of several scripts
         script = t.script[points]
         foreign = np.flatnonzero((script == CYRILLIC) | (script == GREEK))

@@ -392,6 +392,14 @@ def test_forms_of_all_fields(spark, data):
         assert r.form == unify.unify(pa.array([pages[r.record_id]]))[1].to_pylist()[0] != pages[r.record_id]
 
 
+def test_twins_hangul_and_runs_of_marks():
+    pairs = {"\u1112\u1161\u11ab\u1100\u1173\u11af": "한글", "5 \u212b and 3 \u2126": "5 Å and 3 Ω", "\uf900": "豈", "\u2163": "IV", "가\u11a8": "각", "\u1100": "\u1100", "q\u0307\u0323 q\u0323\u0307": "q\u0323\u0307 q\u0323\u0307", "u\u0308\u0304": "ǖ", "a\u0301\u0302\u0303b": "á\u0302\u0303b"}
+    _, form = unify.unify(pa.array([*pairs, None, ""]))
+    assert form.to_pylist() == [*pairs.values(), None, ""]
+    _, form = unify.unify(pa.array(["\u1100", "\u1161", "가", "\u11a8"]))
+    assert form.to_pylist() == ["\u1100", "\u1161", "가", "\u11a8"]
+
+
 # ---- 6 ------------------------------------------------------------------------------------------
 
 
