@@ -66,9 +66,11 @@ def balanced(text: str, limit: int, overlap: int = OVERLAP, reach: float = 0.25)
     """Start and end of each of the fewest even pieces, every one within the limit.
 
     Each inner cut is the strongest boundary (blank line, line, sentence, white space, any) within
-    ``reach`` of a piece's length around its target; the overlap is taken before the cut.
+    ``reach`` of a piece's length around its target; the overlap is taken before the cut and is at most half
+    a limit that leaves no room for more, as under a very long heading. A limit below 1 counts as 1.
     """
-    limit = max(limit, overlap + 2)
+    limit = max(limit, 1)
+    overlap = min(overlap, (limit - 1) // 2)
     n = len(text)
     if n <= limit:
         return [(0, n)]

@@ -446,6 +446,14 @@ def test_split_edges(spark):
     assert split.split(chunks.limit(0), sections.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("limit", [-5, 1, 2, 3, 40, 101, 150])
+def test_balanced_pieces_within_small_limits(limit):
+    text = "some words, and others. " * 20
+    cut = split.balanced(text, limit)
+    assert cut[0][0] == 0 and cut[-1][1] == len(text) and all(0 < b - a <= max(limit, 1) for a, b in cut)
+    assert all(a < c <= b < d for (a, b), (c, d) in zip(cut, cut[1:], strict=False))
+
+
 # ---- 7 ------------------------------------------------------------------------------------------
 
 
