@@ -79,7 +79,8 @@ def balanced(text: str, limit: int, overlap: int = OVERLAP, reach: float = 0.25)
         size, cuts = n / count, [0]
         for k in range(1, count):
             target, radius = round(k * size), max(1, int(size * reach))
-            low, high = max(cuts[-1] + 1, target - radius), min(n - 1, target + radius, cuts[-1] + limit - (overlap if k > 1 else 0))
+            low = max(cuts[-1] + 1, overlap + 1, target - radius)  # a piece never begins where the first does
+            high = min(n - 1, max(low, target + radius), cuts[-1] + limit - (overlap if k > 1 else 0))
             best = None
             for p in range(low, high + 1):
                 a, b = text[p - 1], text[p]
