@@ -168,11 +168,11 @@ def digests(rows: DataFrame, least: int = FIELDS_AT_LEAST) -> DataFrame:
             yield pa.record_batch([batch.column(0), batch.column(1), batch.column(3), roots, pa.array([f for _, f in found], pa.string())], names=["group", "id", "plain", "root", "form"])
 
     letters = F.regexp_replace(F.upper("text"), _NOT_ALNUM, "")
-    hashed = rows.where("text is not null").select("group", "id", "text", F.when(letters != "", F.unhex(F.md5(letters))).alias("plain")).where("plain is not null")
+    hashed = rows.where("text is not null").select("group", "id", "text", F.when(letters != "", F.struct(F.xxhash64(letters).alias("a"), F.xxhash64(F.lit(1), letters).alias("b"))).alias("plain")).where("plain is not null")
     marked = F.replace(F.col("text"), F.lit("->"), F.lit("="))
     separators = F.length(marked) - F.length(F.translate(marked, ":=", ""))
     kind = dict(hashed.dtypes)
-    parsed = hashed.where(separators >= least).mapInArrow(run, f"group {kind['group']}, id {kind['id']}, plain binary, root binary, form string")
+    parsed = hashed.where(separators >= least).mapInArrow(run, f"group {kind['group']}, id {kind['id']}, plain struct<a: bigint, b: bigint>, root binary, form string")
     return parsed.unionByName(hashed.where(separators < least).select("group", "id", "plain", F.lit(None).cast("binary").alias("root"), F.lit(None).cast("string").alias("form")))
 
 
