@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.plans import checks, concepts, ingest, names, relational, retrieval, texts  # noqa: F401
+from quern.plans import checks, concepts, ingest, names, relational, retrieval, searching, texts  # noqa: F401
 from quern.plans.registry import QUERIES
 
 FLAGSHIP = "hybrid_search"

@@ -49,8 +49,8 @@ def version(url: Column, content: Column | None = None, otherwise: str = "unknow
 
 
 def page_key(url: Column) -> Column:
-    """A URL without its version part, query and fragment."""
-    return F.regexp_replace(F.regexp_replace(url, r"[?#].*$", ""), r"/[0-9]+\.[0-9]+(\.[0-9]+)?(?=/|$)", "")
+    """A URL without its first version part, query and fragment."""
+    return F.regexp_replace(F.regexp_replace(url, r"(?<=.)[?#].*$", ""), r"^(.*?)/[0-9]+\.[0-9]+(?:\.[0-9]+)?(?=/|$)", "$1")
 
 
 def keep_urls(url: Column, include: list[str] = (), exclude: list[str] = (), locale: str | None = None) -> Column:

@@ -27,23 +27,28 @@ def occurrences(text: Column, term: str) -> Column:
     return ((F.length(low) - F.length(F.replace(low, F.lit(term), F.lit("")))) / len(term)).cast("int")
 
 
-def concept_search(chunks: DataFrame, concept: str, terms: list[str], similar: DataFrame | None = None, limit: int = 30) -> DataFrame:
-    """``id, score``: chunks that hold a term, by points for strategy, mentions, counts, code and similarity.
+def concept_search(chunks: DataFrame, sections: DataFrame, concept: str, terms: list[str], index: I.Index, similar: DataFrame, limit: int = 30) -> DataFrame:
+    """``key, score``: chunks and sections for a concept, by points for strategy, similarity, mentions, counts and code.
 
-    ``similar`` has id and similarity of the nearest chunks; they add points but no chunks of their own.
+    The best 50 chunks of the index have 50 points, 30 sections that hold a term 40. ``similar`` has id and
+    similarity of the nearest chunks; they add points to chunks found, but no chunks of their own. A
+    section's key is its id behind ``section-``.
     """
-    any_term = like_any(F.col("content"), terms)
-    in_heading = like_any(F.col("section_heading"), terms)
-    score = F.when(any_term, 50.0).otherwise(40.0)
-    score = score + F.when(F.contains(F.lower("content"), F.lit(concept)), 30.0).otherwise(0.0) + F.when(F.contains(F.lower("section_heading"), F.lit(concept)), 40.0).otherwise(0.0)
+    asked = tuple(I.Term(w[0]) if len(w) == 1 else I.Phrase(tuple(w)) for w in (I.parse(t, least=1) for t in terms))
+    hits = I.search(index, I.Or(asked)).orderBy(F.round("score", 6).desc(), "id").limit(50).select("id")
+    # both sides are bounded by their limits
+    near = hits.join(F.broadcast(similar), "id", "left")
+    found = chunks.join(F.broadcast(near), "id").select(F.col("id").alias("key"), "content", F.col("section_heading").alias("heading"), F.col("has_code").alias("code"), F.lit(50.0).alias("base"), (60.0 * F.coalesce("similarity", F.lit(0.0))).alias("near"))
+    hold = like_any(F.col("content"), terms) | like_any(F.col("heading"), terms)
+    of_sections = sections.where(hold).distinct().orderBy("section_id").limit(30).select(
+        F.concat(F.lit("section-"), "section_id").alias("key"), "content", "heading", (F.coalesce(F.size("code_blocks"), F.lit(0)) > 0).alias("code"), F.lit(40.0).alias("base"), F.lit(0.0).alias("near")
+    )
+    score = F.col("base") + F.col("near") + F.when(F.contains(F.lower("content"), F.lit(concept)), 30.0).otherwise(0.0) + F.when(F.contains(F.lower("heading"), F.lit(concept)), 40.0).otherwise(0.0)
     for t in terms:
         if len(t) >= 3:
             score = score + F.least(5.0 * occurrences(F.col("content"), t), F.lit(25.0))
-    score = score + F.when(F.coalesce("has_code", F.lit(False)), 15.0).otherwise(0.0)
-    hits = chunks.where(any_term | in_heading).select("id", F.coalesce(score, F.lit(0.0)).alias("score"))
-    if similar is not None:
-        hits = hits.join(F.broadcast(similar), "id", "left").select("id", (F.col("score") + 60.0 * F.coalesce("similarity", F.lit(0.0))).alias("score"))
-    return hits.orderBy(F.desc("score"), "id").limit(limit)
+    score = score + F.when(F.coalesce("code", F.lit(False)), 15.0).otherwise(0.0)
+    return found.unionByName(of_sections).select("key", F.round(score, 4).alias("score")).orderBy(F.desc("score"), "key").limit(limit)
 
 
 def related(chunks: DataFrame, concepts: dict[str, list[str]], most: int = 8) -> DataFrame:
@@ -59,42 +64,35 @@ def related(chunks: DataFrame, concepts: dict[str, list[str]], most: int = 8) ->
     return row.select(F.inline(pairs)).where("votes > 0").orderBy(F.desc("votes"), "concept").limit(most)
 
 
-def snippet_search(sections: DataFrame, pages: DataFrame, words: list[str], patterns: list[str], language: str | None = None, limit: int = 5, per_page: int = 1, floor: float = 20.0) -> DataFrame:
-    """``document_id, section_id, block, score, overflow``: code blocks by caption, heading, title and code, few per page."""
-    blocks = sections.select("document_id", "section_id", "heading", F.posexplode("code_blocks").alias("block", "b")).where("b.code is not null")
-    if language:
-        blocks = blocks.where(F.lower("b.language") == language.lower())
-    rows = blocks.join(pages.select("document_id", "title"), "document_id").select("document_id", "section_id", "block", "heading", "title", F.col("b.code").alias("code"), F.col("b.caption").alias("caption"))
-    fields = {"title": F.col("title"), "heading": F.col("heading"), "caption": F.col("caption"), "code": F.col("code")}
-    extra = [(F.contains("code", F.lit(p)), 30.0, p) for p in patterns]
-    score, _ = R.additive(fields, " ".join(words), words, {"title": 20, "heading": 18, "caption": 15, "code": 5}, {"title": 100, "heading": 80, "caption": 70}, extra=extra)
-    scored = rows.withColumn("score", score).withColumn("item", F.concat_ws("-", "section_id", "block")).withColumn("key", F.regexp_replace(F.substring("code", 1, 200), r"\s+", " "))
-    return R.capped(scored, "item", "document_id", "score", "key", per_page, limit, floor).select("document_id", "section_id", "block", "score", "overflow")
+def example_search(rows: DataFrame, index: I.Index, query: str, id_col: str, code: Column, quality: Column, where: Column | None = None, limit: int = 5) -> DataFrame:
+    """``id, band``: rows by bands of BM25, then by quality; code words of the query must occur as they are.
 
-
-def example_search(chunks: DataFrame, query: str, where: Column | None = None, limit: int = 5) -> DataFrame:
-    """``id, band``: chunks by bands of BM25, then by length; code words of the query must occur as they are."""
+    The words of the query are prefixes, any of which counts; rareness is that of the whole corpus, whatever
+    code words and filters leave. The best ``max(5 * limit, 50)`` are banded.
+    """
     terms = query.split()
-    code = [t for t in terms if identifier_like(t)]
-    prose = [t.lower() for t in terms if not identifier_like(t)]
-    hits = chunks
-    for t in code:
-        hits = hits.where(F.contains("content", F.lit(t)))
-    if prose:
-        hits = I.bm25(hits, F.col("content"), I.Or(tuple(I.Term(t, prefix=True) for t in prose)), where)
-    else:
-        hits = (hits.where(where) if where is not None else hits).withColumn("score", F.lit(0.0))
-    candidates = hits.orderBy(F.round("score", 6).desc(), "id").limit(max(5 * limit, 50))
-    return R.bands(candidates.withColumn("relevance", -F.round("score", 6)), "relevance", [F.desc("word_count"), F.asc("id")], limit)
-
-
-def correspondence_search(entries: DataFrame, text: str, query: str, where: Column | None = None, limit: int = 15) -> DataFrame:
-    """Entries by BM25 over the words of three letters or more; without any, a plain list by id."""
-    words = tuple(I.Term(w) for w in dict.fromkeys(w for w in query.lower().split() if len(w) >= 3))
+    hold = where if where is not None else F.lit(True)
+    for t in terms:
+        if identifier_like(t):
+            hold = hold & F.contains(code, F.lit(t))
+    prose = tuple(I.Term(w, prefix=True) for t in terms if not identifier_like(t) for w in I.parse(t))
+    kept = rows.where(hold).select(F.col(id_col).alias("id"), quality.alias("quality"))
+    if not prose:
+        return kept.orderBy(F.desc_nulls_last("quality"), "id").limit(limit).select("id", F.lit(0).cast("bigint").alias("band"))
+    found = kept.join(I.search(index, prose[0] if len(prose) == 1 else I.Or(prose)), "id")
+    candidates = found.orderBy(F.round("score", 6).desc(), "id").limit(max(5 * limit, 50))
+    banded = R.bands(candidates.withColumn("relevance", -F.round("score", 6)), "relevance", [F.desc_nulls_last("quality"), F.asc("relevance"), F.asc("id")], limit)
+    return banded.select("id", F.col("band").cast("bigint").alias("band"))
+
+
+def correspondence_search(entries: DataFrame, index: I.Index, id_col: str, query: str, where: Column | None = None, limit: int = 15) -> DataFrame:
+    """``id, score`` of entries by BM25 over the words of three letters or more; without any, a plain list by id."""
+    words = tuple(I.Term(w) for w in I.parse(query, least=3))
+    rows = (entries.where(where) if where is not None else entries).select(F.col(id_col).alias("id"))
     if not words:
-        rows = entries.where(where) if where is not None else entries
-        return rows.withColumn("score", F.lit(0.0))
-    return I.bm25(entries, F.col(text), I.Or(words), where).orderBy(F.round("score", 4).desc()).limit(limit)
+        return rows.orderBy("id").limit(limit).withColumn("score", F.lit(0.0))
+    found = rows.join(I.search(index, words[0] if len(words) == 1 else I.Or(words)), "id")
+    return found.select("id", F.round("score", 4).alias("score")).orderBy(F.desc("score"), "id").limit(limit)
 
 
 def details(types: DataFrame, members: DataFrame, most: int = 40, subclasses: int = 20) -> DataFrame:

@@ -1,26 +1,28 @@
 """Inverted index, query expressions and BM25.
 
-A query of known terms needs no index: its term counts are expressions of the row, and the corpus figures
-(documents, mean length, document counts of the terms) are one partial aggregation that is joined back as
-a single row. An index of postings serves standing corpora and batches of queries.
+An index is three Parquet tables in the shared folder: postings, terms and corpus figures. Postings lie in
+buckets by the first letters of their term, sorted by term inside, so that a query reads the buckets of its
+terms alone (partition pruning, then row groups by their least and greatest term), also for a prefix. The
+rows of a term carry document, frequency, length and positions; phrases are found by positions. Nothing
+reads the corpus again.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
+import hashlib
+import zlib
 from dataclasses import dataclass
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import tokens
+from quern.session import workspace
 from quern.sources.tables import spread
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
+#: Letters of a term that choose its bucket.
+HEAD = 3
 
 
 @dataclass(frozen=True)
@@ -57,32 +59,37 @@ def terms_of(e: Expression) -> list[Term]:
     return list(dict.fromkeys(found))
 
 
-def count_of(t: Term, words: Column) -> Column:
-    """How often a term occurs among the words."""
-    hit = (lambda x: F.startswith(x, F.lit(t.text))) if t.prefix else (lambda x: x == t.text)
-    return F.size(F.filter(words, hit))
+def parse(query: str, stop: frozenset[str] = frozenset(), least: int = 2) -> list[str]:
+    """Words of a query: letters and digits in lower case, long enough and no stop words; each once, in order."""
+    import re
 
+    return list(dict.fromkeys(w for w in re.findall(r"[^\W_]+", query.lower()) if len(w) >= least and w not in stop))
 
-def matches(e: Expression, words: Column) -> Column:
-    """Whether the words satisfy an expression."""
-    if isinstance(e, Term):
-        return F.exists(words, lambda x: F.startswith(x, F.lit(e.text))) if e.prefix else F.array_contains(words, e.text)
-    if isinstance(e, Phrase):
-        return F.contains(F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")), F.lit(f" {' '.join(e.words)} "))
-    parts = [matches(p, words) for p in e.parts]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out & p if isinstance(e, And) else out | p
-    return out
+
+def siblings(words: list[str], synonyms: dict[str, list[str]]) -> list[str]:
+    """Words beside the given ones that a table of synonyms links with them: a key's, and those of a member's key."""
+    out: list[str] = []
+    for w in words:
+        for key, others in synonyms.items():
+            if w == key or w in others:
+                out.extend([key, *others])
+    return [w for w in dict.fromkeys(out) if w not in words]
 
 
-def plan(query: list[str], expanded: list[str] = ()) -> Expression:
-    """A phrase of all words, or all of them if there are three at most, else any; expansions are alternatives."""
-    words = tuple(query)
-    each = tuple(Term(w) for w in words)
-    rest = And(each) if 1 < len(each) <= 3 else Or(each)
-    alternatives = [*([Phrase(words)] if len(words) > 1 else []), rest, *(Term(w) for w in expanded if w not in words)]
-    return Or(tuple(alternatives))
+def plan(words: list[str], expanded: list[str] = ()) -> Expression:
+    """What a query asks for: its words as a phrase, or all of its long words (any of them, if there are more than three).
+
+    Long words have three letters or more; a query without any asks for its short ones. Expansions are
+    alternatives; one of several words is a phrase.
+    """
+    long = tuple(Term(w) for w in words if len(w) > 2) or tuple(Term(w) for w in words)
+    options: list[Expression] = [Phrase(tuple(words))] if len(words) > 1 else []
+    options.append(long[0] if len(long) == 1 else And(long) if len(long) <= 3 and len(long[0].text) > 2 else Or(long))
+    for e in expanded:
+        parts = tuple(parse(e, least=1))
+        if parts:
+            options.append(Term(parts[0]) if len(parts) == 1 else Phrase(parts))
+    return options[0] if len(options) == 1 else Or(tuple(dict.fromkeys(options)))
 
 
 def idf(documents: Column, holding: Column) -> Column:
@@ -94,32 +101,6 @@ def saturation(count: Column, length: Column, mean: Column) -> Column:
     return count * (K1 + 1) / (count + K1 * (1 - B + B * length / mean))
 
 
-def bm25(corpus: DataFrame, text: Column, expression: Expression, where: Column | None = None) -> DataFrame:
-    """Rows that match, with ``score``; two scans and no shuffle but of one row of figures.
-
-    ``where`` restricts what is returned, not the figures of the corpus. Null texts have no words and
-    match nothing.
-    """
-    terms = terms_of(expression)
-    rows = spread(corpus).withColumn("_words", tokens(text)).withColumn("_length", F.size("_words"))
-    figures = rows.agg(
-        F.count("*").alias("_documents"), F.avg("_length").alias("_mean"), *(F.count_if(count_of(t, F.col("_words")) > 0).alias(f"_df{i}") for i, t in enumerate(terms))
-    )
-    # a word of the text is a part of it: plain containment spares most rows the cut into words
-    some = F.lit(False)
-    for t in terms:
-        some = some | F.contains(F.lower(text), F.lit(t.text))
-    hits = rows.where(F.coalesce(some, F.lit(False)) & matches(expression, F.col("_words")))
-    if where is not None:
-        hits = hits.where(where)
-    score = F.lit(0.0)
-    for i, t in enumerate(terms):
-        score = score + idf(F.col("_documents"), F.col(f"_df{i}")) * saturation(count_of(t, F.col("_words")), F.col("_length"), F.col("_mean"))
-    # one row of figures
-    joined = hits.join(F.broadcast(figures))
-    return joined.withColumn("score", score).select(*corpus.columns, "score")
-
-
 def postings(corpus: DataFrame, id_col: str, text: Column, positions: bool = True, only: DataFrame | None = None) -> DataFrame:
     """``term, id, length, tf`` and, if asked for, ``positions`` of every term of every document.
 
@@ -138,68 +119,152 @@ def term_stats(index: DataFrame) -> DataFrame:
     return index.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-def batch(corpus: DataFrame, id_col: str, text: Column, queries: DataFrame, k: int, block_terms: int = 4096, rows: int = 1024) -> DataFrame:
-    """``query_id, id, score, rank``: the best ``k`` documents of every query, ties by id.
+def bucket_of(term: str, buckets: int) -> int:
+    return zlib.crc32(term[:HEAD].encode()) % buckets
 
-    ``queries`` has query_id and text; it is read to the driver in blocks of at most ``block_terms`` terms
-    (or one query), each block two passes over the corpus: one for the figures of its terms, one in which
-    blocks of documents are multiplied with the weights of all queries. A task gives its own best ``k`` of
-    each query, so what is shuffled doesn't grow with the documents. Terms that half of all documents hold
-    have no weight.
-    """
-    docs = spread(corpus.select(F.col(id_col).cast("bigint").alias("id"), text.alias("_text"))).select("id", tokens(F.col("_text")).alias("words"))
-    asked = queries.select("query_id", F.array_sort(F.array_distinct(tokens(F.col("text")))).alias("terms"))
-    blocks: list[tuple[list, dict[str, int]]] = [([], {})]
-    for q, terms in sorted((r[0], r[1]) for r in asked.toLocalIterator()):
-        new = [t for t in terms if t not in blocks[-1][1]]
-        if blocks[-1][0] and len(blocks[-1][1]) + len(new) > block_terms:
-            blocks.append(([], {}))
-            new = terms
-        blocks[-1][0].append((q, terms))
-        for t in new:
-            blocks[-1][1].setdefault(t, len(blocks[-1][1]))
-    found = None
-    for block, places in blocks:
-        part = _scan(docs, block, places, k, rows)
-        found = part if found is None else found.unionByName(part)
-    order = Window.partitionBy("query_id").orderBy(F.round("score", 6).desc(), "id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+def _bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.crc32(F.encode(F.substring(term, 1, HEAD), "utf-8")), F.lit(buckets)).cast("int")
 
 
-def _scan(docs: DataFrame, block: list, places: dict[str, int], k: int, rows: int) -> DataFrame:
-    spark = docs.sparkSession
-    kept = docs.select("id", F.size("words").alias("length"), F.filter("words", lambda x: x.isin(*places) if places else F.lit(False)).alias("words"))
-    total, mean = docs.agg(F.count("*"), F.coalesce(F.avg(F.size("words")), F.lit(1.0))).first()
-    held = dict(kept.select(F.explode(F.array_distinct("words")).alias("t")).groupBy("t").agg(F.count("*")).collect())
-    weights = np.zeros((len(places), len(block)))
-    for j, (_, terms) in enumerate(block):
+@dataclass(frozen=True)
+class Index:
+    """An index on disk."""
+
+    spark: SparkSession
+    path: str
+    buckets: int
+
+    @property
+    def postings(self) -> DataFrame:
+        """``term, id, length, tf, positions, bucket``."""
+        return self.spark.read.parquet(f"{self.path}/postings")
+
+    @property
+    def terms(self) -> DataFrame:
+        """``term, df, cf, bucket``: in how many documents a term occurs, and how often at all."""
+        return self.spark.read.parquet(f"{self.path}/terms")
+
+    @property
+    def corpus(self) -> DataFrame:
+        """One row: ``documents, mean`` length."""
+        return self.spark.read.parquet(f"{self.path}/corpus")
+
+    def of(self, terms: list[Term]) -> DataFrame:
+        """The postings of some terms, from their buckets."""
+        if not terms:
+            return self.postings.where(F.lit(False))
+        hit = F.lit(False)
         for t in terms:
-            df = held.get(t, 0)
-            if df and df * 2 <= total:
-                weights[places[t], j] = max(math.log((total - df + 0.5) / (df + 0.5)), IDF_FLOOR)
-    shared = spark.sparkContext.broadcast(([q for q, _ in block], places, weights, float(mean)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, place, w, average = shared.value
-        names = pa.array(list(place), pa.string())
-        best_s, best_i = np.zeros((len(keys), 0)), np.zeros((len(keys), 0), np.int64)
-        for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
-                lists = part.column(2)
-                sizes = np.asarray(pa.compute.list_value_length(lists))
-                term = np.asarray(pa.compute.index_in(lists.flatten(), value_set=names))
-                counts = np.zeros((part.num_rows, len(names)))
-                np.add.at(counts, (np.repeat(np.arange(part.num_rows), sizes), term), 1)
-                norm = K1 * (1 - B + B * np.asarray(part.column(1), float) / average)
-                score = np.where(counts > 0, counts * (K1 + 1) / (counts + norm[:, None]), 0.0) @ w
-                ids = np.asarray(part.column(0))
-                best_s = np.concatenate([best_s, score.T], axis=1)
-                best_i = np.concatenate([best_i, np.broadcast_to(ids, score.T.shape)], axis=1)
-                order = np.lexsort((best_i, -np.round(best_s, 6)), axis=1)[:, :k]
-                best_s, best_i = np.take_along_axis(best_s, order, 1), np.take_along_axis(best_i, order, 1)
-        seen = best_s > 0
-        who = np.repeat(np.arange(len(keys)), best_s.shape[1]).reshape(best_s.shape)[seen]
-        yield pa.record_batch([pa.array([keys[i] for i in who], pa.int64()), pa.array(best_i[seen]), pa.array(best_s[seen])], names=["query_id", "id", "score"])
-
-    return kept.mapInArrow(run, "query_id bigint, id bigint, score double")
+            hit = hit | is_term(t)
+        if all(not t.prefix or len(t.text) >= HEAD for t in terms):
+            hit = F.col("bucket").isin(sorted({bucket_of(t.text, self.buckets) for t in terms})) & hit
+        return self.postings.where(hit)
+
+
+def is_term(t: Term) -> Column:
+    return F.startswith("term", F.lit(t.text)) if t.prefix else F.col("term") == t.text
+
+
+def build(corpus: DataFrame, id_col: str, text: Column, path: str, buckets: int, salts: int = 4) -> Index:
+    """Writes an index. A term that a third of all documents hold is written by ``salts`` tasks; null texts have no words."""
+    docs = spread(corpus.select(F.col(id_col).alias("id"), text.alias("_text")))
+    rows = postings(docs, "id", F.col("_text")).withColumn("bucket", _bucket(F.col("term"), buckets))
+    placed = rows.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(salts))).sortWithinPartitions("bucket", "term", "id")
+    placed.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    index = Index(corpus.sparkSession, path, buckets)
+    counts = index.postings.groupBy("bucket", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    counts.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
+    figures = docs.agg(F.count("*").alias("documents"), F.avg(F.size(tokens(F.col("_text")))).alias("mean"))
+    figures.coalesce(1).write.mode("overwrite").parquet(f"{path}/corpus")  # last: its presence says that the index is whole
+    return index
+
+
+def declared(spark: SparkSession, table_path: str, id_col: str, text: Column, what: str, bytes_a_bucket: int = 128 << 20) -> Index:
+    """The index of a table's text, built if the shared folder has none for the files as they are now.
+
+    ``what`` names the text. There is a bucket for every 128 MB of the table, 8 at least.
+    """
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(table_path)
+    fs = at.getFileSystem(conf)
+    files = [(s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(at)]
+    buckets = max(8, sum(n for _, n, _ in files) // bytes_a_bucket)
+    name = hashlib.sha256(repr((sorted(files), id_col, what, buckets)).encode()).hexdigest()[:24]
+    path = f"{workspace(spark)}/index-{name}"
+    done = jvm.org.apache.hadoop.fs.Path(f"{path}/corpus/_SUCCESS")
+    if done.getFileSystem(conf).exists(done):
+        return Index(spark, path, buckets)
+    return build(spark.read.parquet(table_path), id_col, text, path, buckets)
+
+
+def _found(e: Expression, count: dict[Term, Column], places: dict[str, Column]) -> Column:
+    """Whether a document satisfies an expression, by its counts and positions."""
+    if isinstance(e, Term):
+        return count[e] > 0
+    if isinstance(e, Phrase):
+        first, *rest = (places[w] for w in e.words)
+
+        def at(p: Column) -> Column:
+            hit = F.lit(True)
+            for k, other in enumerate(rest, 1):
+                hit = hit & F.array_contains(other, p + k)
+            return hit
+
+        return F.coalesce(F.exists(first, at), F.lit(False))
+    parts = [_found(p, count, places) for p in e.parts]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out & p if isinstance(e, And) else out | p
+    return out
+
+
+def phrases_of(e: Expression) -> list[str]:
+    """Distinct words of all phrases."""
+    if isinstance(e, Phrase):
+        return list(dict.fromkeys(e.words))
+    return [] if isinstance(e, Term) else list(dict.fromkeys(w for p in e.parts for w in phrases_of(p)))
+
+
+def search(index: Index, expression: Expression) -> DataFrame:
+    """``id, score`` of every document that satisfies an expression, by BM25 over all its terms.
+
+    Reads the buckets of the terms; one aggregation by document gives counts and positions, one row of
+    figures gives the rareness of the terms over the whole corpus.
+    """
+    terms = terms_of(expression)
+    words = phrases_of(expression)
+    rows = index.of(terms).groupBy("id").agg(
+        F.max("length").alias("length"), *(F.coalesce(F.sum(F.when(is_term(t), F.col("tf"))), F.lit(0)).alias(f"_tf{i}") for i, t in enumerate(terms)),
+        *(F.first(F.when(F.col("term") == w, F.col("positions")), ignorenulls=True).alias(f"_at{i}") for i, w in enumerate(words)),
+    )
+    count = {t: F.col(f"_tf{i}") for i, t in enumerate(terms)}
+    held = rows.agg(*(F.count_if(c > 0).alias(f"_df{i}") for i, c in enumerate(count.values())))
+    # both are one row
+    figures = held.crossJoin(F.broadcast(index.corpus))
+    hits = rows.where(_found(expression, count, {w: F.col(f"_at{i}") for i, w in enumerate(words)})).crossJoin(F.broadcast(figures))
+    score = F.lit(0.0)
+    for i, c in enumerate(count.values()):
+        score = score + idf(F.col("documents"), F.col(f"_df{i}")) * saturation(c, F.col("length"), F.col("mean"))
+    return hits.select("id", score.alias("score"))
+
+
+def batch(index: Index, queries: DataFrame, k: int) -> DataFrame:
+    """``query_id, id, score, rank``: the best ``k`` documents of every query, any word of which counts; ties by id.
+
+    ``queries`` has query_id and text. Postings of the queries' terms are put together by document once and
+    meet the queries' weights there; scores are summed and cut to the best ``k`` in each task before anything
+    is exchanged, so what is shuffled for ranking doesn't grow with the documents. Every term counts, however
+    common.
+    """
+    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).withColumn("bucket", _bucket(F.col("term"), index.buckets))
+    # one row of figures
+    known = index.terms.join(asked, ["bucket", "term"]).crossJoin(F.broadcast(index.corpus))
+    weights = known.select("term", "query_id", "mean", idf(F.col("documents"), F.col("df")).alias("weight"))
+    wanted = asked.select("bucket", "term").distinct()
+    by_document = index.postings.select("bucket", "term", "id", "length", "tf").join(wanted, ["bucket", "term"], "left_semi").drop("bucket").repartition("id")
+    part = F.col("weight") * saturation(F.col("tf"), F.col("length"), F.col("mean"))
+    scores = by_document.join(weights, "term").groupBy("id", "query_id").agg(F.sum(part).alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.round("score", 6).desc(), "id")
+    return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

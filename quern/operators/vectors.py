@@ -6,6 +6,7 @@ shuffled is bounded by tasks times queries times k, whatever the number of vecto
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -79,12 +80,38 @@ def top_k(vectors: DataFrame, queries: DataFrame, id_col: str, vector: str, k: i
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def hashed(words: Column, size: int = 64) -> Column:
-    """A deterministic embedding: signed counts of hashed words, of length 1; zeros for no words."""
-    once = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))  # noqa: E731, binds a value that a lambda would compute for each item
-    minus = lambda w: F.pmod(F.xxhash64(w, F.lit(1)), F.lit(2)).cast("int")
-    codes = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(size)).cast("int") + minus(w) * size)
-    zero = F.array_repeat(F.lit(0.0), size)
-    counts = F.aggregate(codes, zero, lambda acc, c: F.transform(acc, lambda v, i: v + F.when(c == i, 1.0).when(c == i + size, -1.0).otherwise(0.0)))
-    norm = lambda x: F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v))
-    return once(counts, lambda x: once(norm(x), lambda n: F.when(n > 0, F.transform(x, lambda v: v / n)).otherwise(x)))
+SIZE = 64
+
+
+def hash_vector(words: list[str], size: int = SIZE) -> list[float]:
+    """The embedding of a few words, as hashed gives it for rows."""
+    out = np.zeros(size)
+    for w in words:
+        code = int(hashlib.md5(w.encode()).hexdigest()[:8], 16)
+        out[code % size] += 1.0 if code // size % 2 == 0 else -1.0
+    norm = np.linalg.norm(out)
+    return (out / norm if norm else out).tolist()
+
+
+def hashed(rows: DataFrame, words: Column, keep: list[str], size: int = SIZE) -> DataFrame:
+    """The columns ``keep`` and ``embedding``: signed counts of hashed words, of length 1; zeros for no words.
+
+    A deterministic stand-in for a model. Words are hashed by the JVM, counts are one numpy histogram per batch.
+    """
+    code = F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint"))
+    chosen = rows.select(*keep, code.alias("_codes"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(batch.num_columns - 1)
+            codes = np.asarray(lists.flatten(), np.int64)
+            row = np.repeat(np.arange(batch.num_rows), np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0)))
+            sign = np.where(codes // size % 2 == 0, 1.0, -1.0)
+            counts = np.bincount(row * size + codes % size, weights=sign, minlength=batch.num_rows * size).reshape(-1, size)
+            norm = np.linalg.norm(counts, axis=1, keepdims=True)
+            flat = (counts / np.where(norm > 0, norm, 1.0)).reshape(-1)
+            vectors = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * size, pa.int32()), pa.array(flat))
+            yield pa.record_batch([*batch.columns[:-1], vectors], names=[*keep, "embedding"])
+
+    kinds = dict(chosen.dtypes)
+    return spread(chosen).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", embedding array<double>")

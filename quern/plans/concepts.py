@@ -9,44 +9,23 @@ from quern.functions import javadoc
 from quern.operators import concepts as K
 from quern.plans.registry import query
 from quern.plans.retrieval import WORDS, _bm25_sql
+from quern.plans.searching import bm25_cte, chunks_index, items_index
 from quern.sources import table
 
-_ALIASES = {"fluid tank": ["tank", "fluid handler"], "render layer": ["renderer"], "sound event": ["sounds"]}
-_TERMS = ["fluid tank", "tank", "fluid handler"]
-_ANY = lambda c: "(" + " OR ".join(f"contains(lower({c}), '{t}')" for t in _TERMS) + ")"
-_OCC = " + ".join(f"least(5.0 * ((length(lower(content)) - length(replace(lower(content), '{t}', ''))) / {len(t)})::INT, 25.0)" for t in _TERMS)
+_ALIASES = {"render layer": ["renderer"], "sound event": ["sounds"]}
 
 
-@query("R18 R19 R07", f"""SELECT id, (coalesce(CASE WHEN coalesce({_ANY('content')}, false) THEN 50.0 ELSE 40.0 END + CASE WHEN contains(lower(content), 'fluid tank') THEN 30 ELSE 0 END + CASE WHEN contains(lower(section_heading), 'fluid tank') THEN 40 ELSE 0 END + coalesce({_OCC}, 0) + CASE WHEN has_code THEN 15 ELSE 0 END, 0))::DOUBLE AS score
-FROM doc_chunks WHERE coalesce({_ANY('content')}, false) OR coalesce({_ANY('section_heading')}, false) ORDER BY score DESC, id LIMIT 30""")
-def concept_search(spark: SparkSession, d: str) -> DataFrame:
-    return K.concept_search(table(spark, d, "doc_chunks"), "fluid tank", K.expand_concept("fluid tank", _ALIASES))
-
-
-@query("A19 R33", "WITH v AS (SELECT sum(CASE WHEN contains(lower(content), 'render layer') THEN 3 ELSE 0 END + CASE WHEN contains(lower(content), 'renderer') THEN 1 ELSE 0 END)::BIGINT AS r, sum(CASE WHEN contains(lower(content), 'sound event') THEN 3 ELSE 0 END + CASE WHEN contains(lower(content), 'sounds') THEN 1 ELSE 0 END)::BIGINT AS s FROM doc_chunks WHERE contains(content, 'vault')) SELECT 'render layer' AS concept, r AS votes FROM v WHERE r > 0 UNION ALL SELECT 'sound event', s FROM v WHERE s > 0")
+@query("A19 R33", "WITH v AS (SELECT sum(CASE WHEN contains(lower(content), 'render layer') THEN 3 ELSE 0 END + CASE WHEN contains(lower(content), 'renderer') THEN 1 ELSE 0 END)::BIGINT AS r, sum(CASE WHEN contains(lower(content), 'sound event') THEN 3 ELSE 0 END + CASE WHEN contains(lower(content), 'sounds') THEN 1 ELSE 0 END)::BIGINT AS s FROM doc_chunks) SELECT 'render layer' AS concept, r AS votes FROM v WHERE r > 0 UNION ALL SELECT 'sound event', s FROM v WHERE s > 0")
 def related_concepts(spark: SparkSession, d: str) -> DataFrame:
-    chunks = table(spark, d, "doc_chunks").where(F.contains("content", F.lit("vault")))
-    return K.related(chunks, {k: v for k, v in _ALIASES.items() if k != "fluid tank"})
-
-
-_CODE = "CASE WHEN contains(lower(title), 'creative tab') THEN 100 ELSE 0 END + CASE WHEN contains(lower(heading), 'creative tab') THEN 80 ELSE 0 END + CASE WHEN contains(lower(caption), 'creative tab') THEN 70 ELSE 0 END + " + " + ".join(f"CASE WHEN contains(lower({f}), '{t}') THEN {p} ELSE 0 END" for t in ("creative", "tab") for f, p in (("title", 20), ("heading", 18), ("caption", 15), ("code", 5))) + " + CASE WHEN contains(code, 'world.notify') THEN 30 ELSE 0 END"
-
-
-@query("R17 R32 W04 F06", f"""WITH b AS (SELECT document_id, section_id, heading, unnest(code_blocks) AS b, generate_subscripts(code_blocks, 1) - 1 AS block FROM doc_sections),
-c AS (SELECT document_id, section_id, block, heading, title, b.code AS code, b.caption AS caption FROM b JOIN (SELECT document_id, title FROM document_pages) USING (document_id) WHERE b.code IS NOT NULL AND lower(b.language) = 'java'),
-s AS (SELECT *, ({_CODE})::DOUBLE AS score, section_id || '-' || block AS item, regexp_replace(left(code, 200), '\\s+', ' ', 'g') AS key FROM c),
-u AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, item) AS n FROM s WHERE score >= 20),
-o AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY score DESC, item) > 1 AS overflow FROM u WHERE n = 1)
-SELECT document_id, section_id, block::BIGINT AS block, score, overflow FROM o ORDER BY overflow, score DESC, item LIMIT 15""")
-def snippet_search(spark: SparkSession, d: str) -> DataFrame:
-    found = K.snippet_search(table(spark, d, "doc_sections"), table(spark, d, "document_pages"), ["creative", "tab"], ["world.notify"], "java", 15)
-    return found.withColumn("block", F.col("block").cast("bigint"))
+    return K.related(table(spark, d, "doc_chunks"), _ALIASES)
 
 
-@query("R53 W05 F12")
+@query("R53 W05 F12", f"""WITH r AS (SELECT id, score, word_count FROM {bm25_cte('doc_chunks', 'id', "concat_ws(chr(10), section_heading, content)", ['debug', 'stale'], "len(list_filter(w, lambda x: x LIKE 'debug%' OR x LIKE 'stale%')) > 0", ('debug', 'stale'))} JOIN (SELECT id, word_count FROM doc_chunks WHERE has_code AND contains(content, 'world.notify')) USING (id)),
+c AS (SELECT id, -round(score, 6) AS x, word_count FROM r ORDER BY round(score, 6) DESC, id LIMIT 50), b AS (SELECT min(x) AS best FROM c)
+SELECT id, floor((x - best) / greatest(abs(best) * 0.02, 0.05))::BIGINT AS band FROM c, b ORDER BY band, word_count DESC NULLS LAST, x, id LIMIT 10""")
 def example_search(spark: SparkSession, d: str) -> DataFrame:
-    chunks = table(spark, d, "doc_chunks").where("content is not null")
-    return K.example_search(chunks, "world.notify debug stale", F.col("has_code"), 10).select("id", "band")
+    rows = table(spark, d, "doc_chunks")
+    return K.example_search(rows, chunks_index(spark, d), "world.notify debug stale", "id", F.col("content"), F.col("word_count"), F.col("has_code"), 10)
 
 
 _E = _bm25_sql("eval_items", "item_id", "text", ["cartographer", "windmill"], "list_contains(w, 'cartographer') OR list_contains(w, 'windmill')", "suite = 'modqa'", 15)
@@ -54,8 +33,8 @@ _E = _bm25_sql("eval_items", "item_id", "text", ["cartographer", "windmill"], "l
 
 @query("R62", _E)
 def correspondence_search(spark: SparkSession, d: str) -> DataFrame:
-    rows = K.correspondence_search(table(spark, d, "eval_items"), "text", "Cartographer windmill at", F.col("suite") == "modqa", 10_000)
-    return rows.select("item_id", F.round("score", 4).alias("score")).orderBy(F.desc("score"), "item_id").limit(15)
+    rows = K.correspondence_search(table(spark, d, "eval_items"), items_index(spark, d), "item_id", "Cartographer windmill at", F.col("suite") == "modqa")
+    return rows.withColumnRenamed("id", "item_id")
 
 
 @query("R48 R45 W17", "WITH m AS (SELECT DISTINCT member_id, type_id, kind, name FROM api_members), s AS (SELECT type_id, count(*) AS members FROM (SELECT *, row_number() OVER (PARTITION BY type_id, kind ORDER BY name NULLS FIRST, member_id) AS n FROM m) WHERE n <= 5 GROUP BY 1), n AS (SELECT outer_fqn AS fqn, count(*) AS nested FROM api_types WHERE outer_fqn IS NOT NULL GROUP BY 1), b AS (SELECT regexp_replace(extends_raw, '<.*$', '') AS simple_name, count(*) AS subclasses FROM api_types WHERE extends_raw IS NOT NULL GROUP BY 1) SELECT type_id, coalesce(members, 0) AS members, coalesce(nested, 0) AS nested, coalesce(subclasses, 0) AS subclasses FROM api_types LEFT JOIN s USING (type_id) LEFT JOIN n USING (fqn) LEFT JOIN b USING (simple_name)")

@@ -22,15 +22,15 @@ QUERIES: dict[str, Query] = {}
 def query(covers: str, sql: str | None = None, lists: tuple[str, ...] = ()):
     """Registers a function of (spark, directory) under its own name.
 
-    Columns named in ``lists`` are arrays; they are compared as their items joined by spaces.
+    Columns named in ``lists`` are arrays; they are compared as their items joined by a sign no text holds.
     """
 
     def add(f):
         def run(spark: SparkSession, d: str) -> DataFrame:
             df = f(spark, d)
-            return df.withColumns({c: F.array_join(F.col(c).cast("array<string>"), " ") for c in lists}) if lists else df
+            return df.withColumns({c: F.array_join(F.col(c).cast("array<string>"), "\x1f") for c in lists}) if lists else df
 
-        flat = ", ".join(f"array_to_string({c}, ' ') AS {c}" for c in lists)
+        flat = ", ".join(f"array_to_string({c}, chr(31)) AS {c}" for c in lists)
         QUERIES[f.__name__] = Query(run, covers, f"SELECT * REPLACE ({flat}) FROM ({sql})" if lists and sql else sql)
         return f
 

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
-from quern.functions import versions as V
 from quern.operators import index as I
 from quern.operators import rank as R
 from quern.operators import vectors as X
 from quern.plans.registry import query
+from quern.plans.searching import documents_index, pages_index
 from quern.sources import table
 
 WORDS = r"list_filter(regexp_split_to_array(lower(coalesce({0}, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
@@ -27,7 +27,7 @@ ORDER BY round({score}, 4) DESC, {id_col} LIMIT {limit}"""
 
 
 def _top(rows: DataFrame, id_col: str, limit: int = 20) -> DataFrame:
-    return rows.select(id_col, F.round("score", 4).alias("score")).orderBy(F.desc("score"), id_col).limit(limit)
+    return rows.select(F.col("id").alias(id_col), F.round("score", 4).alias("score")).orderBy(F.desc("score"), id_col).limit(limit)
 
 
 def _has(t: str) -> str:
@@ -37,28 +37,29 @@ def _has(t: str) -> str:
 @query("R01 R02 R05 R63 F11 W07", _bm25_sql("documents", "doc_id", "text", ["particle", "factory", "reload"], " OR ".join(map(_has, ["particle", "factory", "reload"]))))
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     e = I.Or((I.Term("particle"), I.Term("factory"), I.Term("reload")))
-    return _top(I.bm25(table(spark, d, "documents"), F.col("text"), e), "doc_id")
+    return _top(I.search(documents_index(spark, d), e), "doc_id")
 
 
 @query("R02 F01 F02", _bm25_sql("documents", "doc_id", "text", ["registry", "event"], f"{_has('registry')} OR {_has('event')}", "lang = 'en' AND kind IN ('forum', 'guide')"))
 def bm25_filtered(spark: SparkSession, d: str) -> DataFrame:
     e = I.Or((I.Term("registry"), I.Term("event")))
-    return _top(I.bm25(table(spark, d, "documents"), F.col("text"), e, (F.col("lang") == "en") & F.col("kind").isin("forum", "guide")), "doc_id")
+    wanted = table(spark, d, "documents").where((F.col("lang") == "en") & F.col("kind").isin("forum", "guide")).select(F.col("doc_id").alias("id"))
+    return _top(wanted.join(I.search(documents_index(spark, d), e), "id"), "doc_id")
 
 
 @query("R05 F11", _bm25_sql("documents", "doc_id", "text", ["block", "state", "mapper"], "contains(' ' || array_to_string(w, ' ') || ' ', ' block state mapper ')"))
 def bm25_phrase(spark: SparkSession, d: str) -> DataFrame:
-    return _top(I.bm25(table(spark, d, "documents"), F.col("text"), I.Phrase(("block", "state", "mapper"))), "doc_id")
+    return _top(I.search(documents_index(spark, d), I.Phrase(("block", "state", "mapper"))), "doc_id")
 
 
 @query("R05 F11", _bm25_sql("documents", "doc_id", "text", ["golem", "biome"], f"{_has('golem')} AND {_has('biome')}"))
 def bm25_and(spark: SparkSession, d: str) -> DataFrame:
-    return _top(I.bm25(table(spark, d, "documents"), F.col("text"), I.And((I.Term("golem"), I.Term("biome")))), "doc_id")
+    return _top(I.search(documents_index(spark, d), I.And((I.Term("golem"), I.Term("biome")))), "doc_id")
 
 
 @query("F11 R53", _bm25_sql("documents", "doc_id", "text", ["deserial"], "len(list_filter(w, lambda x: x LIKE 'deserial%')) > 0", prefix=("deserial",)))
 def bm25_prefix(spark: SparkSession, d: str) -> DataFrame:
-    return _top(I.bm25(table(spark, d, "documents"), F.col("text"), I.Term("deserial", prefix=True)), "doc_id")
+    return _top(I.search(documents_index(spark, d), I.Term("deserial", prefix=True)), "doc_id")
 
 
 _POSTINGS = f"WITH d AS (SELECT doc_id, {WORDS.format('text')} AS w FROM documents), p AS (SELECT doc_id, unnest(w) AS term, len(w) AS length FROM d), i AS (SELECT term, doc_id, length, count(*) AS tf FROM p GROUP BY ALL)"
@@ -66,7 +67,7 @@ _POSTINGS = f"WITH d AS (SELECT doc_id, {WORDS.format('text')} AS w FROM documen
 
 @query("R01", _POSTINGS + " SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM i GROUP BY term")
 def term_stats(spark: SparkSession, d: str) -> DataFrame:
-    return I.term_stats(I.postings(table(spark, d, "documents"), "doc_id", F.col("text"), positions=False))
+    return documents_index(spark, d).terms.select("term", "df", "cf")
 
 
 @query("R01", _POSTINGS + " SELECT term, doc_id, tf, length::BIGINT AS length FROM i")
@@ -80,7 +81,7 @@ _BATCH = (
     + f""", f AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM d), s AS (SELECT term, count(*) AS df FROM i GROUP BY term),
 q AS (SELECT DISTINCT item_id AS query_id, unnest({WORDS.format('text')}) AS term FROM eval_items),
 x AS (SELECT query_id, doc_id, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))) AS score
-      FROM q JOIN s USING (term) JOIN i USING (term), f WHERE df * 2 <= n GROUP BY ALL),
+      FROM q JOIN s USING (term) JOIN i USING (term), f GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM x)
 SELECT query_id, doc_id, round(score, 3) AS score, rank FROM r WHERE rank <= 3"""
 )
@@ -89,7 +90,7 @@ SELECT query_id, doc_id, round(score, 3) AS score, rank FROM r WHERE rank <= 3""
 @query("R02 R09 J01", _BATCH)
 def bm25_batch(spark: SparkSession, d: str) -> DataFrame:
     asked = table(spark, d, "eval_items").selectExpr("item_id as query_id", "text")
-    out = I.batch(table(spark, d, "documents"), "doc_id", F.col("text"), asked, 3)
+    out = I.batch(documents_index(spark, d), asked, 3)
     return out.select("query_id", F.col("id").alias("doc_id"), F.round("score", 3).alias("score"), F.col("rank").cast("bigint"))
 
 
@@ -208,19 +209,14 @@ def cosine_threshold_maxlabel(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("label").agg(F.round(F.max("score"), 3).alias("score"), F.count("*").alias("n"))
 
 
-@query("R23")
-def hashed_embedding(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "doc_chunks").select("id", X.hashed(T.tokens(F.col("content")), 32).alias("embedding"))
-
-
-# ---- fusion and hybrid search -------------------------------------------------------------------
+# ---- fusion -------------------------------------------------------------------
 
 _LEX = _bm25_sql("document_pages", "document_id", "content", ["creative", "tab"], f"{_has('creative')} OR {_has('tab')}", limit=50)
 
 
 def _lexical(spark: SparkSession, d: str) -> DataFrame:
     e = I.Or((I.Term("creative"), I.Term("tab")))
-    return _top(I.bm25(table(spark, d, "document_pages"), F.col("content"), e), "document_id", 50)
+    return _top(I.search(pages_index(spark, d), e), "document_id", 50)
 
 
 def _titles(spark: SparkSession, d: str) -> DataFrame:
@@ -252,26 +248,3 @@ b AS (SELECT document_id, CASE WHEN (SELECT max(score) > min(score) FROM b0) THE
 SELECT document_id, round(0.6 * coalesce(a.s, 0) + 0.4 * coalesce(b.s, 0), 4) AS score FROM a FULL JOIN b USING (document_id)""")
 def weighted_fusion(spark: SparkSession, d: str) -> DataFrame:
     return R.weighted(_lexical(spark, d), _titles(spark, d), "document_id", "score", 0.6).select("document_id", F.round("score", 4).alias("score"))
-
-
-def _url_key(url: Column) -> Column:
-    return F.regexp_replace(url, r"/[0-9]+\.[0-9]+(\.[0-9]+)?/", "/")
-
-
-@query("R16 R14 R15 W03 R34 R13", f"""WITH c AS (SELECT document_id, max(score) AS s FROM (SELECT document_id, ({_CHUNK_SCORE.replace('fluid tank', 'creative tab').replace("'fluid'", "'creative'")})::DOUBLE AS score FROM doc_chunks) WHERE score > 0 GROUP BY 1),
-t AS ({_TITLES}), l AS ({_LEX}), u AS (SELECT document_id, s FROM c UNION ALL SELECT document_id, score FROM t UNION ALL SELECT document_id, score FROM l),
-m AS (SELECT document_id, max(s) AS s FROM u GROUP BY 1),
-b AS (SELECT m.document_id, m.s + CASE WHEN minecraft_version = '1.12.2' THEN 50 WHEN regexp_extract(minecraft_version, '^[0-9]+\\.[0-9]+') = '1.12' THEN 30 WHEN split_part(minecraft_version, '.', 1) = '1' THEN 10 ELSE 0 END AS score,
- regexp_replace(url, '/[0-9]+\\.[0-9]+(\\.[0-9]+)?/', '/') AS k FROM m JOIN document_pages p USING (document_id)),
-w AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY round(score, 4) DESC, document_id) AS n FROM b)
-SELECT document_id, round(greatest(0, least(100, score / 200 * 100)), 1) AS score FROM w WHERE n = 1 ORDER BY round(w.score, 4) DESC, document_id LIMIT 20""")
-def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
-    """The flagship: lexical, title and section strategies, version boost, one winner per page, top 20."""
-    fields = {"content": F.col("content"), "heading": F.col("section_heading")}
-    score, _ = R.additive(fields, "creative tab", [], {}, {"content": 50}, extra=[(F.contains(F.lower("section_heading"), F.lit("creative")), 18, "heading"), (F.col("has_code"), 10, "code")])
-    sections = table(spark, d, "doc_chunks").select("document_id", score.alias("score")).where("score > 0").groupBy("document_id").agg(F.max("score").alias("score"))
-    pooled = sections.unionByName(_titles(spark, d)).unionByName(_lexical(spark, d)).groupBy("document_id").agg(F.max("score").alias("score"))
-    pages = table(spark, d, "document_pages").select("document_id", "url", "minecraft_version")
-    boosted = pooled.join(pages, "document_id").select("document_id", (F.col("score") + V.boost(F.col("minecraft_version"), "1.12.2")).alias("score"), _url_key(F.col("url")).alias("key"))
-    winners = R.best_of_group(boosted, ["key"], [F.round("score", 4).desc(), F.asc("document_id")])
-    return winners.orderBy(F.round("score", 4).desc(), "document_id").limit(20).select("document_id", R.public_score(F.col("score")).alias("score"))

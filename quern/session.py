@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +16,7 @@ def session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str)
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.shuffle.partitions": str(shuffle_partitions),
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.enabled": "false",
     }
     for key, value in (defaults | conf).items():
@@ -21,13 +24,25 @@ def session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str)
     return builder.getOrCreate()
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read from there, so that lineage is cut.
+def workspace(spark: SparkSession) -> str:
+    """The folder all executors share, for checkpoints and declared indexes: what ``spark.checkpoint.dir`` names.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Where none is set, as in
-    tests on one machine, a temporary one is made.
+    Where none is set a local master gets a temporary one, removed at exit; a cluster is refused, since a
+    folder of one machine would lose what others need.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quern-checkpoint-"))
+        named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not named:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            named = tempfile.mkdtemp(prefix="quern-")
+            atexit.register(shutil.rmtree, named, True)
+        sc.setCheckpointDir(named)
+    return sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read from there, so that lineage is cut and lost executors cost nothing."""
+    workspace(df.sparkSession)
     return df.checkpoint()
