@@ -134,21 +134,22 @@ class Index:
     spark: SparkSession
     path: str
     buckets: int
+    kind: str = "bigint"  # type of the ids
 
     @property
     def postings(self) -> DataFrame:
         """``term, id, length, tf, positions, bucket``."""
-        return self.spark.read.parquet(f"{self.path}/postings")
+        return self.spark.read.schema(f"term string, id {self.kind}, length int, tf bigint, positions array<int>, bucket int").parquet(f"{self.path}/postings")
 
     @property
     def terms(self) -> DataFrame:
         """``term, df, cf, bucket``: in how many documents a term occurs, and how often at all."""
-        return self.spark.read.parquet(f"{self.path}/terms")
+        return self.spark.read.schema("term string, df bigint, cf bigint, bucket int").parquet(f"{self.path}/terms")
 
     @property
     def corpus(self) -> DataFrame:
         """One row: ``documents, mean`` length."""
-        return self.spark.read.parquet(f"{self.path}/corpus")
+        return self.spark.read.schema("documents bigint, mean double").parquet(f"{self.path}/corpus")
 
     def of(self, terms: list[Term]) -> DataFrame:
         """The postings of some terms, from their buckets."""
@@ -172,7 +173,7 @@ def build(corpus: DataFrame, id_col: str, text: Column, path: str, buckets: int,
     rows = postings(docs, "id", F.col("_text")).withColumn("bucket", _bucket(F.col("term"), buckets))
     placed = rows.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(salts))).sortWithinPartitions("bucket", "term", "id")
     placed.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    index = Index(corpus.sparkSession, path, buckets)
+    index = Index(corpus.sparkSession, path, buckets, dict(docs.dtypes)["id"])
     counts = index.postings.groupBy("bucket", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
     counts.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
     figures = docs.agg(F.count("*").alias("documents"), F.avg(F.size(tokens(F.col("_text")))).alias("mean"))
@@ -195,7 +196,7 @@ def declared(spark: SparkSession, table_path: str, id_col: str, text: Column, wh
     path = f"{workspace(spark)}/index-{name}"
     done = jvm.org.apache.hadoop.fs.Path(f"{path}/corpus/_SUCCESS")
     if done.getFileSystem(conf).exists(done):
-        return Index(spark, path, buckets)
+        return Index(spark, path, buckets, dict(spark.read.parquet(table_path).dtypes)[id_col])
     return build(spark.read.parquet(table_path), id_col, text, path, buckets)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions.identifiers import fuzzy_score
+from quern.functions.identifiers import fuzzy
 
 
 def search(types: DataFrame, members: DataFrame, query: str, expansions: tuple[str, ...], limit: int, floor: float = 10.0) -> DataFrame:
@@ -15,9 +15,8 @@ def search(types: DataFrame, members: DataFrame, query: str, expansions: tuple[s
     """
     named = types.select(F.lit("type").alias("kind"), F.col("type_id").alias("id"), F.col("simple_name").alias("name")).unionByName(members.select("kind", F.col("member_id").alias("id"), "name"))
     named = named.where("name is not null").distinct()
-    # a fixed number of parts: few names are much work, and would be drawn together into one task
-    parts = int(named.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    scored = named.select("name").distinct().repartition(parts).withColumn("score", fuzzy_score(F.col("name"), query, expansions)).where(F.col("score") > floor)
+    # an exploded filter: a plain one would be pushed below the stages of the score and repeat them
+    scored = fuzzy(named.select("name").distinct(), "name", query, expansions).select("name", F.explode(F.filter(F.array("score"), lambda v: v > floor)).alias("score"))
     return named.join(scored, "name").orderBy(F.desc("score"), "kind", "id").limit(limit).select("kind", "id", "name", "score")
 
 

@@ -46,11 +46,45 @@ def abbrev_expand(spark: SparkSession, d: str) -> DataFrame:
     return N.expand(words, F.broadcast(short), "type_id", "w")
 
 
-@query("R35 R40")
+def _close(w: str) -> str:
+    n = len(w)
+    alike = f"(1 - levenshtein(t, '{w}') / greatest(length(t), {n})::DOUBLE)"
+    floor = f"CASE WHEN least(length(t), {n}) >= 6 THEN 0.65 WHEN least(length(t), {n}) >= 4 THEN 0.7 ELSE 0.75 END"
+    return f"""coalesce(list_max(list_transform(own, lambda t: CASE WHEN t = '{w}' THEN 1.0::DOUBLE WHEN starts_with(t, '{w}') THEN greatest(0.75::DOUBLE, 0.9::DOUBLE - 0.02::DOUBLE * abs(length(t) - {n})) WHEN length(t) >= 3 AND starts_with('{w}', t) THEN greatest(0.65::DOUBLE, 0.8::DOUBLE - 0.03::DOUBLE * abs(length(t) - {n}))
+WHEN {n} >= 3 AND contains(t, '{w}') THEN 0.7::DOUBLE WHEN length(t) >= 3 AND contains('{w}', t) THEN 0.6::DOUBLE WHEN {alike} >= {floor} THEN 0.7::DOUBLE * {alike} ELSE 0.0::DOUBLE END)), 0.0)"""
+
+
+def _fuzzy_sql(q: str, base: list[str], more: list[str]) -> str:
+    """The score of every name by the rules of the survey, in SQL."""
+    whole, n = q.replace(" ", ""), len(base) + len(more)
+    at = [f"p[{i + 1}]" for i in range(n)]
+    count = lambda low, high, op=">=": "(" + " + ".join(f"({p} {op} {low} AND {p} < {high})::INT" for p in at) + ")"
+    return f"""WITH n AS (SELECT DISTINCT name FROM (SELECT simple_name AS name FROM api_types UNION ALL SELECT name FROM api_members) WHERE name IS NOT NULL),
+a AS (SELECT name, lower(name) AS low, length(name) AS size, {_CAMEL.format('name')} AS own, 1 - levenshtein(lower(name), '{whole}') / greatest(length(name), {len(whole)})::DOUBLE AS alike FROM n),
+b AS (SELECT *, [{', '.join(_close(w) for w in [*base, *more])}] AS p FROM a),
+c AS (SELECT *, {count(0.95, 2)} AS exact, {count(0.75, 0.95)} AS pre, {count(0.55, 0.75)} AS part, {count(0.3, 0.55, '>')} AS loose, {' + '.join([*at[:len(base)], *(f'{p} * 0.6::DOUBLE' for p in at[len(base):])])} AS total FROM b),
+d AS (SELECT *, CASE WHEN exact = {len(base)} OR exact + pre >= 0.8 * {len(base)} THEN 75 + 15 * total / {n} + CASE WHEN contains(low, '{''.join(base)}') THEN 5 ELSE 0 END + CASE WHEN own[1] = '{base[0]}' THEN 10 ELSE 0 END WHEN exact + pre >= 0.7 * {len(base)} THEN 55 + 20 * total / {n}
+ WHEN exact + pre + part >= 0.5 * {len(base)} THEN 40 + 20 * total / {n} WHEN loose > 0 OR total > 0.3 THEN 20 + 30 * total / {n} ELSE 0 END AS words FROM c),
+e AS (SELECT *, CASE WHEN words <> 0 THEN words + CASE WHEN size < 15 THEN 5 WHEN size > 40 THEN -5 ELSE 0 END ELSE 0 END AS tall FROM d),
+f AS (SELECT name, greatest(0, least(100, round(CASE WHEN low = '{whole}' THEN 100 WHEN starts_with(low, '{whole}') THEN least(95, 85 + greatest(0, 10 - (size - {len(q)}))) WHEN alike >= 0.75 THEN least(90, round(50 + 40 * alike)) WHEN contains(low, '{whole}') THEN greatest(tall, 55 + 20 * {len(whole)} / size::DOUBLE) ELSE tall END
+ - CASE WHEN starts_with(name, '_') OR starts_with(name, 'lambda$') OR starts_with(name, 'access$') OR contains(substr(name, 2), '$') THEN 25 ELSE 0 END)))::DOUBLE AS score FROM e WHERE size > 0)"""
+
+
+_NAMED = "SELECT DISTINCT 'type' AS kind, type_id AS id, simple_name AS name FROM api_types UNION SELECT DISTINCT kind, member_id, name FROM api_members"
+
+
+@query("R35 R40", _fuzzy_sql("registry handler", ["registry", "handler"], ["reg"]) + f" SELECT kind, id, name, score FROM ({_NAMED}) JOIN f USING (name) WHERE score > 10 ORDER BY score DESC, kind, id LIMIT 25")
 def fuzzy_search(spark: SparkSession, d: str) -> DataFrame:
     return S.search(table(spark, d, "api_types"), table(spark, d, "api_members"), "registry handler", ("reg",), 25)
 
 
+@query("R35", _fuzzy_sql("tank fluid", ["tank", "fluid"], ["vessel"]) + " SELECT name, score FROM f")
+def fuzzy_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The score of every name there is."""
+    names = table(spark, d, "api_types").select(F.col("simple_name").alias("name")).union(table(spark, d, "api_members").select("name")).where("length(name) > 0").distinct()
+    return N.fuzzy(names, "name", "tank fluid", ("vessel",)).select("name", "score")
+
+
 @query("R41 F09", "SELECT DISTINCT member_id, name FROM api_members WHERE starts_with(lower(name), 'parse')")
 def prefix_lookup(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "api_members").where(F.startswith(F.lower("name"), F.lit("parse")))

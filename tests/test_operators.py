@@ -2,7 +2,9 @@
 
 import gzip
 import json
+import math
 import random
+import re
 import zipfile
 
 import pytest
@@ -50,23 +52,65 @@ def test_truncate():
     assert text.truncate_code("int a = 1; int b = 2; int c = 3;", 24).startswith("int a = 1; int b = 2;")
 
 
-def test_fuzzy_score():
-    f = identifiers.fuzzy
-    assert f("getTank", "get tank") == 100
-    assert f("getTankSize", "get tank") == pytest.approx(91, abs=6)
-    assert f("_getTank", "getTank") < f("getTank", "getTank")
-    assert f("getTenk", "getTank") >= 80
-    assert f("tankGetter", "tank") > f("somethingElse", "tank")
-    assert f(None, "x") == 0 and f("", "x") == 0
-    for name in ("a", "lambda$0", "A" * 60):
-        assert 0 <= f(name, "query words", ("extra",)) <= 100
-
-
-@given(st.text("abAB_", max_size=8), st.text("abAB_", max_size=8))
-@settings(max_examples=100, deadline=None)
-def test_distance_is_symmetric(a, b):
-    d = identifiers._distance(a, b)
-    assert d == identifiers._distance(b, a) and abs(len(a) - len(b)) <= d <= max(len(a), len(b))
+def _score(name, query, more=()):
+    """The rules of the score, one after the other, by hand."""
+    import difflib  # noqa: F401, the standard ratio is another measure and isn't used
+
+    def distance(a, b):
+        table = {(i, 0): i for i in range(len(a) + 1)} | {(0, j): j for j in range(len(b) + 1)}
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                table[i, j] = min(table[i - 1, j] + 1, table[i, j - 1] + 1, table[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+        return table[len(a), len(b)]
+
+    alike = lambda a, b: 1 - distance(a, b) / max(len(a), len(b)) if a or b else 1.0
+    cut = lambda s: [w for w in re.split(r"[_\-\s]+", re.sub(r"([A-Z]+)([A-Z][a-z])", r"\1 \2", re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", s)).lower()) if w]
+
+    def close(t, w):
+        rules = [(t == w, 1.0), (t.startswith(w), max(0.75, 0.9 - 0.02 * abs(len(t) - len(w)))), (len(t) >= 3 and w.startswith(t), max(0.65, 0.8 - 0.03 * abs(len(t) - len(w)))), (len(w) >= 3 and w in t, 0.7), (len(t) >= 3 and t in w, 0.6)]
+        floor = next(v for k, v in ((6, 0.65), (4, 0.7), (0, 0.75)) if min(len(t), len(w)) >= k)
+        return next((v for ok, v in [*rules, (alike(t, w) >= floor, 0.7 * alike(t, w))] if ok), 0.0)
+
+    if not name:
+        return 0
+    whole, low = re.sub(r"[\s_\-]", "", query.lower()), name.lower()
+    base, own = [w for w in cut(query) if len(w) > 1], cut(name)
+    asked = [(w, 1.0) for w in base] + [(w, 0.6) for w in more if w not in base]
+    points = [(max((close(t, w) for t in own), default=0.0), k) for w, k in asked]
+    b, n, total = max(len(base), 1), max(len(asked), 1), sum(v * k for v, k in points)
+    exact, sure, part = (sum(v >= x for v, _ in points) for x in (0.95, 0.75, 0.55))
+    loose = any(0.3 < v < 0.55 for v, _ in points)
+    if low == whole:
+        out = 100
+    elif whole and low.startswith(whole):
+        out = min(95, 85 + max(0, 10 - (len(name) - len(query))))
+    elif alike(low, whole) >= 0.75:
+        out = min(90, math.floor(50 + 40 * alike(low, whole) + 0.5))
+    else:
+        out = 0
+        if asked and (exact == b or sure >= 0.8 * b):
+            out = 75 + 15 * total / n + 5 * ("".join(base) in low) + 10 * bool(own and base and own[0] == base[0])
+        elif asked and sure >= 0.7 * b:
+            out = 55 + 20 * total / n
+        elif asked and part >= 0.5 * b:
+            out = 40 + 20 * total / n
+        elif loose or total > 0.3:
+            out = 20 + 30 * total / n
+        out += (5 if len(name) < 15 else -5 if len(name) > 40 else 0) if out else 0
+        if len(whole) >= 3 and whole in low:
+            out = max(out, 55 + 20 * len(whole) / len(name))
+    hidden = name.startswith(("_", "lambda$", "access$")) or "$" in name[1:]
+    return max(0, min(100, math.floor(out - 25 * hidden + 0.5)))
+
+
+@pytest.mark.parametrize("query, more", [("get tank", ()), ("fluidTank", ("vessel", "fl")), ("xy", ()), ("", ("tank",)), ("a", ()), ("registry_handler", ("reg",))])
+def test_fuzzy_score(spark, query, more):
+    random.seed(len(query))
+    parts = ["get", "Tank", "tank", "Fluid", "Fluids", "_", "$", "Registry", "Handlr", "handler", "Reg", "vessel", "x", "XY", "lambda$", "Tenk", "Long" * 11, "3"]
+    names = ["", None, "getTank", "_getTank", "lambda$0", "fluidTank"] + ["".join(random.choices(parts, k=random.randint(1, 4))) for _ in range(400)]
+    rows = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "id int, name string")
+    got = {r["id"]: r["score"] for r in identifiers.fuzzy(rows, "name", query, more).collect()}
+    assert {i: (names[i], got[i]) for i in got} == {i: (n, _score(n, query, more)) for i, n in enumerate(names)}
 
 
 def test_versions(spark):
@@ -106,13 +150,42 @@ def test_tolerant_json():
     assert tolerant.unit(7) == 1.0 and tolerant.unit("x") == 0.5 and tolerant.unit(True) == 0.5
 
 
-def test_phrase_and_prefix(spark):
-    docs = spark.createDataFrame([(1, "red fox runs"), (2, "fox red"), (3, None), (4, ""), (5, "Red Fox")], "id int, t string")
-    ids = lambda e: sorted(r["id"] for r in index.bm25(docs, F.col("t"), e).collect())
-    assert ids(index.Phrase(("red", "fox"))) == [1, 5]
-    assert ids(index.And((index.Term("red"), index.Term("fox")))) == [1, 2, 5]
-    assert ids(index.Term("ru", prefix=True)) == [1]
-    assert isinstance(index.plan(["a", "b"], ["c"]).parts[1], index.And)
+def test_index_on_disk(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "red fox runs"), (2, "fox red"), (3, None), (4, ""), (5, "Red Fox"), (6, "red red fox fox")], "id int, t string")
+    i = index.build(docs, "id", F.col("t"), str(tmp_path / "i"), 4)
+    ids = lambda e: sorted(r["id"] for r in index.search(i, e).collect())
+    assert ids(index.Phrase(("red", "fox"))) == [1, 5, 6] and ids(index.Phrase(("red", "red", "fox", "fox"))) == [6]
+    assert ids(index.And((index.Term("red"), index.Term("fox")))) == [1, 2, 5, 6]
+    assert ids(index.Term("ru", prefix=True)) == ids(index.Term("run", prefix=True)) == [1] and ids(index.Term("nothing")) == []
+    assert ids(index.Or((index.Term("runs"), index.Phrase(("fox", "red"))))) == [1, 2]
+    assert {r["term"]: (r["df"], r["cf"]) for r in i.terms.collect()} == {"red": (4, 5), "fox": (4, 5), "runs": (1, 1)}
+    plan = index.search(i, index.Term("runs"))._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [(bucket" in plan or "bucket#" in plan.split("PartitionFilters", 1)[1][:80]
+    empty = index.build(docs.limit(0), "id", F.col("t"), str(tmp_path / "e"), 2)
+    assert index.search(empty, index.Term("red")).count() == 0
+
+
+def test_query_plans():
+    p = index.plan
+    assert p(["creative", "tab"]) == index.Or((index.Phrase(("creative", "tab")), index.And((index.Term("creative"), index.Term("tab")))))
+    assert isinstance(p(["one", "two", "three", "four"]).parts[1], index.Or) and p(["tank"]) == index.Term("tank")
+    assert p(["a", "b"]).parts[1] == index.Or((index.Term("a"), index.Term("b")))
+    assert p(["tank"], ["fluid handler", "vessel"]).parts[1:] == (index.Phrase(("fluid", "handler")), index.Term("vessel"))
+    assert index.parse("The Creative-tab, in a TAB!", frozenset(["the", "in"])) == ["creative", "tab"]
+    assert index.siblings(["vessel"], {"tank": ["vessel", "cask"], "x": ["y"]}) == ["tank", "cask"] and index.siblings(["tank"], {"tank": ["vessel"]}) == ["vessel"]
+
+
+def test_batch_against_single_queries(spark, tmp_path):
+    random.seed(2)
+    docs = spark.createDataFrame([(k, " ".join(random.choices("ab bc cd de ef fg gh".split(), k=random.randint(0, 9)))) for k in range(80)], "id bigint, t string")
+    i = index.build(docs, "id", F.col("t"), str(tmp_path / "b"), 4)
+    asked = [(1, "ab cd"), (2, "gh gh none"), (3, "none"), (4, None)]
+    got = {(r["query_id"], r["rank"]): (r["id"], round(r["score"], 6)) for r in index.batch(i, spark.createDataFrame(asked, "query_id bigint, text string"), 5).collect()}
+    want = {}
+    for q, e in ((1, index.Or((index.Term("ab"), index.Term("cd")))), (2, index.Term("gh"))):
+        found = sorted(((-round(r["score"], 6), r["id"]) for r in index.search(i, e).collect()))[:5]
+        want |= {(q, n): (k, -s) for n, (s, k) in enumerate(found, 1)}
+    assert got == want
 
 
 def test_postings_delta(spark):
@@ -137,17 +210,11 @@ def test_vectors_against_brute_force(spark):
     assert vectors.top_k(df, asked.limit(0), "id", "v", 5).count() == 0
 
 
-def test_hashed_embedding_takes_whole_content(spark, data):
-    got = dict(retrieval.hashed_embedding(spark, data).select("id", "embedding").collect())
-    chunks = spark.read.parquet(f"{data}/doc_chunks.parquet").select("id", "content", text.tokens(F.col("content")).alias("words")).collect()
-    assert set(got) == {r["id"] for r in chunks}
-    places = {w: (p, s) for w, p, s in spark.createDataFrame([(w,) for w in {w for r in chunks for w in r["words"]}], "w string").select("w", F.expr("pmod(xxhash64(w), 32)"), F.expr("if(pmod(xxhash64(w, 1), 2) = 0, 1, -1)")).collect()}
-    for r in chunks:
-        want = [0.0] * 32
-        for w in r["words"]:
-            want[places[w][0]] += places[w][1]
-        norm = sum(v * v for v in want) ** 0.5
-        assert got[r["id"]] == pytest.approx([v / norm for v in want] if norm else want)
+def test_hashed_embedding(spark):
+    rows = spark.createDataFrame([(1, ["red", "fox", "red"]), (2, []), (3, None)], "id int, words array<string>")
+    got = {r["id"]: r["embedding"] for r in vectors.hashed(rows, F.col("words"), ["id"], 16).collect()}
+    assert got[1] == pytest.approx(vectors.hash_vector(["red", "fox", "red"], 16)) and sum(x * x for x in got[1]) == pytest.approx(1)
+    assert got[2] == got[3] == [0.0] * 16
 
 
 def test_closure_ends_on_cycles(spark):
