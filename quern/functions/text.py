@@ -41,9 +41,14 @@ def without(text: Column, patterns: list[str]) -> Column:
     return text
 
 
+#: White space of all kinds, no-break spaces and the byte-order mark included.
+SPACE = r"[\t-\r\p{Z}\x{FEFF}]"
+
+
 def word_count(text: Column) -> Column:
     """Words split at white space; an empty text counts as one."""
-    return F.size(F.split(F.trim(text), r"\s+")).cast("bigint")
+    bare = F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    return F.size(F.split(bare, f"{SPACE}+")).cast("bigint")
 
 
 def change_hash(text: Column) -> Column:
@@ -51,15 +56,39 @@ def change_hash(text: Column) -> Column:
     return F.substring(F.sha2(text, 256), 1, 16)
 
 
-def record_hash(*columns: Column) -> Column:
-    """One hash over several columns, with their order fixed and null apart from empty."""
-    return F.sha2(F.concat_ws("\x1f", *(F.coalesce(c.cast("string"), F.lit("\x00")) for c in columns)), 256)
+def record_hash(**fields: Column) -> Column:
+    """SHA-256 of a record as JSON with its names in order, so that no order of writing changes it; null is a value."""
+    return F.sha2(F.to_json(F.struct(*(fields[k].alias(k) for k in sorted(fields))), {"ignoreNullFields": "false"}), 256)
+
+
+def _units(text: Column) -> Column:
+    """The UTF-16 units of a text as numbers."""
+    digits = F.hex(F.encode(text, "UTF-16BE"))
+    n = (F.length(digits) / 4).cast("int")
+    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.conv(F.substr(digits, i * 4 - 3, F.lit(4)), 16, 10).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
+
+
+def rolling_id(text: Column) -> Column:
+    """A short id: the rolling 32-bit hash (times 31 plus the unit), without its sign, to the base 36. Not free of collisions."""
+    h = F.aggregate(_units(text), F.lit(0).cast("bigint"), lambda acc, c: F.pmod(acc * 31 + c, F.lit(1 << 32)))
+    return F.lower(F.conv(F.when(h >= 1 << 31, (1 << 32) - h).otherwise(h).cast("string"), 10, 36))
+
+
+def fnv1a(text: Column) -> Column:
+    """The 32-bit FNV-1a hash over UTF-16 units, as eight hexadecimal digits."""
+    h = F.aggregate(_units(text), F.lit(0x811C9DC5).cast("bigint"), lambda acc, c: F.pmod(acc.bitwiseXOR(c) * 0x01000193, F.lit(1 << 32)))
+    return F.lpad(F.lower(F.hex(h)), 8, "0")
 
 
 def slug(text: Column, most: int = 120) -> Column:
-    """Lower-case words joined by hyphens; one over ``most`` characters is cut and ended by a hash."""
+    """Lower-case words joined by hyphens; one over ``most`` characters is cut and ended by its FNV-1a hash."""
     out = F.trim(F.regexp_replace(F.lower(text), r"[^a-z0-9]+", "-"), F.lit("-"))
-    return F.when(F.length(out) > most, F.concat(F.substring(out, 1, most - 9), F.lit("-"), F.substring(F.sha2(out, 256), 1, 8))).otherwise(out)
+    return F.when(F.length(out) > most, F.concat(F.substring(out, 1, most - 9), F.lit("-"), fnv1a(out))).otherwise(out)
+
+
+def entry_key(topic: Column, vocabulary: Column, name: Column) -> Column:
+    """The key of a correspondence: topic, vocabulary and slug of the name."""
+    return F.concat_ws("/", topic, vocabulary, slug(name))
 
 
 def camel_words(name: Column) -> Column:

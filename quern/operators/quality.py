@@ -25,6 +25,40 @@ def audit(rows: DataFrame, checks: dict[str, Column]) -> DataFrame:
     return counts.select(F.inline(pairs))
 
 
+def exit_code(fallback: int, shares: int, lint: int) -> int:
+    """What a build ends with: 3 for too many rows of the fallback, 4 for a part with too many, 5 for other findings, 0 for none."""
+    return 3 if fallback else 4 if shares else 5 if lint else 0
+
+
+def correspondence_audit(rows: DataFrame, links: DataFrame, vocabularies: list[str], topics: list[str], kinds: list[str], schemes: list[str]) -> DataFrame:
+    """``check, bad`` over entries of entry_key, topic, vocabulary, kind, from_api, to_api, keywords and their links.
+
+    Two passes: one aggregation over the entries, one over the links.
+    """
+    blank = lambda c: F.col(c).isNull() | (F.trim(c) == "")
+    listed = lambda c, values: F.col(c).isNull() | ~F.col(c).isin(*values)
+    head = F.concat(F.coalesce("topic", F.lit("")), F.lit("/"), F.coalesce("vocabulary", F.lit("")), F.lit("/"))
+    checks = {
+        "key shape": ~F.startswith("entry_key", head), "vocabulary list": listed("vocabulary", vocabularies), "kind list": listed("kind", kinds), "topic list": listed("topic", topics),
+        "target present": (F.col("kind") != "missing") & blank("to_api"), "source present": blank("from_api"), "keywords non-empty": F.col("keywords").isNull() | (F.size("keywords") < 1),
+    }
+    size = rows.agg((F.count("*") == 0).cast("bigint").alias("non-empty"), (F.count("*") - F.countDistinct("entry_key")).alias("key unique"))
+    whole = size.select(F.inline(F.array(*(F.struct(F.lit(n).alias("check"), F.col(f"`{n}`").alias("bad")) for n in ("non-empty", "key unique")))))
+    known = F.col("link").rlike("^[^/]+/[^/]+/[^/]+")
+    for s in schemes:
+        known = known | F.startswith("link", F.lit(s))
+    return whole.unionByName(audit(rows, checks)).unionByName(audit(links, {"link scheme": ~known}))
+
+
+def cross_errors(rows: DataFrame, links: DataFrame, key: str, scheme: str) -> DataFrame:
+    """``error, subject, n``: keys held by several entries, and links to entries (by scheme or bare key) that lead nowhere."""
+    twice = duplicates(rows, [key]).select(F.lit("duplicate key").alias("error"), F.col(key).alias("subject"), "n")
+    bare = F.when(F.startswith("link", F.lit(scheme)), F.substring("link", len(scheme) + 1, 1_000_000)).when(~F.contains("link", F.lit("://")), F.col("link"))
+    targets = links.withColumn("_t", F.split_part(bare, F.lit("#"), F.lit(1))).where("_t is not null")
+    lost = targets.join(rows.select(F.col(key).alias("_t")).distinct(), "_t", "left_anti").groupBy(F.col("link").alias("subject")).agg(F.count("*").alias("n"))
+    return twice.unionByName(lost.select(F.lit("unresolved link").alias("error"), "subject", "n"))
+
+
 def zero_width(rows: DataFrame, columns: list[str]) -> DataFrame:
     return audit(rows, {c: F.col(c).rlike(ZERO_WIDTH) for c in columns})
 

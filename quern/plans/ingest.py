@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import io
+import uuid
+import zipfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,44 +13,160 @@ from quern.functions import text as T
 from quern.operators import graph as G
 from quern.operators import index as I
 from quern.operators import quality as Q
+from quern.operators.quality import gate
 from quern.plans.registry import query
+from quern.session import workspace
 from quern.sources import formats, table
 from quern.sources.store import cascade, children, numbered
 from quern.streaming.incremental import postings_delta
 
 
-@query("S17 J15", "SELECT * FROM (VALUES ('a/A', 'x/X', 'class', 'a/A', 'x/X', NULL), ('a/A', 'x/X', 'field', 'f', 'g', NULL), ('a/A', 'x/X', 'method', 'm', 'n', '(IJ)V'), ('b/B', 'y/Y', 'class', 'b/B', 'y/Y', NULL)) t(class_from, class_to, what, name_from, name_to, descriptor)")
+# ---- line, archive and JSON formats, written from the tables and read back ------------------------
+
+_MEMBERS = "(SELECT DISTINCT member_id, type_id, kind, name, params FROM api_members WHERE length(name) > 0)"
+_INNER = "replace(fqn, '.', '/')"
+
+
+def _mapping_files(spark: SparkSession, d: str) -> DataFrame:
+    """One mapping text per type: its class line, then every member's line with what belongs to it."""
+    types = table(spark, d, "api_types").select("type_id", "fqn", "simple_name")
+    members = table(spark, d, "api_members").where("length(name) > 0").select("member_id", "type_id", "kind", "name", "params").distinct()
+    method = F.col("kind") == "method"
+    params = F.coalesce(F.array_join(F.transform("params", lambda x, i: F.concat(F.lit("\n\t\t"), i, F.lit(" o "), x["name"])), ""), F.lit(""))
+    line = F.when(method, F.concat(F.lit("\n\t"), "name", F.lit(" (I)V m"), "member_id", F.when(F.col("member_id") % 2 == 0, "\n\t\tstatic").otherwise(""), params)).otherwise(F.concat(F.lit("\n\t"), "name", F.lit(" f"), "member_id"))
+    lines = members.groupBy("type_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("member_id", line.alias("l")))), lambda x: x["l"]), "").alias("lines"))
+    text = F.concat(F.lit("tsrg2 left right\n"), F.replace("fqn", F.lit("."), F.lit("/")), F.lit(" x/"), "simple_name", F.coalesce("lines", F.lit("")), F.lit("\n"))
+    return types.join(lines, "type_id", "left").select(F.col("type_id").cast("string").alias("file"), text.alias("value"))
+
+
+@query("S17", f"""WITH t AS (SELECT type_id, {_INNER} AS a, 'x/' || simple_name AS b FROM api_types), m AS (SELECT * FROM {_MEMBERS} JOIN t USING (type_id))
+SELECT a AS class_from, b AS class_to, 'class' AS what, a AS name_from, b AS name_to, NULL AS descriptor, false AS is_static, NULL::INT AS slot FROM t
+UNION ALL SELECT a, b, 'method', name, 'm' || member_id, '(I)V', member_id % 2 = 0, NULL FROM m WHERE kind = 'method' UNION ALL SELECT a, b, 'field', name, 'f' || member_id, NULL, false, NULL FROM m WHERE kind <> 'method' OR kind IS NULL
+UNION ALL SELECT a, b, 'parameter', name, p.name, '(I)V', false, (i - 1)::INT FROM (SELECT *, unnest(params) AS p, generate_subscripts(params, 1) AS i FROM m WHERE kind = 'method')""")
 def mapping_lines(spark: SparkSession, d: str) -> DataFrame:
-    files = spark.createDataFrame([("f", "tsrg2 left right\na/A x/X\n\tf g\n\tm (IJ)V n\n\t\t0 o p\nb/B y/Y\n")], "file string, value string")
-    return formats.tsrg(files)
+    return formats.tsrg(_mapping_files(spark, d)).drop("file")
 
 
-@query("S18", "SELECT * FROM (VALUES ('net.A', 'a', 'class', NULL, NULL, NULL, NULL), ('net.A', 'a', 'field', 'int', 'x', '', 'b'), ('net.A', 'a', 'method', 'void', 'go', '(int,float)', 'c')) t(class_from, class_to, what, type, name_from, arguments, name_to)")
+@query("S18", f"""WITH t AS (SELECT type_id, fqn AS a, 'z' || type_id AS b FROM api_types), m AS (SELECT * FROM {_MEMBERS} JOIN t USING (type_id))
+SELECT a AS class_from, b AS class_to, 'class' AS what, NULL AS type, NULL AS name_from, NULL AS arguments, NULL AS name_to FROM t
+UNION ALL SELECT a, b, 'method', 'void', name, '(int,float)', 'c' || member_id FROM m WHERE kind = 'method' UNION ALL SELECT a, b, 'field', 'int', name, '', 'c' || member_id FROM m WHERE kind <> 'method' OR kind IS NULL""")
 def shrinker_lines(spark: SparkSession, d: str) -> DataFrame:
-    return formats.proguard(spark.createDataFrame([("f", "# head\nnet.A -> a:\n    int x -> b\n    1:2:void go(int,float) -> c\n")], "file string, value string"))
+    types = table(spark, d, "api_types").select("type_id", "fqn")
+    members = table(spark, d, "api_members").where("length(name) > 0").select("member_id", "type_id", "kind", "name").distinct()
+    line = F.when(F.col("kind") == "method", F.concat(F.lit("    1:2:void "), "name", F.lit("(int,float) -> c"), "member_id", F.lit("\n"))).otherwise(F.concat(F.lit("    int "), "name", F.lit(" -> c"), "member_id", F.lit("\n")))
+    lines = members.groupBy("type_id").agg(F.array_join(F.collect_list(line), "").alias("lines"))
+    text = F.concat(F.lit("# head\n"), "fqn", F.lit(" -> z"), "type_id", F.lit(":\n"), F.coalesce("lines", F.lit("")))
+    return formats.proguard(types.join(lines, "type_id", "left").select(F.col("type_id").cast("string").alias("file"), text.alias("value")))
 
 
-@query("S16", "SELECT * FROM (VALUES ('12', 'own', '(I)V'), ('13', 'other', '()V')) t(id, owner, descriptor)")
+@query("S16", f"SELECT member_id::VARCHAR AS id, {_INNER} AS owner, '(I)V' AS descriptor FROM {_MEMBERS} JOIN api_types USING (type_id)")
 def sidecar_lines(spark: SparkSession, d: str) -> DataFrame:
-    lines = spark.createDataFrame([("# head",), ("",), ("12 own (I)V # tail",), ("13  other\t()V",)], "value string")
+    """Lines of three fields, with comments and blank lines between them."""
+    members = table(spark, d, "api_members").where("length(name) > 0").select("member_id", "type_id", "kind", "name", "params").distinct()
+    rows = members.join(table(spark, d, "api_types").select("type_id", F.replace("fqn", F.lit("."), F.lit("/")).alias("owner")), "type_id")
+    lines = rows.select(F.explode(F.array(F.concat("member_id", F.lit("  "), "owner", F.lit("\t(I)V # tail")), F.lit("# alone"), F.lit("  "))).alias("value"))
     return formats.sidecar(lines, ["id", "owner", "descriptor"])
 
 
-@query("S14 S15", "SELECT * FROM (VALUES ('f1', 'b', 'z, \"q\"'), ('f2', 'c', NULL)) t(searge, name, note)")
-def names_last_wins(spark: SparkSession, d: str) -> DataFrame:
-    lines = spark.createDataFrame([(0, "f1,a,0,x"), (1, 'f1,b,0,"z, ""q"""'), (2, "f2,c,0,"), (3, ",d,0,y")], "n int, line string")
-    rows = lines.select("n", F.from_csv("line", "searge string, name string, side int, note string", {"escape": '"', "emptyValue": ""}).alias("r")).select("n", "r.*")
-    return formats.names(rows, "searge", "n").select("searge", "name", "note")
-
-
-@query("S09 S07", "SELECT * FROM (VALUES ('https://a.example/b', '2024-01-02T03:04:05Z'), ('https://c.example/d', '2024-01-03T00:00:00Z')) t(loc, lastmod)")
+def _written(df: DataFrame, name: str) -> str:
+    """A new folder in the shared one, for a writer to fill."""
+    return f"{workspace(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+@query("S14 S15", """WITH r AS (SELECT member_id, name, javadoc_summary, indexed_at, row_number() OVER (PARTITION BY member_id ORDER BY epoch_us(indexed_at) DESC NULLS LAST) AS n FROM (SELECT DISTINCT member_id, name, javadoc_summary, indexed_at FROM api_members) WHERE length(name) > 0)
+SELECT 'func_' || member_id AS searge, name, CASE WHEN trim(javadoc_summary) <> '' THEN 'a "b", ' || javadoc_summary END AS javadoc FROM r WHERE n = 1""")
+def names_csv(spark: SparkSession, d: str) -> DataFrame:
+    """Names, written as quoted CSV and read back; of rows delivered again the last wins."""
+    rows = table(spark, d, "api_members").select(
+        F.concat(F.lit("func_"), "member_id").alias("searge"), "name", F.lit("0").alias("side"),
+        F.when(F.trim("javadoc_summary") != "", F.concat(F.lit('a "b", '), "javadoc_summary")).alias("desc"), F.unix_micros("indexed_at").alias("at"),
+    ).distinct()
+    path = _written(rows, "names")
+    rows.write.csv(path, header=True, quote='"', escape='"')
+    return formats.names(formats.csv(spark, path, "searge string, name string, side string, desc string, at bigint"), "at")
+
+
+@query("S15", """SELECT 'p_' || member_id || '_' || (i - 1) || '_' AS param, p.name AS name FROM (SELECT member_id, unnest(params) AS p, generate_subscripts(params, 1) AS i FROM (SELECT DISTINCT member_id, params FROM api_members)) WHERE length(p.name) > 0""")
+def parameters_csv(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "api_members").select("member_id", F.posexplode("params").alias("i", "p")).distinct()
+    rows = rows.select(F.concat(F.lit("p_"), "member_id", F.lit("_"), "i", F.lit("_")).alias("param"), F.col("p.name").alias("name"), F.lit("0").alias("side"))
+    path = _written(rows, "parameters")
+    rows.write.csv(path, header=True, quote='"', escape='"')
+    return formats.parameter_names(formats.csv(spark, path, "param string, name string, side string"), "name")
+
+
+@query("S19", f"""WITH m AS (SELECT * FROM (SELECT DISTINCT member_id, type_id, kind, name, params, javadoc FROM api_members WHERE length(name) > 0) JOIN (SELECT type_id, fqn FROM api_types) USING (type_id))
+SELECT DISTINCT 'package' AS what, NULL AS class, package_name AS name, NULL AS descriptor, NULL::INT AS slot, NULL AS parameter, NULL AS javadoc FROM api_types UNION ALL SELECT 'class', fqn, fqn, NULL, NULL, NULL, CASE WHEN length(javadoc) > 0 THEN javadoc END FROM api_types
+UNION ALL SELECT 'field', fqn, name, 'I', NULL, NULL, NULL FROM m WHERE kind = 'field' UNION ALL SELECT 'method', fqn, name, '(I)V', NULL, NULL, CASE WHEN length(javadoc) > 0 THEN javadoc || chr(10) || 'more' END FROM m WHERE kind = 'method'
+UNION ALL SELECT 'parameter', fqn, name, '(I)V', (i - 1)::INT, p.name, NULL FROM (SELECT *, unnest(params) AS p, generate_subscripts(params, 1) AS i FROM m WHERE kind = 'method')""")
+def parchment_names(spark: SparkSession, d: str) -> DataFrame:
+    """Documented names: packages, classes, fields, methods and parameters, written as JSON and read back."""
+    types = table(spark, d, "api_types").select("type_id", "fqn", "package_name", "javadoc")
+    members = table(spark, d, "api_members").where("length(name) > 0").select("member_id", "type_id", "kind", "name", "params", "javadoc").distinct()
+    field = F.when(F.col("kind") == "field", F.struct("name", F.lit("I").alias("descriptor")))
+    doc = lambda *more: F.when(F.length("javadoc") > 0, F.array("javadoc", *(F.lit(x) for x in more)))
+    method = F.when(F.col("kind") == "method", F.struct("name", F.lit("(I)V").alias("descriptor"), doc("more").alias("javadoc"), F.transform("params", lambda x, i: F.struct(i.alias("index"), x["name"].alias("name"))).alias("parameters")))
+    of = members.groupBy("type_id").agg(F.collect_list(field).alias("fields"), F.collect_list(method).alias("methods"))
+    classes = types.join(of, "type_id", "left").select(F.to_json(F.struct(F.lit("1").alias("version"), F.array(F.struct(F.col("fqn").alias("name"), doc().alias("javadoc"), "fields", "methods")).alias("classes"))).alias("value"))
+    packages = types.select("package_name").distinct().select(F.to_json(F.struct(F.array(F.struct(F.col("package_name").alias("name"))).alias("packages"))).alias("value"))
+    return formats.documented_names(classes.unionByName(packages))
+
+
+@query("S09", "SELECT url AS loc, '2024-01-02T03:04:05Z' AS lastmod FROM document_pages WHERE regexp_matches(url, '^https?://[^ ]+$')")
 def sitemap_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return formats.sitemap_text(spark.createDataFrame([("https://a.example/b2024-01-02T03:04:05Zhttps://c.example/d2024-01-03T00:00:00Z",)], "value string"))
-
-
-@query("S20", "SELECT * FROM (VALUES ('1.2'), ('1.3')) t(version)")
+    rows = table(spark, d, "document_pages").where(F.col("url").rlike("^https?://[^ ]+$"))
+    return formats.sitemap_text(rows.select(F.concat("url", F.lit("2024-01-02T03:04:05Z")).alias("value")))
+
+
+@query("S07 S13", "SELECT replace(url, '&', '+') AS loc, '2024-01-02' AS lastmod, 'daily' AS changefreq, 0.5::DOUBLE AS priority FROM document_pages WHERE length(url) > 0 UNION ALL SELECT 'https://a.example/part.xml', NULL, 'nested', NULL")
+def sitemap_xml(spark: SparkSession, d: str) -> DataFrame:
+    """Packed sitemaps and one that names another, written and read back."""
+    rows = table(spark, d, "document_pages").where("length(url) > 0").select(F.replace("url", F.lit("&"), F.lit("+")).alias("u"))
+    path, index = _written(rows, "sitemap"), _written(rows, "sitemap-index")
+    entry = F.concat(F.lit("<url><loc>"), "u", F.lit("</loc><lastmod>2024-01-02</lastmod><changefreq>daily</changefreq><priority>0.5</priority></url>"))
+    files = rows.groupBy(F.pmod(F.xxhash64("u"), F.lit(8)).alias("k")).agg(F.concat(F.lit("<urlset>"), F.array_join(F.collect_list(entry), ""), F.lit("</urlset>")).alias("value"))
+    files.select("value").write.options(compression="gzip", maxRecordsPerFile=1).text(path)
+    spark.createDataFrame([("<sitemapindex><sitemap><loc>https://a.example/part.xml</loc></sitemap></sitemapindex>",)], "value string").coalesce(1).write.text(index)
+    found = formats.sitemap(spark, path)
+    gate("sitemap entries missing", int(found.isEmpty()))
+    none = F.lit(None).cast("string")
+    return found.unionByName(formats.sitemap_parts(spark, index).select("loc", none.alias("lastmod"), F.lit("nested").alias("changefreq"), F.lit(None).cast("double").alias("priority")))
+
+
+@query("S20", "SELECT DISTINCT minecraft_version AS version FROM document_pages WHERE regexp_matches(minecraft_version, '^[0-9][^\"/<]*$')")
 def release_versions(spark: SparkSession, d: str) -> DataFrame:
-    return formats.release_list(spark.createDataFrame([('<version>1.2</version><a href="1.3/">x</a>',)], "value string"))
+    """Versions named by metadata files and directory listings."""
+    rows = table(spark, d, "document_pages").where(F.col("minecraft_version").rlike('^[0-9][^"/<]*$')).select("document_id", "minecraft_version")
+    xml = F.concat(F.lit("<version>"), "minecraft_version", F.lit("</version>"))
+    link = F.concat(F.lit('<a href="'), "minecraft_version", F.lit('/">x</a>'))
+    return formats.release_list(rows.select(F.when(F.col("document_id") % 2 == 0, xml).otherwise(link).alias("value"))).distinct()
+
+
+@query("S11", "SELECT file_id, regexp_replace('https://d.example/' || regexp_replace(regexp_replace(regexp_replace(p, '^docs/', ''), '\.md$', ''), '/?index$', ''), '/+$', '') AS route, 'https://d.example/' || replace(regexp_replace(p, '\.md$', ''), '_', '/') AS flat FROM (SELECT file_id, CASE WHEN file_id % 3 = 0 THEN 'docs/' || regexp_replace(path, '[^/]*$', '') || 'index.md' ELSE 'docs/' || path || '.md' END AS p FROM source_files WHERE path IS NOT NULL)")
+def wiki_routes(spark: SparkSession, d: str) -> DataFrame:
+    path = F.when(F.col("file_id") % 3 == 0, F.concat(F.lit("docs/"), F.regexp_replace("path", "[^/]*$", ""), F.lit("index.md"))).otherwise(F.concat(F.lit("docs/"), "path", F.lit(".md")))
+    rows = table(spark, d, "source_files").where("path is not null")
+    return rows.select("file_id", formats.wiki_route(path, "https://d.example").alias("route"), formats.key_route(path, "https://d.example").alias("flat"))
+
+
+@query("S12", "SELECT file_id::VARCHAR AS archive, path, md5(content) AS hash FROM source_files WHERE content IS NOT NULL AND ends_with(path, '.java') AND NOT ends_with(path, 'package-info.java')")
+def zipped_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Sources packed below a top directory and read back from the archives."""
+
+    def pack(batches):
+        for batch in batches:
+            out = []
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                memory = io.BytesIO()
+                with zipfile.ZipFile(memory, "w") as z:
+                    z.writestr(f"top-main/{path}", content.encode())
+                    z.writestr("top-main/package-info.java", b"")
+                    z.writestr("top-main/notes.txt", b"text")
+                out.append(memory.getvalue())
+            yield batch[["file"]].rename(columns={"file": "path"}).assign(content=out)
+
+    rows = table(spark, d, "source_files").where("content is not null and path is not null").select(F.col("file_id").cast("string").alias("file"), "path", "content")
+    return formats.unzipped(rows.mapInPandas(pack, "path string, content binary")).select("archive", "path", F.md5("content").alias("hash"))
 
 
 @query("S28 S25 S27", "SELECT document_id, url, row_number() OVER (ORDER BY url NULLS FIRST, document_id) AS id FROM document_pages")

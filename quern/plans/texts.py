@@ -22,20 +22,47 @@ def noise_removed(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "document_pages").select("document_id", T.without(F.col("content"), ["(?m)^(Edit this page|Reply|Share this)$"]).alias("kept"))
 
 
-@query("T08", "SELECT doc_id, len(regexp_split_to_array(trim(text), '\\s+'))::BIGINT AS words FROM documents WHERE text IS NOT NULL AND trim(text) = regexp_replace(text, '^\\s+|\\s+$', '', 'g')")
+_SPACE = r"[\t-\r\p{Z}\x{FEFF}]"
+
+
+@query("T08", f"SELECT doc_id, len(regexp_split_to_array(regexp_replace(text, '^{_SPACE}+|{_SPACE}+$', '', 'g'), '{_SPACE}+'))::BIGINT AS words FROM documents WHERE text IS NOT NULL")
 def word_counts(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").where("text is not null").where(F.trim("text") == F.regexp_replace("text", r"^\s+|\s+$", ""))
-    return rows.select("doc_id", T.word_count(F.col("text")).alias("words"))
+    return table(spark, d, "documents").where("text is not null").select("doc_id", T.word_count(F.col("text")).alias("words"))
 
 
-@query("T09 T10 T11", "SELECT doc_id, left(sha256(text), 16) AS hash FROM documents WHERE text IS NOT NULL")
+@query("T10", "SELECT doc_id, left(sha256(text), 16) AS hash FROM documents WHERE text IS NOT NULL")
 def change_hash(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("text is not null").select("doc_id", T.change_hash(F.col("text")).alias("hash"))
 
 
-@query("T12 R57", "SELECT document_id, CASE WHEN length(s) > 40 THEN left(s, 31) || '-' || left(sha256(s), 8) ELSE s END AS slug FROM (SELECT document_id, trim(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '-') AS s FROM document_pages WHERE title IS NOT NULL)")
+_UNITS = "list_transform(string_split({0}, ''), lambda c: ord(c)::BIGINT)"
+
+
+@query("T09", f"SELECT document_id, lower(to_base(CASE WHEN h >= 2147483648 THEN 4294967296 - h ELSE h END, 36)) AS id FROM (SELECT document_id, list_reduce({_UNITS.format('url')}, lambda a, c: (a * 31 + c) % 4294967296, 0::BIGINT) AS h FROM document_pages WHERE length(url) > 0)")
+def rolling_ids(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "document_pages").where("length(url) > 0").select("document_id", T.rolling_id(F.col("url")).alias("id"))
+
+
+@query("T11 T10", """SELECT file_id, sha256('{"content":"' || sha256(content) || '","path":"' || path || '","repo":' || coalesce('"' || repo || '"', 'null') || '}') AS key FROM (SELECT DISTINCT file_id, content, path, repo FROM source_files WHERE content IS NOT NULL AND path IS NOT NULL)""")
+def canonical_hashes(spark: SparkSession, d: str) -> DataFrame:
+    """Cache keys: the hash of a record's canonical JSON, whatever the order its fields are given in."""
+    rows = table(spark, d, "source_files").where("content is not null and path is not null").select("file_id", "content", "path", "repo").distinct()
+    return rows.select("file_id", T.record_hash(repo=F.col("repo"), path=F.col("path"), content=F.sha2("content", 256)).alias("key"))
+
+
+_FNV = f"lower(printf('%08x', list_reduce({_UNITS.format('s')}, lambda a, c: (xor(a, c) * 16777619) % 4294967296, 2166136261::BIGINT)))"
+
+
+@query("T12 R57", f"SELECT document_id, coalesce(category, '') || '/' || loader || '/' || CASE WHEN length(s) > 120 THEN left(s, 111) || '-' || {_FNV} ELSE s END AS key, {_FNV} AS hash FROM (SELECT document_id, category, loader, trim(regexp_replace(lower(title || ' ' || url), '[^a-z0-9]+', '-', 'g'), '-') AS s FROM document_pages WHERE title IS NOT NULL AND loader IS NOT NULL AND length(url) > 0)")
+def entry_keys(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "document_pages").where("title is not null and loader is not null and length(url) > 0")
+    name = F.concat_ws(" ", "title", "url")
+    return rows.select("document_id", T.entry_key(F.coalesce("category", F.lit("")), F.col("loader"), name).alias("key"), T.fnv1a(T.slug(name, 100_000)).alias("hash"))
+
+
+@query("T12", f"SELECT document_id, CASE WHEN length(s) > 20 THEN left(s, 11) || '-' || {_FNV} ELSE s END AS slug FROM (SELECT document_id, trim(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '-') AS s FROM document_pages WHERE title IS NOT NULL) WHERE s <> ''")
 def title_slug(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "document_pages").where("title is not null").select("document_id", T.slug(F.col("title"), 40).alias("slug"))
+    return table(spark, d, "document_pages").where("title is not null").select("document_id", T.slug(F.col("title"), 20).alias("slug")).where("slug <> ''")
 
 
 @query("T14", "SELECT DISTINCT member_id, trim(regexp_replace(regexp_replace(regexp_replace(return_type, '<[^<>]*>', '', 'g'), '<[^<>]*>', '', 'g'), '\\s+', ' ', 'g')) AS raw FROM api_members WHERE return_type IS NOT NULL")

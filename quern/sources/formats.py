@@ -7,7 +7,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.operators.quality import gate
@@ -19,6 +19,22 @@ def sitemap(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("xml").option("rowTag", "url").schema(schema).load(path)
 
 
+def sitemap_parts(spark: SparkSession, path: str) -> DataFrame:
+    """``loc`` of the sitemaps that index files name; they are listed, not followed."""
+    return spark.read.format("xml").option("rowTag", "sitemap").schema("loc string, lastmod string").load(path).select(F.trim("loc").alias("loc"))
+
+
+def wiki_route(path: Column, site: str = "") -> Column:
+    """The address of a Markdown file of a documentation tree: no docs folder, suffix or index, no slash at the end."""
+    out = F.regexp_replace(F.regexp_replace(F.regexp_replace(path, "^docs/", ""), r"\.md$", ""), "/?index$", "")
+    return F.regexp_replace(F.concat(F.lit(site + "/"), out), "/+$", "")
+
+
+def key_route(key: Column, site: str = "") -> Column:
+    """The address behind a flat key, in which underscores stand for slashes."""
+    return F.concat(F.lit(site + "/"), F.replace(F.regexp_replace(key, r"\.md$", ""), F.lit("_"), F.lit("/")))
+
+
 def sitemap_text(lines: DataFrame, column: str = "value") -> DataFrame:
     """``loc, lastmod`` from text in which URLs and ISO times follow each other."""
     found = F.explode(F.regexp_extract_all(F.col(column), F.lit(r"https?://\S+?\s*\d{4}-\d\d-\d\dT[\d:.+Z-]+"), 0)).alias("e")
@@ -30,12 +46,23 @@ def csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.csv(path, schema=schema, header=True, quote='"', escape='"', multiLine=True)
 
 
-def names(rows: DataFrame, key: str, order: str) -> DataFrame:
+def last_rows(rows: DataFrame, key: str, *order: str) -> DataFrame:
     """The last row of each key; rows without one are dropped."""
-    n = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))
+    n = F.row_number().over(Window.partitionBy(key).orderBy(*(F.desc_nulls_last(o) for o in order)))
     return rows.where(F.length(F.trim(key)) > 0).withColumn("_n", n).where("_n = 1").drop("_n")
 
 
+def names(rows: DataFrame, *order: str) -> DataFrame:
+    """``searge, name, javadoc`` of names CSV rows: the last of each name by ``order``; blank documentation is none."""
+    kept = last_rows(rows.where("length(name) > 0 and searge <> 'searge'"), "searge", *order)
+    return kept.select("searge", "name", F.when(F.trim("desc") != "", F.col("desc")).alias("javadoc"))
+
+
+def parameter_names(rows: DataFrame, *order: str) -> DataFrame:
+    """``param, name`` of parameters CSV rows, the last of each token."""
+    return last_rows(rows.where("length(name) > 0 and param <> 'param'"), "param", *order).select("param", "name")
+
+
 def texts(spark: SparkSession, path: str) -> DataFrame:
     """``file, value``: whole files, one row each."""
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
@@ -54,19 +81,30 @@ def _numbered(files: DataFrame) -> DataFrame:
 
 
 def tsrg(files: DataFrame) -> DataFrame:
-    """``class_from, class_to, what, name_from, name_to, descriptor`` of indented mappings, version 1 or 2, in ``file, value``."""
+    """``file, class_from, class_to, what, name_from, name_to, descriptor, is_static, slot`` of indented mappings in ``file, value``.
+
+    Both versions. ``what`` is class, field, method or parameter; a parameter has its slot, and name_from and
+    descriptor of its method. The name to is the second column, or the last of a parameter's line.
+    """
     rows = _numbered(files).where("line not like 'tsrg2%' and line not like '#%'")
     depth = F.length(F.regexp_extract("line", "^\t*", 0))
-    parts = F.split(F.regexp_replace("line", "^\t+", ""), " ")
+    parts = F.split(F.trim(F.regexp_replace("line", "^\t+", "")), " +")
     w = Window.partitionBy("file").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     carried = lambda i: F.last(F.when(depth == 0, F.get(parts, F.lit(i))), ignorenulls=True).over(w)
-    out = rows.select("file", "n", depth.alias("d"), parts.alias("p"), carried(0).alias("class_from"), carried(1).alias("class_to"))
-    method = F.startswith(F.get("p", F.lit(1)), F.lit("("))
-    member = F.when(F.col("d") == 0, "class").when((F.col("d") == 1) & method, "method").when(F.col("d") == 1, "field")
-    return out.select(
-        "class_from", "class_to", member.alias("what"), F.get("p", F.lit(0)).alias("name_from"),
-        F.when((F.col("d") == 1) & method, F.get("p", F.lit(2))).otherwise(F.get("p", F.lit(1))).alias("name_to"), F.when((F.col("d") == 1) & method, F.get("p", F.lit(1))).alias("descriptor"),
-    ).where("what is not null")
+    member = F.count_if(depth <= 1).over(w)
+    out = rows.select("file", "n", depth.alias("d"), parts.alias("p"), carried(0).alias("class_from"), carried(1).alias("class_to"), member.alias("m"))
+    of = lambda i: F.max(F.when(F.col("d") == 1, F.get("p", F.lit(i)))).over(Window.partitionBy("file", "m"))
+    out = out.withColumns({"one": of(0), "two": of(1), "three": of(2), "static": F.bool_or((F.col("d") == 2) & (F.get("p", F.lit(0)) == "static")).over(Window.partitionBy("file", "m"))})
+    method = F.coalesce(F.startswith("two", F.lit("(")), F.lit(False))
+    typed = F.col("three").isNotNull()  # a field with its descriptor
+    what = F.when(F.col("d") == 0, "class").when((F.col("d") == 1) & method, "method").when(F.col("d") == 1, "field").when((F.col("d") == 2) & method & (F.get("p", F.lit(0)) != "static"), "parameter")
+    top = F.col("d") == 0
+    return out.withColumn("what", what).where("what is not null").select(
+        "file", "class_from", "class_to", "what", F.when(top, F.col("class_from")).otherwise(F.col("one")).alias("name_from"),
+        F.when(top, F.col("class_to")).when(F.col("what") == "parameter", F.element_at("p", -1)).when(method | typed, F.col("three")).otherwise(F.col("two")).alias("name_to"),
+        F.when(~top & (method | typed), F.col("two")).alias("descriptor"), ((F.col("what") == "method") & F.coalesce("static", F.lit(False))).alias("is_static"),
+        F.when(F.col("what") == "parameter", F.get("p", F.lit(0)).cast("int")).alias("slot"),
+    )
 
 
 def proguard(files: DataFrame) -> DataFrame:
@@ -82,13 +120,40 @@ def proguard(files: DataFrame) -> DataFrame:
     return out.select("class_from", "class_to", what.alias("what"), member(1).alias("type"), member(2).alias("name_from"), member(3).alias("arguments"), member(4).alias("name_to"))
 
 
-def documented_names(spark: SparkSession, path: str) -> DataFrame:
-    """``class, method, descriptor, parameter_index, parameter`` of a JSON file of classes, methods and parameters."""
-    schema = "classes array<struct<name: string, methods: array<struct<name: string, descriptor: string, parameters: array<struct<index: int, name: string>>>>>>"
-    rows = spark.read.json(path, schema=schema, multiLine=True).select(F.explode("classes").alias("c"))
-    methods = rows.select(F.col("c.name").alias("class"), F.explode_outer("c.methods").alias("m"))
-    flat = methods.select("class", F.col("m.name").alias("method"), F.col("m.descriptor").alias("descriptor"), F.explode_outer("m.parameters").alias("p"))
-    return flat.select("class", "method", "descriptor", F.col("p.index").alias("parameter_index"), F.col("p.name").alias("parameter"))
+_NAMED = "name: string, javadoc: array<string>"
+DOCUMENTED = (
+    f"version string, packages array<struct<{_NAMED}>>, classes array<struct<{_NAMED}, fields: array<struct<descriptor: string, {_NAMED}>>, "
+    f"methods: array<struct<descriptor: string, {_NAMED}, parameters: array<struct<index: int, name: string, javadoc: string>>>>>>"
+)
+
+
+def documented_names(files: DataFrame) -> DataFrame:
+    """``what, class, name, descriptor, slot, parameter, javadoc`` of JSON files of documented names in ``value``.
+
+    ``what`` is package, class, field, method or parameter. Lines of documentation are joined by line ends; an
+    empty list is none.
+    """
+    tree = files.select(F.from_json("value", DOCUMENTED).alias("t"))
+    doc = lambda c: F.when(F.size(c) > 0, F.array_join(c, "\n"))
+    text, number = F.lit(None).cast("string"), F.lit(None).cast("int")
+
+    def rows(df: DataFrame, what: str, owner: Column, name: Column, descriptor: Column = text, slot: Column = number, parameter: Column = text, javadoc: Column = text) -> DataFrame:
+        return df.select(F.lit(what).alias("what"), owner.alias("class"), name.alias("name"), descriptor.alias("descriptor"), slot.alias("slot"), parameter.alias("parameter"), javadoc.alias("javadoc"))
+
+    packages = tree.select(F.explode("t.packages").alias("p"))
+    classes = tree.select(F.explode("t.classes").alias("c"))
+    fields = classes.select("c.name", F.explode("c.fields").alias("f"))
+    methods = classes.select("c.name", F.explode("c.methods").alias("m"))
+    parameters = methods.select("name", "m", F.explode("m.parameters").alias("p"))
+    out = rows(packages, "package", text, F.col("p.name"), javadoc=doc(F.col("p.javadoc")))
+    for part in (
+        rows(classes, "class", F.col("c.name"), F.col("c.name"), javadoc=doc(F.col("c.javadoc"))),
+        rows(fields, "field", F.col("name"), F.col("f.name"), F.col("f.descriptor"), javadoc=doc(F.col("f.javadoc"))),
+        rows(methods, "method", F.col("name"), F.col("m.name"), F.col("m.descriptor"), javadoc=doc(F.col("m.javadoc"))),
+        rows(parameters, "parameter", F.col("name"), F.col("m.name"), F.col("m.descriptor"), F.col("p.index"), F.col("p.name"), F.col("p.javadoc")),
+    ):
+        out = out.unionByName(part)
+    return out
 
 
 def release_list(text: DataFrame, column: str = "value") -> DataFrame:
@@ -98,27 +163,29 @@ def release_list(text: DataFrame, column: str = "value") -> DataFrame:
     return text.select(F.explode(F.array_distinct(F.concat(xml, links))).alias("version"))
 
 
-def archive(spark: SparkSession, path: str, pattern: str = r"\.java$", least: int = 0) -> DataFrame:
-    """``archive, path, content`` of the text entries of zip files, without their top directory and package files.
-
-    ``least`` entries at least are expected in all; fewer fail the read.
-    """
+def unzipped(files: DataFrame, pattern: str = r"\.java$") -> DataFrame:
+    """``archive, path, content`` of the text entries of zip files in ``path, content``, without their top directory and package files."""
     import re
 
     wanted = re.compile(pattern)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
             for name, content in zip(batch["path"], batch["content"], strict=True):
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    rows = []
                     for e in z.infolist():
                         inner = e.filename.split("/", 1)[-1]
                         if not e.is_dir() and wanted.search(inner) and not inner.endswith("package-info.java"):
                             rows.append((name, inner, z.read(e).decode("utf-8", "replace")))
-            yield pd.DataFrame(rows, columns=["archive", "path", "content"])
+                yield pd.DataFrame(rows, columns=["archive", "path", "content"])
 
-    out = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "archive string, path string, content string")
+    return files.select("path", "content").mapInPandas(run, "archive string, path string, content string")
+
+
+def archive(spark: SparkSession, path: str, pattern: str = r"\.java$", least: int = 0) -> DataFrame:
+    """The text entries of the zip files of a folder; fewer than ``least`` fail the read."""
+    out = unzipped(spark.read.format("binaryFile").load(path), pattern)
     if least:
         gate("entries missing", max(0, least - out.count()))
     return out

@@ -317,14 +317,20 @@ def test_upsert_number_cache(spark):
 def test_formats(spark, tmp_path):
     (tmp_path / "m.tsrg").write_text("tsrg2 a b\na/A x/X\n\tf g\n\tm (I)V n\nb/B y/Y\n\th i\n")
     got = [tuple(r) for r in formats.tsrg(formats.texts(spark, str(tmp_path / "m.tsrg"))).collect()]
-    assert ("a/A", "x/X", "method", "m", "n", "(I)V") in got and ("b/B", "y/Y", "field", "h", "i", None) in got
+    got = [r[1:] for r in got]
+    assert ("a/A", "x/X", "method", "m", "n", "(I)V", False, None) in got and ("b/B", "y/Y", "field", "h", "i", None, False, None) in got
+    (tmp_path / "v2.tsrg").write_text("tsrg2 a b c\na/A x/X 1\n\tf I g\n\tm (I)V n\n\t\tstatic\n\t\t0 o p\n\tk ()V l\n")
+    got = {tuple(r)[3:] for r in formats.tsrg(formats.texts(spark, str(tmp_path / "v2.tsrg"))).collect()}
+    assert {("field", "f", "g", "I", False, None), ("method", "m", "n", "(I)V", True, None), ("parameter", "m", "p", "(I)V", False, 0), ("method", "k", "l", "()V", False, None)} <= got and len(got) == 5
     (tmp_path / "p.txt").write_text("# c\nnet.A -> a:\n    int x -> b\n    1:2:void go(int,float) -> c\n")
     got = [tuple(r) for r in formats.proguard(formats.texts(spark, str(tmp_path / "p.txt"))).collect()]
     assert ("net.A", "a", "method", "void", "go", "(int,float)", "c") in got and ("net.A", "a", "field", "int", "x", "", "b") in got
     (tmp_path / "n.csv").write_bytes(b'searge,name,side,desc\r\nf1,a,0,"x, ""y"""\r\nf1,b,0,z\r\n,c,0,z\r\n')
     rows = formats.csv(spark, str(tmp_path / "n.csv"), "searge string, name string, side int, desc string")
     assert rows.first()["desc"] == 'x, "y"'
-    assert [r["name"] for r in formats.names(rows, "searge", "name").collect()] == ["b"]
+    assert [tuple(r) for r in formats.names(rows, "name").collect()] == [("f1", "b", "z")]
+    tokens = spark.createDataFrame([("p_1", "x", 1), ("p_1", "y", 2), ("", "z", 3), ("p_2", "", 4)], "param string, name string, n int")
+    assert [tuple(r) for r in formats.parameter_names(tokens, "n").collect()] == [("p_1", "y")]
     (tmp_path / "c.txt").write_text("# head\n\n12 own (I)V # tail\n13 other ()V\n")
     assert [tuple(r) for r in formats.sidecar(spark.read.text(str(tmp_path / "c.txt")), ["id", "owner", "desc"]).collect()] == [("12", "own", "(I)V"), ("13", "other", "()V")]
     (tmp_path / "s.xml").write_text("<urlset><url><loc>u1</loc><priority>0.5</priority></url><url><loc>u2</loc></url></urlset>")
@@ -332,7 +338,8 @@ def test_formats(spark, tmp_path):
     line = spark.createDataFrame([("https://a/b2024-01-02T03:04:05Zhttps://c/d2024-01-03T00:00:00Z",)], "value string")
     assert {r["loc"] for r in formats.sitemap_text(line).collect()} == {"https://a/b", "https://c/d"}
     (tmp_path / "j.json").write_text(json.dumps({"classes": [{"name": "A", "methods": [{"name": "m", "descriptor": "()V", "parameters": [{"index": 1, "name": "p"}]}]}]}))
-    assert [tuple(r) for r in formats.documented_names(spark, str(tmp_path / "j.json")).collect()] == [("A", "m", "()V", 1, "p")]
+    got = [tuple(r)[:6] for r in formats.documented_names(formats.texts(spark, str(tmp_path / "j.json"))).collect()]
+    assert got == [("class", "A", "A", None, None, None), ("method", "A", "m", "()V", None, None), ("parameter", "A", "m", "()V", 1, "p")]
     listing = spark.createDataFrame([('<version>1.2</version><a href="1.3/">x</a>',)], "value string")
     assert {r[0] for r in formats.release_list(listing).collect()} == {"1.2", "1.3"}
     with zipfile.ZipFile(tmp_path / "z.zip", "w") as z:
