@@ -151,28 +151,25 @@ def identifier_like(term: str) -> bool:
     return bool(re.search(r"[a-z][A-Z]|[._#()]", term))
 
 
-_SENTENCE_END = re.compile(r"[.!?][\"')\]]*(?=\s|$)|\n\s*\n")
+def _bare(text: Column) -> Column:
+    return F.regexp_replace(text, r"[\t-\r ]+$", "")
 
 
-def truncate(text: str | None, limit: int) -> str | None:
-    """Cut at a sentence end beyond 45 % of the limit, else at white space with dots, else after the first word."""
-    if text is None or len(text) <= limit:
-        return text
-    head = text[:limit]
-    ends = [m.end() for m in _SENTENCE_END.finditer(head) if m.end() >= 0.45 * limit]
-    if ends:
-        return head[: ends[-1]].rstrip()
-    space = max(head.rfind(" "), head.rfind("\n"), head.rfind("\t"))
-    if space > 0:
-        return head[:space].rstrip() + "..."
-    m = re.match(r"\S+", text)
-    return m[0] if m else head
+def truncate(text: Column, limit: int) -> Column:
+    """Cut at a sentence end or blank line beyond 45 % of the limit, else at white space with dots, else after the first word."""
+    head = F.substring(text, 1, limit)
+    sentence = F.regexp_extract(head, r"(?s)^(.*[.!?][\"')\]]*)(?:[\t-\r ]|$)", 1)
+    blank = F.regexp_extract(head, r"(?s)^(.*\n[\t-\r ]*\n)", 1)
+    end = F.when(F.length(blank) > F.length(sentence), blank).otherwise(sentence)
+    space = F.regexp_extract(head, r"(?s)^(.+)[ \n\t]", 1)
+    word = F.regexp_extract(text, r"^[^\t-\r ]+", 0)
+    out = F.when(F.length(end) >= 0.45 * limit, _bare(end)).when(space != "", F.concat(_bare(space), F.lit("..."))).when(word != "", word).otherwise(head)
+    return F.when(F.length(text) <= limit, text).otherwise(out)
 
 
-def truncate_code(text: str | None, limit: int) -> str | None:
+def truncate_code(text: Column, limit: int) -> Column:
     """Cut code behind the last semicolon or brace in the second half of the limit."""
-    if text is None or len(text) <= limit:
-        return text
-    head = text[:limit]
-    at = max(head.rfind(";"), head.rfind("}"))
-    return (head[: at + 1] if at > limit / 2 else head.rstrip()) + "\n// ..."
+    head = F.substring(text, 1, limit)
+    end = F.regexp_extract(head, r"(?s)^(.*[;}])", 1)
+    cut = F.when(F.length(end) > limit / 2 + 1, end).otherwise(_bare(head))
+    return F.when(F.length(text) <= limit, text).otherwise(F.concat(cut, F.lit("\n// ...")))

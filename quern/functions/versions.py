@@ -58,3 +58,11 @@ def bump(version: str, part: str) -> str:
     numbers += [0] * (3 - len(numbers))
     k = ("major", "minor", "patch").index(part)
     return ".".join(map(str, [*numbers[:k], numbers[k] + 1, *[0] * (2 - k)]))
+
+
+def bumped(version: Column, part: str) -> Column:
+    """The same for a column; null for what isn't a version."""
+    numbers = F.split(F.regexp_extract(version, r"^v?([0-9]+(?:\.[0-9]+){0,2})", 1), r"\.")
+    at = [F.coalesce(F.get(numbers, F.lit(i)).try_cast("bigint"), F.lit(0)) for i in range(3)]
+    k = ("major", "minor", "patch").index(part)
+    return F.when(version.rlike("^v?[0-9]"), F.concat_ws(".", *(c + 1 if i == k else c if i < k else F.lit(0) for i, c in enumerate(at))))

@@ -160,7 +160,7 @@ def canonical_sections(sections: DataFrame, most: int = 20) -> DataFrame:
 
 def sentences(text: Column, least: int = 20) -> Column:
     """Sentences of ``least`` characters or more that don't start in lower case."""
-    parts = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "), r"(?<=[.!?]) ")
+    parts = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\t-\r ]+", " "), r"(?<=[.!?]) ")
     return F.filter(parts, lambda s: (F.length(s) >= least) & ~s.rlike("^[a-z]"))
 
 
@@ -173,11 +173,7 @@ def summary(pages: DataFrame, id_col: str, text: Column, terms: list[str], most:
     n = F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc("hits"), "p"))
     joined = rows.withColumn("n", n).where(F.col("n") <= most).groupBy(id_col).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "s"))), lambda x: x["s"]), " ").alias("summary"))
 
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: truncate(t, limit))
-
-    return joined.select(id_col, cut("summary").alias("summary"))
+    return joined.select(id_col, truncate(F.col("summary"), limit).alias("summary"))
 
 
 def key_points(pages: DataFrame, id_col: str, text: Column, terms: list[str], most: int = 8) -> DataFrame:

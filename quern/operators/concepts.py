@@ -85,6 +85,14 @@ def example_search(rows: DataFrame, index: I.Index, query: str, id_col: str, cod
     return banded.select("id", F.col("band").cast("bigint").alias("band"))
 
 
+def featured(rows: DataFrame, group: str, quality: Column, most: int, least: int = 1) -> DataFrame:
+    """The best ``most`` rows of every group that has ``least`` or more, with the group's size and their place."""
+    n = F.row_number().over(Window.partitionBy(group).orderBy(F.desc_nulls_last("_q"), "id"))
+    best = rows.withColumn("_q", quality).withColumn("place", n).where(F.col("place") <= most).drop("_q")
+    sizes = rows.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("examples")).where(F.col("examples") >= least)
+    return best.join(sizes, best[group].eqNullSafe(F.col("_g"))).drop("_g").withColumn("place", F.col("place").cast("bigint"))
+
+
 def correspondence_search(entries: DataFrame, index: I.Index, id_col: str, query: str, where: Column | None = None, limit: int = 15) -> DataFrame:
     """``id, score`` of entries by BM25 over the words of three letters or more; without any, a plain list by id."""
     words = tuple(I.Term(w) for w in I.parse(query, least=3))

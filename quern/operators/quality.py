@@ -125,6 +125,16 @@ def fold_coverage(cells: DataFrame, dimension: DataFrame, key: str, scope: Colum
     return dimension.select(key).join(sums, key, "left").select(key, *(zero(c) for c in ("in_scope", "in_filter", "out_of_scope", "unversioned")), F.coalesce("versions", F.array().cast("array<string>")).alias("versions"))
 
 
+def ledger(calls: DataFrame, by: str, price_in: float, price_out: float, planned: int) -> DataFrame:
+    """``by, files, tokens_in, tokens_out, cost, projected`` per value and (all): prices are per million tokens.
+
+    Projected is what ``planned`` calls at the mean of the row would cost.
+    """
+    sums = calls.rollup(by).agg(F.count("*").alias("files"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), F.grouping(by).alias("g"))
+    cost = F.col("tokens_in") / 1e6 * price_in + F.col("tokens_out") / 1e6 * price_out
+    return sums.select(F.when(F.col("g") == 1, "(all)").otherwise(F.col(by)).alias(by), "files", "tokens_in", "tokens_out", F.round(cost, 8).alias("cost"), F.round(cost / F.col("files") * planned, 3).alias("projected"))
+
+
 def row_errors(rows: DataFrame, id_col: str, rules: list[tuple[Column, str]]) -> DataFrame:
     """``id, errors``: messages of the rules a row breaks, for rows that break any."""
     errors = F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(True)), F.lit(m)) for c, m in rules)))

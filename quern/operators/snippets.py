@@ -92,57 +92,86 @@ def under_cap(snippets: DataFrame, cap: int, per_file: int = 3) -> DataFrame:
     return turn.withColumn("place", n).where(F.col("place") <= cap).drop("turn", "extra")
 
 
-def directory_spread(items: list[tuple[str, int, float]], cap: int, per_file: int = 3) -> list[int]:
-    """Indices chosen from (path, index, rank key): directories in turns along their tree, files in turns within."""
-    if len(items) <= cap:
-        return sorted(i for _, i, _ in items)
+#: Directories whose files come last, and the fewest lines a snippet that says something has.
+DEMOTED, TRIVIAL_LINES = r"(?i)(?:^|/)(?:generated|integration|compat)(?:/|$)", 3
 
-    def stream(group: list[tuple[str, int, float]], quota: int | None) -> list[int]:
-        by: dict[str, list[tuple[float, int]]] = defaultdict(list)
-        for path, i, key in group:
-            by[path].append((key, i))
-        lists = sorted((sorted(v)[:quota] for v in by.values()), key=lambda v: v[0])
-        return _turns([[i for _, i in v] for v in lists])
-
-    def walk(folder: str, group: list[tuple[str, int, float]], quota: int | None) -> list[int]:
-        own, below = [], defaultdict(list)
-        for item in group:
-            rest = item[0][len(folder) :]
-            if "/" in rest:
-                below[rest.split("/")[0]].append(item)
-            else:
-                own.append(item)
-        parts = sorted((walk(f"{folder}{name}/", g, quota) for name, g in below.items()), key=lambda v: rank[v[0]] if v else (1e18, 0))
-        return _turns([p for p in [stream(own, quota), *parts] if p])
-
-    rank = {i: (key, i) for _, i, key in items}
-    chosen = walk("", items, per_file)[:cap]
-    if len(chosen) < cap:
-        left = [x for x in items if x[1] not in set(chosen)]
-        chosen += walk("", left, None)[: cap - len(chosen)]
-    return sorted(chosen)
+
+def importance(path: Column, lines: Column, groups: Column) -> Column:
+    """What snippets are ranked by, least first: demoted directories last, then trivial ones, then by marker groups."""
+    return F.struct(F.coalesce(path.rlike(DEMOTED), F.lit(False)).cast("int").alias("demoted"), (lines <= TRIVIAL_LINES).cast("int").alias("trivial"), (-groups).alias("groups"))
 
 
-def _turns(lists: list[list[int]]) -> list[int]:
+def directory_order(heads: dict[str, tuple]) -> list[str]:
+    """Directories in the order they take turns: each before those below it, and of those, the ones with the better head in turns.
+
+    ``heads`` has the rank of the best item of every directory that holds any.
+    """
+    below: dict[str, set[str]] = defaultdict(set)
+    for folder in heads:
+        parts = folder.split("/") if folder else []
+        for k in range(len(parts)):
+            below["/".join(parts[:k])].add("/".join(parts[: k + 1]))
+    order: dict[str, list[str]] = {}
+    best: dict[str, tuple] = {}
+    for folder in sorted({*heads, *below, *(c for v in below.values() for c in v)}, key=lambda f: -f.count("/") if f else 1):  # the deepest first, the root last
+        children = sorted(below.get(folder, ()), key=lambda c: best[c])
+        own = [folder] if folder in heads else []
+        order[folder] = own + _turns([order[c] for c in children])
+        best[folder] = min([*(heads[f] for f in own), *(best[c] for c in children)])
+    return order[""] if order else []
+
+
+def _turns(lists: list[list]) -> list:
     return [v[k] for k in range(max(map(len, lists), default=0)) for v in lists if k < len(v)]
 
 
+def directory_spread(items: list[tuple[str, int, tuple]], cap: int, per_file: int = 3) -> list[int]:
+    """Indices chosen from (path, index, rank): directories in turns along their tree, files in turns within each.
+
+    A file gives ``per_file`` at most; if that leaves places, a second round takes what is left without that
+    limit. ``cap`` items or fewer are all kept. The order given is kept.
+    """
+    if len(items) <= cap:
+        return sorted(i for _, i, _ in items)
+    chosen: list[int] = []
+    for quota in (per_file, None):
+        taken = set(chosen)
+        files: dict[str, list[tuple]] = defaultdict(list)
+        for path, i, rank in items:
+            if i not in taken:
+                files[path].append((rank, i))
+        folders: dict[str, list[list[tuple]]] = defaultdict(list)
+        for path, found in files.items():
+            folders[path.rpartition("/")[0]].append(sorted(found)[:quota])
+        streams = {f: _turns(sorted(lists, key=lambda v: v[0])) for f, lists in folders.items()}
+        walk = directory_order({f: s[0] for f, s in streams.items()})
+        chosen += [i for _, i in _turns([streams[f] for f in walk])][: cap - len(chosen)]
+        if len(chosen) >= cap:
+            break
+    return sorted(chosen)
+
+
 def spread_directories(snippets: DataFrame, cap: int, per_file: int = 3) -> DataFrame:
-    """The same with the turns taken along the directory tree of each repository.
+    """At most ``cap`` snippets of a repository, taken in turns along its directory tree.
 
-    A repository's candidates are first cut to the best ``cap`` of each file, so that a group holds at most
-    files times cap small rows and no code.
+    A repository is judged as a whole, since its tree is; what is judged are slim rows without code, cut before
+    to the best ``cap`` of every file, so the group is bounded by the files of one repository. A null
+    repository is one of its own.
     """
-    order = [F.desc(F.size("markers")), F.asc("start_line")]
-    slim = snippets.withColumn("n", F.row_number().over(Window.partitionBy("repo", "path").orderBy(*order))).where(F.col("n") <= cap).select("repo", "path", "start_line", F.size("markers").alias("m"))
+    rank = importance(F.col("path"), F.col("end_line") - F.col("start_line") + 1, F.size("markers"))
+    rows = snippets.withColumn("rank", rank)
+    n = F.row_number().over(Window.partitionBy("repo", "path").orderBy("rank", "start_line"))
+    slim = rows.withColumn("n", n).where(F.col("n") <= cap).select("repo", "path", "start_line", "rank.demoted", "rank.trivial", "rank.groups")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["path", "start_line"]).reset_index(drop=True)
-        picked = directory_spread([(p, i, -m) for i, (p, m) in enumerate(zip(pdf["path"], pdf["m"], strict=True))], cap, per_file)
+        ranks = zip(pdf["demoted"], pdf["trivial"], pdf["groups"], range(len(pdf)), strict=True)
+        picked = directory_spread([(p, i, r) for i, (p, r) in enumerate(zip(pdf["path"], ranks, strict=True))], cap, per_file)
         return pdf.loc[picked, ["repo", "path", "start_line"]]
 
-    chosen = slim.where("repo is not null").groupBy("repo").applyInPandas(run, "repo string, path string, start_line int")
-    return snippets.join(chosen, ["repo", "path", "start_line"])
+    chosen = slim.groupBy("repo").applyInPandas(run, "repo string, path string, start_line int")
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("repo", "path", "start_line")]
+    return snippets.alias("a").join(chosen.alias("b"), same[0] & same[1] & same[2], "left_semi")
 
 
 def first_rule(text: Column, rules: list[tuple[str, str]], otherwise: str | None = None) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
+from quern.operators import concepts as K
 from quern.operators import graph as G
 from quern.operators import index as I
 from quern.operators import quality as Q
@@ -17,8 +18,8 @@ from quern.operators.quality import gate
 from quern.plans.registry import query
 from quern.session import workspace
 from quern.sources import formats, table
-from quern.sources.store import cascade, children, numbered
-from quern.streaming.incremental import postings_delta
+from quern.sources.store import SCHEMAS, Store, cached, cascade, children, numbered, tag_tables, vectors
+from quern.streaming.incremental import index_stream, pins, postings_delta
 
 
 # ---- line, archive and JSON formats, written from the tables and read back ------------------------
@@ -203,24 +204,125 @@ def member_types(spark: SparkSession, d: str) -> DataFrame:
     return members.join(table(spark, d, "api_types").select("type_id", "fqn"), "type_id").select("member_id", "fqn", "name")
 
 
-@query("J11 R54")
+_RELATED = """i AS (SELECT p_partkey AS id, p_brand AS owner, p_size AS place, p_type AS pattern, p_retailprice AS quality, p_partkey % 97 AS line FROM part),
+p AS (SELECT a.id AS source, b.id AS target, CASE WHEN a.owner = b.owner AND a.place = b.place THEN 3 WHEN a.pattern = b.pattern THEN 2 ELSE 1 END AS priority, b.quality, abs(a.line - b.line) AS far FROM i a JOIN i b ON a.id <> b.id AND (a.owner = b.owner OR a.pattern = b.pattern)),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY priority DESC, quality DESC, far, target) AS n FROM p)"""
+
+
+@query("J11 R54", f"WITH {_RELATED} SELECT source, target, p_name AS title, CASE priority WHEN 3 THEN 0.95 WHEN 2 THEN 0.85 ELSE 0.65 END::DOUBLE AS strength FROM r JOIN part ON p_partkey = target WHERE n <= 6")
 def related_titles(spark: SparkSession, d: str) -> DataFrame:
     items = table(spark, d, "part").selectExpr("p_partkey as id", "p_brand as owner", "p_size as place", "p_type as pattern", "p_retailprice as quality", "p_partkey % 97 as line")
     names = table(spark, d, "part").selectExpr("p_partkey as target", "p_name as title")
     return G.relations(items).join(names, "target").select("source", "target", "title", "strength")
 
 
-@query("R30")
-def code_extracts(spark: SparkSession, d: str) -> DataFrame:
-    @F.pandas_udf("string")
-    def cut(codes):
-        return codes.map(lambda c: T.truncate_code(c, 200))
+_EX = "(SELECT id, category, loader, word_count, content, row_number() OVER (PARTITION BY category ORDER BY word_count DESC NULLS LAST, id) AS n, count(*) OVER (PARTITION BY category) AS of FROM doc_chunks WHERE has_code)"
 
-    rows = table(spark, d, "doc_sections").select("section_id", F.explode("code_blocks").alias("b")).where("b.code is not null")
-    return rows.select("section_id", cut("b.code").alias("code"))
+
+@query("R54 A11 A07", f"SELECT category, of AS examples, id, word_count, n AS place FROM {_EX} WHERE n <= 3 AND of >= 2")
+def featured_examples(spark: SparkSession, d: str) -> DataFrame:
+    """The best examples of every category that has two or more, with the category's count."""
+    rows = table(spark, d, "doc_chunks").where("has_code").select("id", "category", "word_count")
+    return K.featured(rows, "category", F.col("word_count"), 3, 2)
 
 
-@query("Q-09 Q-13 Q-15 S04 S05", "SELECT 'schema' AS \"check\", 0::BIGINT AS bad UNION ALL SELECT 'files', count(*) FILTER (WHERE path IS NULL) FROM source_files UNION ALL SELECT 'roster', (SELECT count(*) FROM (SELECT DISTINCT repo FROM source_files WHERE repo IS NOT NULL) s WHERE repo NOT IN (SELECT repo FROM roster_repos))")
+@query("R54 J12 P10", "WITH t AS (SELECT document_id, list_sort(list_distinct(metadata.tags)) AS tags FROM document_pages), c AS (SELECT document_id, count(*) FILTER (WHERE has_code) AS examples, count(*) AS chunks FROM doc_chunks GROUP BY 1) SELECT p.document_id, p.title, coalesce(list_filter(tags, lambda x: trim(x) <> ''), []) AS tags, coalesce(examples, 0) AS examples, coalesce(chunks, 0) AS chunks FROM document_pages p JOIN t USING (document_id) LEFT JOIN c USING (document_id)", lists=("tags",))
+def example_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages with their tags, through the tag table and its bridge, and the counts of their examples."""
+    pages = table(spark, d, "document_pages")
+    tags, bridge = tag_tables(pages, "document_id", "metadata.tags")
+    named = bridge.join(tags, F.col("tag_id") == F.col("id")).groupBy(F.col("example_id").alias("document_id")).agg(F.array_sort(F.collect_set("name")).alias("tags"))
+    counts = table(spark, d, "doc_chunks").groupBy("document_id").agg(F.count_if("has_code").alias("examples"), F.count("*").alias("chunks"))
+    zero = F.lit(0).cast("bigint")
+    out = pages.select("document_id", "title").join(named, "document_id", "left").join(counts, "document_id", "left")
+    return out.select("document_id", "title", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), F.coalesce("examples", zero).alias("examples"), F.coalesce("chunks", zero).alias("chunks"))
+
+
+@query("R30", "SELECT section_id, CASE WHEN length(c) <= 200 THEN c WHEN length(e) > 101 THEN e || chr(10) || '// ...' ELSE regexp_replace(left(c, 200), '[\\t-\\r ]+$', '') || chr(10) || '// ...' END AS code FROM (SELECT section_id, c, regexp_extract(left(c, 200), '(?s)^(.*[;}])', 1) AS e FROM (SELECT section_id, unnest(code_blocks).code AS c FROM doc_sections)) WHERE c IS NOT NULL")
+def code_extracts(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "doc_sections").select("section_id", F.explode("code_blocks").alias("b")).where("b.code is not null")
+    return rows.select("section_id", T.truncate_code(F.col("b.code"), 200).alias("code"))
+
+
+# ---- an ingest into a store ---------------------------------------------------------------------
+
+
+@query("J15 S17 S15", f"""WITH m AS (SELECT DISTINCT member_id, type_id, kind, name, params FROM api_members WHERE length(name) > 0 AND kind = 'method')
+SELECT replace(fqn, '.', '/') AS owner, m.name AS token, 'read_' || m.name AS readable, coalesce(len(m.params), 0) AS parameters FROM m JOIN api_types t USING (type_id)""")
+def ingest_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Mapping rows made readable: names joined by their number, parameters joined to the methods they belong to."""
+    mapped = formats.tsrg(_mapping_files(spark, d)).where("what = 'method'")
+    number = F.regexp_extract("name_to", "^m([0-9]+)$", 1)
+    members = table(spark, d, "api_members").select("member_id", "name", "params").distinct()
+    names = members.where("length(name) > 0").select(F.concat(F.lit("func_"), "member_id").alias("searge"), F.concat(F.lit("read_"), "name").alias("readable")).distinct()
+    parameters = members.select(F.concat(F.lit("p_"), "member_id", F.lit("_0_")).alias("token"), F.posexplode("params").alias("i", "p")).distinct()
+    counts = parameters.groupBy(F.regexp_extract("token", "^p_([0-9]+)_", 1).alias("number")).agg(F.count("*").alias("parameters"))
+    rows = mapped.withColumn("number", number).join(names.withColumn("number", F.regexp_extract("searge", "([0-9]+)$", 1)), "number").join(counts, "number", "left")
+    return rows.select(F.col("class_from").alias("owner"), F.col("name_from").alias("token"), "readable", F.coalesce("parameters", F.lit(0).cast("bigint")).alias("parameters"))
+
+
+@query("S01 S02 S03 S04 S05 S28 S29 S33 Q-09 Q-15", """SELECT 'documents' AS "table", count(*) AS rows, true AS intact, true AS known FROM document_pages UNION ALL SELECT 'sections', count(*), true, true FROM (SELECT DISTINCT * FROM doc_sections)
+UNION ALL SELECT 'code_blocks', count(*), true, true FROM (SELECT unnest(code_blocks) FROM (SELECT DISTINCT * FROM doc_sections)) UNION ALL SELECT 'chunks', count(*), true, true FROM doc_chunks UNION ALL SELECT 'vectors', 0, true, false""")
+def store_build(spark: SparkSession, d: str) -> DataFrame:
+    """Four tables published in one step and verified against their manifest; a fifth was never written and reads as empty."""
+    store = Store(spark, f"{workspace(spark)}/store-{uuid.uuid4().hex[:12]}")
+    pages = table(spark, d, "document_pages").select(F.col("document_id").alias("id"), "url", "title", "content", "raw_html", "category", "loader", F.col("minecraft_version").alias("version"), "hash", "indexed_at")
+    sections = numbered(table(spark, d, "doc_sections").distinct(), ["section_id", "document_id"])
+    blocks = numbered(sections.select(F.col("id").alias("section"), F.posexplode("code_blocks").alias("pos", "b")), ["section", "pos"]).select("id", F.col("section").alias("section_id"), "b.language", "b.code", "b.caption")
+    chunks = table(spark, d, "doc_chunks").select("id", "document_id", "chunk_type", "content", "section_heading", "order_num", F.col("word_count").cast("bigint").alias("word_count"), "has_code")
+    tables = {"documents": pages, "sections": sections.select("id", "document_id", "heading", "level", "content", "order_num"), "code_blocks": blocks, "chunks": chunks}
+    gate("source rows missing", int(pages.isEmpty()))
+    manifest = store.publish(tables, source=d)
+    wrong = store.verify()
+    rows = [(n, manifest["tables"].get(n, {}).get("rows", 0), not any(w.startswith(f"{n}:") for w in wrong) and "schema version" not in wrong, store.has(n, "id")) for n in (*tables, "vectors")]
+    empty = store.read("vectors").count()
+    return spark.createDataFrame([(n, k + (empty if n == "vectors" else 0), i, h) for n, k, i, h in rows], "table string, rows bigint, intact boolean, known boolean")
+
+
+@query("S30 T11", """WITH r AS (SELECT DISTINCT file_id, sha256(content) AS hash FROM source_files WHERE content IS NOT NULL), c AS (SELECT DISTINCT hash FROM r WHERE file_id % 3 = 0) SELECT file_id, hash, hash IN (SELECT hash FROM c) AS hit FROM r""")
+def cache_split(spark: SparkSession, d: str) -> DataFrame:
+    """Requests a cache of this version answers, and those it must be filled with; entries of another version don't count."""
+    rows = table(spark, d, "source_files").where("content is not null").select("file_id", F.sha2("content", 256).alias("hash")).distinct()
+    asked = rows.withColumn("version", F.lit(2))
+    cache = rows.where("file_id % 3 = 0").select("hash").distinct().withColumn("version", F.lit(2)).withColumn("answer", F.lit("x")).unionByName(rows.select("hash").distinct().withColumn("version", F.lit(1)).withColumn("answer", F.lit("old")))
+    hits, misses = cached(asked, cache, ["hash", "version"])
+    return hits.select("file_id", "hash", F.lit(True).alias("hit")).unionByName(misses.select("file_id", "hash", F.lit(False).alias("hit")))
+
+
+@query("S26 S24", "SELECT vec_id::VARCHAR AS chunk_id, len(embedding)::INT AS dimension, CASE WHEN label % 2 = 0 THEN 'second' ELSE 'first' END AS model, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 4) AS total FROM embeddings WHERE embedding IS NOT NULL")
+def vector_sink(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors upserted by chunk with dimension and model; every second label is written again by another model."""
+    rows = table(spark, d, "embeddings").where("embedding is not null").select(F.col("vec_id").cast("string").alias("chunk_id"), "embedding", "label")
+    none = spark.createDataFrame([], SCHEMAS["vectors"])
+    at = lambda t: F.lit(t).cast("timestamp").alias("created_at")
+    first = vectors(none, rows.select("chunk_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"), at("2024-01-01")), "first")
+    out = vectors(first, rows.where("label % 2 = 0").select("chunk_id", "embedding", at("2024-02-01")), "second")
+    return out.select("chunk_id", "dimension", "model", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+
+
+@query("G05", "SELECT repo, coalesce(ref = 'main', false) AS skip FROM roster_repos WHERE repo IS NOT NULL")
+def build_pins(spark: SparkSession, d: str) -> DataFrame:
+    """Builds to skip, as the known one has the same pin: those that follow another branch have moved."""
+    roster = table(spark, d, "roster_repos").where("repo is not null").select("repo", "sha", "ref", F.lit(3).alias("version"))
+    known = roster.select("repo", F.when(F.col("ref") == "main", F.col("sha")).otherwise("0").alias("sha"), "version")
+    return pins(known, roster, ["repo"], ["sha", "version"]).select("repo", "skip")
+
+
+@query("G04 G01 G02", r"""WITH w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS term FROM documents WHERE doc_id % 5 = 0) SELECT term, count(*) AS n, count(DISTINCT doc_id) AS docs FROM w GROUP BY term""".replace("FROM documents WHERE doc_id % 5 = 0", "FROM documents"))
+def stream_index(spark: SparkSession, d: str) -> DataFrame:
+    """Documents indexed as a stream of files, one file a micro-batch; the second file delivers them all again."""
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.lit("2024-01-01").cast("timestamp").alias("indexed_at"))
+    path = f"{workspace(spark)}/stream-{uuid.uuid4().hex[:12]}"
+    for _ in range(2):
+        rows.coalesce(1).write.mode("append").parquet(f"{path}/in")
+    store = Store(spark, f"{path}/store")
+    source = spark.readStream.schema("id bigint, text string, indexed_at timestamp").option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    run = index_stream(source, store, f"{path}/checkpoint")
+    run.awaitTermination()
+    return store.read("postings").groupBy("term").agg(F.sum("tf").alias("n"), F.count("*").alias("docs"))
+
+
+@query("Q-15", "SELECT 'schema' AS \"check\", 0::BIGINT AS bad UNION ALL SELECT 'files', count(*) FILTER (WHERE path IS NULL) FROM source_files UNION ALL SELECT 'roster', (SELECT count(*) FROM (SELECT DISTINCT repo FROM source_files WHERE repo IS NOT NULL) s WHERE repo NOT IN (SELECT repo FROM roster_repos))")
 def release_checks(spark: SparkSession, d: str) -> DataFrame:
     files, roster = table(spark, d, "source_files"), table(spark, d, "roster_repos")
     missing = [c for c in ("file_id", "repo", "path", "content", "bytes") if c not in files.columns]

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quern.functions import text as T
 from quern.operators import graph as G
 from quern.operators import quality as Q
+from quern.operators import snippets as S
 from quern.plans.registry import query
 from quern.sources import table
 
@@ -18,7 +20,7 @@ def three_way_join(spark: SparkSession, d: str) -> DataFrame:
     return blocks.join(pages, "document_id").groupBy("section_id", F.col("b.language").alias("language"), "category").agg(F.count("*").alias("n"))
 
 
-@query("J02 J10 P01", "SELECT o_orderkey AS orderKey, c_name AS customerName, n_name AS nationName, r_name AS regionName FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey WHERE o_totalprice > 400000")
+@query("J10 P01", "SELECT o_orderkey AS orderKey, c_name AS customerName, n_name AS nationName, r_name AS regionName FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey WHERE o_totalprice > 400000")
 def order_context(spark: SparkSession, d: str) -> DataFrame:
     orders = table(spark, d, "orders").where("o_totalprice > 400000")
     nations = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
@@ -51,7 +53,7 @@ def full_merge(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.coalesce("a", "b").alias("name"), F.coalesce("a_l", "b_l").alias("label"), F.col("a").isNotNull().alias("first"))
 
 
-@query("J17 J15", """WITH m AS (SELECT DISTINCT member_id, type_id, name, signature FROM api_members WHERE kind = 'method'), c AS (SELECT type_id, name, count(*) AS n FROM m GROUP BY ALL),
+@query("J17", """WITH m AS (SELECT DISTINCT member_id, type_id, name, signature FROM api_members WHERE kind = 'method'), c AS (SELECT type_id, name, count(*) AS n FROM m GROUP BY ALL),
 r AS (SELECT m.*, n, row_number() OVER (PARTITION BY m.type_id, m.name ORDER BY length(signature) NULLS LAST, member_id) AS i FROM m JOIN c ON m.type_id = c.type_id AND m.name = c.name) SELECT type_id, name, n, member_id FROM r WHERE i = 1""")
 def overload_match(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "api_members").where("kind = 'method' and name is not null and type_id is not null").select("member_id", "type_id", "name", "signature").distinct()
@@ -124,16 +126,25 @@ def annotation_usage(spark: SparkSession, d: str) -> DataFrame:
     return uses.where("annotation is not null").groupBy("annotation").agg(F.count("*").alias("uses"))
 
 
-@query("A21", "SELECT kind, count(*) AS n, count(DISTINCT name) AS names FROM api_members GROUP BY kind")
+_LABEL = "CASE WHEN regexp_matches(name, '^(get|find|resolve)') THEN 'read' WHEN regexp_matches(name, '^(set|update|store|put)') THEN 'write' ELSE 'other' END"
+
+
+@query("A21 R56", f"SELECT kind, count(*) AS n, count(DISTINCT name) AS aliases, count(DISTINCT {_LABEL}) AS canonical, count(*) FILTER (WHERE {_LABEL} <> 'other') AS labelled FROM api_members WHERE name IS NOT NULL GROUP BY kind")
 def ingest_counters(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "api_members").groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("name").alias("names"))
+    """What an ingest reports by kind: rows, different names, the canonical labels they fall under, and rows with one of their own."""
+    label = S.first_rule(F.col("name"), [("read", "^(get|find|resolve)"), ("write", "^(set|update|store|put)")], "other")
+    rows = table(spark, d, "api_members").where("name is not null").select("kind", "name", label.alias("label"))
+    return rows.groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("name").alias("aliases"), F.countDistinct("label").alias("canonical"), F.count_if(F.col("label") != "other").alias("labelled"))
+
+
+_LEDGER = "SELECT coalesce(repo, '(null)') AS repo, count(*) AS files, sum(ceil(length(content) / 4.0)::BIGINT + 700)::BIGINT AS tokens_in, (count(*) * 350)::BIGINT AS tokens_out FROM (SELECT DISTINCT file_id, repo, content FROM source_files WHERE content IS NOT NULL) GROUP BY 1"
 
 
-@query("A24 T27", "SELECT coalesce(repo, '(null)') AS repo, sum(ceil(length(content) / 4.0)::BIGINT)::BIGINT AS tokens FROM (SELECT DISTINCT file_id, repo, content FROM source_files) GROUP BY repo UNION ALL SELECT '(all)', sum(ceil(length(content) / 4.0)::BIGINT)::BIGINT FROM (SELECT DISTINCT file_id, repo, content FROM source_files)")
+@query("A24 T27", f"WITH l AS ({_LEDGER}), a AS (SELECT * FROM l UNION ALL SELECT '(all)', sum(files)::BIGINT, sum(tokens_in)::BIGINT, sum(tokens_out)::BIGINT FROM l) SELECT *, round(tokens_in / 1e6 * 0.2 + tokens_out / 1e6 * 1.25, 8)::DOUBLE AS cost, round((tokens_in / 1e6 * 0.2 + tokens_out / 1e6 * 1.25) / files * 850, 3)::DOUBLE AS projected FROM a")
 def token_ledger(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "source_files").select("file_id", "repo", "content").distinct()
-    out = rows.rollup("repo").agg(F.sum(F.ceil(F.length("content") / 4)).cast("bigint").alias("tokens"), F.grouping("repo").alias("g"))
-    return out.select(F.when(F.col("g") == 1, "(all)").otherwise(F.coalesce("repo", F.lit("(null)"))).alias("repo"), "tokens")
+    """Tokens and cost per repository with a row for all, and what 850 calls at each one's mean would cost."""
+    rows = table(spark, d, "source_files").where("content is not null").select("file_id", F.coalesce("repo", F.lit("(null)")).alias("repo"), "content").distinct()
+    return Q.ledger(rows.select("repo", (T.token_estimate(F.col("content")) + 700).alias("tokens_in"), F.lit(350).cast("bigint").alias("tokens_out")), "repo", 0.2, 1.25, 850)
 
 
 @query("A03", "SELECT loader, category, minecraft_version, count(*) AS n FROM document_pages GROUP BY ALL")
@@ -211,7 +222,7 @@ def provenance(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("file_id", F.concat(F.coalesce("repo", F.lit("unknown")), F.lit("/"), F.col("path"), F.lit("#L1-L"), lines.cast("string")).alias("anchor"))
 
 
-@query("P10 J12", "SELECT document_id, list(section_id ORDER BY order_num NULLS FIRST, section_id) AS sections FROM (SELECT DISTINCT document_id, section_id, order_num FROM doc_sections) GROUP BY document_id", lists=('sections',))
+@query("P10", "SELECT document_id, list(section_id ORDER BY order_num NULLS FIRST, section_id) AS sections FROM (SELECT DISTINCT document_id, section_id, order_num FROM doc_sections) GROUP BY document_id", lists=('sections',))
 def nested_children(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "doc_sections").select("document_id", "section_id", "order_num").distinct()
     return rows.groupBy("document_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("order_num", F.lit(-(2**31))), "section_id"))), lambda s: s["section_id"]).alias("sections"))

@@ -17,6 +17,27 @@ def clean_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "document_pages").select("document_id", T.clean_lines(F.col("content")).alias("clean"))
 
 
+@query("T26 J22", """WITH p AS (SELECT event_id, props, event_id % 4 AS k FROM events) SELECT event_id, CASE WHEN k = 3 THEN NULL ELSE json_extract_string(props, '$.k') END AS k FROM p""")
+def tolerant_json(spark: SparkSession, d: str) -> DataFrame:
+    """Objects as models write them: plain, in a sentence, with a comma too many; a list is none."""
+    from quern.functions import tolerant
+
+    k = F.col("event_id") % 4
+    comma = F.regexp_replace("props", r"\}\s*$", ",}")
+    text = F.when(k == 0, F.col("props")).when(k == 1, F.concat(F.lit("Sure, here: "), "props", F.lit(" - done"))).when(k == 2, comma).otherwise(F.concat(F.lit("["), "props", F.lit("]")))
+    rows = tolerant.extracted(table(spark, d, "events").select("event_id", text.alias("t")), ["event_id"], "t")
+    return rows.select("event_id", F.get_json_object("object", "$.k").alias("k"))
+
+
+@query("T28 W13", "SELECT DISTINCT minecraft_version AS version, CASE WHEN regexp_matches(minecraft_version, '^v?[0-9]') THEN concat_ws('.', p1, p2, p3 + 1) END AS patch, CASE WHEN regexp_matches(minecraft_version, '^v?[0-9]') THEN concat_ws('.', p1, p2 + 1, 0) END AS minor, CASE WHEN regexp_matches(minecraft_version, '^v?[0-9]') THEN concat_ws('.', p1 + 1, 0, 0) END AS major FROM (SELECT minecraft_version, " + ", ".join(f"coalesce(try_cast(split_part(regexp_extract(minecraft_version, '^v?([0-9]+(\\.[0-9]+){{0,2}})', 1), '.', {i}) AS BIGINT), 0) AS p{i}" for i in (1, 2, 3)) + " FROM document_pages)")
+def version_bumps(spark: SparkSession, d: str) -> DataFrame:
+    from quern.functions.versions import bumped
+
+    v = F.col("version")
+    rows = table(spark, d, "document_pages").select(F.col("minecraft_version").alias("version")).distinct()
+    return rows.select("version", *(bumped(v, p).alias(p) for p in ("patch", "minor", "major")))
+
+
 @query("T04", "SELECT document_id, regexp_replace(content, '(?m)^(Edit this page|Reply|Share this)$', '', 'g') AS kept FROM document_pages")
 def noise_removed(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "document_pages").select("document_id", T.without(F.col("content"), ["(?m)^(Edit this page|Reply|Share this)$"]).alias("kept"))
@@ -118,12 +139,17 @@ def canonical_sections(spark: SparkSession, d: str) -> DataFrame:
     return C.canonical_sections(table(spark, d, "doc_sections").distinct()).select("document_id", "section_id", "place")
 
 
-@query("R28 R29")
+_SENTENCES = "(SELECT doc_id, s, p FROM (SELECT doc_id, unnest(l) AS s, generate_subscripts(l, 1) AS p FROM (SELECT doc_id, string_split(regexp_replace(regexp_replace(coalesce(text, ''), '[\\t-\\r ]+', ' ', 'g'), '([.!?]) ', '\\1' || chr(10), 'g'), chr(10)) AS l FROM documents)) WHERE length(s) >= 20 AND NOT regexp_matches(s, '^[a-z]'))"
+
+
+@query("R28 R29", f"""WITH h AS (SELECT *, contains(lower(s), 'registry')::INT + contains(lower(s), 'event')::INT + contains(lower(s), 'tank')::INT AS hits FROM {_SENTENCES}), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, p) AS n FROM h),
+j AS (SELECT doc_id, string_agg(s, ' ' ORDER BY n) AS t FROM r WHERE n <= 3 GROUP BY doc_id), x AS (SELECT doc_id, t, left(t, 400) AS head FROM j), e AS (SELECT *, regexp_extract(head, '(?s)^(.*[.!?]["'')\\]]*)([\\t-\\r ]|$)', 1) AS fin, regexp_extract(head, '(?s)^(.+)[ \\n\\t]', 1) AS sp, regexp_extract(t, '^[^\\t-\\r ]+') AS w FROM x)
+SELECT doc_id, CASE WHEN length(t) <= 400 THEN t WHEN length(fin) >= 180 THEN regexp_replace(fin, '[\\t-\\r ]+$', '') WHEN sp <> '' THEN regexp_replace(sp, '[\\t-\\r ]+$', '') || '...' WHEN w <> '' THEN w ELSE head END AS summary FROM e""")
 def doc_summary(spark: SparkSession, d: str) -> DataFrame:
     return C.summary(table(spark, d, "documents"), "doc_id", F.col("text"), ["registry", "event", "tank"])
 
 
-@query("R31")
+@query("R31", f"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY p)::INT AS place, s AS sentence FROM {_SENTENCES} WHERE length(s) <= 200 AND (contains(lower(s), 'recipe handler') OR contains(lower(s), 'loot modifier')) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY p) <= 8")
 def key_points(spark: SparkSession, d: str) -> DataFrame:
     return C.key_points(table(spark, d, "documents"), "doc_id", F.col("text"), ["recipe handler", "loot modifier"])
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import time
 import uuid
@@ -18,6 +19,20 @@ SCHEMAS = {
     "code_blocks": "id bigint, section_id bigint, language string, code string, caption string",
     "chunks": "id string, document_id bigint, chunk_type string, content string, section_heading string, order_num int, word_count bigint, has_code boolean",
     "vectors": "chunk_id string, embedding array<float>, dimension int, model string, created_at timestamp",
+    "correspondences": "entry_key string, topic string, vocabulary string, kind string, era string, from_api string, from_alternatives array<string>, to_loader string, to_api string, notes string, caveats array<string>, related array<string>, keywords array<string>, sources array<struct<url: string, license: string>>",
+    "classes": "id bigint, name string, package_name string, obfuscated string, javadoc string, version string, mapping_set string",
+    "methods": "id bigint, class_id bigint, name string, token string, obfuscated string, descriptor string, javadoc string",
+    "fields": "id bigint, class_id bigint, name string, token string, obfuscated string, descriptor string, javadoc string",
+    "parameters": "id bigint, method_id bigint, place int, token string, name string, javadoc string",
+    "types": "id bigint, fqn string, simple_name string, package_name string, outer_fqn string, kind string, modifiers string, signature string, extends_fqn string, implements_fqns array<string>, annotations array<string>, javadoc string, summary string, search_text string",
+    "members": "id bigint, type_id bigint, kind string, name string, signature string, return_type string, params array<struct<type: string, name: string>>, annotations array<string>, javadoc string, summary string, search_text string",
+    "annotation_usage": "fqn string, uses bigint",
+    "mods": "id bigint, name string, repo string, license string",
+    "examples": "id bigint, mod_id bigint, category string, pattern string, title string, code string, path string, start_line int, end_line int, quality double, featured boolean, keywords array<string>",
+    "example_relations": "source_id bigint, target_id bigint, kind string, strength double",
+    "tags": "id bigint, name string",
+    "example_tags": "example_id bigint, tag_id bigint",
+    "analysis_cache": "snippet_hash string, analysis_version string, analysis string, created_at timestamp",
 }
 
 
@@ -36,40 +51,111 @@ class Store:
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def manifest(self) -> dict:
-        """The manifest; an empty one where there is none or it can't be read."""
+        """The manifest; an empty one where there is none or it can't be read, whatever the reason."""
         try:
             at = self._path(f"{self.path}/manifest.json")
-            if not self._fs.exists(at):
-                return {"schema_version": VERSION, "tables": {}}
-            text = "".join(r[0] for r in self.spark.read.text(at.toString(), wholetext=True).collect())
-            return json.loads(text)
-        except ValueError:
-            return {"schema_version": VERSION, "tables": {}}
+            if self._fs.exists(at):
+                text = "".join(r[0] for r in self.spark.read.text(at.toString(), wholetext=True).collect())
+                found = json.loads(text)
+                if isinstance(found, dict) and isinstance(found.get("tables"), dict):
+                    return found
+        except Exception:  # noqa: BLE001, a store that can't be read is one that isn't there
+            pass
+        return {"schema_version": VERSION, "tables": {}}
+
+    def fact(self, name: str) -> str | None:
+        """A fact of the manifest, its schema version included; null on any failure."""
+        m = self.manifest()
+        return m.get("schema_version") if name == "schema_version" and m["tables"] else m.get("facts", {}).get(name)
 
-    def has(self, table: str) -> bool:
-        return table in self.manifest()["tables"]
+    def has(self, table: str, column: str | None = None) -> bool:
+        """Whether a table, or a column of it, exists."""
+        known = self.manifest()["tables"]
+        return table in known and (column is None or column in self.read(table).columns)
 
     def read(self, table: str) -> DataFrame:
         """A table, or an empty one of its schema where it was never written or the version differs."""
         m = self.manifest()
         if m.get("schema_version") != VERSION or table not in m["tables"]:
             return self.spark.createDataFrame([], SCHEMAS[table])
-        return self.spark.read.schema(m["tables"][table]["schema"]).parquet(f"{self.path}/{m['tables'][table]['folder']}")
+        entry = m["tables"][table]
+        folders = entry.get("parts") or {"": entry["folder"]}
+        return self.spark.read.schema(entry["schema"]).parquet(*(f"{self.path}/{f}" for f in sorted(set(folders.values()))))
+
+    def _files(self, folder: str) -> list[tuple[str, int, str]]:
+        """Name, size and SHA-256 of every data file of a folder; hashed by the executors, one row a file."""
+        rows = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(f"{self.path}/{folder}")
+        return sorted((r[0], r[1], r[2]) for r in rows.select(F.element_at(F.split("path", "/"), -1), "length", F.sha2("content", 256)).collect())
+
+    def _entry(self, folder: str) -> dict:
+        back = self.spark.read.parquet(f"{self.path}/{folder}")
+        files = self._files(folder)
+        digest = hashlib.sha256(repr(files).encode()).hexdigest()
+        return {"folder": folder, "schema": back._jdf.schema().toDDL(), "rows": back.count(), "bytes": sum(n for _, n, _ in files), "sha256": digest}
+
+    def verify(self) -> list[str]:
+        """What of the manifest doesn't hold for the files as they are: version, schema, size or hash of a table."""
+        m, out = self.manifest(), []
+        if m.get("schema_version") != VERSION:
+            out.append("schema version")
+        for name, entry in m["tables"].items():
+            if "parts" in entry:
+                continue
+            try:
+                now = self._entry(entry["folder"])
+            except Exception:  # noqa: BLE001
+                out.append(f"{name}: unreadable")
+                continue
+            out.extend(f"{name}: {k}" for k in ("schema", "rows", "bytes", "sha256") if now[k] != entry[k])
+        return out
 
     def publish(self, tables: dict[str, DataFrame], **facts: str) -> dict:
-        """Writes tables anew and makes them current in one step; failing, it leaves everything as it was."""
-        m = self.manifest()
-        written = {}
+        """Writes tables anew and makes them current in one step; failing, it leaves everything as it was.
+
+        The manifest keeps rows, size, schema and SHA-256 of each table.
+        """
+        written: dict[str, dict] = {}
+        folders = {name: f"{name}-{uuid.uuid4().hex[:12]}" for name in tables}
         try:
             for name, df in tables.items():
-                folder = f"{name}-{uuid.uuid4().hex[:12]}"
-                df.write.parquet(f"{self.path}/{folder}")
-                back = self.spark.read.parquet(f"{self.path}/{folder}")
-                written[name] = {"folder": folder, "schema": back._jdf.schema().toDDL(), "rows": back.count()}
+                df.write.parquet(f"{self.path}/{folders[name]}")
+                written[name] = self._entry(folders[name])
         except Exception:
-            for w in written.values():
-                self._fs.delete(self._path(f"{self.path}/{w['folder']}"), True)
+            for folder in folders.values():
+                self._fs.delete(self._path(f"{self.path}/{folder}"), True)
             raise
+        return self._commit(written, facts)
+
+    def publish_parts(self, tables: dict[str, DataFrame], parts: int, touched: list[int] | None = None, **facts: str) -> dict:
+        """The same for tables with a column ``part``, of which only the ``touched`` parts are written anew.
+
+        The manifest names a folder for every part, so what a change costs is the parts it falls into.
+        """
+        known = self.manifest()["tables"]
+        written: dict[str, dict] = {}
+        for name, df in tables.items():
+            folder = f"{name}-{uuid.uuid4().hex[:12]}"
+            df.repartition("part").write.partitionBy("part").parquet(f"{self.path}/{folder}")
+            kept = dict(known.get(name, {}).get("parts", {}))
+            there = {s.getPath().getName().split("=")[1] for s in self._fs.listStatus(self._path(f"{self.path}/{folder}")) if s.isDirectory()}
+            for p in range(parts) if touched is None else touched:
+                kept.pop(str(p), None)
+                if str(p) in there:
+                    kept[str(p)] = f"{folder}/part={p}"
+            written[name] = {"folder": folder, "schema": df.drop("part")._jdf.schema().toDDL(), "parts": kept}
+        return self._commit(written, facts)
+
+    def part(self, table: str, parts: list[int]) -> DataFrame:
+        """The rows of some parts of a table, with their part; an empty one if there are none."""
+        entry = self.manifest()["tables"][table]
+        out = self.spark.createDataFrame([], entry["schema"]).withColumn("part", F.lit(0))
+        for p in parts:
+            if folder := entry["parts"].get(str(p)):
+                out = out.unionByName(self.spark.read.schema(entry["schema"]).parquet(f"{self.path}/{folder}").withColumn("part", F.lit(p)))
+        return out
+
+    def _commit(self, written: dict[str, dict], facts: dict[str, str]) -> dict:
+        m = self.manifest()
         m = {"schema_version": VERSION, "tables": m["tables"] | written, "written": time.time(), "facts": m.get("facts", {}) | facts}
         draft, final = self._path(f"{self.path}/manifest.{uuid.uuid4().hex[:8]}"), self._path(f"{self.path}/manifest.json")
         out = self._fs.create(draft, True)
@@ -82,10 +168,14 @@ class Store:
         context.rename(draft, final, options)
         return m
 
-    def vacuum(self) -> list[str]:
-        """Deletes folders that no manifest names, and tells which."""
-        kept = {t["folder"] for t in self.manifest()["tables"].values()}
-        gone = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.path)) if s.isDirectory() and s.getPath().getName() not in kept]
+    def vacuum(self, older: float = 3600.0) -> list[str]:
+        """Deletes folders that no manifest names and that were last changed ``older`` seconds ago or more, and tells which.
+
+        A reader of the manifest before keeps its files for that time.
+        """
+        kept = {f.split("/")[0] for t in self.manifest()["tables"].values() for f in [t["folder"], *t.get("parts", {}).values()]}
+        limit = (time.time() - older) * 1000
+        gone = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.path)) if s.isDirectory() and s.getPath().getName() not in kept and s.getModificationTime() <= limit]
         for name in gone:
             self._fs.delete(self._path(f"{self.path}/{name}"), True)
         return gone
@@ -122,6 +212,19 @@ def cached(requests: DataFrame, cache: DataFrame, keys: list[str]) -> tuple[Data
     return requests.join(cache, keys), requests.join(cache.select(*keys), keys, "left_anti")
 
 
+def vectors(old: DataFrame, new: DataFrame, model: str) -> DataFrame:
+    """The vector table with new rows of ``chunk_id, embedding, created_at``: float32, dimension and model; the last of a chunk wins."""
+    rows = new.select("chunk_id", F.col("embedding").cast("array<float>").alias("embedding"), F.size("embedding").alias("dimension"), F.lit(model).alias("model"), "created_at")
+    return upsert(old, rows, ["chunk_id"], "created_at")
+
+
+def tag_tables(rows: DataFrame, id_col: str, tags: str) -> tuple[DataFrame, DataFrame]:
+    """Tags with ids by name, and the bridge of rows and tags; blank tags are none, repeated ones count once."""
+    pairs = rows.select(F.col(id_col).alias("example_id"), F.explode(tags).alias("name")).where("trim(name) <> ''").distinct()
+    named = numbered(pairs.select("name").distinct(), ["name"])
+    return named.select("id", "name"), pairs.join(named, "name").select("example_id", F.col("id").alias("tag_id"))
+
+
 def children(pages: DataFrame, id_col: str = "document_id") -> tuple[DataFrame, DataFrame]:
     """Section rows and code-block rows of nested pages."""
     sections = pages.select(id_col, F.posexplode("sections").alias("order_num", "s")).select(id_col, "order_num", "s.heading", "s.level", "s.content", "s.code_blocks")

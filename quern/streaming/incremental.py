@@ -28,24 +28,32 @@ def postings_delta(index: DataFrame, updates: DataFrame, id_col: str, text: str)
     return index.join(updates.select(F.col(id_col).alias("id")).distinct(), "id", "left_anti").unionByName(fresh)
 
 
-def index_stream(documents: DataFrame, store: Store, checkpoint: str, id_col: str = "id", text: str = "text", order: str = "indexed_at") -> StreamingQuery:
+PARTS = 16
+
+
+def index_stream(documents: DataFrame, store: Store, checkpoint: str, id_col: str = "id", text: str = "text", order: str = "indexed_at", parts: int = PARTS) -> StreamingQuery:
     """Keeps the tables ``docs`` and ``postings`` of a store in step with a stream of document versions.
 
-    Every micro-batch takes the last version of each document, drops those whose hash is known, and
-    publishes both tables in one step. A batch that is run again changes nothing, so results are exactly
-    once.
+    Both lie in ``parts`` parts by document. Every micro-batch takes the last version of each document, drops
+    those whose hash is known, and writes the parts it touches anew, published in one step. A batch that is
+    run again changes nothing, so results are exactly once. Files of former states are deleted by age.
     """
+    part = F.pmod(F.xxhash64(id_col), F.lit(parts)).cast("int")
 
     def apply(batch: DataFrame, _: int) -> None:
         latest = upsert(batch.limit(0), batch, [id_col], order).withColumn("hash", change_hash(F.coalesce(F.col(text), F.lit(""))))
+        latest = latest.withColumn("part", part)
         if not store.has("docs"):
-            store.publish({"docs": latest, "postings": postings(latest.where(F.col(text).isNotNull()), id_col, F.col(text))})
+            fresh = postings(latest.where(F.col(text).isNotNull()), id_col, F.col(text)).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
+            store.publish_parts({"docs": latest, "postings": fresh}, parts)
             return
-        docs, index = store.read("docs"), store.read("postings")
+        touched = sorted(r[0] for r in latest.select("part").distinct().collect())  # one row a part
+        docs = store.part("docs", touched)
         fresh = changed(docs, latest, [id_col], "hash")
         if fresh.isEmpty():
             return
-        store.publish({"docs": upsert(docs, fresh, [id_col]), "postings": postings_delta(index, fresh, id_col, text)})
+        index = postings_delta(store.part("postings", touched).drop("part"), fresh, id_col, text).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
+        store.publish_parts({"docs": upsert(docs, fresh, [id_col]), "postings": index}, parts, touched)
         store.vacuum()
 
     return documents.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -54,3 +62,10 @@ def index_stream(documents: DataFrame, store: Store, checkpoint: str, id_col: st
 def up_to_date(manifest: dict, facts: dict[str, str]) -> bool:
     """Whether a manifest was written for the same pins and versions."""
     return all(manifest.get("facts", {}).get(k) == v for k, v in facts.items())
+
+
+def pins(known: DataFrame, wanted: DataFrame, keys: list[str], facts: list[str]) -> DataFrame:
+    """Wanted builds with ``skip``: whether one of the same key is known with the very same facts, null counting as a value."""
+    told = known.select(*keys, F.struct(*facts).alias("_was")).groupBy(*keys).agg(F.collect_set("_was").alias("_was"))
+    same = F.coalesce(F.exists("_was", lambda w: w.eqNullSafe(F.struct(*facts))), F.lit(False))
+    return wanted.join(told, keys, "left").withColumn("skip", same).drop("_was")

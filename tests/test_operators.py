@@ -249,11 +249,23 @@ def test_interleave_and_quota(spark):
 
 
 def test_directory_spread():
-    items = [(f"a/{n}.java", i, -1.0) for i, n in enumerate("ppppqq")] + [("b/c/z.java", 6, -2.0), ("b/c/z.java", 7, 0.0)]
-    chosen = snippets.directory_spread(items, 4)
-    assert len(chosen) == 4 and 6 in chosen
+    # (path, index, rank): directories a and b/c, of which b/c has the better head
+    items = [(f"a/{n}.java", i, (0, i)) for i, n in enumerate("ppppqq")] + [("b/c/z.java", 6, (-1, 6)), ("b/c/z.java", 7, (0, 7))]
+    assert snippets.directory_spread(items, 4) == [0, 4, 6, 7]  # turns: 6, p0, 7, q4
     assert snippets.directory_spread(items, 20) == list(range(8))
-    assert len(snippets.directory_spread([("f", i, 0.0) for i in range(10)], 5)) == 5
+    assert snippets.directory_spread([("f", i, (0, i)) for i in range(10)], 5) == [0, 1, 2, 3, 4]  # three, then the rest without the limit
+    assert snippets.directory_spread([("f", i, (-i, i)) for i in range(10)], 4) == [6, 7, 8, 9]
+    assert snippets.directory_order({"x": (2,), "x/y": (5,), "x/z": (1,), "x/z/w": (0,), "": (9,)}) == ["", "x", "x/z", "x/y", "x/z/w"]
+    assert snippets.directory_order({}) == []
+
+
+def test_spread_directories(spark):
+    rows = [("r", f"src/{'generated' if i % 2 else 'main'}/F{i % 4}.java", i, i + (1 if i % 5 == 0 else 9), ["m"] * (i % 3)) for i in range(40)] + [(None, "a.java", 1, 9, [])]
+    df = spark.createDataFrame(rows, "repo string, path string, start_line int, end_line int, markers array<string>")
+    got = snippets.spread_directories(df, 6).collect()
+    assert sum(r["repo"] is None for r in got) == 1 and len(got) == 7
+    main = [r for r in got if r["repo"] and "main" in r["path"]]
+    assert len(main) == 3 and all(r["end_line"] - r["start_line"] > 1 for r in main)
 
 
 def test_regions():
@@ -300,8 +312,52 @@ def test_store(spark, tmp_path):
     with pytest.raises(Exception):
         s.publish({"u": spark.range(2), "t": spark.range(1).select(F.raise_error(F.lit("no")))})
     assert s.read("t").count() == 5 and not s.has("u")
-    assert first in s.vacuum()
-    assert s.read("t").count() == 5
+    assert s.vacuum() == [] and first in s.vacuum(0)
+    assert s.read("t").count() == 5 and s.verify() == [] and s.has("t", "id") and not s.has("t", "x") and s.fact("pin") == "1" and s.fact("none") is None
+    entry = s.manifest()["tables"]["t"]
+    assert entry["rows"] == 5 and entry["bytes"] > 0 and len(entry["sha256"]) == 64
+    spark.range(7).write.mode("append").parquet(f"file://{tmp_path}/s/{entry['folder']}")
+    assert set(s.verify()) == {"t: rows", "t: bytes", "t: sha256"}
+    (tmp_path / "s/manifest.json").write_text("[broken")
+    assert s.manifest()["tables"] == {} and s.fact("schema_version") is None and not s.has("t")
+
+
+def test_store_parts(spark, tmp_path):
+    s = store.Store(spark, f"file://{tmp_path}/p")
+    rows = spark.range(20).withColumn("part", (F.col("id") % 4).cast("int"))
+    s.publish_parts({"t": rows}, 4)
+    assert s.read("t").count() == 20 and {r["id"] % 4 for r in s.part("t", [1, 3]).collect()} == {1, 3}
+    before = s.manifest()["tables"]["t"]["parts"]
+    s.publish_parts({"t": rows.where("id = 2")}, 4, [2, 3])
+    after = s.manifest()["tables"]["t"]["parts"]
+    assert after["0"] == before["0"] and after["2"] != before["2"] and "3" not in after
+    assert sorted(r["id"] for r in s.read("t").collect()) == [0, 1, 2, 4, 5, 8, 9, 12, 13, 16, 17]
+
+
+def test_pins_and_tags(spark):
+    known = spark.createDataFrame([("a", "1", None), ("b", "1", "x")], "k string, pin string, v string")
+    wanted = spark.createDataFrame([("a", "1", None), ("b", "2", "x"), ("c", "1", "x")], "k string, pin string, v string")
+    assert {r["k"]: r["skip"] for r in incremental.pins(known, wanted, ["k"], ["pin", "v"]).collect()} == {"a": True, "b": False, "c": False}
+    tags, bridge = store.tag_tables(spark.createDataFrame([(1, ["x", "y", "x"]), (2, ["y", " "]), (3, None)], "id int, t array<string>"), "id", "t")
+    names = {r["id"]: r["name"] for r in tags.collect()}
+    assert {(r["example_id"], names[r["tag_id"]]) for r in bridge.collect()} == {(1, "x"), (1, "y"), (2, "y")}
+
+
+def test_supertypes_through_inherited_members(spark):
+    """A name only visible through a supertype of an enclosing type, found in a second round."""
+    known = spark.createDataFrame([("p.Base",), ("p.Base.Builder",), ("p.Outer",), ("p.Outer.Inner",), ("p.Outer.Inner.Deep",), ("p.Base.Builder.Part",)], "fqn string")
+    schema = "ref_id int, owner string, raw string, package string, enclosing array<string>, explicit map<string,string>, wildcards array<string>"
+    refs = spark.createDataFrame([
+        (1, "p.Outer", "Base", "p", ["p.Outer"], None, None), (2, "p.Outer.Inner", "Builder<T>", "p", ["p.Outer.Inner", "p.Outer"], None, None),
+        (3, "p.Outer.Inner.Deep", "Part", "p", ["p.Outer.Inner.Deep", "p.Outer.Inner", "p.Outer"], None, None), (4, "p.Outer", "Lost", "p", ["p.Outer"], None, None),
+        (5, "p.Outer", "Base", "q", ["p.Outer"], {"Base": "far.Base"}, ["p"]), (6, "p.Outer", "Base.Builder", "q", ["p.Outer"], None, ["p"]), (7, "p.Outer", "a[b", "p", ["p.Outer"], None, None),
+    ], schema)
+    got = {r["ref_id"]: r["target"] for r in graph.resolve_supertypes(refs, known).collect()}
+    assert got == {1: "p.Base", 2: "p.Base.Builder", 3: "p.Base.Builder.Part", 4: None, 5: None, 6: "p.Base.Builder", 7: None}
+
+
+def test_exit_codes():
+    assert [quality.exit_code(*x) for x in ((0, 0, 0), (1, 1, 1), (0, 2, 1), (0, 0, 9))] == [0, 3, 4, 5]
 
 
 def test_upsert_number_cache(spark):
