@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,43 +52,94 @@ def windows(text: str, size: int = SIZE, overlap: int = OVERLAP, least: int = LE
     return out
 
 
-_SCHEMA = "document_id bigint, chunk_type string, content string, section_heading string, order_num int, word_count bigint, has_code boolean"
+def in_groups(rows: DataFrame, key: str, order: list[str], schema: str, start: Callable[[], Group]) -> DataFrame:
+    """Rows of each key given, in order, to an object made by ``start``, which returns rows at once and at the end.
 
+    Rows are sorted inside their partitions and streamed in Arrow batches: no group is ever held as a whole,
+    however many rows it has. The key comes first in every row.
+    """
+    names = [f.split()[0] for f in schema.split(", ")]
 
-def chunk(pages: DataFrame, sections: DataFrame, size: int = SIZE) -> DataFrame:
-    """Title, code and section chunks of each page; a full chunk where there are no sections.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, now = None, None
+        types = [_ARROW[f.split()[1]] for f in schema.split(", ")]
 
-    Pages are expanded where they lie; the sections of a page meet once, by its id. A page's chunks are
-    numbered from 0. Null contents count as empty.
-    """
-    grouped = (
-        sections.select("document_id", "section_id", "heading", "content", "code_blocks", "order_num").distinct()
-        .groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("order_num", F.lit(0)).alias("o"), F.col("section_id").alias("i"), "heading", "content", "code_blocks"))).alias("sections"))
-    )
-    rows = pages.select("document_id", "title", "content").join(grouped, "document_id", "left")
+        def packed(out: list[tuple]) -> pa.RecordBatch:
+            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * len(names), types, strict=True)], names=names)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for key, title, content, parts in batch[["document_id", "title", "content", "sections"]].itertuples(index=False):
-                out.extend(_page(key, title or "", content or "", [] if parts is None else list(parts), size))
-            yield pd.DataFrame(out, columns=["document_id", "chunk_type", "content", "section_heading", "order_num", "word_count", "has_code"])
+            out: list[tuple] = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if group is None or row[0] != now:
+                    if group is not None:
+                        out.extend(group.end())
+                    group, now = start(), row[0]
+                out.extend(group.add(row))
+            yield packed(out)
+        if group is not None:
+            yield packed(list(group.end()))
+
+    return rows.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
+
+
+_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
+
 
-    return rows.mapInPandas(run, _SCHEMA)
+class Group:
+    """What in_groups needs."""
 
+    def add(self, row: tuple) -> list[tuple]:
+        raise NotImplementedError
 
-def _page(key: int, title: str, content: str, parts: list, size: int) -> list[tuple]:
-    found = [("title", f"{title}\n\n{content[:size]}", None, False)]
-    if not parts:
-        found.append(("full", content, None, False))
-    for part in parts:
-        heading, body = part["heading"] or "", (part["content"] or "").strip()
-        for block in [] if part["code_blocks"] is None else part["code_blocks"]:
+    def end(self) -> list[tuple]:
+        return []
+
+
+_SCHEMA = "document_id bigint, chunk_type string, content string, section_heading string, order_num int, word_count bigint, has_code boolean"
+
+
+class _Page(Group):
+    """The chunks of a page: its row comes first, then those of its sections."""
+
+    def __init__(self, size: int):
+        self.size, self.number, self.page, self.sections = size, 0, None, 0
+
+    def _out(self, kind: str, text: str, heading: str | None, code: bool) -> tuple:
+        self.number += 1
+        return self.page[0], kind, text, heading, self.number - 1, max(len(text.split()), 1), code
+
+    def add(self, row: tuple) -> list[tuple]:
+        _, kind, _, _, title, content, heading, blocks = row
+        if kind == 0:
+            if self.page is None:
+                self.page = row
+                return [self._out("title", f"{title or ''}\n\n{(content or '')[: self.size]}", None, False)]
+            return []
+        if self.page is None:
+            return []
+        self.sections += 1
+        heading, body, out = heading or "", (content or "").strip(), []
+        for block in blocks or []:
             if block["code"]:
-                found.append(("code", "\n".join(x for x in (heading, block["caption"], block["code"]) if x), heading, True))
+                out.append(self._out("code", "\n".join(x for x in (heading, block["caption"], block["code"]) if x), heading, True))
         if len(body) >= LEAST:
-            found.extend(("section", f"{heading}\n\n{piece}" if heading else piece, heading, False) for piece in windows(body, size))
-    return [(key, kind, text, heading, i, max(len(text.split()), 1), code) for i, (kind, text, heading, code) in enumerate(found)]
+            out.extend(self._out("section", f"{heading}\n\n{piece}" if heading else piece, heading, False) for piece in windows(body, self.size))
+        return out
+
+    def end(self) -> list[tuple]:
+        return [] if self.page is None or self.sections else [self._out("full", self.page[5] or "", None, False)]
+
+
+def chunk(pages: DataFrame, sections: DataFrame, size: int = SIZE) -> DataFrame:
+    """Title, code and section chunks of each page; a full chunk where there are no sections.
+
+    A page's row and its sections' rows pass in order; chunks are numbered from 0. Null contents count as
+    empty, equal rows of a section once, sections without a page not at all.
+    """
+    kind = dict(sections.dtypes)["code_blocks"]
+    rows = pages.select("document_id", F.lit(0).alias("kind"), F.lit(0).alias("o"), F.lit(None).cast("bigint").alias("i"), "title", "content", F.lit(None).cast("string").alias("heading"), F.lit(None).cast(kind).alias("code_blocks"))
+    parts = sections.where("document_id is not null").select("document_id", F.lit(1).alias("kind"), F.coalesce("order_num", F.lit(0)).alias("o"), F.col("section_id").alias("i"), F.lit(None).cast("string").alias("title"), "content", "heading", "code_blocks").distinct()
+    return in_groups(rows.unionByName(parts), "document_id", ["kind", "o", "i", "heading", "content"], _SCHEMA, lambda: _Page(size))
 
 
 def sanitise(sections: DataFrame, least: int = 25) -> DataFrame:
@@ -98,30 +150,33 @@ def sanitise(sections: DataFrame, least: int = 25) -> DataFrame:
     return kept.withColumn("_n", n).where("_n = 1").drop("_n")
 
 
+class _Bodies(Group):
+    """Bodies a page has kept, by digest."""
+
+    def __init__(self) -> None:
+        self.seen: set[bytes] = set()
+        self.place = 0
+
+    def add(self, row: tuple) -> list[tuple]:
+        key, _, section, heading, content, blocks = row
+        self.place += 1
+        codes = "\n".join(b["code"] or "" for b in blocks or [])
+        body = (content or "").strip() or codes
+        for option in (body, f"{body}\n\n{codes}".strip(), f"{heading or ''}\n\n{body}".strip()):
+            digest = hashlib.blake2b(option.encode("utf-8", "replace"), digest_size=16).digest()
+            if option and digest not in self.seen:
+                self.seen.add(digest)
+                return [(key, section, self.place - 1, option)]
+        return []
+
+
 def unique_bodies(sections: DataFrame) -> DataFrame:
     """Stored bodies, unique on their page: a repeated one takes its code, then its heading, else is dropped.
 
-    The rule is sequential within a page, whose sections are few and bounded by the page.
+    The rule is sequential within a page; a page's rows are streamed, and digests of its bodies are all it keeps.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            keep = []
-            for key, parts in zip(batch["document_id"], batch["parts"], strict=True):
-                seen: set[str] = set()
-                for i, part in enumerate(parts):
-                    codes = "\n".join(b["code"] or "" for b in part["code_blocks"]) if part["code_blocks"] is not None else ""
-                    body = (part["content"] or "").strip() or codes
-                    for option in (body, f"{body}\n\n{codes}".strip(), f"{part['heading'] or ''}\n\n{body}".strip()):
-                        if option and option not in seen:
-                            seen.add(option)
-                            keep.append((key, part["section_id"], i, option))
-                            break
-            yield pd.DataFrame(keep, columns=["document_id", "section_id", "place", "body"])
-
-    rows = sections.select("document_id", F.struct(F.coalesce("order_num", F.lit(0)).alias("order_num"), "section_id", "heading", "content", "code_blocks").alias("part")).where("document_id is not null").distinct()
-    grouped = rows.groupBy("document_id").agg(F.array_sort(F.collect_list("part")).alias("parts"))
-    return grouped.mapInPandas(run, "document_id bigint, section_id bigint, place int, body string")
+    rows = sections.where("document_id is not null").select("document_id", F.coalesce("order_num", F.lit(0)).alias("o"), "section_id", "heading", "content", "code_blocks").distinct()
+    return in_groups(rows, "document_id", ["o", "section_id", "heading", "content"], "document_id bigint, section_id bigint, place int, body string", _Bodies)
 
 
 def meaningful(content: Column, heading: Column) -> Column:
@@ -130,32 +185,32 @@ def meaningful(content: Column, heading: Column) -> Column:
     return (F.length(text) >= 20) & (F.length(text) > F.length(F.coalesce(heading, F.lit("")))) & ~text.rlike("^[a-z]")
 
 
-def canonical_sections(sections: DataFrame, most: int = 20) -> DataFrame:
+class _Canonical(Group):
+    """Headings and bodies a page has kept."""
+
+    def __init__(self, most: int | None):
+        self.most, self.heads, self.bodies, self.place = most, set(), set(), 0
+
+    def add(self, row: tuple) -> list[tuple]:
+        key, _, section, head, body = row
+        if (self.most is not None and self.place >= self.most) or head in self.heads or body in self.bodies:
+            return []
+        self.heads.add(head)
+        self.bodies.add(body)
+        self.place += 1
+        return [(key, section, self.place)]
+
+
+def canonical_sections(sections: DataFrame, most: int | None = None) -> DataFrame:
     """``document_id, section_id, place``: the first meaningful section per heading and per body of each page.
 
-    A section counts as seen only if it was kept, so the rule is sequential within a page; pages are small.
+    A section counts as seen only if it was kept, so the rule is sequential within a page, whose rows are
+    streamed as digests. ``most`` bounds what a page shows, if it is given.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            keep = []
-            for key, parts in zip(batch["document_id"], batch["parts"], strict=True):
-                heads: set[str] = set()
-                bodies: set[str] = set()
-                place = 0
-                for part in parts:
-                    if place < most and part["h"] not in heads and part["b"] not in bodies:
-                        heads.add(part["h"])
-                        bodies.add(part["b"])
-                        place += 1
-                        keep.append((key, part["section_id"], place))
-            yield pd.DataFrame(keep, columns=["document_id", "section_id", "place"])
-
-    key = lambda c: F.sha2(F.lower(F.trim(F.coalesce(c, F.lit("")))), 256)
+    key = lambda c: F.unhex(F.md5(F.lower(F.trim(F.coalesce(c, F.lit("")))))).alias(c)
     rows = sections.where(meaningful(F.col("content"), F.col("heading"))).where("document_id is not null")
-    slim = rows.select("document_id", F.struct(F.coalesce("order_num", F.lit(0)).alias("order_num"), "section_id", key("heading").alias("h"), key("content").alias("b")).alias("part"))
-    grouped = slim.groupBy("document_id").agg(F.array_sort(F.collect_list("part")).alias("parts"))
-    return grouped.mapInPandas(run, "document_id bigint, section_id bigint, place int")
+    slim = rows.select("document_id", F.coalesce("order_num", F.lit(0)).alias("o"), "section_id", key("heading"), key("content"))
+    return in_groups(slim, "document_id", ["o", "section_id"], "document_id bigint, section_id bigint, place int", lambda: _Canonical(most))
 
 
 def sentences(text: Column, least: int = 20) -> Column:

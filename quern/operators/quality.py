@@ -84,7 +84,7 @@ def orphans(children: DataFrame, key: str, parents: DataFrame, parent_key: str)
 
 def off_list(rows: DataFrame, column: str, known: DataFrame, name: str) -> DataFrame:
     """Values that aren't on a list, with their counts."""
-    return rows.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n")).join(F.broadcast(known.select(F.col(name).alias("_k"))), F.col("value") == F.col("_k"), "left_anti")
+    return rows.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n")).join(known.select(F.col(name).alias("_k")), F.col("value") == F.col("_k"), "left_anti")
 
 
 def set_difference(a: DataFrame, b: DataFrame) -> DataFrame:

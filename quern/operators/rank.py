@@ -51,7 +51,9 @@ def capped(rows: DataFrame, item: str, owner: str, score: str, key: str, cap: in
     """
     order = [F.col(score).desc(), F.col(item)]
     once = best_of_group(rows.where(F.col(score) >= floor), [key], order)
-    nth = F.row_number().over(Window.partitionBy(owner).orderBy(*order))
+    # a row without an owner is an owner of its own: such rows don't meet in one task
+    whose = F.coalesce(F.col(owner).cast("string"), F.concat(F.lit("\x00"), F.col(item).cast("string")))
+    nth = F.row_number().over(Window.partitionBy(whose).orderBy(*order))
     marked = once.withColumn("overflow", F.col(owner).isNotNull() & (nth > cap))
     return marked.orderBy("overflow", *order).limit(limit)
 

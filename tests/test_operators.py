@@ -43,13 +43,48 @@ def test_windows_long_token():
     assert pieces[-1].endswith("ends here.")
 
 
-def test_truncate():
-    assert text.truncate("short", 10) == "short"
-    assert text.truncate("One sentence here. Another one follows", 25) == "One sentence here."
-    assert text.truncate("aaaa bbbb cccc dddd", 12) == "aaaa bbbb..."
-    assert text.truncate("x" * 50, 10) == "x" * 50
-    assert text.truncate(None, 10) is None
-    assert text.truncate_code("int a = 1; int b = 2; int c = 3;", 24).startswith("int a = 1; int b = 2;")
+def test_truncate(spark):
+    cases = {"short": "short", "One sentence here. Another one follows": "One sentence here.", "aaaa bbbb cccc dddd eeee ffff gggg": "aaaa bbbb cccc dddd eeee...", "x" * 50: "x" * 50, None: None, "": "", "First part\n\nsecond part that goes on": "First part"}
+    rows = spark.createDataFrame([(t,) for t in cases], "t string")
+    assert {r["t"]: r["c"] for r in rows.select("t", text.truncate(F.col("t"), 25).alias("c")).collect()} == cases
+    blank = spark.createDataFrame([("Long enough first part\n\nsecond",)], "t string").select(text.truncate(F.col("t"), 28)).first()[0]
+    assert blank == "Long enough first part"
+    codes = {"int a = 1; int b = 2; int c = 3;": "int a = 1; int b = 2;\n// ...", "short;": "short;", "a; " + "b" * 40: "a; " + "b" * 21 + "\n// ...", None: None}
+    rows = spark.createDataFrame([(t,) for t in codes], "t string")
+    assert {r["t"]: r["c"] for r in rows.select("t", text.truncate_code(F.col("t"), 24).alias("c")).collect()} == codes
+
+
+def test_chunks_of_pages(spark):
+    blocks = "array<struct<language: string, code: string, caption: string>>"
+    pages = spark.createDataFrame([(1, "T", "c" * 1200), (2, None, None), (3, "S", "text")], "document_id bigint, title string, content string")
+    body = "A body of more than fifty characters, so that it is kept as a chunk. "
+    rows = [(11, 1, "H", body, [("java", "x();", "cap"), ("java", None, None)], 2), (10, 1, None, body.upper(), None, 1), (10, 1, None, body.upper(), None, 1), (12, 1, "Tiny", "small", [], 3), (13, 9, "Orphan", body, None, 1), (14, None, "Null", body, None, 1), (15, 3, "Tiny", "x", None, None)]
+    sections = spark.createDataFrame(rows, f"section_id bigint, document_id bigint, heading string, content string, code_blocks {blocks}, order_num int")
+    got = [tuple(r)[:5] for r in chunks.chunk(pages, sections).orderBy("document_id", "order_num").collect()]
+    assert got == [
+        (1, "title", "T\n\n" + "c" * 1000, None, 0), (1, "section", body.upper().strip(), "", 1), (1, "code", "H\ncap\nx();", "H", 2), (1, "section", f"H\n\n{body.strip()}", "H", 3),
+        (2, "title", "\n\n", None, 0), (2, "full", "", None, 1), (3, "title", "S\n\ntext", None, 0),
+    ]
+    assert chunks.chunk(pages.limit(0), sections).count() == 0 and chunks.chunk(pages, sections.limit(0)).count() == 6
+
+
+def test_bodies_and_canonical_sections(spark):
+    blocks = "array<struct<language: string, code: string, caption: string>>"
+    rows = [(1, 1, "A", "same text that is long enough", [("java", "code1", None)], 1), (2, 1, "B", "same text that is long enough", [("java", "code2", None)], 2), (3, 1, "B", "same text that is long enough", [], 3), (4, 1, "B", "same text that is long enough", [], 4), (5, 1, "C", "", None, 5), (6, 2, "A", "same text that is long enough", None, None)]
+    rows = [(i, d, h, c.replace("same", "Same"), b, o) for i, d, h, c, b, o in rows]
+    df = spark.createDataFrame(rows, f"section_id bigint, document_id bigint, heading string, content string, code_blocks {blocks}, order_num int")
+    text_ = "Same text that is long enough"
+    got = {(r["section_id"], r["place"]): r["body"] for r in chunks.unique_bodies(df).collect()}
+    assert got == {(1, 0): text_, (2, 1): f"{text_}\n\ncode2", (3, 2): f"B\n\n{text_}", (5, 4): "C", (6, 0): text_}
+    many = spark.createDataFrame([(i, 1, f"H{i % 30}", f"Body number {i % 40} of some length", i) for i in range(60)] + [(99, 1, "X", "lower case starts no body, however long", 0)], "section_id bigint, document_id bigint, heading string, content string, order_num int")
+    many = many.withColumn("content", F.concat(F.upper(F.substring("content", 1, 1)), F.substring("content", 2, 1000)))
+    kept, heads, bodies = [], set(), set()
+    for i in [0, 99, *range(1, 60)]:
+        h, b = (f"H{i % 30}", i % 40) if i != 99 else ("X", "x")
+        if h not in heads and b not in bodies:
+            heads.add(h), bodies.add(b), kept.append(i)
+    assert [r["section_id"] for r in chunks.canonical_sections(many).orderBy("place").collect()] == kept
+    assert chunks.canonical_sections(many, 3).count() == 3
 
 
 def _score(name, query, more=()):
