@@ -168,7 +168,9 @@ def digests(rows: DataFrame, least: int = FIELDS_AT_LEAST) -> DataFrame:
             yield pa.record_batch([batch.column(0), batch.column(1), batch.column(3), roots, pa.array([f for _, f in found], pa.string())], names=["group", "id", "plain", "root", "form"])
 
     letters = F.regexp_replace(F.upper("text"), _NOT_ALNUM, "")
-    hashed = rows.where("text is not null").select("group", "id", "text", F.when(letters != "", F.struct(F.xxhash64(letters).alias("a"), F.xxhash64(F.lit(1), letters).alias("b"))).alias("plain")).where("plain is not null")
+    # exploded, not filtered: a filter would be pushed down and the letters be made once more for it
+    digest = F.transform(F.filter(F.array(letters), lambda x: x != ""), lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b")))
+    hashed = rows.where("text is not null").select("group", "id", "text", F.explode(digest).alias("plain"))
     marked = F.replace(F.col("text"), F.lit("->"), F.lit("="))
     separators = F.length(marked) - F.length(F.translate(marked, ":=", ""))
     kind = dict(hashed.dtypes)
