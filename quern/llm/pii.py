@@ -73,6 +73,8 @@ _ALONE = re.compile(rf"(?<![\w.#/@$-]){_CAP}(?![\w@#/$(])")
 _GREETED = re.compile(r"(?<![^\W_])(?:hi|hello|hey|hallo|bonjour|salut|hola|ciao|my name is|i am|i'm|ich bin|je suis|soy),? ([^\W\d_]+(?:-[^\W\d_]+)?(?: [^\W\d_]\.?)? [^\W\d_]+(?:-[^\W\d_]+)?)(?=,? (?:here|speaking|again)\b)", re.I)
 _TOKENS = re.compile(r"[^\W_]+|[^\w\s]")
 _PIECES = re.compile(r"[^\W_]+")
+_WORDS = re.compile(r"[^\s,]+")
+_DIGIT = re.compile(r"\d")
 _LETTERS = re.compile(r"[^\W\d_]{4,}")
 
 # What a text must hold for a pattern above to match anywhere; cheap tests that spare most texts the patterns.
@@ -84,13 +86,14 @@ _AT_WORDS = tuple(f"at{gap}{sign}" for gap in ("", " ", "\t", "\n") for sign in
 
 
 def _may_hold_email(text: str, low: str) -> bool:
-    return "@" in text or "＠" in text or any(w in low for w in _AT_WORDS) or "dot" in low and re.search(r"\sat\s[\w-]+\sdot\s", low) is not None
+    return "@" in text or "＠" in text or any(map(low.__contains__, _AT_WORDS)) or "dot" in low and re.search(r"\sat\s[\w-]+\sdot\s", low) is not None
 
 
 def _may_hold_address(text: str) -> bool:
-    return any(w in text for w in _ADDRESS_WORDS) or _STREET_HINT.search(text) is not None or "ring " in text and _RING_HINT.search(text) is not None
+    return any(map(text.__contains__, _ADDRESS_WORDS)) or _STREET_HINT.search(text) is not None or "ring " in text and _RING_HINT.search(text) is not None
 
 
+@functools.lru_cache(maxsize=65536)
 def _fold(word: str) -> str:
     """A word without case, accents and possessive."""
     word = word.casefold()
@@ -127,7 +130,7 @@ def segments(text: str) -> list[Segment]:
             starts.insert(k, a)
             ends.insert(k, b)
             if greeted:
-                out.append(Segment(what, [(m.start(), m.end()) for m in re.compile(r"[^\s,]+").finditer(text, a, b)], True))
+                out.append(Segment(what, [(m.start(), m.end()) for m in _WORDS.finditer(text, a, b)], True))
                 return
             pieces = [(m.start(), m.end()) for m in _PIECES.finditer(text, a, b)]
             pieces[0], pieces[-1] = (a, pieces[0][1]), (pieces[-1][0] if len(pieces) > 1 else a, b)
@@ -142,7 +145,7 @@ def segments(text: str) -> list[Segment]:
             add(m.start(), m.end(), "address")
     if _NUMBER_HINT.search(text):
         for m in _NUMBER.finditer(text):
-            if sum(c.isdigit() for c in m[0]) >= 7 and not _IBAN.search(text, max(0, m.start() - 5), m.start()):
+            if len(_DIGIT.findall(m[0])) >= 7 and not _IBAN.search(text, max(0, m.start() - 5), m.start()):
                 add(m.start(), m.end(), "number")
     if " here" in low or " speaking" in low or " again" in low:
         for m in _GREETED.finditer(text):
@@ -150,7 +153,7 @@ def segments(text: str) -> list[Segment]:
     held: set[str] = set()
     for m in _NAMES.finditer(text):
         run: list[tuple[int, int]] = []
-        for x in re.compile(r"[^\s,]+").finditer(text, m.start(), m.end()):
+        for x in _WORDS.finditer(text, m.start(), m.end()):
             a, b = x.start(), x.end()
             if free(a, b):
                 if text[b - 2 : b] in ("'s", "’s"):
@@ -181,6 +184,7 @@ def segments(text: str) -> list[Segment]:
     return out
 
 
+@functools.lru_cache(maxsize=65536)
 def _form(word: str) -> str:
     """Kind of a token by its characters."""
     if not word[:1].isalnum():
@@ -241,7 +245,7 @@ def features(text: str, s: Segment) -> list[list[str]]:
     if row[-1] == ",":
         row.pop()
     row += after
-    forms = [_form(w) if w not in "^$" else w for w in row]
+    forms = [_form(w) for w in row]
     words = [w.lower() for w in row]
     line = text.rfind("\n", 0, s.start) + 1
     code = text.startswith("    ", line)
