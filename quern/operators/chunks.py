@@ -6,6 +6,7 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,6 +53,16 @@ def windows(text: str, size: int = SIZE, overlap: int = OVERLAP, least: int = LE
     return out
 
 
+def pieces(text: Column, size: int = SIZE) -> Column:
+    """The pieces of texts as an array, in Arrow batches."""
+
+    @F.pandas_udf("array<string>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: windows(t, size) if t is not None else None)
+
+    return cut(text)
+
+
 def in_groups(rows: DataFrame, key: str, order: list[str], schema: str, start: Callable[[], Group]) -> DataFrame:
     """Rows of each key given, in order, to an object made by ``start``, which returns rows at once and at the end.
 

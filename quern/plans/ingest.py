@@ -143,7 +143,7 @@ def release_versions(spark: SparkSession, d: str) -> DataFrame:
     return formats.release_list(rows.select(F.when(F.col("document_id") % 2 == 0, xml).otherwise(link).alias("value"))).distinct()
 
 
-@query("S11", "SELECT file_id, regexp_replace('https://d.example/' || regexp_replace(regexp_replace(regexp_replace(p, '^docs/', ''), '\.md$', ''), '/?index$', ''), '/+$', '') AS route, 'https://d.example/' || replace(regexp_replace(p, '\.md$', ''), '_', '/') AS flat FROM (SELECT file_id, CASE WHEN file_id % 3 = 0 THEN 'docs/' || regexp_replace(path, '[^/]*$', '') || 'index.md' ELSE 'docs/' || path || '.md' END AS p FROM source_files WHERE path IS NOT NULL)")
+@query("S11", r"SELECT file_id, regexp_replace('https://d.example/' || regexp_replace(regexp_replace(regexp_replace(p, '^docs/', ''), '\.md$', ''), '/?index$', ''), '/+$', '') AS route, 'https://d.example/' || replace(regexp_replace(p, '\.md$', ''), '_', '/') AS flat FROM (SELECT file_id, CASE WHEN file_id % 3 = 0 THEN 'docs/' || regexp_replace(path, '[^/]*$', '') || 'index.md' ELSE 'docs/' || path || '.md' END AS p FROM source_files WHERE path IS NOT NULL)")
 def wiki_routes(spark: SparkSession, d: str) -> DataFrame:
     path = F.when(F.col("file_id") % 3 == 0, F.concat(F.lit("docs/"), F.regexp_replace("path", "[^/]*$", ""), F.lit("index.md"))).otherwise(F.concat(F.lit("docs/"), "path", F.lit(".md")))
     rows = table(spark, d, "source_files").where("path is not null")
