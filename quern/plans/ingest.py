@@ -17,7 +17,7 @@ from quern.operators import quality as Q
 from quern.operators.quality import gate
 from quern.plans.registry import query
 from quern.session import workspace
-from quern.sources import formats, table
+from quern.sources import crawl, formats, table
 from quern.sources.store import SCHEMAS, Store, cached, cascade, children, numbered, tag_tables, vectors
 from quern.streaming.incremental import index_stream, pins, postings_delta
 
@@ -322,6 +322,67 @@ def stream_index(spark: SparkSession, d: str) -> DataFrame:
     return store.read("postings").groupBy("term").agg(F.sum("tf").alias("n"), F.count("*").alias("docs"))
 
 
+# ---- pages from elsewhere -----------------------------------------------------------------------
+
+
+def _answer(url: str) -> tuple[int, str]:
+    """A stand-in for the network: what an address answers depends on it alone."""
+    if "/rendering/" in url:
+        raise OSError("refused")
+    return (404, "") if "/general/" in url else (200, f"page of {url}")
+
+
+@query("S06 S10 S08 G03", """WITH u AS (SELECT DISTINCT regexp_replace(url, '^([a-z]+://)cauldron-docs\\.example', '\\1docs.example') AS url FROM document_pages WHERE regexp_matches(url, '^[a-z]+://[^/ ]+/[^ ]*$') UNION SELECT 'https://docs.example/start')
+SELECT url, CASE WHEN contains(url, '/rendering/') THEN NULL WHEN contains(url, '/general/') THEN 404 ELSE 200 END::INT AS status, CASE WHEN NOT contains(url, '/rendering/') AND NOT contains(url, '/general/') THEN 'page of ' || url END AS body,
+ CASE WHEN contains(url, '/rendering/') THEN 3 ELSE 1 END::INT AS attempts, CASE WHEN contains(url, '/rendering/') THEN 'refused' WHEN contains(url, '/general/') THEN 'status 404' END AS error FROM u""")
+def crawled_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Addresses on canonical hosts, fetched host by host with repeats; failures are rows."""
+    urls = table(spark, d, "document_pages").where(F.col("url").rlike("^[a-z]+://[^/ ]+/[^ ]*$")).select("url")
+    return crawl.crawl(crawl.discover(urls, {"cauldron-docs.example": "docs.example"}, static=["https://docs.example/start"]), _answer, delay=0.0)
+
+
+@query("S21", "WITH a AS (SELECT DISTINCT repo, 'file' AS provenance FROM repo_files WHERE repo IS NOT NULL), b AS (SELECT DISTINCT repo FROM source_files WHERE repo IS NOT NULL) SELECT * FROM a UNION ALL SELECT repo, 'source' FROM b WHERE repo NOT IN (SELECT repo FROM a) UNION ALL SELECT repo, 'roster' FROM roster_repos WHERE repo NOT IN (SELECT repo FROM a) AND repo NOT IN (SELECT repo FROM b)")
+def artifact_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Every repository from the first place that knows it, with the place."""
+    of = lambda t: table(spark, d, t).where("repo is not null").select("repo").distinct()
+    return crawl.first_source([("file", of("repo_files")), ("source", of("source_files")), ("roster", of("roster_repos"))], "repo")
+
+
+@query("S32 S33 S34", """SELECT 'documents' AS "table", count(*) AS rows FROM document_pages UNION ALL SELECT 'vectors', count(*) FROM embeddings UNION ALL SELECT 'guide://setup', 21""")
+def release_install(spark: SparkSession, d: str) -> DataFrame:
+    """A release verified and installed into a store that held another state; beside it a document that comes with the program."""
+    base = f"{workspace(spark)}/release-{uuid.uuid4().hex[:12]}"
+    release, live = Store(spark, f"{base}/new"), Store(spark, f"{base}/live")
+    live.publish({"documents": table(spark, d, "document_pages").limit(1).select("document_id")}, tag="old")
+    release.publish({"documents": table(spark, d, "document_pages").select("document_id", "url"), "vectors": table(spark, d, "embeddings")}, tag="new")
+    crawl.install(release, live)
+    guide = crawl.read_static(crawl.static_documents(spark, {"guide://setup": "Install, then restart."}), "guide://setup#top")
+    rows = [(t, live.read(t).count()) for t in ("documents", "vectors") if live.fact("tag") == "new"]
+    return spark.createDataFrame([*rows, ("guide://setup", len(guide) - 1)], "table string, rows bigint")
+
+
+@query("S31 R26", "SELECT vec_id::VARCHAR AS key, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)) * CASE WHEN label = 2 THEN 2 ELSE 1 END, 3)::DOUBLE AS total FROM embeddings WHERE embedding IS NOT NULL AND label <> 3")
+def vector_cache(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors put, written over, deleted, saved and loaded."""
+    rows = table(spark, d, "embeddings").where("embedding is not null").select(F.col("vec_id").cast("string").alias("key"), "embedding", "label")
+    cache = crawl.VectorCache(rows.select("key", "embedding")).put(rows.where("label = 2").select("key", F.transform("embedding", lambda x: x * 2).alias("embedding"))).delete(rows.where("label = 3"))
+    path = f"{workspace(spark)}/cache-{uuid.uuid4().hex[:12]}"
+    cache.save(path)
+    found = crawl.VectorCache.load(spark, path).get(rows)
+    return found.select("key", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 3).alias("total"))
+
+
+@query("S22 R62", "SELECT document_id::VARCHAR AS file, 't' || document_id % 5 AS topic, i::INT AS n, title AS from_api, CASE WHEN document_id % 9 = 0 THEN 'bad' END AS error FROM (SELECT document_id, title, unnest([0, 1]) AS i FROM document_pages WHERE regexp_matches(title, '^[A-Za-z ]+$')) WHERE document_id % 9 <> 0 UNION ALL SELECT document_id::VARCHAR, NULL, NULL, NULL, 'bad' FROM document_pages WHERE regexp_matches(title, '^[A-Za-z ]+$') AND document_id % 9 = 0")
+def yaml_topics(spark: SparkSession, d: str) -> DataFrame:
+    """Topic files in YAML: entries of good files, one error row of each bad one."""
+    rows = table(spark, d, "document_pages").where(F.col("title").rlike("^[A-Za-z ]+$")).select(F.col("document_id").cast("string").alias("file"), "document_id", "title")
+    entry = lambda n: F.concat(F.lit(f" - {{n: {n}, from: '"), "title", F.lit("'}\n"))
+    text = F.when(F.col("document_id") % 9 == 0, "topic: [unclosed").otherwise(F.concat(F.lit("topic: t"), F.col("document_id") % 5, F.lit("\nentries:\n"), entry(0), entry(1)))
+    found = formats.topic_entries(rows.select("file", text.alias("value")))
+    part = lambda k: F.get_json_object("entry", f"$.{k}")
+    return found.select("file", "topic", part("n").cast("int").alias("n"), part("from").alias("from_api"), F.when(F.col("error").isNotNull(), "bad").alias("error"))
+
+
 @query("Q-15", "SELECT 'schema' AS \"check\", 0::BIGINT AS bad UNION ALL SELECT 'files', count(*) FILTER (WHERE path IS NULL) FROM source_files UNION ALL SELECT 'roster', (SELECT count(*) FROM (SELECT DISTINCT repo FROM source_files WHERE repo IS NOT NULL) s WHERE repo NOT IN (SELECT repo FROM roster_repos))")
 def release_checks(spark: SparkSession, d: str) -> DataFrame:
     files, roster = table(spark, d, "source_files"), table(spark, d, "roster_repos")

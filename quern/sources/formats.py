@@ -192,6 +192,14 @@ def archive(spark: SparkSession, path: str, pattern: str = r"\.java$", least: in
 
 
 def topics(spark: SparkSession, path: str) -> DataFrame:
+    """The entries of a folder of YAML topic files; a folder that isn't there holds none."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return topic_entries(spark.createDataFrame([], "file string, value string"))
+    return topic_entries(texts(spark, path))
+
+
+def topic_entries(files: DataFrame) -> DataFrame:
     """``file, topic, entry, error``: entries of YAML topic files as JSON; a file that can't be read gives one error row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -209,4 +217,4 @@ def topics(spark: SparkSession, path: str) -> DataFrame:
                     rows.append((name, None, None, str(error)[:200]))
             yield pd.DataFrame(rows, columns=["file", "topic", "entry", "error"])
 
-    return texts(spark, path).mapInPandas(run, "file string, topic string, entry string, error string")
+    return files.select("file", "value").mapInPandas(run, "file string, topic string, entry string, error string")

@@ -1,6 +1,5 @@
 """Operators on small fixtures: brute force, invariants and edges."""
 
-import gzip
 import json
 import math
 import random
@@ -14,8 +13,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import descriptors, identifiers, javadoc, text, tolerant, urls, versions
 from quern.operators import chunks, graph, index, quality, rank, snippets, vectors
-from quern.plans import retrieval
-from quern.sources import formats, java, markup, store
+from quern.sources import crawl, formats, java, markup, store
 from quern.streaming import incremental, windows
 
 words = st.lists(st.sampled_from("alpha beta. gamma! delta? eps\n\nzeta naïve 漢字 ".split(" ") + ["x" * 30, ""]), max_size=400).map(" ".join)
@@ -444,7 +442,7 @@ def test_formats(spark, tmp_path):
     (tmp_path / "y/b.yaml").write_text("topic: [unclosed")
     got = formats.topics(spark, str(tmp_path / "y")).collect()
     assert {(r["topic"], r["error"] is None) for r in got} == {("t", True), (None, False)}
-    gzip.open(tmp_path / "l.gz", "wt").write("x")
+    assert formats.topics(spark, str(tmp_path / "none")).count() == 0
 
 
 def test_index_stream(spark, tmp_path):
@@ -472,3 +470,30 @@ def test_event_streams(spark, data, tmp_path):
     assert run(windows.once(read()), "w2", "append").count() == 300
     assert run(windows.running_totals(read()), "w3", "update").agg(F.sum("n")).first()[0] == 300
     assert run(windows.sessions(read()), "w4", "complete").agg(F.sum("n")).first()[0] == 300
+
+
+def test_crawl(spark):
+    urls = spark.createDataFrame([(f"https://h{i % 3}.example/{'fail' if i % 5 == 4 else 'gone' if i % 5 == 3 else 'ok'}/{i}",) for i in range(20)] + [(None,), ("https://h0.example/ok/0",)], "url string")
+
+    def fetch(url):
+        if "/fail/" in url:
+            raise OSError("no answer")
+        return (404, "x") if "/gone/" in url else (200, url[-1])
+
+    got = {r["url"]: r for r in crawl.crawl(urls, fetch, workers=2, delay=0.0, attempts=2).collect()}
+    assert len(got) == 20 and all((r["body"] is not None) == ("/ok/" in u) and r["attempts"] == (2 if "/fail/" in u else 1) for u, r in got.items())
+    assert crawl.crawl(urls.limit(0), fetch).count() == 0
+
+
+def test_install_refuses_what_does_not_verify(spark, tmp_path):
+    release, live = store.Store(spark, f"file://{tmp_path}/r"), store.Store(spark, f"file://{tmp_path}/l")
+    live.publish({"t": spark.range(1)})
+    with pytest.raises(ValueError):
+        crawl.install(release, live)
+    release.publish({"t": spark.range(4)})
+    spark.range(1).write.mode("append").parquet(f"file://{tmp_path}/r/{release.manifest()['tables']['t']['folder']}")
+    with pytest.raises(ValueError):
+        crawl.install(release, live)
+    assert live.read("t").count() == 1
+    with pytest.raises(KeyError, match="a://b"):
+        crawl.read_static(crawl.static_documents(spark, {"a://b": "x"}), "a://c")
