@@ -198,10 +198,14 @@ def index_delta(spark: SparkSession, d: str) -> DataFrame:
     return postings_delta(index, updates, "doc_id", "text").groupBy("term").agg(F.sum("tf").alias("n"), F.count("*").alias("docs"))
 
 
-@query("J08", "SELECT m.member_id, t.fqn, m.name FROM (SELECT DISTINCT member_id, type_id, name FROM api_members WHERE kind = 'method') m JOIN api_types t USING (type_id) WHERE contains(lower(m.name), 'heat')")
+@query("J08 R46", """WITH m AS (SELECT DISTINCT member_id, type_id, name FROM api_members WHERE kind = 'method' AND name IS NOT NULL), w AS (SELECT *, list_filter(string_split(lower(regexp_replace(regexp_replace(name, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g')), ' '), lambda x: x <> '') AS words FROM m)
+SELECT member_id, fqn, name FROM w JOIN api_types USING (type_id) WHERE len(list_filter(words, lambda x: starts_with(x, 'heat') OR starts_with(x, 'tank'))) > 0 AND len(list_filter(words, lambda x: starts_with(x, 'get') OR starts_with(x, 'set') OR starts_with(x, 'load') OR starts_with(x, 'update'))) > 0""")
 def member_types(spark: SparkSession, d: str) -> DataFrame:
-    members = table(spark, d, "api_members").where((F.col("kind") == "method") & F.contains(F.lower("name"), F.lit("heat"))).select("member_id", "type_id", "name").distinct()
-    return members.join(table(spark, d, "api_types").select("type_id", "fqn"), "type_id").select("member_id", "fqn", "name")
+    """Index hits joined with their members and types: every word asked for begins a word of the name."""
+    index = I.declared(spark, f"{d}/api_members.parquet", "member_id", F.concat_ws(" ", "name", F.array_join(T.camel_words(F.col("name")), " ")), "member names")
+    hits = I.search(index, I.And((I.Or((I.Term("heat", True), I.Term("tank", True))), I.Or(tuple(I.Term(t, True) for t in ("get", "set", "load", "update")))))).select(F.col("id").alias("member_id"))
+    members = table(spark, d, "api_members").where("kind = 'method'").select("member_id", "type_id", "name").distinct()
+    return members.join(hits, "member_id", "left_semi").join(table(spark, d, "api_types").select("type_id", "fqn"), "type_id").select("member_id", "fqn", "name")
 
 
 _RELATED = """i AS (SELECT p_partkey AS id, p_brand AS owner, p_size AS place, p_type AS pattern, p_retailprice AS quality, p_partkey % 97 AS line FROM part),

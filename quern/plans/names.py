@@ -104,7 +104,7 @@ def resolve_cascade(spark: SparkSession, d: str) -> DataFrame:
     return S.resolve(symbols, types)
 
 
-@query("P04 J06", "SELECT DISTINCT member_id, name, count(*) OVER (PARTITION BY name) AS owners FROM (SELECT DISTINCT member_id, name FROM api_members WHERE kind = 'method')")
+@query("P04", "SELECT DISTINCT member_id, name, count(*) OVER (PARTITION BY name) AS owners FROM (SELECT DISTINCT member_id, name FROM api_members WHERE kind = 'method')")
 def owner_count(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "api_members").where("kind = 'method'").select("member_id", "name").distinct()
     counts = rows.groupBy(F.col("name").alias("n")).agg(F.count("*").alias("owners"))
@@ -118,7 +118,7 @@ def member_counts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "api_types").select("type_id").join(members, "type_id", "left").select("type_id", F.coalesce("methods", zero).alias("methods"), F.coalesce("fields", zero).alias("fields"))
 
 
-@query("R46 P05 P07 W12 F18 F21", "SELECT type_id, fqn, CASE WHEN lower(simple_name) = 'turbine' THEN 0 WHEN starts_with(lower(simple_name), 'turbine') THEN 1 WHEN contains(lower(simple_name), 'turbine') THEN 2 ELSE 3 END::BIGINT AS rank, (length(fqn) - length(replace(fqn, '.', '')))::BIGINT AS dots FROM api_types WHERE contains(lower(fqn), 'turbine') AND kind = 'class' ORDER BY rank, dots, fqn, type_id LIMIT 30")
+@query("P05 P07 W12 F18 F21", "SELECT type_id, fqn, CASE WHEN lower(simple_name) = 'turbine' THEN 0 WHEN starts_with(lower(simple_name), 'turbine') THEN 1 WHEN contains(lower(simple_name), 'turbine') THEN 2 ELSE 3 END::BIGINT AS rank, (length(fqn) - length(replace(fqn, '.', '')))::BIGINT AS dots FROM api_types WHERE contains(lower(fqn), 'turbine') AND kind = 'class' ORDER BY rank, dots, fqn, type_id LIMIT 30")
 def api_search_ranked(spark: SparkSession, d: str) -> DataFrame:
     return S.ranked_types(table(spark, d, "api_types"), "turbine", "class").limit(30)
 

@@ -57,7 +57,7 @@ def bm25_and(spark: SparkSession, d: str) -> DataFrame:
     return _top(I.search(documents_index(spark, d), I.And((I.Term("golem"), I.Term("biome")))), "doc_id")
 
 
-@query("F11 R53", _bm25_sql("documents", "doc_id", "text", ["deserial"], "len(list_filter(w, lambda x: x LIKE 'deserial%')) > 0", prefix=("deserial",)))
+@query("F11", _bm25_sql("documents", "doc_id", "text", ["deserial"], "len(list_filter(w, lambda x: x LIKE 'deserial%')) > 0", prefix=("deserial",)))
 def bm25_prefix(spark: SparkSession, d: str) -> DataFrame:
     return _top(I.search(documents_index(spark, d), I.Term("deserial", prefix=True)), "doc_id")
 
@@ -162,7 +162,7 @@ def relevance_bands(spark: SparkSession, d: str) -> DataFrame:
     return R.bands(rows, "relevance", [F.desc("p_size"), F.asc("p_partkey")], 25).select("p_partkey", "band", "p_size")
 
 
-@query("W06 R46", """WITH a AS (SELECT 1 AS list, type_id AS id, row_number() OVER (ORDER BY length(fqn), type_id) AS n FROM api_types WHERE contains(lower(simple_name), 'quarry')),
+@query("W06", """WITH a AS (SELECT 1 AS list, type_id AS id, row_number() OVER (ORDER BY length(fqn), type_id) AS n FROM api_types WHERE contains(lower(simple_name), 'quarry')),
 b AS (SELECT 2 AS list, member_id AS id, row_number() OVER (ORDER BY l, member_id) AS n FROM (SELECT DISTINCT member_id, length(name) AS l FROM api_members WHERE contains(lower(name), 'quarry'))),
 c AS (SELECT least((SELECT count(*) FROM a), 15) AS na, least((SELECT count(*) FROM b), 15) AS nb)
 SELECT list, id FROM a, c WHERE n <= greatest(10, 15 - least(nb, 5)) AND n <= 15

@@ -182,7 +182,7 @@ def search_pages(spark: SparkSession, d: str) -> DataFrame:
     return out.orderBy(F.desc("score"), "document_id").limit(20)
 
 
-@query("T08 R08 S26 R23", f"""WITH t AS (SELECT id, ('0x' || left(md5(w), 8))::BIGINT AS c FROM (SELECT id, unnest({WORDS.format('content')}) AS w FROM doc_chunks)), v AS (SELECT id, c % 32 AS dim, sum(CASE WHEN (c // 32) % 2 = 0 THEN 1.0 ELSE -1.0 END)::DOUBLE AS x FROM t GROUP BY ALL), n AS (SELECT id, sqrt(sum(x * x)) AS norm FROM v GROUP BY id)
+@query("R23", f"""WITH t AS (SELECT id, ('0x' || left(md5(w), 8))::BIGINT AS c FROM (SELECT id, unnest({WORDS.format('content')}) AS w FROM doc_chunks)), v AS (SELECT id, c % 32 AS dim, sum(CASE WHEN (c // 32) % 2 = 0 THEN 1.0 ELSE -1.0 END)::DOUBLE AS x FROM t GROUP BY ALL), n AS (SELECT id, sqrt(sum(x * x)) AS norm FROM v GROUP BY id)
 SELECT id, dim::BIGINT AS dim, round(x / norm, 6)::DOUBLE AS x FROM v JOIN n USING (id) WHERE x <> 0""")
 def hashed_embedding(spark: SparkSession, d: str) -> DataFrame:
     """The parts of every chunk's vector that aren't zero."""

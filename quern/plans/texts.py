@@ -184,18 +184,28 @@ def html_sections(spark: SparkSession, d: str) -> DataFrame:
     return pages.select("document_id", "title", F.explode("sections").alias("s")).select("document_id", "title", "s.heading", "s.level", "s.content", "s.order_num", F.size("s.code_blocks").alias("blocks"))
 
 
-@query("T17 S11")
+@query("T17")
 def markdown_sections(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").where("kind in ('wiki', 'guide', 'readme', 'changelog')")
     return markup.pages(docs, "doc_id", "text", markdown=True).select("doc_id", "title", F.size("sections").alias("sections"))
 
 
+_DECLARED = r"(?m)^[ \t]*(?:(?:public|protected|private|static|final|abstract)[ \t]+)*(class|interface|enum|record)[ \t]+([A-Za-z0-9_$]+)"
+
+
+@query("S23", f"SELECT file_id, what, simple_name, count(*) AS n FROM (SELECT file_id, unnest(regexp_extract_all(content, '{_DECLARED}', 1)) AS what, unnest(regexp_extract_all(content, '{_DECLARED}', 2)) AS simple_name FROM source_files WHERE content IS NOT NULL AND ends_with(path, '.java')) GROUP BY ALL")
+def java_types(spark: SparkSession, d: str) -> DataFrame:
+    """Types declared in Java files, read by the parser; the SQL finds them by line."""
+    rows = java.symbols(table(spark, d, "source_files")).where("what in ('class', 'interface', 'enum', 'record')")
+    return rows.groupBy("file_id", "what", "simple_name").agg(F.count("*").alias("n"))
+
+
 @query("S23 T15")
 def java_symbols(spark: SparkSession, d: str) -> DataFrame:
     return java.symbols(table(spark, d, "source_files"))
 
 
-@query("T18 S12 F24 F25 P12")
+@query("T18 F24 F25 P12")
 def code_regions(spark: SparkSession, d: str) -> DataFrame:
     return S.extract(table(spark, d, "source_files"), ["**/*.java"], ["**/test/**"])
 
@@ -215,7 +225,7 @@ def snippets_under_cap(spark: SparkSession, d: str) -> DataFrame:
     return S.under_cap(items, 40).select("repo", "path", "start_line", F.col("place").cast("bigint").alias("place"))
 
 
-@query("W16 T18 S12 F24 F25")
+@query("W16 T18 F24 F25")
 def snippets_by_directory(spark: SparkSession, d: str) -> DataFrame:
     found = S.extract(table(spark, d, "source_files"), ["src/main/**"], []).withColumn("markers", S.markers(F.col("code"), _NEEDLES))
     return S.spread_directories(found, 12).select("repo", "path", "start_line", "signature")
@@ -235,7 +245,7 @@ def incremental_delta(spark: SparkSession, d: str) -> DataFrame:
     return changed(old, new, ["doc_id"], "hash").select("doc_id", "hash")
 
 
-@query("S24 S26 S30", "WITH r AS (SELECT *, row_number() OVER (PARTITION BY member_id ORDER BY indexed_at DESC NULLS LAST) AS n FROM api_members WHERE member_id % 2 = 0) SELECT member_id, epoch_us(max(indexed_at)) AS at FROM (SELECT member_id, indexed_at FROM r WHERE n = 1 UNION ALL SELECT member_id, TIMESTAMPTZ '2020-01-01 00:00:00+00' FROM (SELECT DISTINCT member_id FROM api_members WHERE member_id % 2 = 1)) GROUP BY member_id")
+@query("S24", "WITH r AS (SELECT *, row_number() OVER (PARTITION BY member_id ORDER BY indexed_at DESC NULLS LAST) AS n FROM api_members WHERE member_id % 2 = 0) SELECT member_id, epoch_us(max(indexed_at)) AS at FROM (SELECT member_id, indexed_at FROM r WHERE n = 1 UNION ALL SELECT member_id, TIMESTAMPTZ '2020-01-01 00:00:00+00' FROM (SELECT DISTINCT member_id FROM api_members WHERE member_id % 2 = 1)) GROUP BY member_id")
 def merge_latest(spark: SparkSession, d: str) -> DataFrame:
     from quern.sources.store import upsert
 
@@ -253,18 +263,18 @@ def stale_columns(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "document_pages").where(~fresh.eqNullSafe(F.col("minecraft_version"))).select("document_id", fresh.alias("version"))
 
 
-@query("G04", "SELECT event_type, time_bucket(INTERVAL '1 hour', ts) AS start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+@query("", "SELECT event_type, time_bucket(INTERVAL '1 hour', ts) AS start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def tumbling(spark: SparkSession, d: str) -> DataFrame:
     out = table(spark, d, "events").groupBy("event_type", F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
     return out.select("event_type", F.col("w.start").alias("start"), "n", "total")
 
 
-@query("G04", "SELECT time_bucket(INTERVAL '30 minutes', ts) - k * INTERVAL '30 minutes' AS start, count(*) AS n FROM events, (SELECT unnest([0, 1]) AS k) GROUP BY ALL")
+@query("", "SELECT time_bucket(INTERVAL '30 minutes', ts) - k * INTERVAL '30 minutes' AS start, count(*) AS n FROM events, (SELECT unnest([0, 1]) AS k) GROUP BY ALL")
 def sliding(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy(F.window("ts", "1 hour", "30 minutes").alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "n")
 
 
-@query("G04", "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL '6 hours' THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k")
+@query("", "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL '6 hours' THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k")
 def session(spark: SparkSession, d: str) -> DataFrame:
     out = table(spark, d, "events").groupBy("user_id", F.session_window("ts", "6 hours").alias("w")).agg(F.min("ts").alias("start"), F.count("*").alias("n"))
     return out.select("user_id", "start", "n")
@@ -286,7 +296,7 @@ def asof(spark: SparkSession, d: str) -> DataFrame:
     return both.withColumn("purchase", F.last("purchase", ignorenulls=True).over(w)).where("event_id is not null").select("event_id", F.coalesce("purchase", F.lit(-1).cast("bigint")).alias("purchase"))
 
 
-@query("A24", "SELECT coalesce(l_returnflag, '(all)') AS flag, coalesce(l_linestatus, '(all)') AS status, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+@query("", "SELECT coalesce(l_returnflag, '(all)') AS flag, coalesce(l_linestatus, '(all)') AS status, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
 def rollup(spark: SparkSession, d: str) -> DataFrame:
     out = table(spark, d, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
     return out.select(F.coalesce("l_returnflag", F.lit("(all)")).alias("flag"), F.coalesce("l_linestatus", F.lit("(all)")).alias("status"), "n")
@@ -305,7 +315,7 @@ def approx_distinct(spark: SparkSession, d: str) -> DataFrame:
     return out.select("l_returnflag", "parts", (F.abs(F.col("sketch") - F.col("parts")) <= 0.1 * F.col("parts")).alias("near"))
 
 
-@query("G04", "SELECT event_type, coalesce(json_extract_string(props, '$.k')::BIGINT % 5, -1) AS bucket, count(*) AS n FROM events GROUP BY ALL")
+@query("", "SELECT event_type, coalesce(json_extract_string(props, '$.k')::BIGINT % 5, -1) AS bucket, count(*) AS n FROM events GROUP BY ALL")
 def json_props(spark: SparkSession, d: str) -> DataFrame:
     k = F.coalesce(F.get_json_object("props", "$.k").cast("bigint") % 5, F.lit(-1).cast("bigint"))
     return table(spark, d, "events").groupBy("event_type", k.alias("bucket")).agg(F.count("*").alias("n"))
