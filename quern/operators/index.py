@@ -9,16 +9,19 @@ reads the corpus again.
 
 from __future__ import annotations
 
-import hashlib
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import tokens
 from quern.session import workspace
-from quern.sources.tables import spread
+from quern.sources.tables import files_of, fingerprint, spread, written
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 #: Letters of a term that choose its bucket.
@@ -101,17 +104,36 @@ def saturation(count: Column, length: Column, mean: Column) -> Column:
     return count * (K1 + 1) / (count + K1 * (1 - B + B * length / mean))
 
 
-def postings(corpus: DataFrame, id_col: str, text: Column, positions: bool = True, only: DataFrame | None = None) -> DataFrame:
-    """``term, id, length, tf`` and, if asked for, ``positions`` of every term of every document.
+def postings(corpus: DataFrame, id_col: str, text: Column) -> DataFrame:
+    """``term, id, length, tf, positions`` of every term of every row; nothing is shuffled.
 
-    ``only`` is a table of terms; others are left out before anything is grouped.
+    Texts are cut into words by the JVM. A batch's words are one array of codes, sorted by row and code, and
+    the runs of equal pairs are its postings; no word is touched one by one. Ids are meant to be unique.
     """
     words = spread(corpus.select(F.col(id_col).alias("id"), text.alias("_text"))).select("id", tokens(F.col("_text")).alias("words"))
-    exploded = words.select("id", F.size("words").alias("length"), F.posexplode("words").alias("position", "term"))
-    if only is not None:
-        exploded = exploded.join(only.select("term").distinct(), "term", "left_semi")
-    figures = [F.count("*").alias("tf"), *([F.array_sort(F.collect_list("position")).alias("positions")] if positions else [])]
-    return exploded.groupBy("term", "id", "length").agg(*figures)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            sizes = np.asarray(pc.list_value_length(lists), np.int64)
+            flat = lists.flatten()
+            coded = flat.dictionary_encode()
+            codes = np.asarray(coded.indices, np.int64)
+            row = np.repeat(np.arange(batch.num_rows), sizes)
+            place = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            key = row * max(len(coded.dictionary), 1) + codes
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+            tf = np.diff(np.append(first, len(key)))
+            of = row[order][first]
+            columns = [
+                coded.dictionary.take(pa.array(codes[order][first])), batch.column(0).take(pa.array(of)), pa.array(sizes[of].astype(np.int32)), pa.array(tf.astype(np.int64)),
+                pa.ListArray.from_arrays(pa.array(np.append(first, len(key)).astype(np.int32)), pa.array(place[order].astype(np.int32))),
+            ]
+            yield pa.record_batch(columns, names=["term", "id", "length", "tf", "positions"])
+
+    return words.mapInArrow(run, f"term string, id {dict(words.dtypes)['id']}, length int, tf bigint, positions array<int>")
 
 
 def term_stats(index: DataFrame) -> DataFrame:
@@ -186,16 +208,10 @@ def declared(spark: SparkSession, table_path: str, id_col: str, text: Column, wh
 
     ``what`` names the text. There is a bucket for every 128 MB of the table, 8 at least.
     """
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    at = jvm.org.apache.hadoop.fs.Path(table_path)
-    fs = at.getFileSystem(conf)
-    files = [(s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(at)]
-    buckets = max(8, sum(n for _, n, _ in files) // bytes_a_bucket)
-    name = hashlib.sha256(repr((sorted(files), id_col, what, buckets)).encode()).hexdigest()[:24]
-    path = f"{workspace(spark)}/index-{name}"
-    done = jvm.org.apache.hadoop.fs.Path(f"{path}/corpus/_SUCCESS")
-    if done.getFileSystem(conf).exists(done):
+    state, size = files_of(spark, table_path)
+    buckets = max(8, size // bytes_a_bucket)
+    path = f"{workspace(spark)}/index-{fingerprint(state, id_col, what, buckets)}"
+    if written(spark, f"{path}/corpus"):
         return Index(spark, path, buckets, dict(spark.read.parquet(table_path).dtypes)[id_col])
     return build(spark.read.parquet(table_path), id_col, text, path, buckets)
 

@@ -20,6 +20,7 @@ from quern.functions.urls import page_key
 from quern.operators import index as I
 from quern.operators import rank as R
 from quern.operators import vectors as X
+from quern.session import checkpoint
 
 HITS, LIKED, NEAR = 100, 50, 20
 #: Points of a word and of the whole question by field: fixed values.
@@ -151,7 +152,11 @@ def documents(q: Question, pages: DataFrame, sections: DataFrame, chunks: DataFr
 
 
 def assembled(hits: DataFrame, q: Question, chunks: DataFrame, most: int = 3) -> DataFrame:
-    """Hits with ``sections``: headings of their first sections that hold every word, ``most`` at most."""
+    """Hits with ``sections``: headings of their first sections that hold every word, ``most`` at most.
+
+    The hits, few by their limit, are written once, so that the search isn't run for each of their two uses.
+    """
+    hits = checkpoint(hits)
     low = F.lower(F.concat_ws("\n", "section_heading", "content"))
     hold = F.lit(True)
     for w in q.words:

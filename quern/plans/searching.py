@@ -12,6 +12,7 @@ from quern.operators import search as S
 from quern.operators import vectors as X
 from quern.plans.registry import query
 from quern.sources import table
+from quern.sources.tables import derived
 
 WORDS = r"list_filter(regexp_split_to_array(lower(coalesce({0}, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
 STOP = frozenset("a an and for how in of on the to with".split())
@@ -40,7 +41,8 @@ def types_index(spark: SparkSession, d: str) -> I.Index:
 
 
 def chunk_vectors(spark: SparkSession, d: str) -> DataFrame:
-    return X.hashed(table(spark, d, "doc_chunks"), T.tokens(F.concat_ws("\n", "section_heading", "content")), ["id", "document_id"])
+    """The vectors of all chunks, kept beside the indexes."""
+    return derived(spark, f"{d}/doc_chunks.parquet", "hashed heading and content", lambda rows: X.hashed(rows, T.tokens(F.concat_ws("\n", "section_heading", "content")), ["id", "document_id"]))
 
 
 # ---- SQL ----------------------------------------------------------------------------------------

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quern.session import workspace
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table ``name`` of ``sf_dir``; columns are pruned and filters pushed down by the scan."""
@@ -27,3 +31,33 @@ def spread(df: DataFrame) -> DataFrame:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def _path(spark: SparkSession, path: str) -> tuple:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def files_of(spark: SparkSession, path: str) -> tuple[list[tuple], int]:
+    """Name, size and time of every file of a table, and their size together."""
+    fs, at = _path(spark, path)
+    files = sorted((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(at))
+    return files, sum(n for _, n, _ in files)
+
+
+def fingerprint(*what: object) -> str:
+    return hashlib.sha256(repr(what).encode()).hexdigest()[:24]
+
+
+def written(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written there and finished."""
+    fs, at = _path(spark, f"{path}/_SUCCESS")
+    return fs.exists(at)
+
+
+def derived(spark: SparkSession, table_path: str, what: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """A table made from another one and kept in the shared folder; made anew only if the files it comes from have changed."""
+    path = f"{workspace(spark)}/derived-{fingerprint(files_of(spark, table_path)[0], what)}"
+    if not written(spark, path):
+        make(spark.read.parquet(table_path)).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
