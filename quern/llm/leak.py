@@ -198,24 +198,17 @@ def leaks(documents: DataFrame, items: DataFrame, words: int = WORDS, block_phra
     words never count, equal rows count once. The held-out items are read to the driver in blocks of at
     most ``block_phrases`` phrases; the corpus is never moved.
     """
-    blocks: list[Items] = []
-    pending: list[tuple[int, str]] = []
-    size = 0
-    for row in items.select("item_id", "text").where("text is not null").distinct().orderBy("item_id").toLocalIterator():
-        pending.append((row[0], row[1]))
-        size += len(row[1]) // 2
-        if size >= block_phrases:
-            blocks.append(Items(pending, words))
-            pending, size = [], 0
-    blocks.append(Items(pending, words))
-
     spark = documents.sparkSession
     corpus = spread(documents.select("doc_id", "text").where("text is not null"))
     found = None
-    for block in blocks:
-        shared = spark.sparkContext.broadcast(block)
+    pending: list[tuple[int, str]] = []
+    size = 0
+
+    def scan() -> DataFrame:
+        """One pass over the corpus for the items read last; the driver keeps them no longer than that."""
+        shared = spark.sparkContext.broadcast(Items(pending, words))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             def emit(ids: list[int], texts: list[str]) -> pa.RecordBatch:
                 rows = [(ids[k], item, [{"start_pos": a, "end_pos": b} for a, b in spans]) for k, item, spans in search_shard(texts, shared.value)]
                 columns = list(zip(*rows, strict=True)) or [[], [], []]
@@ -234,8 +227,16 @@ def leaks(documents: DataFrame, items: DataFrame, words: int = WORDS, block_phra
             if ids:
                 yield emit(ids, texts)
 
-        one = corpus.mapInArrow(run, "doc_id bigint, item_id bigint, spans array<struct<start_pos: bigint, end_pos: bigint>>")
-        found = one if found is None else found.unionByName(one)
+        return corpus.mapInArrow(run, "doc_id bigint, item_id bigint, spans array<struct<start_pos: bigint, end_pos: bigint>>")
+
+    for row in items.select("item_id", "text").where("text is not null").distinct().orderBy("item_id").toLocalIterator():
+        pending.append((row[0], row[1]))
+        size += len(row[1]) // 2
+        if size >= block_phrases:
+            found = scan() if found is None else found.unionByName(scan())
+            pending, size = [], 0
+    if pending or found is None:
+        found = scan() if found is None else found.unionByName(scan())
     return found.distinct()
 
 
