@@ -42,6 +42,16 @@ def type_details(spark: SparkSession, d: str) -> DataFrame:
     return K.details(table(spark, d, "api_types"), table(spark, d, "api_members"), 5).drop("subclass_names")
 
 
+_BARE = r"regexp_replace(regexp_replace(trim(javadoc, ' ' || chr(10) || chr(13) || chr(9)), '^[ \t]*/\*+|\*+/[ \t]*$', '', 'g'), '(?m)^[ \t]*\*+ ?', '', 'g')"
+_BODY = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(b, '\{@\w+\s*([^{}#]*)#([^{}#]*)\}', '\1.\2', 'g'), '\{@\w+\s*([^{}#]*)\}', '\1', 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+@query("T15", rf"SELECT member_id, {_BODY} AS body, nullif(trim(regexp_extract(t, '(?m)^\s*@since\s+(.*)$', 1)), '') AS since FROM (SELECT member_id, t, regexp_replace(t, '(?s)(^|\n)[ \t]*@\w+.*$', '') AS b FROM (SELECT member_id, {_BARE} AS t FROM (SELECT DISTINCT member_id, javadoc FROM api_members WHERE length(trim(javadoc, ' ' || chr(10) || chr(13) || chr(9))) > 0)))")
+def javadoc_bodies(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "api_members").where(F.length(F.trim("javadoc")) > 0).select("member_id", "javadoc").distinct()
+    return rows.select("member_id", javadoc.parsed(F.col("javadoc")).alias("p")).select("member_id", "p.body", "p.since")
+
+
 @query("T15")
 def javadoc_parts(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "api_members").where("javadoc is not null").select("member_id", "javadoc").distinct()

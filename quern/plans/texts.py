@@ -178,16 +178,32 @@ def key_points(spark: SparkSession, d: str) -> DataFrame:
     return C.key_points(table(spark, d, "documents"), "doc_id", F.col("text"), ["recipe handler", "loot modifier"])
 
 
+_H1 = "list_filter(list_transform(regexp_extract_all(raw_html, '(?is)<h1[^>]*>(.*?)</h1>', 1), lambda x: trim(regexp_replace(regexp_replace(x, '<[^>]+>', '', 'g'), '\\s+', ' ', 'g'))), lambda x: x <> '')"
+
+
+@query("T16 F23", f"SELECT document_id, list_last({_H1}) AS title, len(regexp_extract_all(raw_html, '(?i)<pre\\b'))::BIGINT AS blocks FROM document_pages WHERE raw_html IS NOT NULL")
+def html_titles(spark: SparkSession, d: str) -> DataFrame:
+    """Title and number of code blocks of every page, read by the parser; the SQL looks for their elements."""
+    pages = markup.pages(table(spark, d, "document_pages").where("raw_html is not null"), "document_id", "raw_html")
+    return pages.select("document_id", "title", F.aggregate("sections", F.lit(0).cast("bigint"), lambda n, s: n + F.size(s["code_blocks"])).alias("blocks"))
+
+
 @query("T16 F23 S25")
 def html_sections(spark: SparkSession, d: str) -> DataFrame:
     pages = markup.pages(table(spark, d, "document_pages"), "document_id", "raw_html")
     return pages.select("document_id", "title", F.explode("sections").alias("s")).select("document_id", "title", "s.heading", "s.level", "s.content", "s.order_num", F.size("s.code_blocks").alias("blocks"))
 
 
-@query("T17")
+_FENCED = "regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '(?ms)^ {0,3}```.*?(^ {0,3}```[ \\t]*$|\\z)', '', 'g')"
+
+
+@query("T17", f"SELECT doc_id, (len(regexp_extract_all(text, '(?m)^ {{0,3}}(`{{3,}}|~{{3,}})')) + 1) // 2 AS blocks, len(regexp_extract_all({_FENCED}, '(?m)^ {{0,3}}#{{1,6}}[ \\t]+\\S.*$'))::BIGINT AS headings FROM documents WHERE kind IN ('wiki', 'guide', 'readme', 'changelog') AND text IS NOT NULL")
 def markdown_sections(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("kind in ('wiki', 'guide', 'readme', 'changelog')")
-    return markup.pages(docs, "doc_id", "text", markdown=True).select("doc_id", "title", F.size("sections").alias("sections"))
+    """Code blocks and headings of Markdown, read by the parser; the SQL counts fences, and heading lines outside them."""
+    docs = table(spark, d, "documents").where("kind in ('wiki', 'guide', 'readme', 'changelog') and text is not null")
+    count = lambda f: F.aggregate("sections", F.lit(0).cast("bigint"), f)
+    pages = markup.pages(docs, "doc_id", "text", markdown=True)
+    return pages.select("doc_id", count(lambda n, s: n + F.size(s["code_blocks"])).alias("blocks"), count(lambda n, s: n + F.when(F.length(s["heading"]) > 0, 1).otherwise(0)).alias("headings"))
 
 
 _DECLARED = r"(?m)^[ \t]*(?:(?:public|protected|private|static|final|abstract)[ \t]+)*(class|interface|enum|record)[ \t]+([A-Za-z0-9_$]+)"
