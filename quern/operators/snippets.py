@@ -7,6 +7,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,12 +65,16 @@ def extract(files: DataFrame, include: list[str], exclude: list[str], most_bytes
         hit = hit & ~F.col("path").rlike(glob(g))
     rows = files.where(hit & (F.col("bytes") <= most_bytes) & F.col("content").isNotNull()).select("repo", "path", "content").distinct()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ("repo", "path", "start_line", "end_line", "signature", "code")
+    types = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(r, p, *x) for r, p, c in batch.itertuples(index=False) for x in regions(c, most_lines)]
-            yield pd.DataFrame(found, columns=["repo", "path", "start_line", "end_line", "signature", "code"])
+            found = [(r, p, *x) for r, p, c in zip(*(x.to_pylist() for x in batch.columns), strict=True) for x in regions(c, most_lines)]
+            parts = list(zip(*found, strict=True)) or [()] * len(names)
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(parts, types, strict=True)], names=list(names))
 
-    return rows.mapInPandas(run, "repo string, path string, start_line int, end_line int, signature string, code string")
+    return rows.mapInArrow(run, "repo string, path string, start_line int, end_line int, signature string, code string")
 
 
 def markers(code: Column, needles: list[tuple[str, str]]) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quern.sources.tables import spread
@@ -72,13 +72,17 @@ def parse(source: str | None) -> list[tuple]:
     return out
 
 
+_COLUMNS = (("file_id", pa.int64()), ("fqn", pa.string()), ("simple_name", pa.string()), ("outer_fqn", pa.string()), ("what", pa.string()), ("name", pa.string()), ("signature", pa.string()), ("line", pa.int32()), ("javadoc", pa.string()))
+
+
 def symbols(files: DataFrame) -> DataFrame:
     """Rows of all Java files of a table of ``file_id, path, content``; null contents give none."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["file_id", "fqn", "simple_name", "outer_fqn", "what", "name", "signature", "line", "javadoc"]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame([(f, *row) for f, c in zip(batch["file_id"], batch["content"], strict=True) for row in parse(c)], columns=columns)
+            rows = [(f, *row) for f, c in zip(*(x.to_pylist() for x in batch.columns), strict=True) for row in parse(c)]
+            parts = list(zip(*rows, strict=True)) or [()] * len(_COLUMNS)
+            yield pa.record_batch([pa.array(c, t) for c, (_, t) in zip(parts, _COLUMNS, strict=True)], names=[n for n, _ in _COLUMNS])
 
     rows = files.where("path like '%.java' and content is not null").select("file_id", "content")
-    return spread(rows).mapInPandas(run, SCHEMA)
+    return spread(rows).mapInArrow(run, SCHEMA)

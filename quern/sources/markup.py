@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quern.sources.tables import spread
@@ -161,14 +161,18 @@ def _inline(line: str) -> str:
     return re.sub(r"`([^`]*)`", r"\1", line)
 
 
+_BLOCKS = pa.list_(pa.struct([("language", pa.string()), ("code", pa.string()), ("caption", pa.string())]))
+_SECTIONS = pa.list_(pa.struct([("heading", pa.string()), ("level", pa.int32()), ("content", pa.string()), ("code_blocks", _BLOCKS), ("order_num", pa.int32())]))
+
+
 def pages(rows: DataFrame, id_col: str, column: str, markdown: bool = False) -> DataFrame:
     """``id, title, sections`` of every row's mark-up; null gives a null title and no sections."""
     parse = parse_markdown if markdown else parse_html
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [parse(x) for x in batch[column]]
-            yield pd.DataFrame({id_col: batch[id_col], "title": [t for t, _ in found], "sections": [s for _, s in found]})
+            found = [parse(x) for x in batch.column(1).to_pylist()]
+            yield pa.record_batch([batch.column(0), pa.array([t for t, _ in found], pa.string()), pa.array([s for _, s in found], _SECTIONS)], names=[id_col, "title", "sections"])
 
     chosen = rows.select(id_col, column)
-    return spread(chosen).mapInPandas(run, f"`{id_col}` {chosen.schema[id_col].dataType.simpleString()}, {SCHEMA}")
+    return spread(chosen).mapInArrow(run, f"`{id_col}` {chosen.schema[id_col].dataType.simpleString()}, {SCHEMA}")
