@@ -69,9 +69,12 @@ def relevance(fields: dict[str, Column], q: Question, code: Column | None = None
     return R.additive(fields, q.whole, list(q.words), weights, phrase, q.common, extra)
 
 
-def best_hits(index: I.Index, q: Question, most: int = HITS) -> DataFrame:
-    """``id, score``: the best rows of an index, ``most`` at most."""
-    return I.search(index, q.expression).orderBy(F.round("score", 6).desc(), "id").limit(most)
+def best_hits(index: I.Index, q: Question, most: int = HITS, within: DataFrame | None = None) -> DataFrame:
+    """``id, score``: the best rows of an index, ``most`` at most, among those of ``within`` if it is given."""
+    found = I.search(index, q.expression)
+    if within is not None:
+        found = found.join(within.select("id"), "id", "left_semi")
+    return found.orderBy(F.round("score", 6).desc(), "id").limit(most)
 
 
 def with_fallback(hits: DataFrame, others: DataFrame) -> DataFrame:
@@ -80,10 +83,13 @@ def with_fallback(hits: DataFrame, others: DataFrame) -> DataFrame:
     return hits.unionByName(others.crossJoin(F.broadcast(none)).drop("_n"))
 
 
-def in_chunks(q: Question, chunks: DataFrame, index: I.Index) -> DataFrame:
-    """Strategy 1, ``document_id, score, reasons``: index hits, else containment; the best chunk of each page."""
+def in_chunks(q: Question, chunks: DataFrame, index: I.Index, filtered: bool = False) -> DataFrame:
+    """Strategy 1, ``document_id, score, reasons``: index hits, else containment; the best chunk of each page.
+
+    ``filtered`` says that the chunks are some of those indexed; hits are cut to their limit among them.
+    """
     like = like_any(F.col("content"), [q.whole, *(w for w in q.words if len(w) > 2)], 3)
-    found = with_fallback(best_hits(index, q).select("id"), chunks.where(like).select("id").orderBy("id").limit(HITS))
+    found = with_fallback(best_hits(index, q, within=chunks if filtered else None).select("id"), chunks.where(like).select("id").orderBy("id").limit(HITS))
     score, reasons = relevance({"title": F.col("title"), "heading": F.col("section_heading"), "url": F.col("url"), "category": F.col("category"), "content": F.col("content")}, q)
     # HITS rows at most
     rows = chunks.join(F.broadcast(found), "id").select("document_id", score.alias("score"), reasons.alias("reasons")).where("score > 0")
@@ -123,23 +129,29 @@ def best_reasons(rows: DataFrame) -> DataFrame:
     return rows.groupBy("document_id").agg(F.max("score").alias("score"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("reasons")))).alias("reasons"))
 
 
-def pool(q: Question, pages: DataFrame, sections: DataFrame, chunks: DataFrame, index: I.Index, vectors: DataFrame, floor: float = 50.0) -> DataFrame:
-    """``document_id, score, reasons``: all strategies together, each page with its highest score and all reasons."""
+def pool(q: Question, pages: DataFrame, sections: DataFrame, chunks: DataFrame, index: I.Index, vectors: DataFrame, floor: float = 50.0, filtered: bool = False) -> DataFrame:
+    """``document_id, score, reasons``: all strategies together, each page with its highest score and all reasons.
+
+    ``filtered`` says that pages are some of all; sections, chunks and vectors are then cut to theirs before any limit.
+    """
+    if filtered:
+        wanted = pages.select("document_id").distinct()
+        sections, chunks, vectors = (t.join(wanted, "document_id", "left_semi") for t in (sections, chunks, vectors))
     close = near(q, vectors, floor).groupBy("document_id").agg((F.max("similarity") * 100).alias("score")).withColumn("reasons", F.array(F.lit("similar")))
-    parts = [in_chunks(q, chunks, index), in_pages(q, pages), in_sections(q, sections), close]
+    parts = [in_chunks(q, chunks, index, filtered), in_pages(q, pages), in_sections(q, sections), close]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return best_reasons(out)
 
 
-def documents(q: Question, pages: DataFrame, sections: DataFrame, chunks: DataFrame, index: I.Index, vectors: DataFrame, limit: int = 10, floor: float = 50.0) -> DataFrame:
+def documents(q: Question, pages: DataFrame, sections: DataFrame, chunks: DataFrame, index: I.Index, vectors: DataFrame, limit: int = 10, floor: float = 50.0, filtered: bool = False) -> DataFrame:
     """``document_id, title, url, score, raw, reasons``: the best pages, one of each that differ in version only.
 
     Points are raised by closeness of version. Of pages with one address but for the version the preferred
     version wins, then its minor one, then the newest, then the score. Ties go by id. At most ``limit`` rows.
     """
-    pooled = pool(q, pages, sections, chunks, index, vectors, floor)
+    pooled = pool(q, pages, sections, chunks, index, vectors, floor, filtered)
     # the pool is bounded by the strategies' limits
     rows = pages.select("document_id", "title", "url", "minecraft_version").join(F.broadcast(pooled), "document_id")
     v = F.col("minecraft_version")
