@@ -67,12 +67,13 @@ def in_groups(rows: DataFrame, key: str, order: list[str], schema: str, start: C
     """Rows of each key given, in order, to an object made by ``start``, which returns rows at once and at the end.
 
     Rows are sorted inside their partitions and streamed in Arrow batches: no group is ever held as a whole,
-    however many rows it has. The key comes first in every row.
+    however many rows it has. The key comes first in every row. Equal rows, which lie side by side, count once.
     """
+    same = F.xxhash64(*rows.columns)
     names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, now = None, None
+        group, now, last = None, None, None
         types = [_ARROW[f.split()[1]] for f in schema.split(", ")]
 
         def packed(out: list[tuple]) -> pa.RecordBatch:
@@ -81,6 +82,9 @@ def in_groups(rows: DataFrame, key: str, order: list[str], schema: str, start: C
         for batch in batches:
             out: list[tuple] = []
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row == last:
+                    continue
+                last = row
                 if group is None or row[0] != now:
                     if group is not None:
                         out.extend(group.end())
@@ -90,7 +94,8 @@ def in_groups(rows: DataFrame, key: str, order: list[str], schema: str, start: C
         if group is not None:
             yield packed(list(group.end()))
 
-    return rows.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
+    sorted_ = rows.withColumn("_same", same).repartition(key).sortWithinPartitions(key, *order, "_same").drop("_same")
+    return sorted_.mapInArrow(run, schema)
 
 
 _ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
@@ -149,7 +154,7 @@ def chunk(pages: DataFrame, sections: DataFrame, size: int = SIZE) -> DataFrame:
     """
     kind = dict(sections.dtypes)["code_blocks"]
     rows = pages.select("document_id", F.lit(0).alias("kind"), F.lit(0).alias("o"), F.lit(None).cast("bigint").alias("i"), "title", "content", F.lit(None).cast("string").alias("heading"), F.lit(None).cast(kind).alias("code_blocks"))
-    parts = sections.where("document_id is not null").select("document_id", F.lit(1).alias("kind"), F.coalesce("order_num", F.lit(0)).alias("o"), F.col("section_id").alias("i"), F.lit(None).cast("string").alias("title"), "content", "heading", "code_blocks").distinct()
+    parts = sections.where("document_id is not null").select("document_id", F.lit(1).alias("kind"), F.coalesce("order_num", F.lit(0)).alias("o"), F.col("section_id").alias("i"), F.lit(None).cast("string").alias("title"), "content", "heading", "code_blocks")
     return in_groups(rows.unionByName(parts), "document_id", ["kind", "o", "i", "heading", "content"], _SCHEMA, lambda: _Page(size))
 
 
@@ -186,7 +191,7 @@ def unique_bodies(sections: DataFrame) -> DataFrame:
 
     The rule is sequential within a page; a page's rows are streamed, and digests of its bodies are all it keeps.
     """
-    rows = sections.where("document_id is not null").select("document_id", F.coalesce("order_num", F.lit(0)).alias("o"), "section_id", "heading", "content", "code_blocks").distinct()
+    rows = sections.where("document_id is not null").select("document_id", F.coalesce("order_num", F.lit(0)).alias("o"), "section_id", "heading", "content", "code_blocks")
     return in_groups(rows, "document_id", ["o", "section_id", "heading", "content"], "document_id bigint, section_id bigint, place int, body string", _Bodies)
 
 

@@ -143,8 +143,9 @@ _LEDGER = "SELECT coalesce(repo, '(null)') AS repo, count(*) AS files, sum(ceil(
 @query("A24 T27", f"WITH l AS ({_LEDGER}), a AS (SELECT * FROM l UNION ALL SELECT '(all)', sum(files)::BIGINT, sum(tokens_in)::BIGINT, sum(tokens_out)::BIGINT FROM l) SELECT *, round(tokens_in / 1e6 * 0.2 + tokens_out / 1e6 * 1.25, 8)::DOUBLE AS cost, round((tokens_in / 1e6 * 0.2 + tokens_out / 1e6 * 1.25) / files * 850, 3)::DOUBLE AS projected FROM a")
 def token_ledger(spark: SparkSession, d: str) -> DataFrame:
     """Tokens and cost per repository with a row for all, and what 850 calls at each one's mean would cost."""
-    rows = table(spark, d, "source_files").where("content is not null").select("file_id", F.coalesce("repo", F.lit("(null)")).alias("repo"), "content").distinct()
-    return Q.ledger(rows.select("repo", (T.token_estimate(F.col("content")) + 700).alias("tokens_in"), F.lit(350).cast("bigint").alias("tokens_out")), "repo", 0.2, 1.25, 850)
+    # of files delivered again the digest tells; no text is shuffled
+    rows = table(spark, d, "source_files").where("content is not null").select("file_id", F.coalesce("repo", F.lit("(null)")).alias("repo"), T.token_estimate(F.col("content")).alias("t"), F.sha2("content", 256).alias("h")).distinct()
+    return Q.ledger(rows.select("repo", (F.col("t") + 700).alias("tokens_in"), F.lit(350).cast("bigint").alias("tokens_out")), "repo", 0.2, 1.25, 850)
 
 
 @query("A03", "SELECT loader, category, minecraft_version, count(*) AS n FROM document_pages GROUP BY ALL")

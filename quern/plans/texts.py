@@ -121,7 +121,7 @@ def first_rule_labels(spark: SparkSession, d: str) -> DataFrame:
 
 @query("T05 F29", "WITH c AS (SELECT DISTINCT section_id, document_id, order_num, trim(regexp_replace(coalesce(heading, ''), '[\\x{200B}-\\x{200D}\\x{FEFF}]', '', 'g')) AS h, trim(regexp_replace(coalesce(content, ''), '[\\x{200B}-\\x{200D}\\x{FEFF}]', '', 'g')) AS c, code_blocks FROM doc_sections), r AS (SELECT *, row_number() OVER (PARTITION BY document_id, h, c, code_blocks ORDER BY order_num NULLS FIRST, section_id) AS n FROM c WHERE length(c) >= 25 OR len(code_blocks) > 0) SELECT section_id FROM r WHERE n = 1")
 def sanitize_dupes(spark: SparkSession, d: str) -> DataFrame:
-    return C.sanitise(table(spark, d, "doc_sections").distinct()).select("section_id")
+    return C.sanitise(table(spark, d, "doc_sections")).select("section_id")
 
 
 _ORDERED = "row_number() OVER (PARTITION BY document_id ORDER BY coalesce(order_num, 0), section_id, heading NULLS FIRST, content NULLS FIRST)"
@@ -159,8 +159,7 @@ r(document_id, n, heads, bodies, section_id, place) AS (SELECT DISTINCT document
  CASE WHEN list_contains(heads, h) OR list_contains(bodies, b) THEN NULL ELSE s.section_id END, CASE WHEN list_contains(heads, h) OR list_contains(bodies, b) THEN place ELSE place + 1 END FROM r JOIN s ON s.document_id = r.document_id AND s.n = r.n + 1)
 SELECT document_id, section_id, place FROM r WHERE section_id IS NOT NULL""")
 def canonical_sections(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "doc_sections").select("document_id", "section_id", "order_num", "heading", "content").distinct()
-    return C.canonical_sections(rows).select("document_id", "section_id", "place")
+    return C.canonical_sections(table(spark, d, "doc_sections")).select("document_id", "section_id", "place")
 
 
 _SENTENCES = "(SELECT doc_id, s, p FROM (SELECT doc_id, unnest(l) AS s, generate_subscripts(l, 1) AS p FROM (SELECT doc_id, string_split(regexp_replace(regexp_replace(coalesce(text, ''), '[\\t-\\r ]+', ' ', 'g'), '([.!?]) ', '\\1' || chr(10), 'g'), chr(10)) AS l FROM documents)) WHERE length(s) >= 20 AND NOT regexp_matches(s, '^[a-z]'))"
