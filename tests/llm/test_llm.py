@@ -480,6 +480,18 @@ def test_ids(spark, library):
     assert tokenise.token_ids(df.limit(0)).count() == 0
 
 
+def test_parts_in_parallel(spark, library):
+    """Texts cut into parts that different tasks encode give the ids of the whole, rows with repeated ids included."""
+    random.seed(11)
+    bits = ["word", " ", "\n", "'s", "123", "漢", "é", "!!", "<|endoftext|>", "\r\n", "a" * 40, " " * 9, "\t"]
+    texts = ["".join(random.choices(bits, k=random.randint(0, 300))) for _ in range(60)] + ["x" * 999, None, ""]
+    rows = [(i % 50, t) for i, t in enumerate(texts)] + [(7, texts[7])] * 2 + [(None, texts[3])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for far in (1, 40, 333):
+        got = sorted((repr(r["doc_id"]), list(r["ids"])) for r in tokenise.token_ids(df, leaf=16, far=far, window=4).collect())
+        assert got == sorted((repr(i), library(t) if t else []) for i, t in rows)
+
+
 # ---- 8 ------------------------------------------------------------------------------------------
 
 
