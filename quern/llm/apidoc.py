@@ -225,7 +225,7 @@ _SCHEMA = "record_id bigint, line_no bigint, name string, signature string, desc
 def _row(key: int, line: int, name: str, signature: str, raw: str, full: bool, words: int) -> tuple:
     text = description(raw, inline=True)
     digest = int.from_bytes(hashlib.blake2b(normal(text).encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
-    dull = trivial(description(raw), name, words)
+    dull = trivial(description(raw) if "{@" in raw else text, name, words)
     return key, line, name, signature if full and not dull else None, text if full and not dull else None, digest, dull
 
 
