@@ -214,9 +214,21 @@ def glob_filter(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "source_files").where(F.col("path").rlike(U.glob("src/main/**/*Gui.java")) & (F.col("bytes") <= 4000)).select("file_id")
 
 
-@query("T22 T23", "SELECT 1::BIGINT AS id, ['I', 'J', '[Ljava/lang/String;', 'D', 'Z'] AS params, [1, 2, 4, 5, 7]::BIGINT[] AS slots, 'a.b' AS package, 'C' AS simple", lists=('params', 'slots'))
+_CODE = "CASE p.type WHEN 'int' THEN 'I' WHEN 'long' THEN 'J' WHEN 'float' THEN 'F' WHEN 'double' THEN 'D' WHEN 'boolean' THEN 'Z' WHEN 'byte[]' THEN '[B' ELSE 'Lx/' || regexp_replace(p.type, '[^A-Za-z]', '', 'g') || ';' END"
+
+
+@query("T22 T23", f"""WITH m AS (SELECT DISTINCT member_id, type_id, params, kind FROM api_members WHERE params IS NOT NULL AND member_id IS NOT NULL), c AS (SELECT member_id, m.kind, fqn, list_transform(params, lambda p: {_CODE}) AS params FROM m JOIN api_types USING (type_id)),
+w AS (SELECT *, list_transform(params, lambda x: CASE WHEN x IN ('J', 'D') THEN 2 ELSE 1 END) AS width, CASE WHEN kind = 'method' THEN 0 ELSE 1 END AS first FROM c)
+SELECT member_id, params, list_transform(params, lambda x, i: (first + coalesce(list_sum(width[1:i - 1]), 0))::BIGINT) AS slots, regexp_replace(fqn, '\\.[^.]*$', '') AS package, regexp_extract(fqn, '[^.]*$') AS simple FROM w""", lists=("params", "slots"))
 def descriptor_slots(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, "(IJ[Ljava/lang/String;DZ)V", "a/b/C")], "id bigint, descriptor string, name string")
+    """Descriptors of all members taken apart: parameter types and the local slots they take, methods as static."""
+    code = lambda x: (
+        F.when(x["type"] == "int", "I").when(x["type"] == "long", "J").when(x["type"] == "float", "F").when(x["type"] == "double", "D").when(x["type"] == "boolean", "Z").when(x["type"] == "byte[]", "[B")
+        .otherwise(F.concat(F.lit("Lx/"), F.regexp_replace(x["type"], "[^A-Za-z]", ""), F.lit(";")))
+    )
+    members = table(spark, d, "api_members").where("params is not null and member_id is not null").select("member_id", "type_id", "params", "kind").distinct()
+    rows = members.join(table(spark, d, "api_types").select("type_id", "fqn"), "type_id")
+    rows = rows.select("member_id", F.coalesce(F.col("kind") == "method", F.lit(False)).alias("static"), F.concat(F.lit("("), F.array_join(F.transform("params", code), ""), F.lit(")V")).alias("descriptor"), F.replace("fqn", F.lit("."), F.lit("/")).alias("name"))
     package, simple = D.split_internal(F.col("name"))
-    slots = F.transform(D.slots(F.col("descriptor"), F.lit(False)), lambda x: x.cast("bigint"))
-    return rows.select("id", D.parameters(F.col("descriptor")).alias("params"), slots.alias("slots"), package.alias("package"), simple.alias("simple"))
+    slots = F.transform(D.slots(F.col("descriptor"), F.col("static")), lambda x: x.cast("bigint"))
+    return rows.select("member_id", D.parameters(F.col("descriptor")).alias("params"), slots.alias("slots"), package.alias("package"), simple.alias("simple"))

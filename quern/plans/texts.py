@@ -225,9 +225,6 @@ def code_regions(spark: SparkSession, d: str) -> DataFrame:
     return S.extract(table(spark, d, "source_files"), ["**/*.java"], ["**/test/**"])
 
 
-_NEEDLES = [("events", "world.notify"), ("log", "LOG.debug"), ("store", ".put(")]
-
-
 _CAPPED = "WITH m AS (SELECT DISTINCT member_id, type_id, kind, name FROM api_members WHERE kind IS NOT NULL AND type_id IS NOT NULL), g AS (SELECT kind AS repo, 'd/' || type_id AS path, member_id AS start_line, contains(coalesce(name, ''), 'Tank')::INT + contains(coalesce(name, ''), 'get')::INT AS k FROM m)"
 
 
@@ -240,10 +237,17 @@ def snippets_under_cap(spark: SparkSession, d: str) -> DataFrame:
     return S.under_cap(items, 40).select("repo", "path", "start_line", F.col("place").cast("bigint").alias("place"))
 
 
-@query("W16 T18 F24 F25")
+@query("W16", """WITH m AS (SELECT DISTINCT member_id, type_id, kind, name FROM api_members WHERE kind IS NOT NULL AND type_id IS NOT NULL), g AS (SELECT kind AS repo, 'p' || type_id % 7 AS dir, 'p' || type_id % 7 || '/F' || type_id AS path, member_id AS start_line, -(contains(coalesce(name, ''), 'Tank')::INT + contains(coalesce(name, ''), 'get')::INT) AS k FROM m),
+i AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY path, start_line) AS idx, count(*) OVER (PARTITION BY repo) AS all_items FROM g), f AS (SELECT *, row_number() OVER (PARTITION BY repo, path ORDER BY k, idx) AS turn, first_value(k) OVER (PARTITION BY repo, path ORDER BY k, idx) AS fk, first_value(idx) OVER (PARTITION BY repo, path ORDER BY k, idx) AS fi FROM i),
+d AS (SELECT *, row_number() OVER (PARTITION BY repo, dir ORDER BY turn, fk, fi) AS pos, first_value(k) OVER (PARTITION BY repo, dir ORDER BY k, idx) AS dk, first_value(idx) OVER (PARTITION BY repo, dir ORDER BY k, idx) AS di FROM f WHERE turn <= 3 OR all_items <= 12),
+r AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY pos, dk, di) AS place FROM d) SELECT repo, path, start_line FROM r WHERE place <= 12""")
 def snippets_by_directory(spark: SparkSession, d: str) -> DataFrame:
-    found = S.extract(table(spark, d, "source_files"), ["src/main/**"], []).withColumn("markers", S.markers(F.col("code"), _NEEDLES))
-    return S.spread_directories(found, 12).select("repo", "path", "start_line", "signature")
+    """Items of every kind in turns over directories and their files, three of a file at most."""
+    rows = table(spark, d, "api_members").where("kind is not null and type_id is not null").select("member_id", "type_id", "kind", "name").distinct()
+    marked = S.markers(F.coalesce("name", F.lit("")), [("tank", "Tank"), ("read", "get")])
+    path = F.concat(F.lit("p"), F.col("type_id") % 7, F.lit("/F"), "type_id")
+    items = rows.select(F.col("kind").alias("repo"), path.alias("path"), F.col("member_id").cast("int").alias("start_line"), (F.col("member_id") + 9).cast("int").alias("end_line"), marked.alias("markers"))
+    return S.spread_directories(items, 12).select("repo", "path", F.col("start_line").cast("bigint").alias("start_line"))
 
 
 # ---- time ---------------------------------------------------------------------------------------
