@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.urls import glob
+from quern.sources.tables import spread
 
 _MASK = re.compile(r"/\*.*?(?:\*/|$)|//[^\n]*|\"(?:[^\"\\\n]|\\.)*\"?|'(?:[^'\\\n]|\\.)*'?", re.S)
 
@@ -21,6 +22,19 @@ def masked(source: str) -> str:
     return _MASK.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), source)
 
 
+def masked_code(files: DataFrame, keep: list[str], column: str) -> DataFrame:
+    """The columns ``keep`` and ``masked``: every source with comments and literals blanked; null stays null."""
+    chosen = files.select(*keep, column)
+    kinds = dict(chosen.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [None if c is None else masked(c) for c in batch.column(batch.num_columns - 1).to_pylist()]
+            yield pa.record_batch([*batch.columns[:-1], pa.array(found, pa.string())], names=[*keep, "masked"])
+
+    return spread(chosen).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", masked string")
+
+
 def regions(source: str, most_lines: int = 60) -> list[tuple[int, int, str, str]]:
     """(first line, last line, signature, code) of brace regions one level inside a type, within ``most_lines``.
 

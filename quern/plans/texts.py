@@ -220,6 +220,17 @@ def java_symbols(spark: SparkSession, d: str) -> DataFrame:
     return java.symbols(table(spark, d, "source_files"))
 
 
+_BARE = """regexp_replace(content, '(?s)/\\*.*?(\\*/|\\z)|//[^\\n]*|"([^"\\\\\\n]|\\\\.)*"?|''([^''\\\\\\n]|\\\\.)*''?', '', 'g')"""
+
+
+@query("T18", f"SELECT file_id, length(content)::BIGINT AS size, (length(bare) - length(replace(bare, '{{', '')))::BIGINT AS opened, (length(bare) - length(replace(bare, '}}', '')))::BIGINT AS closed, len(regexp_extract_all(bare, 'return'))::BIGINT AS returns FROM (SELECT DISTINCT file_id, content, {_BARE} AS bare FROM source_files WHERE content IS NOT NULL)")
+def code_masks(spark: SparkSession, d: str) -> DataFrame:
+    """Braces and words of the code alone, its offsets unchanged: what lies in comments and literals doesn't count."""
+    rows = S.masked_code(table(spark, d, "source_files").where("content is not null"), ["file_id"], "content")
+    count = lambda t: (F.length("masked") - F.length(F.replace("masked", F.lit(t), F.lit("")))).cast("bigint")
+    return rows.select("file_id", F.length("masked").cast("bigint").alias("size"), count("{").alias("opened"), count("}").alias("closed"), F.regexp_count("masked", F.lit("return")).cast("bigint").alias("returns")).distinct()
+
+
 @query("T18 F24 F25 P12")
 def code_regions(spark: SparkSession, d: str) -> DataFrame:
     return S.extract(table(spark, d, "source_files"), ["**/*.java"], ["**/test/**"])

@@ -39,10 +39,11 @@ def _path(spark: SparkSession, path: str) -> tuple:
 
 
 def files_of(spark: SparkSession, path: str) -> tuple[list[tuple], int]:
-    """Name, size and time of every file of a table, and their size together."""
+    """What tells a table's state: its entries with size and time, and the number of files and bytes below; and those bytes."""
     fs, at = _path(spark, path)
-    files = sorted((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(at))
-    return files, sum(n for _, n, _ in files)
+    entries = sorted((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(at))
+    whole = fs.getContentSummary(at)
+    return [*entries, ("", whole.getFileCount(), whole.getLength())], whole.getLength()
 
 
 def fingerprint(*what: object) -> str:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import descriptors, identifiers, javadoc, text, tolerant, urls, versions
 from quern.operators import chunks, graph, index, quality, rank, snippets, vectors
-from quern.sources import crawl, formats, java, markup, store
+from quern.sources import crawl, formats, java, markup, store, tables
 from quern.streaming import incremental, windows
 
 words = st.lists(st.sampled_from("alpha beta. gamma! delta? eps\n\nzeta naïve 漢字 ".split(" ") + ["x" * 30, ""]), max_size=400).map(" ".join)
@@ -497,3 +497,30 @@ def test_install_refuses_what_does_not_verify(spark, tmp_path):
     assert live.read("t").count() == 1
     with pytest.raises(KeyError, match="a://b"):
         crawl.read_static(crawl.static_documents(spark, {"a://b": "x"}), "a://c")
+
+
+def test_derived_tables_follow_their_files(spark, tmp_path):
+    path = f"{tmp_path}/t.parquet"
+    spark.range(3).write.parquet(path)
+    made = []
+
+    def make(rows):
+        made.append(1)
+        return rows.selectExpr("id * 2 as twice")
+
+    read = lambda: sorted(r[0] for r in tables.derived(spark, path, "twice", make).collect())
+    assert read() == read() == [0, 2, 4] and len(made) == 1
+    spark.range(5, 6).write.mode("append").parquet(path)
+    assert read() == [0, 2, 4, 10] and len(made) == 2
+    first = index.declared(spark, path, "id", F.col("id").cast("string"), "ids")
+    assert first == index.declared(spark, path, "id", F.col("id").cast("string"), "ids") and {r["id"] for r in index.search(first, index.Term("5")).collect()} == {5}
+
+
+def test_no_temporary_folder_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from quern import session
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077", getConf=lambda: SimpleNamespace(get=lambda k: None))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.workspace(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda k, d: d)))
