@@ -37,9 +37,9 @@ def correspondence_search(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumnRenamed("id", "item_id")
 
 
-@query("R48 R45 W17", "WITH m AS (SELECT DISTINCT member_id, type_id, kind, name FROM api_members), s AS (SELECT type_id, count(*) AS members FROM (SELECT *, row_number() OVER (PARTITION BY type_id, kind ORDER BY name NULLS FIRST, member_id) AS n FROM m) WHERE n <= 5 GROUP BY 1), n AS (SELECT outer_fqn AS fqn, count(*) AS nested FROM api_types WHERE outer_fqn IS NOT NULL GROUP BY 1), b AS (SELECT regexp_replace(extends_raw, '<.*$', '') AS simple_name, count(*) AS subclasses FROM api_types WHERE extends_raw IS NOT NULL GROUP BY 1) SELECT type_id, coalesce(members, 0) AS members, coalesce(nested, 0) AS nested, coalesce(subclasses, 0) AS subclasses FROM api_types LEFT JOIN s USING (type_id) LEFT JOIN n USING (fqn) LEFT JOIN b USING (simple_name)")
+@query("R48 R45 W17", "WITH m AS (SELECT DISTINCT member_id, type_id, kind, name FROM api_members), s AS (SELECT type_id, count(*) AS members FROM (SELECT *, row_number() OVER (PARTITION BY type_id, kind ORDER BY name NULLS FIRST, member_id) AS n FROM m) WHERE n <= 5 GROUP BY 1), n AS (SELECT outer_fqn AS fqn, count(*) AS nested FROM api_types WHERE outer_fqn IS NOT NULL GROUP BY 1), b AS (SELECT regexp_replace(extends_raw, '<.*$', '') AS simple_name, count(*) AS subclasses, list(fqn ORDER BY fqn)[1:20] AS names FROM api_types WHERE extends_raw IS NOT NULL GROUP BY 1) SELECT type_id, coalesce(members, 0) AS members, coalesce(nested, 0) AS nested, coalesce(subclasses, 0) AS subclasses, coalesce(names, []) AS subclass_names FROM api_types LEFT JOIN s USING (type_id) LEFT JOIN n USING (fqn) LEFT JOIN b USING (simple_name)", lists=("subclass_names",))
 def type_details(spark: SparkSession, d: str) -> DataFrame:
-    return K.details(table(spark, d, "api_types"), table(spark, d, "api_members"), 5).drop("subclass_names")
+    return K.details(table(spark, d, "api_types"), table(spark, d, "api_members"), 5)
 
 
 _BARE = r"regexp_replace(regexp_replace(trim(javadoc, ' ' || chr(10) || chr(13) || chr(9)), '^[ \t]*/\*+|\*+/[ \t]*$', '', 'g'), '(?m)^[ \t]*\*+ ?', '', 'g')"

@@ -146,12 +146,12 @@ def best_section(spark: SparkSession, d: str) -> DataFrame:
     return best.select("document_id", "id", "score")
 
 
-@query("W04", f"""WITH s AS (SELECT *, ({_CHUNK_SCORE})::DOUBLE AS score, left(content, 200) AS key FROM doc_chunks),
+@query("W04", f"""WITH s AS (SELECT *, ({_CHUNK_SCORE})::DOUBLE AS score, content AS key FROM doc_chunks),
 u AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, id) AS n FROM s WHERE score >= 20),
 o AS (SELECT *, document_id IS NOT NULL AND row_number() OVER (PARTITION BY document_id ORDER BY score DESC, id) > 2 AS overflow FROM u WHERE n = 1)
 SELECT id, document_id, score, overflow FROM o ORDER BY overflow, score DESC, id LIMIT 40""")
 def cap_backfill(spark: SparkSession, d: str) -> DataFrame:
-    rows = _scored_chunks(spark, d).withColumn("key", F.substring("content", 1, 200))
+    rows = _scored_chunks(spark, d).withColumn("key", F.sha2("content", 256))
     return R.capped(rows, "id", "document_id", "score", "key", 2, 40, 20).select("id", "document_id", "score", "overflow")
 
 
@@ -188,7 +188,7 @@ _COS = "list_dot_product(a.v, q.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(li
 @query("R20 R21 J05", f"SELECT a.vec_id, round({_COS}, 5) AS score FROM {_VEC} a, (SELECT * FROM {_VEC} WHERE vec_id = 7) q WHERE a.label <= 5 ORDER BY round({_COS}, 6) DESC, vec_id LIMIT 20")
 def cosine_filtered(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "embeddings")
-    asked = rows.where("vec_id = 7").select(F.col("embedding").alias("q"))
+    asked = rows.where("vec_id = 7").select(F.col("embedding").alias("q")).limit(1)
     out = rows.where("label <= 5").join(F.broadcast(asked)).select("vec_id", X.cosine(F.col("embedding"), F.col("q")).alias("score"))
     return out.orderBy(F.round("score", 6).desc(), "vec_id").limit(20).select("vec_id", F.round("score", 5).alias("score"))
 
@@ -204,7 +204,7 @@ def cosine_batch(spark: SparkSession, d: str) -> DataFrame:
 @query("R12 F26 A16", f"SELECT a.label::BIGINT AS label, round(max({_COS}) * 100, 3) AS score, count(*) AS n FROM {_VEC} a, (SELECT * FROM {_VEC} WHERE vec_id = 3) q WHERE {_COS} * 100 > 5 GROUP BY a.label")
 def cosine_threshold_maxlabel(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "embeddings").where("embedding is not null")
-    asked = rows.where("vec_id = 3").select(F.col("embedding").alias("q"))
+    asked = rows.where("vec_id = 3").select(F.col("embedding").alias("q")).limit(1)
     out = rows.join(F.broadcast(asked)).select(F.col("label").cast("bigint"), (X.cosine(F.col("embedding"), F.col("q")) * 100).alias("score")).where("score > 5")
     return out.groupBy("label").agg(F.round(F.max("score"), 3).alias("score"), F.count("*").alias("n"))
 
