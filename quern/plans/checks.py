@@ -168,14 +168,14 @@ def _links(rows: DataFrame) -> DataFrame:
 
 @query("Q-10", f"""WITH {_PAIRS}, {_LINKS}, b AS (SELECT
  (count(*) = 0)::BIGINT AS "non-empty", count(*) - count(DISTINCT entry_key) AS "key unique", count(*) FILTER (WHERE NOT starts_with(entry_key, coalesce(topic, '') || '/' || coalesce(vocabulary, '') || '/')) AS "key shape",
- count(*) FILTER (WHERE vocabulary IS NULL OR vocabulary NOT IN ('forge', 'fabric', 'neoforge', 'cleanroom', 'shared')) AS "vocabulary list", count(*) FILTER (WHERE kind NOT IN ('direct', 'analog', 'missing')) AS "kind list",
+ count(*) FILTER (WHERE vocabulary IS NULL OR vocabulary NOT IN ('forge', 'fabric', 'neoforge', 'shared')) AS "vocabulary list", count(*) FILTER (WHERE kind NOT IN ('direct', 'analog', 'missing')) AS "kind list",
  count(*) FILTER (WHERE topic IS NULL OR topic NOT IN ('rendering', 'general', 'getting-started', 'tile-entities')) AS "topic list", count(*) FILTER (WHERE kind <> 'missing' AND (to_api IS NULL OR trim(to_api) = '')) AS "target present", count(*) FILTER (WHERE from_api IS NULL OR trim(from_api) = '') AS "source present",
  count(*) FILTER (WHERE keywords IS NULL OR len(keywords) < 1) AS "keywords non-empty" FROM e), c AS (SELECT count(*) FILTER (WHERE NOT (starts_with(link, 'entry://') OR starts_with(link, 'guide://') OR regexp_matches(link, '^[^/]+/[^/]+/[^/]+'))) AS "link scheme" FROM l)
 SELECT * FROM (SELECT * FROM b, c) UNPIVOT (bad FOR "check" IN (COLUMNS(*)))""")
 def correspondence_invariants(spark: SparkSession, d: str) -> DataFrame:
     """Enums, key shape, presence and link schemes of a table of correspondences, each with the rows that break it."""
     rows = _correspondences(spark, d)
-    return Q.correspondence_audit(rows, _links(rows), ["forge", "fabric", "neoforge", "cleanroom", "shared"], ["rendering", "general", "getting-started", "tile-entities"], ["direct", "analog", "missing"], ["entry://", "guide://"])
+    return Q.correspondence_audit(rows, _links(rows), ["forge", "fabric", "neoforge", "shared"], ["rendering", "general", "getting-started", "tile-entities"], ["direct", "analog", "missing"], ["entry://", "guide://"])
 
 
 @query("Q-12", f"""WITH {_PAIRS}, {_LINKS}, t AS (SELECT entry_key, link, CASE WHEN starts_with(link, 'entry://') THEN split_part(substr(link, 9), '#', 1) WHEN NOT contains(link, '://') THEN split_part(link, '#', 1) END AS target FROM l)

@@ -100,7 +100,7 @@ def parameters_csv(spark: SparkSession, d: str) -> DataFrame:
 SELECT DISTINCT 'package' AS what, NULL AS class, package_name AS name, NULL AS descriptor, NULL::INT AS slot, NULL AS parameter, NULL AS javadoc FROM api_types UNION ALL SELECT 'class', fqn, fqn, NULL, NULL, NULL, CASE WHEN length(javadoc) > 0 THEN javadoc END FROM api_types
 UNION ALL SELECT 'field', fqn, name, 'I', NULL, NULL, NULL FROM m WHERE kind = 'field' UNION ALL SELECT 'method', fqn, name, '(I)V', NULL, NULL, CASE WHEN length(javadoc) > 0 THEN javadoc || chr(10) || 'more' END FROM m WHERE kind = 'method'
 UNION ALL SELECT 'parameter', fqn, name, '(I)V', (i - 1)::INT, p.name, NULL FROM (SELECT *, unnest(params) AS p, generate_subscripts(params, 1) AS i FROM m WHERE kind = 'method')""")
-def parchment_names(spark: SparkSession, d: str) -> DataFrame:
+def documented_mappings(spark: SparkSession, d: str) -> DataFrame:
     """Documented names: packages, classes, fields, methods and parameters, written as JSON and read back."""
     types = table(spark, d, "api_types").select("type_id", "fqn", "package_name", "javadoc")
     members = table(spark, d, "api_members").where("length(name) > 0").select("member_id", "type_id", "kind", "name", "params", "javadoc").distinct()
