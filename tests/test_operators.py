@@ -87,6 +87,7 @@ def test_bodies_and_canonical_sections(spark):
 
 def _score(name, query, more=()):
     """The rules of the score, one after the other, by hand."""
+
     def distance(a, b):
         table = {(i, 0): i for i in range(len(a) + 1)} | {(0, j): j for j in range(len(b) + 1)}
         for i in range(1, len(a) + 1):
